@@ -1,0 +1,106 @@
+"""Workbooks (R6, R10): .xlsx files as long cells, sheet inventory, one sheet as a table.
+
+An .xlsx file is a zip of XML parts; ``mapInPandas`` over ``binaryFile`` reads each file
+in its own task with the stdlib (``zipfile`` + ``xml.etree``) and yields long cells
+(file, sheet, sheet_pos, row, col, value, kind). Everything after that - inventory,
+header, pivot to columns, typing - is DataFrame work."""
+from __future__ import annotations
+
+import io
+import re
+import xml.etree.ElementTree as ET
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
+      "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
+      "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
+CELLS = "file string, sheet string, sheet_pos int, row int, col int, value string, kind string"
+
+
+def _col_index(ref: str) -> int:
+    letters = re.match(r"[A-Z]+", ref).group(0)
+    n = 0
+    for ch in letters:
+        n = n * 26 + (ord(ch) - 64)
+    return n
+
+
+def _cells(path: str, blob: bytes):
+    with zipfile.ZipFile(io.BytesIO(blob)) as zf:
+        names = set(zf.namelist())
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            for si in ET.fromstring(zf.read("xl/sharedStrings.xml")).findall("m:si", NS):
+                shared.append("".join(t.text or "" for t in si.iter(f"{{{NS['m']}}}t")))
+        rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(zf.read("xl/_rels/workbook.xml.rels")).findall("p:Relationship", NS)}
+        book = ET.fromstring(zf.read("xl/workbook.xml"))
+        for pos, sh in enumerate(book.find("m:sheets", NS).findall("m:sheet", NS)):
+            name = sh.get("name")
+            target = rels[sh.get(f"{{{NS['r']}}}id")].lstrip("/")
+            part = target if target.startswith("xl/") else f"xl/{target}"
+            yield (path, name, pos, 0, 0, None, "sheet")          # marks the sheet even when empty
+            root = ET.fromstring(zf.read(part))
+            for row in root.iter(f"{{{NS['m']}}}row"):
+                r = int(row.get("r"))
+                for c in row.findall("m:c", NS):
+                    t = c.get("t", "n")
+                    v = c.find("m:v", NS)
+                    if t == "inlineStr":
+                        val = "".join(x.text or "" for x in c.iter(f"{{{NS['m']}}}t"))
+                        kind = "s"
+                    elif v is None:
+                        continue
+                    elif t == "s":
+                        val, kind = shared[int(v.text)], "s"
+                    elif t == "b":
+                        val, kind = ("true" if v.text == "1" else "false"), "b"
+                    elif t in ("str", "e"):
+                        val, kind = v.text, "s"
+                    else:
+                        val, kind = v.text, "n"
+                    yield (path, name, pos, r, _col_index(c.get("r")), val, kind)
+
+
+def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+
+    def expand(batches):
+        for pdf in batches:
+            rows = [cell for p, b in zip(pdf["path"], pdf["content"]) for cell in _cells(p, bytes(b))]
+            yield pd.DataFrame(rows, columns=["file", "sheet", "sheet_pos", "row", "col", "value", "kind"])
+
+    return files.mapInPandas(expand, CELLS)
+
+
+def sheet_inventory(cells: DataFrame) -> DataFrame:
+    """(file, sheet, num_rows, num_columns, columns): rows below the header (floor 0),
+    non-blank header names in column order; an empty sheet still appears."""
+    header = F.array_sort(F.collect_list(F.when((F.col("row") == 1) & (F.length(F.trim("value")) > 0),
+                                                 F.struct("col", "value"))))
+    g = cells.groupBy("file", "sheet", "sheet_pos").agg(F.max("row").alias("__last"), header.alias("__h"))
+    cols = F.transform("__h", lambda s: s["value"])
+    return g.select("file", "sheet", "sheet_pos", F.greatest(F.col("__last") - 1, F.lit(0)).alias("num_rows"),
+                    F.size(cols).alias("num_columns"), cols.alias("columns"))
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """One sheet (by name or position) as a table: the first row names the columns;
+    a column whose cells are all numeric becomes double, boolean cells become boolean."""
+    cells = workbook_cells(spark, path).where(F.col("kind") != "sheet")
+    pick = (F.col("sheet") == sheet) if isinstance(sheet, str) else (F.col("sheet_pos") == sheet)
+    cells = cells.where(pick)
+    head = {r["col"]: r["value"] for r in cells.where(F.col("row") == 1).collect()}   # one row of names
+    kinds = {r["col"]: r["k"] for r in cells.where(F.col("row") > 1).groupBy("col")
+             .agg(F.array_distinct(F.collect_set("kind")).alias("k")).collect()}     # per column
+    order = sorted(head)
+    body = cells.where(F.col("row") > 1).groupBy("file", "row").pivot("col", order).agg(F.first("value"))
+    out = []
+    for c in order:
+        k = set(kinds.get(c, []))
+        v = F.col(f"`{c}`")
+        out.append((v.try_cast("double") if k == {"n"} else v.cast("boolean") if k == {"b"} else v).alias(str(head[c])))
+    return body.orderBy("file", "row").select(*out)
