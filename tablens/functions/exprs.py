@@ -54,14 +54,20 @@ def as_double(name: str, dt: T.DataType) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c) if is_float_type(dt) else c
 
 
+# Shapes every format above starts with / every plain number has. Checking the shape first
+# keeps the (exception-driven) parsers away from text that cannot match.
+DATE_SHAPE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
+NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:nan|inf|infinity)\s*$"
+
+
 def parse_text_datetime(c: Column) -> Column:
     """Text -> timestamp using the fixed format list; null when nothing parses."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATE_FORMATS])
+    return F.when(c.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATE_FORMATS]))
 
 
 def text_to_double(c: Column) -> Column:
     """Parse-or-null number (ANSI cast would raise)."""
-    return c.try_cast("double")
+    return F.when(c.rlike(NUMBER_SHAPE), c.try_cast("double"))
 
 
 def round_half_up(c: Column, decimals: int = 4) -> Column:

@@ -29,6 +29,7 @@ TREES = 100
 PSI = 256
 SEED = 42
 OVERSAMPLE = 4.0
+POOL = 2.0
 EULER = 0.5772156649015329
 
 
@@ -41,24 +42,34 @@ def c_factor(n):
 
 
 def _samples(m: DataFrame, id_col: str, n: int, psi: int, trees: int, seed: int) -> DataFrame:
-    frac = min(1.0, OVERSAMPLE * psi / max(n, 1))
+    """Per-tree sub-samples of psi rows. One hash per row first cuts a pool of about
+    POOL * trees * psi rows; inside the pool tree t keeps its psi smallest
+    ``xxhash64(seed, t, id)``. Each tree's sample is a uniform psi-subset of all rows,
+    and two trees share only ~psi^2 / pool rows on average."""
+    pool_frac = min(1.0, POOL * trees * psi / max(n, 1))
+    widen = False
     while True:
+        pool_cut = min(int(pool_frac * 2.0 ** 63), 2 ** 63 - 1)
+        pool = m.where(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(-1), F.col(id_col)), 1) <= F.lit(pool_cut))
+        pool_n = max(1, int(round(pool_frac * n)))
+        frac = 1.0 if widen else min(1.0, OVERSAMPLE * psi / pool_n)
         cut = min(int(frac * 2.0 ** 63), 2 ** 63 - 1)
-        # per-row candidate trees: the hash, made non-negative, below the cut
         h = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col(id_col)), 1)
         cand = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
                                     lambda t: F.struct(t.alias("tree"), h(t).alias("h"))),
                         lambda s: s["h"] <= F.lit(cut))
-        picks = m.select(id_col, F.col(Z).alias("x"), F.explode(cand).alias("c")) \
+        picks = pool.select(id_col, F.col(Z).alias("x"), F.explode(cand).alias("c")) \
             .select(F.col("c.tree").alias("tree"), F.col("c.h").alias("h"), id_col, "x")
         w = Window.partitionBy("tree").orderBy("h", id_col)
         chosen = picks.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= psi).drop("rk")
-        if frac >= 1.0:
-            return chosen
+        if pool_frac >= 1.0 and frac >= 1.0:
+            return chosen                      # every row is a candidate of every tree
         counts = chosen.groupBy("tree").count().collect()
         if len(counts) == trees and min(r["count"] for r in counts) >= psi:
             return chosen
-        frac = min(1.0, frac * 4)
+        if pool_frac >= 1.0:
+            widen = True
+        pool_frac = min(1.0, pool_frac * 4)
 
 
 def _build_tree(pdf: pd.DataFrame, seed: int, max_depth: int) -> pd.DataFrame:

@@ -71,5 +71,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tablens-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table that arrives in fewer partitions than the cluster has cores
+    (e.g. one file with one row group). Large inputs already have many more partitions
+    than cores, so for them this is a no-op; it never adds a shuffle at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    # small by construction (fewer partitions than cores): cache the spread copy so repeated
+    # passes do not repeat the shuffle; identical plans share the one cache entry
+    from pyspark import StorageLevel
+    return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
