@@ -45,7 +45,8 @@ def normalize_ckan(packages: DataFrame, prefer: str = "first") -> DataFrame:
     link -> package skipped."""
     links = F.filter("resources", lambda r: direct_link(r["url"]))
     csv = F.filter(links, lambda r: F.upper(F.coalesce(r["format"], F.lit(""))) == "CSV")
-    pick = F.element_at(links, 1) if prefer == "first" else F.coalesce(F.element_at(csv, 1), F.element_at(links, 1))
+    pick = F.try_element_at(links, F.lit(1)) if prefer == "first" else \
+        F.coalesce(F.try_element_at(csv, F.lit(1)), F.try_element_at(links, F.lit(1)))
     fmt = F.upper(F.coalesce(pick["format"], F.lit("")))
     return packages.where(F.size(links) > 0).select(*_entry(
         F.lit("data.gov"), F.col("id"), F.coalesce(F.col("title"), F.lit("Untitled")), _cut(F.col("notes")),
@@ -76,7 +77,7 @@ def normalize_kaggle(ds: DataFrame) -> DataFrame:
 def normalize_openml(ds: DataFrame) -> DataFrame:
     """The quality list gives '<rows> rows × <cols> cols'."""
     q = F.map_from_entries(F.transform(F.coalesce("quality", F.array()), lambda x: F.struct(x["name"], x["value"])))
-    rows, cols = F.element_at(q, "NumberOfInstances"), F.element_at(q, "NumberOfFeatures")
+    rows, cols = F.try_element_at(q, F.lit("NumberOfInstances")), F.try_element_at(q, F.lit("NumberOfFeatures"))
     size = F.when((F.coalesce(rows, F.lit("")) != "") & (F.coalesce(cols, F.lit("")) != ""),
                   F.concat(rows.cast("double").cast("long").cast("string"), F.lit(" rows × "),
                            cols.cast("double").cast("long").cast("string"), F.lit(" cols"))).otherwise("")
@@ -104,8 +105,8 @@ def normalize_zenodo(hits: DataFrame) -> DataFrame:
     records without a data file are skipped."""
     files = F.coalesce(F.col("files"), F.array())
     total = F.aggregate(files, F.lit(0).cast("long"), lambda acc, f: acc + F.coalesce(f["size"], F.lit(0)).cast("long"))
-    size = F.when(total > 1024 * 1024, F.concat(F.format_number(total / 1024 / 1024, 1), F.lit(" MB"))) \
-        .when(total > 1024, F.concat(F.format_number(total / 1024, 0), F.lit(" KB"))).otherwise("")
+    size = F.when(total > 1024 * 1024, F.format_string("%.1f MB", total / 1024 / 1024)) \
+        .when(total > 1024, F.format_string("%.0f KB", total / 1024)).otherwise("")
     exts = F.array_distinct(F.transform(F.filter(files, lambda f: F.instr(f["key"], ".") > 0),
                                         lambda f: F.upper(F.element_at(F.split(f["key"], r"\."), -1))))
     data = F.array_sort(F.array_intersect(exts, F.array(*[F.lit(x) for x in ZENODO_FORMATS])))
@@ -151,7 +152,8 @@ def search(queries: DataFrame, entries: DataFrame, per_source: int = PER_SOURCE)
     lo = F.when(starts_word, 2).otherwise(1)
     hi = F.when(ends_word, n - 1).otherwise(n)
     complete = F.when(hi >= lo, F.slice(toks, lo, F.greatest(hi - lo + 1, F.lit(0)))).otherwise(F.array())
-    longest = F.element_at(F.array_sort(F.transform(complete, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), 1)
+    longest = F.try_element_at(F.array_sort(F.transform(complete, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))),
+                               F.lit(1))
     q = q.withColumn("__word", longest["t"]).withColumn("__pair", F.substring("__q", 1, 2))
     e = entries.withColumn("__s", _searchable(entries))
     by_word = e.select("*", F.explode(F.array_distinct(F.filter(F.split("__s", WORD_SPLIT), lambda t: t != ""))).alias("__k"))

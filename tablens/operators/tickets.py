@@ -59,9 +59,9 @@ def validate(df: DataFrame) -> DataFrame:
     """Enum and length checks (the table's CHECK constraints): a bad row fails the job."""
     bad = (~F.col("status").isin(*STATUSES) | ~F.col("priority").isin(*PRIORITIES)
            | (F.length("title") < 1) | (F.length("title") > TITLE_MAX))
-    return df.withColumn("__ok", F.when(bad, F.raise_error(F.concat(F.lit("invalid ticket "),
-                                                                     F.col("id").cast("string"))))
-                         .otherwise(F.lit(True))).drop("__ok")
+    # a filter predicate is always evaluated (a dropped check column would be pruned away)
+    return df.where(F.when(bad, F.raise_error(F.concat(F.lit("invalid ticket "), F.col("id").cast("string"))))
+                    .otherwise(F.lit(True)))
 
 
 def append(existing: DataFrame | None, new: DataFrame, as_of) -> DataFrame:
