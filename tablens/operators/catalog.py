@@ -217,3 +217,26 @@ def record_search(history_path: str, searches: DataFrame) -> None:
     """Append (query, result_count, created_at) rows to the history table."""
     searches.select("query", "result_count", F.coalesce(F.col("created_at"), F.current_timestamp()).alias("created_at")) \
         .write.mode("append").parquet(history_path)
+
+
+def order_results(results: DataFrame, by: str = "rank") -> DataFrame:
+    """T4: results by name (case-blind) or by rank."""
+    if by == "name":
+        return results.orderBy(F.lower("name"), "rank")
+    return results.orderBy("rank")
+
+
+def federate(providers: dict) -> tuple[DataFrame | None, list[str]]:
+    """Union (by name) of every provider's normalised result; a provider whose read or
+    normalisation fails is left out. ``providers`` maps a name to a zero-argument callable
+    returning its DataFrame. Returns (union or None, names that failed)."""
+    out, failed = None, []
+    for name, make in providers.items():
+        try:
+            df = make()
+            df.schema  # noqa: B018 - forces analysis so a bad source fails here
+        except Exception:  # noqa: BLE001 - a failing provider is skipped, as in a fan-out search
+            failed.append(name)
+            continue
+        out = df if out is None else out.unionByName(df)
+    return out, failed

@@ -55,3 +55,25 @@ def idle_sessions(df: DataFrame, session: str = "session_id", ts: str = "created
     last = df.groupBy(session).agg(F.max(ts).alias("last_active"))
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
     return last.where(F.col("last_active") < now - F.make_interval(secs=F.lit(ttl_seconds)))
+
+
+def exchange_rows(exchanges: DataFrame, session: str = "session_id", user_text: str = "user_text",
+                  reply_text: str = "reply_text", ts: str = "created_at", keyword: str = FEEDBACK_WORD) -> DataFrame:
+    """Each (user message, reply) exchange becomes two log rows that share one feedback
+    flag (the user text holds ``keyword``)."""
+    flag = F.instr(F.lower(F.col(user_text)), keyword.lower()) > 0
+    pair = F.array(F.struct(F.lit("user").alias("role"), F.col(user_text).alias("content"), F.lit(0).alias("seq")),
+                   F.struct(F.lit("assistant").alias("role"), F.col(reply_text).alias("content"), F.lit(1).alias("seq")))
+    return exchanges.select(session, ts, flag.alias("is_feedback"), F.inline(pair)) \
+        .select(session, "role", "content", "is_feedback", ts, "seq")
+
+
+def append_exchanges(exchanges: DataFrame, path: str, **kw) -> None:
+    """W4 (batch): append the rows of a batch of exchanges to the log table."""
+    exchange_rows(exchanges, **kw).write.mode("append").parquet(path)
+
+
+def stream_exchanges(exchanges: DataFrame, path: str, checkpoint: str, **kw):
+    """W4 (stream): the same rows from a streaming source, appended exactly once per batch."""
+    return exchange_rows(exchanges, **kw).writeStream.outputMode("append").format("parquet") \
+        .option("checkpointLocation", checkpoint).start(path)

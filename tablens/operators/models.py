@@ -93,7 +93,7 @@ def lloyd(m: DataFrame, id_col: str, specs: list[tuple[int, int]], max_iter: int
     active = set(centers)
     x_only = m.select(F.col(Z).alias("x"))
     parts = x_only.rdd.getNumPartitions()
-    schema = "model int, cluster int, dim int, v double"
+    schema = "model int, v array<double>"
     for _ in range(max_iter + 1):
         if not active:
             break
@@ -116,37 +116,31 @@ def lloyd(m: DataFrame, id_col: str, specs: list[tuple[int, int]], max_iter: int
                         acc[i] = (a[0] + sums, a[1] + cnt, a[2] + sse)
                     else:
                         acc[i] = (sums, cnt, sse)
-            out = {"model": [], "cluster": [], "dim": [], "v": []}
-            for i, (sums, cnt, sse) in acc.items():
-                kk, d = sums.shape
-                out["model"] += [i] * (kk * (d + 1) + 1)
-                out["cluster"] += list(np.repeat(np.arange(kk), d)) + list(range(kk)) + [0]
-                out["dim"] += list(np.tile(np.arange(d), kk)) + [-1] * kk + [-2]
-                out["v"] += list(sums.ravel()) + list(cnt) + [sse]
-            yield pd.DataFrame(out)
+            # one row per model: [sums (k x d, row-major), counts (k), sse]
+            yield pd.DataFrame({"model": list(acc), "v": [np.concatenate([a[0].ravel(), a[1], [a[2]]])
+                                                          for a in acc.values()]})
 
         part = x_only.mapInPandas(step, schema)
         width = sum(centers[i].shape[0] * (centers[i].shape[1] + 1) + 1 for i in active)
-        by_model: dict[int, dict] = {}
         if parts * width <= DIRECT_SUM_MAX:
-            # size checked: partitions x models x k x (d+1) numbers; summed here, no shuffle stage
-            for r in part.collect():
-                d = by_model.setdefault(r["model"], {})
-                key = (r["cluster"], r["dim"])
-                d[key] = d.get(key, 0.0) + r["v"]
+            # size checked: partitions x models x (k x (d+1) + 1) numbers, fetched over Arrow, summed here
+            pdf = part.toPandas()
+            totals = {int(mdl): np.sum(np.stack(list(g["v"])), axis=0) for mdl, g in pdf.groupby("model")}
         else:
-            for r in part.groupBy("model", "cluster", "dim").agg(F.sum("v").alias("v")).collect():
-                by_model.setdefault(r["model"], {})[(r["cluster"], r["dim"])] = r["v"]
+            # large: element-wise sums on the cluster (posexplode -> groupBy(model, pos))
+            summed = part.select("model", F.posexplode("v").alias("pos", "x")).groupBy("model", "pos") \
+                .agg(F.sum("x").alias("x")).toPandas()
+            totals = {int(mdl): g.sort_values("pos")["x"].to_numpy() for mdl, g in summed.groupby("model")}
         for i in list(active):
-            got = by_model.get(i, {})
             c = centers[i]
             kk, d = c.shape
+            vec = totals.get(i)
             new = c.copy()
-            for j in range(kk):
-                cnt = got.get((j, -1), 0.0)
-                if cnt > 0:
-                    new[j] = np.array([got[(j, t)] for t in range(d)]) / cnt
-            inertia[i] = got.get((0, -2), 0.0)
+            if vec is not None:
+                sums, cnt = vec[:kk * d].reshape(kk, d), vec[kk * d:kk * d + kk]
+                nz = cnt > 0
+                new[nz] = sums[nz] / cnt[nz, None]
+                inertia[i] = float(vec[-1])
             shift = ((new - c) ** 2).sum()
             centers[i] = new
             iters[i] += 1

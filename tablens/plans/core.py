@@ -364,3 +364,57 @@ SELECT cluster_id, rank, feature, {r4('cm')} AS cluster_mean, {r4('om')} AS over
        {r4('dev')} AS z_deviation, {r4('zs')} AS z_signed FROM d WHERE rank <= 5""")
 def cluster_top_features(spark, sf):
     return profiles.top_features(embeddings_wide(spark, sf), [f"e{i}" for i in range(EMB_DIM)])
+
+
+# ---------------------------------------------------------------- preview (P2, P6), anomaly share
+@query("sample_values", """
+SELECT "column", rank, value FROM (
+  SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY c_custkey) AS rank FROM (
+    UNPIVOT (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS k, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+                    CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer)
+    ON k, c_name, c_nationkey, c_acctbal, c_mktsegment INTO NAME "column" VALUE value))
+WHERE rank <= 3""")
+def sample_values(spark, sf):
+    """First three non-null values of every column, by key (text form)."""
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("k"), "c_name", "c_nationkey",
+                                            "c_acctbal", "c_mktsegment")
+    out = profile.sample_values(c.drop("c_custkey").withColumn("c_custkey", F.col("k")), "c_custkey")
+    return out.where(F.col("column") != "c_custkey")
+
+
+@query("preview_rows", """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+  CAST(o_totalprice AS VARCHAR) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+  o_orderpriority FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 5)""")
+def preview_rows(spark, sf):
+    """The first five rows (by key) as text, nulls shown as ''."""
+    return profile.preview_rows(table(spark, sf, "orders"), 5, order_by="o_orderkey")
+
+
+@query("anomaly_share", """
+SELECT sum(CASE WHEN l_quantity > 45 OR l_discount >= 0.1 THEN 1 ELSE 0 END) AS anomalies, count(*) AS rows,
+  round(CAST(sum(CASE WHEN l_quantity > 45 OR l_discount >= 0.1 THEN 1 ELSE 0 END) * 100.0 / count(*) AS DECIMAL(38,10)), 1)::DOUBLE AS share_pct
+FROM lineitem""")
+def anomaly_share(spark, sf):
+    """A6 on a fixed rule column (large quantity or large discount)."""
+    li = table(spark, sf, "lineitem").select(((F.col("l_quantity") > 45) | (F.col("l_discount") >= 0.1))
+                                             .cast("int").alias("anomaly"))
+    return profiles.anomaly_share(li)
+
+
+@query("label_centroids", """
+WITH codes AS (SELECT value, (dense_rank() OVER (ORDER BY value) - 1) AS code FROM (SELECT DISTINCT p_brand AS value FROM part)),
+n AS (SELECT max(code) AS top FROM codes),
+c AS (SELECT p_type AS cluster, avg(code) AS m FROM part JOIN codes ON p_brand = value GROUP BY p_type)
+SELECT cluster, c.m AS mean_code,
+  (SELECT value FROM codes WHERE code = greatest(0, least(round_even(c.m, 0), n.top))) AS category
+FROM c, n""")
+def label_centroids(spark, sf):
+    """The mean label code of ``p_brand`` per ``p_type`` decoded back to a brand
+    (half-even rounding, clamped to the code range)."""
+    part = table(spark, sf, "part")
+    enc = prep.encode_categoricals(part, "p_partkey", ["p_brand"], cardinality_threshold=10)
+    feats = enc.frame("p_partkey").join(part.select("p_partkey", F.col("p_type").alias("cluster")), "p_partkey")
+    cent = feats.groupBy("cluster").agg(F.avg("p_brand").alias("value")).withColumn("feature", F.lit("p_brand"))
+    out = prep.decode_labels(cent, enc.label_maps)
+    return out.select("cluster", F.col("value").alias("mean_code"), "category")

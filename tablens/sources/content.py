@@ -42,7 +42,8 @@ def dataset_key(source: Column, dataset_id: Column) -> Column:
 def file_inventory(spark: SparkSession, path: str, suffixes=UPLOAD_SUFFIXES, max_bytes: int = MAX_FILE_BYTES,
                    recursive: bool = True) -> DataFrame:
     """(path, length, modificationTime, ok, reason) for every file; the content column
-    is never read (binaryFile prunes it when it is not selected)."""
+    is never read (binaryFile prunes it when it is not selected). Spark's file listing may
+    already leave out zero-length files; any that appear are rejected as empty."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path) \
         .select("path", "length", "modificationTime")
     reason = (F.when(~has_suffix(F.col("path"), suffixes), "unsupported type")

@@ -224,3 +224,34 @@ def test_normalizers(spark, scratch):
       {"id": 10, "metadata": {"title": "N", "description": ""}, "files": [{"key": "a.pdf", "size": 5}]}]""")
     z = catalog.normalize_zenodo(spark.read.option("multiLine", True).json(ze)).collect()
     assert len(z) == 1 and z[0]["description"] == "Hi there" and z[0]["format"] == "CSV, JSON" and z[0]["size"] == "2.9 MB"
+
+
+def test_file_gate_and_largest(spark, scratch):
+    d = os.path.join(scratch, "folder")
+    os.makedirs(os.path.join(d, "a"))
+    for name, size in (("a/x.csv", 10), ("a/y.csv", 30), ("a/z.json", 99), ("a/e.parquet", 0), ("a/n.txt", 5)):
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(b"x" * size)
+    inv = {os.path.basename(r["path"]): r for r in content.file_inventory(spark, d, max_bytes=50).collect()}
+    assert inv["y.csv"]["ok"] and inv["z.json"]["reason"] == "too large"
+    assert "e.parquet" not in inv or inv["e.parquet"]["reason"] == "empty file"   # listing may drop empty files
+    assert inv["n.txt"]["reason"] == "unsupported type"
+    best = content.largest_per_folder(content.file_inventory(spark, d)).collect()
+    assert [os.path.basename(r["path"]) for r in best] == ["y.csv"]      # csv first, then the largest
+
+
+def test_federate_and_order(spark):
+    ok = lambda: spark.createDataFrame([("s", "1", "b", "", "", "", "", [], 1)], catalog.ENTRY)
+    bad = lambda: spark.read.json("/nonexistent/path/x.json")
+    out, failed = catalog.federate({"good": ok, "bad": bad})
+    assert out.count() == 1 and failed == ["bad"]
+    res = spark.createDataFrame([("Beta", 1), ("alpha", 2)], "name string, rank int")
+    assert [r["name"] for r in catalog.order_results(res, "name").collect()] == ["alpha", "Beta"]
+
+
+def test_exchange_rows(spark):
+    from tablens.operators import chat
+    ex = spark.createDataFrame([("s", "Some Feedback here", "thanks", 1), ("s", "hi", "hello", 2)],
+                               "session_id string, user_text string, reply_text string, created_at int")
+    rows = chat.exchange_rows(ex).collect()
+    assert len(rows) == 4 and [r["is_feedback"] for r in rows if r["created_at"] == 1] == [True, True]
