@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import quantiles
 from .models import Z
 
 TREES = 100
@@ -158,8 +159,9 @@ def detect_anomalies(m: DataFrame, id_col: str, n: int | None = None, contaminat
 
     scored = m.select(*cols, F.col(Z).alias("__x")).mapInPandas(score, schema) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    q = F.percentile(F.col("raw"), F.lit(contamination)) if exact else \
-        F.percentile_approx(F.col("raw"), F.lit(contamination), 10000)
-    offset = scored.agg(q.alias("o")).first()["o"]
+    if exact:
+        offset = quantiles(scored, ["raw"], [contamination])[("raw", contamination)]
+    else:
+        offset = scored.agg(F.percentile_approx(F.col("raw"), F.lit(contamination), 10000)).first()[0]
     out = scored.select(*cols, (F.col("raw") - F.lit(offset)).alias("score"))
     return out.withColumn("anomaly", (F.col("score") < 0).cast("int"))

@@ -9,24 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import round_half_up
+from ..functions.quantiles import quantiles
 
 # Fixed value: correlation is computed on the first 30 features.
 MAX_CORR_FEATURES = 30
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _q(c: str, exact: bool):
-    probs = F.array(*[F.lit(p) for p in QUARTILES])
-    return F.percentile(F.col(c), probs) if exact else F.percentile_approx(F.col(c), probs, 10000)
+def _q(c: str, exact: bool, known: dict | None):
+    if known is not None:
+        return F.array(*[F.lit(known[(c, p)]).cast("double") for p in QUARTILES])
+    return F.percentile_approx(F.col(c), F.array(*[F.lit(p) for p in QUARTILES]), 10000)
 
 
 def column_stats(df: DataFrame, features: list[str], decimals: int | None = 4, exact: bool = True) -> DataFrame:
     """A1: (position, feature, mean, std, min, max, median, q25, q75); std is the sample std,
     quartiles interpolate linearly. ``exact=False`` swaps in bounded-memory sketches."""
     r = (lambda c: round_half_up(c, decimals)) if decimals is not None else (lambda c: c)
+    # exact quartiles: bounded memory at any size (one percentile pass while the data are small)
+    known = quantiles(df, features, list(QUARTILES)) if exact else None
     items = []
     for i, c in enumerate(features):
-        q = _q(c, exact)
+        q = _q(c, exact, known)
         items.append(F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("feature"),
             F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
