@@ -76,12 +76,9 @@ def spread(df: DataFrame) -> DataFrame:
     (e.g. one file with one row group). Large inputs already have many more partitions
     than cores, so for them this is a no-op; it never adds a shuffle at scale."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    # small by construction (fewer partitions than cores): cache the spread copy so repeated
-    # passes do not repeat the shuffle; identical plans share the one cache entry
-    from pyspark import StorageLevel
-    return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
+    # no cache here: projections and filters must still reach the scan (multi-pass operators
+    # persist their own projected inputs)
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
