@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import round_half_up, stable_hash
+from ..functions.quantiles import SMALL_N, quantiles
 
 SAMPLE = 2000
 BOX_FEATURES = 6
@@ -43,14 +44,30 @@ def cluster_bars(sizes: DataFrame) -> DataFrame:
 
 
 def feature_boxes(labelled: DataFrame, features: list[str], cluster_col: str = "cluster") -> DataFrame:
-    """C4: per cluster and feature (first six): five-number summary and the centroid."""
-    probs = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    items = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.percentile(F.col(c), probs).alias("q"),
-                      F.avg(c).alias("mean")) for i, c in enumerate(features[:BOX_FEATURES])]
-    g = labelled.groupBy(F.col(cluster_col).alias("cluster_id")).agg(F.array(*items).alias("s")) \
-        .select("cluster_id", F.inline("s"))
-    return g.select("cluster_id", "position", "feature", *[F.col("q")[i].alias(n) for i, n in
-                                                           enumerate(("min", "q1", "median", "q3", "max"))], "mean")
+    """C4: per cluster and feature (first six): five-number summary and the centroid.
+
+    Clusters up to ``SMALL_N`` rows use one grouped exact ``percentile``; a larger cluster
+    (one group may hold a third of all rows) goes through the bounded exact quantiles
+    instead, so no task holds a whole cluster's values."""
+    feats = features[:BOX_FEATURES]
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    names = ("min", "q1", "median", "q3", "max")
+    sizes = {r[0]: r[1] for r in labelled.groupBy(cluster_col).count().collect()}     # one row per cluster
+    big = [c for c, n in sizes.items() if n > SMALL_N]
+    arr = F.array(*[F.lit(p) for p in probs])
+    small = labelled.where(~F.col(cluster_col).isin(*big)) if big else labelled
+    items = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.percentile(F.col(c), arr).alias("q"),
+                      F.avg(c).alias("mean")) for i, c in enumerate(feats)]
+    out = small.groupBy(F.col(cluster_col).alias("cluster_id")).agg(F.array(*items).alias("s")) \
+        .select("cluster_id", F.inline("s")) \
+        .select("cluster_id", "position", "feature", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "mean")
+    for c in big:
+        part = labelled.where(F.col(cluster_col) == c)
+        q = quantiles(part, feats, probs)
+        means = part.agg(*[F.avg(f).alias(f) for f in feats]).first()
+        rows = [(c, i, f, *[q[(f, p)] for p in probs], means[f]) for i, f in enumerate(feats)]
+        out = out.unionByName(labelled.sparkSession.createDataFrame(rows, out.schema))
+    return out
 
 
 def heatmap(corr: DataFrame) -> DataFrame:

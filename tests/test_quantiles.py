@@ -16,3 +16,15 @@ def test_bounded_quantiles_equal_percentile(spark, monkeypatch):
     assert all(abs(got[k] - exact[k]) < 1e-12 for k in exact)
     # numpy agrees too (linear interpolation)
     assert abs(got[("a", 0.25)] - float(np.quantile(vals, 0.25))) < 1e-12
+
+
+def test_boxes_large_cluster_path_equals_grouped(spark, blobs, monkeypatch):
+    from tablens.operators import series
+    lab = blobs.withColumnRenamed("truth", "cluster")
+    feats = ["a", "b", "c", "d"]
+    want = sorted(tuple(r) for r in series.feature_boxes(lab, feats).collect())
+    monkeypatch.setattr(series, "SMALL_N", 10)          # every cluster takes the bounded path
+    got = sorted(tuple(r) for r in series.feature_boxes(lab, feats).collect())
+    assert len(got) == len(want) == 12
+    for g, w in zip(got, want):
+        assert g[:3] == w[:3] and all(abs(x - y) < 1e-9 for x, y in zip(g[3:], w[3:]))
