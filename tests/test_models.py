@@ -137,3 +137,24 @@ def test_connected_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (10, 11), (7, 7)], "a long, b long")
     got = {r["id"]: r["label"] for r in density.connected_components(edges).collect()}
     assert got == {2: 2, 3: 2, 4: 2, 5: 2, 10: 10, 11: 10, 7: 7}
+
+
+def test_dbscan_hot_range_is_split_and_exact(spark):
+    """A third of the rows sit on one point: their range is split by hash into sub-blocks,
+    and the labels still equal the brute force."""
+    rng = np.random.default_rng(5)
+    pts = [np.zeros(2)] * 70 + [rng.normal(0, 1.5, 2) for _ in range(140)]
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(pts)]
+    m = spark.createDataFrame(rows, f"id long, {models.Z} array<double>")
+    x = {i: np.array(v) for i, v in rows}
+    out, n = density.dbscan(m, "id", 0.4, 6, len(rows), block=16)
+    got = {r["id"]: r["cluster"] for r in out.select("id", "cluster").collect()}
+    assert got == brute_dbscan(x, 0.4, 6)
+
+
+def test_generated_row_id_is_durable(spark, blobs):
+    p = prep.prepare_features(blobs.drop("id", "truth"))
+    assert p.id_col == prep.ROW_ID and p.features.count() == 150
+    ids1 = sorted(r[0] for r in p.features.select(p.id_col).collect())
+    ids2 = sorted(r[0] for r in p.scaled.select(p.id_col).collect())
+    assert ids1 == ids2 and len(set(ids1)) == 150
