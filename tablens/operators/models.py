@@ -3,8 +3,9 @@
 - The matrix is built once: raw feature columns plus a vector ``__z`` of the
   standardised values, persisted; every model reads it.
 - k-means is Spark ML with several seeded restarts (Spark has no ``n_init``).
-- PCA is fitted by Spark ML (distributed covariance), and the projection is plain
-  column arithmetic, so it stays inside whole-stage codegen.
+- PCA: one pass of per-task Gram partials gives the d x d covariance, which is
+  eigen-decomposed on the driver (d is bounded by the feature cap); the projection is
+  plain column arithmetic, so it stays inside whole-stage codegen.
 - Silhouette is exact Euclidean, computed over *block pairs*: points are split
   into blocks of bounded size; each (block, block) task sums distances per
   cluster with NumPy and emits one row per (point, cluster). No pair rows.
@@ -18,8 +19,6 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -308,17 +307,53 @@ def choose_k(m: DataFrame, id_col: str, n: int | None = None, sample: int = SILH
 
 
 # ------------------------------------------------------------------ PCA (M1)
-def pca_fit(p: Prepared, m: DataFrame, k: int = 3) -> tuple[np.ndarray, list]:
-    """M1 fit: loadings (d x K, K = min(k, d)) from one distributed covariance pass. Each
-    component's sign is fixed so that its largest-magnitude loading is positive."""
-    k = min(k, len(p.names))
-    model = PCA(k=k, inputCol="__v", outputCol="__pc").fit(m.select(array_to_vector(Z).alias("__v")))
-    v = model.pc.toArray().copy()
-    for j in range(k):
+def gram(m: DataFrame, col: str = Z) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, column sums, X^T X) of an array column in one pass: each task emits one partial
+    (d^2 + d + 1 numbers); the partials are summed here when small (size checked), else
+    element-wise on the cluster."""
+    d = len(m.select(col).first()[0])
+
+    def part(batches):
+        n, s1, s2 = 0, np.zeros(d), np.zeros((d, d))
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack(pdf[col].to_numpy())
+            n, s1, s2 = n + len(x), s1 + x.sum(0), s2 + x.T @ x
+        yield pd.DataFrame({"v": [np.concatenate([[n], s1, s2.ravel()])]})
+
+    parts = m.select(col).mapInPandas(part, "v array<double>")
+    if m.rdd.getNumPartitions() * (d * d + d + 1) <= DIRECT_SUM_MAX:
+        tot = np.sum(np.stack(list(parts.toPandas()["v"])), axis=0)
+    else:
+        rows = parts.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")) \
+            .toPandas().sort_values("pos")
+        tot = rows["x"].to_numpy()
+    return int(tot[0]), tot[1:1 + d], tot[1 + d:].reshape(d, d)
+
+
+def principal_axes(m: DataFrame, k: int, col: str = Z) -> tuple[np.ndarray, np.ndarray]:
+    """Top-k eigenvectors (d x k) of the sample covariance and their explained-variance shares.
+    Each component's sign is fixed so that its largest-magnitude loading is positive."""
+    n, s1, s2 = gram(m, col)
+    mean = s1 / n
+    cov = (s2 - n * np.outer(mean, mean)) / max(n - 1, 1)
+    vals, vecs = np.linalg.eigh(cov)
+    order = np.argsort(vals)[::-1][:k]
+    v = vecs[:, order].copy()
+    for j in range(v.shape[1]):
         i = int(np.argmax(np.abs(v[:, j])))
         if v[i, j] < 0:
             v[:, j] = -v[:, j]
-    return v, list(model.explainedVariance.toArray())
+    total = vals.sum()
+    return v, (vals[order] / total if total > 0 else vals[order])
+
+
+def pca_fit(p: Prepared, m: DataFrame, k: int = 3) -> tuple[np.ndarray, list]:
+    """M1 fit: loadings (d x K, K = min(k, d)) from one distributed pass (the covariance is
+    d x d, computed from per-task Gram partials, then eigen-decomposed here)."""
+    v, explained = principal_axes(m, min(k, len(p.names)))
+    return v, list(explained)
 
 
 def pc_columns(p: Prepared, v: np.ndarray) -> list:

@@ -71,14 +71,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tablens-{name}-{uuid.uuid4().hex[:12]}"
 
 
+SPREAD_MIN_BYTES = 256 << 10
+
+
+def _input_bytes(df: DataFrame) -> int | None:
+    """Total size of the files behind ``df`` when they are local files, else None."""
+    total = 0
+    for uri in df.inputFiles():
+        if not uri.startswith("file:"):
+            return None
+        path = uri[len("file:"):]
+        try:
+            total += os.path.getsize(path)
+        except OSError:
+            return None
+    return total
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a table that arrives in fewer partitions than the cluster has cores
-    (e.g. one file with one row group). Large inputs already have many more partitions
-    than cores, so for them this is a no-op; it never adds a shuffle at scale."""
+    (e.g. one file with one row group) when it is big enough for the parallelism to pay
+    (>= 256 KiB of input). Large inputs already have many more partitions than cores, so at
+    scale this is a no-op; it never adds a shuffle there. No cache: projections and filters
+    must still reach the scan (multi-pass operators persist their own projected inputs)."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    # no cache here: projections and filters must still reach the scan (multi-pass operators
-    # persist their own projected inputs)
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    size = _input_bytes(df)
+    if size is not None and size < SPREAD_MIN_BYTES:
+        return df
+    return df.repartition(target)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
