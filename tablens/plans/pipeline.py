@@ -90,3 +90,50 @@ def analyze(df: DataFrame, id_col: str | None = None, name: str = "dataset", alg
         top=profiles.top_features(labelled, p.names), column_stats=stats.column_stats(p.features, p.names),
         correlation=stats.correlation_long(p.features, p.names), prepared=p,
         extra={"silhouette_sample": sample})
+
+
+def charts(a: Analysis) -> dict:
+    """C1-C9 for one analysis: name -> series DataFrame (drawing is left to the caller)."""
+    from ..operators import series
+    sizes = a.sizes
+    return {
+        "scatter_2d": series.scatter_2d(a.rows, a.prepared.id_col),
+        "scatter_3d": series.scatter_3d(a.rows, a.prepared.id_col),
+        "cluster_sizes": series.cluster_bars(sizes),
+        "feature_boxes": series.feature_boxes(
+            a.prepared.features.join(a.rows.select(a.prepared.id_col, "cluster"), a.prepared.id_col), a.names),
+        "correlation_heatmap": series.heatmap(a.correlation),
+        "clustering_quality": series.quality(sizes, a.silhouette),
+        "parallel_coordinates": series.parallel_coordinates(a.centroids),
+        "anomaly_overlay": series.anomaly_overlay(a.rows, a.prepared.id_col),
+        "feature_distributions": series.distributions(a.column_stats),
+    }
+
+
+def save_analysis(store, a: Analysis, dataset: dict | None = None) -> str:
+    """W2 for a whole analysis: one run row (configuration and small summaries as JSON), one
+    chart row per series in display order, and the row-level result written as a Parquet
+    table under the run (row arrays never go through the driver)."""
+    dataset = dataset or {}
+    sizes = [r.asDict() for r in a.sizes.orderBy("cluster_id").collect()]          # one row per cluster
+    top = [r.asDict() for r in a.top.orderBy("cluster_id", "rank").collect()]      # <= 5 per cluster
+    stats = [r.asDict() for r in a.column_stats.orderBy("position").collect()]     # one row per feature
+    missing = {r["column"]: r["missing"] for r in a.missing.collect()}             # one row per column
+    rows_path = f"{store.root}/rows/{a.id}"
+    a.rows.write.mode("overwrite").parquet(rows_path)
+    series = charts(a)
+    chart_rows = [{"chart_type": name, "title": name.replace("_", " ").title(),
+                   "plotly_json": json.dumps({"series_path": f"{store.root}/charts/{a.id}/{name}"})}
+                  for name in series]
+    for name, df in series.items():
+        df.write.mode("overwrite").parquet(f"{store.root}/charts/{a.id}/{name}")
+    run = {"id": a.id, "title": a.title, "dataset_source": dataset.get("source"), "dataset_id": dataset.get("id"),
+           "dataset_name": dataset.get("name"), "dataset_url": dataset.get("url", ""), "num_rows": a.n_rows,
+           "num_columns": len(a.names), "column_names": a.names,
+           "analysis_config": {"algorithm": a.algorithm, "params": a.params, "columns": a.names,
+                               "encoding_info": a.encoding},
+           "analysis_result": {"n_clusters": a.n_clusters, "silhouette_score": a.silhouette, "cluster_sizes": sizes,
+                               "top_features": top, "column_stats": stats, "missing_values": missing,
+                               "dropped_columns": a.dropped, "original_column_count": a.original_column_count,
+                               "rows_path": rows_path}}
+    return store.save(run, chart_rows)

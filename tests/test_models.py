@@ -158,3 +158,21 @@ def test_generated_row_id_is_durable(spark, blobs):
     ids1 = sorted(r[0] for r in p.features.select(p.id_col).collect())
     ids2 = sorted(r[0] for r in p.scaled.select(p.id_col).collect())
     assert ids1 == ids2 and len(set(ids1)) == 150
+
+
+def test_analyze_save_and_reload(spark, blobs):
+    import json
+    import tempfile
+
+    from tablens.operators.runs import RunStore
+    from tablens.plans.pipeline import analyze, charts, save_analysis
+    a = analyze(blobs.drop("truth"), "id", "blobs", "kmeans")
+    assert a.n_clusters == 3 and a.silhouette > 0.4 and a.title == "KMEANS Analysis of blobs"
+    assert a.rows.count() == 150 and set(a.rows.columns) >= {"id", "cluster", "pc1", "pc2", "pc3", "score", "anomaly"}
+    assert len(charts(a)) == 9
+    store = RunStore(spark, tempfile.mkdtemp(prefix="tablens-runs-"))
+    rid = save_analysis(store, a, {"source": "test", "id": "blobs", "name": "blobs"})
+    got = store.get(rid).first()
+    assert len(got["charts"]) == 9
+    res = json.loads(got["analysis_result"])
+    assert spark.read.parquet(res["rows_path"]).count() == 150 and res["n_clusters"] == 3
