@@ -3,6 +3,7 @@ profiles -> anomalies -> statistics. Row-level results stay DataFrames; only sma
 summaries are materialised."""
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
