@@ -348,7 +348,8 @@ def cluster_sizes(spark, sf):
 
 @query("cluster_centroids", f"""
 WITH l AS ({EMB_LONG_SQL})
-SELECT label::INT AS cluster_id, position, feature, {r4('avg(x)')} AS value FROM l GROUP BY label, position, feature""")
+SELECT label::INT AS cluster_id, position::INTEGER AS position, feature, {r4('avg(x)')} AS value
+FROM l GROUP BY label, position, feature""")
 def cluster_centroids(spark, sf):
     return profiles.cluster_centroids(embeddings_wide(spark, sf), [f"e{i}" for i in range(EMB_DIM)])
 
@@ -360,7 +361,7 @@ c AS (SELECT label::INT AS cluster_id, position, feature, avg(x) AS cm FROM l GR
 d AS (SELECT c.*, om, os, abs(cm - om) / os AS dev, (cm - om) / os AS zs,
              row_number() OVER (PARTITION BY cluster_id ORDER BY abs(cm - om) / os DESC, position) AS rank
       FROM c JOIN o USING (feature))
-SELECT cluster_id, rank, feature, {r4('cm')} AS cluster_mean, {r4('om')} AS overall_mean,
+SELECT cluster_id, rank::INTEGER AS rank, feature, {r4('cm')} AS cluster_mean, {r4('om')} AS overall_mean,
        {r4('dev')} AS z_deviation, {r4('zs')} AS z_signed FROM d WHERE rank <= 5""")
 def cluster_top_features(spark, sf):
     return profiles.top_features(embeddings_wide(spark, sf), [f"e{i}" for i in range(EMB_DIM)])
@@ -368,7 +369,7 @@ def cluster_top_features(spark, sf):
 
 # ---------------------------------------------------------------- preview (P2, P6), anomaly share
 @query("sample_values", """
-SELECT "column", rank, value FROM (
+SELECT "column", rank::INTEGER AS rank, value FROM (
   SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY c_custkey) AS rank FROM (
     UNPIVOT (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS k, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
                     CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer)
@@ -392,7 +393,7 @@ def preview_rows(spark, sf):
 
 
 @query("anomaly_share", """
-SELECT sum(CASE WHEN l_quantity > 45 OR l_discount >= 0.1 THEN 1 ELSE 0 END) AS anomalies, count(*) AS rows,
+SELECT sum(CASE WHEN l_quantity > 45 OR l_discount >= 0.1 THEN 1 ELSE 0 END)::BIGINT AS anomalies, count(*) AS rows,
   round(CAST(sum(CASE WHEN l_quantity > 45 OR l_discount >= 0.1 THEN 1 ELSE 0 END) * 100.0 / count(*) AS DECIMAL(38,10)), 1)::DOUBLE AS share_pct
 FROM lineitem""")
 def anomaly_share(spark, sf):

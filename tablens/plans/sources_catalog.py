@@ -151,7 +151,7 @@ def series_distributions(spark, sf):
 
 
 @query("series_boxes", f"""
-SELECT label::INT AS cluster_id, i - 1 AS position, 'e' || (i - 1) AS feature,
+SELECT label::INT AS cluster_id, (i - 1)::INTEGER AS position, 'e' || (i - 1) AS feature,
   {r4('quantile_cont(embedding[i]::DOUBLE, 0.0)')} AS min, {r4('quantile_cont(embedding[i]::DOUBLE, 0.25)')} AS q1,
   {r4('quantile_cont(embedding[i]::DOUBLE, 0.5)')} AS median, {r4('quantile_cont(embedding[i]::DOUBLE, 0.75)')} AS q3,
   {r4('quantile_cont(embedding[i]::DOUBLE, 1.0)')} AS max, {r4('avg(embedding[i]::DOUBLE)')} AS mean

@@ -180,8 +180,9 @@ def feedback_transcripts(spark, sf):
 
 
 @query("last_messages", """
-SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_end
-FROM conversations QUALIFY from_end <= 20""")
+SELECT conv_id, turn, role, from_end::INTEGER AS from_end FROM (
+  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_end
+  FROM conversations) WHERE from_end <= 20""")
 def last_messages(spark, sf):
     return chat.last_messages(table(spark, sf, "conversations"), "conv_id", "turn").select(
         "conv_id", "turn", "role", "from_end")
@@ -245,3 +246,23 @@ def cluster_summary_text(spark, sf):
     w = embeddings_wide(spark, sf)
     feats = [f"e{i}" for i in range(EMB_DIM)]
     return labels.summary_text(profiles.cluster_sizes(w), profiles.top_features(w, feats))
+
+
+@query("chat_exchange_rows", f"""
+WITH x AS (SELECT conv_id AS session_id, turn AS created_at, text AS user_text,
+             lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply_text,
+             lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, role FROM conversations)
+SELECT session_id, r.role, r.content, strpos(lower(user_text), '{FEEDBACK_KEYWORD}') > 0 AS is_feedback, created_at, r.seq
+FROM x, (SELECT 'user' AS role, 0 AS seq UNION ALL SELECT 'assistant', 1) r0,
+     LATERAL (SELECT r0.role AS role, CASE WHEN r0.seq = 0 THEN user_text ELSE reply_text END AS content, r0.seq AS seq) r
+WHERE x.role = 'user' AND x.next_role = 'assistant'""")
+def chat_exchange_rows(spark, sf):
+    """Each user turn and the reply that follows become two log rows sharing one flag."""
+    from pyspark.sql import Window
+    c = table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    ex = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), "role",
+                  F.col("text").alias("user_text"), F.lead("text").over(w).alias("reply_text"),
+                  F.lead("role").over(w).alias("next_role")) \
+        .where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
+    return chat.exchange_rows(ex, keyword=FEEDBACK_KEYWORD)
