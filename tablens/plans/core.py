@@ -379,8 +379,7 @@ def sample_values(spark, sf):
     """First three non-null values of every column, by key (text form)."""
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("k"), "c_name", "c_nationkey",
                                             "c_acctbal", "c_mktsegment")
-    out = profile.sample_values(c.drop("c_custkey").withColumn("c_custkey", F.col("k")), "c_custkey")
-    return out.where(F.col("column") != "c_custkey")
+    return profile.sample_values(c, "c_custkey").where(F.col("column") != "c_custkey")
 
 
 @query("preview_rows", """

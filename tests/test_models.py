@@ -176,3 +176,20 @@ def test_analyze_save_and_reload(spark, blobs):
     assert len(got["charts"]) == 9
     res = json.loads(got["analysis_result"])
     assert spark.read.parquet(res["rows_path"]).count() == 150 and res["n_clusters"] == 3
+
+
+@pytest.mark.parametrize("algorithm", ["dbscan", "hierarchical"])
+def test_analyze_other_algorithms(spark, blobs, algorithm):
+    from tablens.plans.pipeline import analyze
+    a = analyze(blobs.drop("truth"), "id", "blobs", algorithm)
+    assert a.rows.count() == 150 and a.n_clusters >= 1
+    if algorithm == "dbscan":
+        assert set(a.params) == {"eps", "min_samples"} and a.params["min_samples"] == 5
+    else:
+        assert a.params["linkage"] == "ward" and a.n_clusters == 3
+
+
+def test_unknown_algorithm(spark, blobs):
+    from tablens.plans.pipeline import analyze
+    with pytest.raises(ValueError, match="Unknown algorithm"):
+        analyze(blobs.drop("truth"), "id", "blobs", "spectral")
