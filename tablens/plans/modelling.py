@@ -110,8 +110,7 @@ def knn_distance(spark, sf):
     m = _embeddings_matrix(spark, sf)
     n = m.count()
     k = max(1, min(max(5, n // 100), n - 1))
-    queries = [(int(r[0]), list(r[1])) for r in m.select("vec_id", models.Z).collect()]
-    return rounded(density.kth_distances(m, "vec_id", k, queries))
+    return rounded(density.kth_distances_all(m, "vec_id", k, n))
 
 
 @query("dbscan_core_flags", f"""
@@ -125,3 +124,11 @@ def dbscan_core_flags(spark, sf):
     n = m.count()
     counts = density.neighbour_counts(m, "vec_id", 1.25, n)
     return counts.select("id", "neighbours", (F.col("neighbours") >= max(5, n // 100)).alias("core"))
+
+
+@query("choose_k_customer")
+def choose_k_customer(spark, sf):
+    """M2: the silhouette sweep (k, silhouette on the fixed 1,000-row sample) and the chosen k."""
+    p, m = _customer(spark, sf)
+    k, trace, _ = models.choose_k(m, "c_custkey", p.n_rows)
+    return spark.createDataFrame([(kk, s, kk == k) for kk, s in trace], "k int, silhouette double, chosen boolean")

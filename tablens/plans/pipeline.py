@@ -42,6 +42,13 @@ class Analysis:
     prepared: prep.Prepared = field(repr=False, default=None)
     extra: dict = field(default_factory=dict)
 
+    def centroids_decoded(self) -> DataFrame:
+        """Centroids with label-encoded features turned back into their category."""
+        maps = self.prepared.label_maps if self.prepared is not None else None
+        if maps is None:
+            return self.centroids.withColumn("category", F.lit(None).cast("string"))
+        return prep.decode_labels(self.centroids, maps)
+
 
 def cluster(m: DataFrame, id_col: str, n: int, algorithm: str = "kmeans", k: int | None = None):
     """Dispatch: (labelled matrix, n_clusters, params)."""

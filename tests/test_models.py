@@ -193,3 +193,21 @@ def test_unknown_algorithm(spark, blobs):
     from tablens.plans.pipeline import analyze
     with pytest.raises(ValueError, match="Unknown algorithm"):
         analyze(blobs.drop("truth"), "id", "blobs", "spectral")
+
+
+def test_analyze_decodes_label_centroids(spark):
+    rows = [(i, float(i % 7), float(i % 5), f"g{i % 12:02d}") for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, grp string")
+    from tablens.plans.pipeline import analyze
+    a = analyze(df, "id", "t", "kmeans", 2, categorical=["grp"])
+    dec = {(r["cluster_id"], r["feature"]): r["category"] for r in a.centroids_decoded().collect()}
+    cats = {v for (c, f), v in dec.items() if f == "grp"}
+    assert cats and cats <= {f"g{i:02d}" for i in range(12)}
+    assert all(v is None for (c, f), v in dec.items() if f != "grp")
+
+
+def test_kth_distances_all_blocks(spark, fitted):
+    p, m, x, _ = fitted
+    got = {r["qid"]: r["kdist"] for r in density.kth_distances_all(m, "id", 7, p.n_rows, block=20).collect()}
+    want = brute_kdist(x, 7)
+    assert len(got) == 150 and all(abs(got[i] - want[i]) < 1e-9 for i in x)
