@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import (
-    field_types, is_float_type, is_missing, is_nested_type, is_numeric_type, is_time_type,
+    field_types, is_missing, is_nested_type, is_numeric_type, is_time_type,
     parse_text_datetime, text_to_double,
 )
 
