@@ -66,8 +66,27 @@ def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> dic
     return out
 
 
-def column_facts(df: DataFrame, approx: bool = False) -> tuple[int, dict[str, dict]]:
-    """One pass: row count, non-null counts, numeric-text and date-text counts, hour sums."""
+DATE_SAMPLE = 50   # the date test looks at the first 50 non-null values (by ``order_by`` when given)
+
+
+def first_date_counts(df: DataFrame, cols: list[str], order_by: str) -> dict[str, tuple[int, int]]:
+    """{column: (values looked at, values that parse as dates)} over the first 50 non-null
+    values of each text column by ``order_by``; ``row_number() <= 50`` is cut per column
+    before the shuffle."""
+    if not cols:
+        return {}
+    long = df.select(order_by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols]))).where(F.col("value").isNotNull())
+    w = Window.partitionBy("column").orderBy(order_by)
+    first = long.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= DATE_SAMPLE)
+    got = first.groupBy("column").agg(F.count(F.lit(1)).alias("n"),
+                                      F.count(parse_text_datetime(F.col("value"))).alias("d")).collect()
+    return {r["column"]: (r["n"], r["d"]) for r in got}
+
+
+def column_facts(df: DataFrame, approx: bool = False, order_by: str | None = None) -> tuple[int, dict[str, dict]]:
+    """One pass: row count, non-null counts, numeric-text and date-text counts, hour sums.
+    With ``order_by`` the date test uses the first 50 non-null values of each text column."""
     types = field_types(df)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c, dt in types.items():
@@ -89,6 +108,10 @@ def column_facts(df: DataFrame, approx: bool = False) -> tuple[int, dict[str, di
                      and not isinstance(dt, T.BooleanType)]
     for c, k in distinct_counts(df, need_distinct, approx).items():
         facts[c]["distinct"] = k
+    if order_by is not None:
+        texts = [c for c, dt in types.items() if isinstance(dt, T.StringType)]
+        for c, (looked, dates) in first_date_counts(df, texts, order_by).items():
+            facts[c]["date_base"], facts[c]["dates"] = looked, dates
     return n, facts
 
 
@@ -100,7 +123,8 @@ def classify(n_rows: int, f: dict) -> tuple[int | None, str | None, bool]:
         return None, None, False
     if is_time_type(dt):
         return None, "datetime", False
-    if isinstance(dt, T.StringType) and nn > 0 and f["dates"] / nn > DATE_TEXT_RATIO:
+    base = f.get("date_base", nn)
+    if isinstance(dt, T.StringType) and base > 0 and f["dates"] / base > DATE_TEXT_RATIO:
         return None, "datetime", False
     if is_nested_type(dt):
         return None, None, False
@@ -130,9 +154,11 @@ class Preview:
     categorical_columns: list[str]
 
 
-def preview_columns(df: DataFrame, approx: bool = False) -> Preview:
-    """Per-column counts, dtype, cardinality, classification, numeric and categorical lists."""
-    n, facts = column_facts(df, approx)
+def preview_columns(df: DataFrame, approx: bool = False, order_by: str | None = None) -> Preview:
+    """Per-column counts, dtype, cardinality, classification, numeric and categorical lists.
+    ``order_by`` gives the row order for the date test (first 50 non-null values); without it,
+    every non-null value is looked at."""
+    n, facts = column_facts(df, approx, order_by)
     rows, numeric, categorical = [], [], []
     for pos, (c, f) in enumerate(facts.items()):
         card, enc, idl = classify(n, f)
@@ -145,8 +171,8 @@ def preview_columns(df: DataFrame, approx: bool = False) -> Preview:
     return Preview(spark.createDataFrame(rows, PROFILE_SCHEMA), n, len(facts), numeric, categorical)
 
 
-def classify_columns(df: DataFrame, approx: bool = False) -> DataFrame:
-    return preview_columns(df, approx).columns
+def classify_columns(df: DataFrame, approx: bool = False, order_by: str | None = None) -> DataFrame:
+    return preview_columns(df, approx, order_by).columns
 
 
 def usable_columns(preview: Preview) -> bool:

@@ -20,15 +20,17 @@ assert len(SQL_DATE_FORMATS) == len(DATE_FORMATS)
 
 
 # ---------------------------------------------------------------- profile
-def _profile_sql(tbl: str, cols: list[tuple[str, str]]) -> str:
+def _profile_sql(tbl: str, cols: list[tuple[str, str]], key: str) -> str:
     fmts = "[" + ", ".join(f"'{f}'" for f in SQL_DATE_FORMATS) + "]"
     parts = []
     for pos, (c, dtype) in enumerate(cols):
+        first50 = (f"(SELECT count(*) AS n, count(try_strptime({c}, {fmts})) AS d FROM "
+                   f"(SELECT {c} FROM {tbl} WHERE {c} IS NOT NULL ORDER BY {key} LIMIT 50))")
         head = f"SELECT {pos} AS position, '{c}' AS \"column\", '{dtype}' AS dtype, " \
                f"count({c}) AS non_null_count, count(*) - count({c}) AS null_count"
         if dtype == "string":
             nn, k = f"count({c})", f"count(DISTINCT {c})"
-            date_like = f"({nn} > 0 AND count(try_strptime({c}, {fmts})) / {nn} > 0.5)"
+            date_like = f"((SELECT n FROM {first50}) > 0 AND (SELECT d FROM {first50}) / (SELECT n FROM {first50}) > 0.5)"
             card = f"CASE WHEN {date_like} THEN NULL ELSE {k} END AS cardinality"
             enc = (f"CASE WHEN {date_like} THEN 'datetime' WHEN {nn} = 0 OR {k} <= 1 THEN NULL "
                    f"WHEN {k} / count(*) > 0.9 THEN NULL "
@@ -51,19 +53,19 @@ ORDERS_COLS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatu
                ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
 
 
-@query("column_profile_part", _profile_sql("part", PART_COLS))
+@query("column_profile_part", _profile_sql("part", PART_COLS, "p_partkey"))
 def column_profile_part(spark, sf):
-    return profile.classify_columns(table(spark, sf, "part"))
+    return profile.classify_columns(table(spark, sf, "part"), order_by="p_partkey")
 
 
-@query("column_profile_customer", _profile_sql("customer", CUSTOMER_COLS))
+@query("column_profile_customer", _profile_sql("customer", CUSTOMER_COLS, "c_custkey"))
 def column_profile_customer(spark, sf):
-    return profile.classify_columns(table(spark, sf, "customer"))
+    return profile.classify_columns(table(spark, sf, "customer"), order_by="c_custkey")
 
 
-@query("column_profile_orders", _profile_sql("orders", ORDERS_COLS))
+@query("column_profile_orders", _profile_sql("orders", ORDERS_COLS, "o_orderkey"))
 def column_profile_orders(spark, sf):
-    return profile.classify_columns(table(spark, sf, "orders"))
+    return profile.classify_columns(table(spark, sf, "orders"), order_by="o_orderkey")
 
 
 # ---------------------------------------------------------------- lineitem with blanked values

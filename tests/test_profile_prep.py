@@ -102,3 +102,13 @@ def test_decode_labels(spark):
                                  "cluster_id int, feature string, value double")
     got = {r["cluster_id"]: r["category"] for r in prep.decode_labels(cent, maps).collect()}
     assert got == {0: "a", 1: "c", 2: "c", 3: None}   # 1.5 rounds half to even -> 2
+
+
+def test_date_test_uses_first_fifty(spark):
+    # the first 50 values (by key) are dates, the 60 after them are not
+    rows = [(i, f"2024-01-{(i % 28) + 1:02d}" if i < 50 else f"word{i}") for i in range(110)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    by_order = {r["column"]: r for r in profile.classify_columns(df, order_by="k").collect()}
+    overall = {r["column"]: r for r in profile.classify_columns(df).collect()}
+    assert by_order["t"]["suggested_encoding"] == "datetime"
+    assert overall["t"]["suggested_encoding"] != "datetime"
