@@ -13,17 +13,26 @@ SESSION_ID_MAX = 500
 
 
 def flag_feedback(df: DataFrame, session: str = "session_id", order: str = "created_at", role: str = "role",
-                  text: str = "content", keyword: str = FEEDBACK_WORD) -> DataFrame:
+                  text: str = "content", keyword: str = FEEDBACK_WORD, dense_order: bool = False) -> DataFrame:
     """H1: a user message holding ``keyword`` (any case) is feedback, and the reply that
-    follows it in the same session carries the same flag."""
+    follows it in the same session carries the same flag.
+
+    ``dense_order=True`` (the order is 0, 1, 2, ... within a session): the previous message is
+    found by a join on (session, order - 1). The composite key spreads even a session holding a
+    third of all rows evenly, where a window would put that session in one task."""
     user_hit = (F.col(role) == "user") & (F.instr(F.lower(F.col(text)), keyword.lower()) > 0)
-    w = Window.partitionBy(session).orderBy(order)
-    prev_role = F.lag(role).over(w)
-    prev_hit = F.lag(user_hit).over(w)
+    if dense_order:
+        prev = df.select(F.col(session).alias("__s"), (F.col(order) + 1).alias("__o"),
+                         F.col(role).alias("__prev_role"), user_hit.alias("__prev_hit"))
+        j = df.join(prev, (df[session] == prev["__s"]) & (df[order] == prev["__o"]), "left")
+        prev_role, prev_hit = F.col("__prev_role"), F.col("__prev_hit")
+    else:
+        w = Window.partitionBy(session).orderBy(order)
+        j, prev_role, prev_hit = df, F.lag(role).over(w), F.lag(user_hit).over(w)
     flag = F.when(F.col(role) == "user", user_hit) \
         .when((F.col(role) == "assistant") & (prev_role == "user"), F.coalesce(prev_hit, F.lit(False))) \
         .otherwise(F.lit(False))
-    return df.withColumn("is_feedback", flag)
+    return j.select(*[df[c] for c in df.columns], flag.alias("is_feedback"))
 
 
 def feedback_transcripts(flagged: DataFrame, session: str = "session_id") -> DataFrame:
@@ -34,9 +43,15 @@ def feedback_transcripts(flagged: DataFrame, session: str = "session_id") -> Dat
 
 
 def last_messages(df: DataFrame, session: str = "session_id", order: str = "created_at",
-                  n: int = MAX_HISTORY) -> DataFrame:
+                  n: int = MAX_HISTORY, dense_order: bool = False) -> DataFrame:
     """H3: the last n messages per session, with their position from the end.
-    ``row_number() <= n`` lets Spark cut each group before the shuffle."""
+    ``row_number() <= n`` lets Spark cut each group before the shuffle. With
+    ``dense_order=True`` the cut is ``order > max(order) - n`` from a per-session max
+    (partially aggregated) joined back, so a hot session is split by AQE, not sorted in one task."""
+    if dense_order:
+        top = df.groupBy(F.col(session).alias("__s")).agg(F.max(order).alias("__max"))
+        j = df.join(top, df[session] == top["__s"]).where(F.col(order) > F.col("__max") - n)
+        return j.select(*[df[c] for c in df.columns], (F.col("__max") - F.col(order) + 1).cast("int").alias("from_end"))
     w = Window.partitionBy(session).orderBy(F.col(order).desc())
     return df.withColumn("from_end", F.row_number().over(w)).where(F.col("from_end") <= n)
 

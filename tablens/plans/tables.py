@@ -164,7 +164,9 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
 
 
 def _flags(spark, sf):
-    return chat.flag_feedback(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", FEEDBACK_KEYWORD)
+    # turns are 0, 1, 2, ... within a conversation: the skew-free join form applies
+    return chat.flag_feedback(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", FEEDBACK_KEYWORD,
+                              dense_order=True)
 
 
 @query("feedback_flags", FLAGS_SQL)
@@ -184,7 +186,7 @@ SELECT conv_id, turn, role, from_end::INTEGER AS from_end FROM (
   SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_end
   FROM conversations) WHERE from_end <= 20""")
 def last_messages(spark, sf):
-    return chat.last_messages(table(spark, sf, "conversations"), "conv_id", "turn").select(
+    return chat.last_messages(table(spark, sf, "conversations"), "conv_id", "turn", dense_order=True).select(
         "conv_id", "turn", "role", "from_end")
 
 

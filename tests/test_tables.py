@@ -128,3 +128,15 @@ def test_joins(spark):
         joins.join_two(a, b, "nonexistent", "inner", "B")
     shared = joins.shared_columns([("A", a), ("B", b)])
     assert shared[0]["shared_columns"] == ["id", "v"]
+
+
+def test_dense_order_forms_equal_window_forms(spark):
+    rows = [(s, t, ["user", "assistant"][t % 2], ("feedback " if (s + t) % 3 == 0 else "") + "x")
+            for s in range(4) for t in range(s * 7 + 3)]
+    df = spark.createDataFrame(rows, "session_id int, created_at int, role string, content string")
+    a = sorted(tuple(r) for r in chat.flag_feedback(df).collect())
+    b = sorted(tuple(r) for r in chat.flag_feedback(df, dense_order=True).collect())
+    assert a == b
+    c = sorted(tuple(r) for r in chat.last_messages(df, n=5).collect())
+    d = sorted(tuple(r) for r in chat.last_messages(df, n=5, dense_order=True).collect())
+    assert c == d
