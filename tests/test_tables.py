@@ -140,3 +140,37 @@ def test_dense_order_forms_equal_window_forms(spark):
     c = sorted(tuple(r) for r in chat.last_messages(df, n=5).collect())
     d = sorted(tuple(r) for r in chat.last_messages(df, n=5, dense_order=True).collect())
     assert c == d
+
+
+def test_idle_sessions_batch(spark):
+    df = spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 11:30:00"), ("b", "2024-01-01 09:00:00")],
+                               "session_id string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    idle = {r["session_id"] for r in chat.idle_sessions(df, as_of="2024-01-01 12:00:00").collect()}
+    assert idle == {"b"}
+
+
+def test_feature_map_and_summary_text(spark):
+    enc = [{"original_column": "color", "encoding_type": "one-hot", "new_columns": ["color_red", "color_blue"]},
+           {"original_column": "size", "encoding_type": "label", "new_columns": ["size"]}]
+    fmap = {r["feature"]: r["original_column"] for r in labels.feature_map(spark, enc).collect()}
+    assert fmap == {"color_red": "color", "color_blue": "color", "size": "size"}
+    sizes = spark.createDataFrame([(0, 40, 40.0)], "cluster_id int, size long, percentage double")
+    top = spark.createDataFrame([(0, 1, "color_red", 0.9, 0.5, 1.25), (0, 2, "size", 2.0, 2.0, 0.0)],
+                                "cluster_id int, rank int, feature string, cluster_mean double, overall_mean double, "
+                                "z_deviation double")
+    text = labels.summary_text(sizes, top, labels.feature_map(spark, enc)).first()["summary"]
+    assert text == ("Cluster 0: 40 samples (40.0%)\n"
+                    "  - color: cluster mean=0.9, overall mean=0.5, z=1.25 (above average)\n"
+                    "  - size: cluster mean=2.0, overall mean=2.0, z=0.0 (below average)")
+
+
+def test_record_search_history(spark):
+    import tempfile
+
+    from tablens.operators import catalog
+    path = tempfile.mkdtemp(prefix="tablens-hist-") + "/history"
+    s1 = spark.createDataFrame([("climate", 4, None)], "query string, result_count int, created_at timestamp")
+    catalog.record_search(path, s1)
+    catalog.record_search(path, s1)
+    hist = spark.read.parquet(path)
+    assert hist.count() == 2 and [r["query"] for r in catalog.suggest(hist, "cl").collect()] == ["climate"]
