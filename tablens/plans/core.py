@@ -203,7 +203,8 @@ SELECT p_partkey, p_brand, (dense_rank() OVER (ORDER BY p_brand) - 1)::DOUBLE AS
 def label_encode(spark, sf):
     part = table(spark, sf, "part")
     codes = prep.dense_codes(part.select(F.col("p_brand").alias("value")), "value")
-    return part.join(F.broadcast(codes), part.p_brand == codes.value).select("p_partkey", "p_brand", "code")
+    # no broadcast hint: AQE picks a broadcast join from the runtime size of the code table
+    return part.join(codes, part.p_brand == codes.value).select("p_partkey", "p_brand", "code")
 
 
 @query("one_hot", """
