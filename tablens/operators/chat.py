@@ -88,7 +88,11 @@ def append_exchanges(exchanges: DataFrame, path: str, **kw) -> None:
     exchange_rows(exchanges, **kw).write.mode("append").parquet(path)
 
 
-def stream_exchanges(exchanges: DataFrame, path: str, checkpoint: str, **kw):
-    """W4 (stream): the same rows from a streaming source, appended exactly once per batch."""
-    return exchange_rows(exchanges, **kw).writeStream.outputMode("append").format("parquet") \
-        .option("checkpointLocation", checkpoint).start(path)
+def stream_exchanges(exchanges: DataFrame, path: str, checkpoint: str, available_now: bool = False, **kw):
+    """W4 (stream): the same rows from a streaming source, appended exactly once per batch
+    (the checkpoint records what was written). ``available_now`` processes what is there and stops."""
+    w = exchange_rows(exchanges, **kw).writeStream.outputMode("append").format("parquet") \
+        .option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start(path)

@@ -174,3 +174,21 @@ def test_record_search_history(spark):
     catalog.record_search(path, s1)
     hist = spark.read.parquet(path)
     assert hist.count() == 2 and [r["query"] for r in catalog.suggest(hist, "cl").collect()] == ["climate"]
+
+
+def test_stream_exchanges(spark):
+    import tempfile
+
+    base = tempfile.mkdtemp(prefix="tablens-w4-")
+    src, out, ck = base + "/in", base + "/out", base + "/ck"
+    schema = "session_id string, user_text string, reply_text string, created_at int"
+    spark.createDataFrame([("s", "feedback: ok", "thanks", 1), ("s", "hi", "hello", 2)], schema).write.parquet(src)
+    q = chat.stream_exchanges(spark.readStream.schema(schema).parquet(src), out, ck, available_now=True)
+    q.awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 4 and sum(r["is_feedback"] for r in rows) == 2
+    # a rerun from the same checkpoint writes nothing twice
+    spark.createDataFrame([("t", "x", "y", 3)], schema).write.mode("append").parquet(src)
+    q = chat.stream_exchanges(spark.readStream.schema(schema).parquet(src), out, ck, available_now=True)
+    q.awaitTermination()
+    assert spark.read.parquet(out).count() == 6
