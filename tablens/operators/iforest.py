@@ -61,12 +61,14 @@ def _samples(m: DataFrame, id_col: str, n: int, psi: int, trees: int, seed: int)
         picks = pool.select(id_col, F.col(Z).alias("x"), F.explode(cand).alias("c")) \
             .select(F.col("c.tree").alias("tree"), F.col("c.h").alias("h"), id_col, "x")
         w = Window.partitionBy("tree").orderBy("h", id_col)
-        chosen = picks.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= psi).drop("rk")
+        chosen = picks.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= psi).drop("rk") \
+            .persist(StorageLevel.MEMORY_AND_DISK)          # trees x psi rows: checked, then trained on
         if pool_frac >= 1.0 and frac >= 1.0:
             return chosen                      # every row is a candidate of every tree
         counts = chosen.groupBy("tree").count().collect()
         if len(counts) == trees and min(r["count"] for r in counts) >= psi:
             return chosen
+        chosen.unpersist()
         if pool_frac >= 1.0:
             widen = True
         pool_frac = min(1.0, pool_frac * 4)
@@ -110,6 +112,7 @@ def fit_forest(m: DataFrame, id_col: str, n: int, trees: int = TREES, psi: int =
         lambda pdf: _build_tree(pdf, seed, depth),
         "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<int>")
     rows = sorted(built.collect(), key=lambda r: r["tree"])   # bounded: trees x (2*psi - 1) nodes
+    samples.unpersist()
     return [tuple(np.array(r[k]) for k in ("feature", "threshold", "left", "right", "size")) for r in rows], psi
 
 
