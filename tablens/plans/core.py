@@ -409,7 +409,7 @@ def anomaly_share(spark, sf):
 WITH codes AS (SELECT value, (dense_rank() OVER (ORDER BY value) - 1) AS code FROM (SELECT DISTINCT p_brand AS value FROM part)),
 n AS (SELECT max(code) AS top FROM codes),
 c AS (SELECT p_type AS cluster, avg(code) AS m FROM part JOIN codes ON p_brand = value GROUP BY p_type)
-SELECT cluster, c.m AS mean_code,
+SELECT cluster, round(CAST(c.m AS DECIMAL(38,10)), 4)::DOUBLE AS mean_code,
   (SELECT value FROM codes WHERE code = greatest(0, least(round_even(c.m, 0), n.top))) AS category
 FROM c, n""")
 def label_centroids(spark, sf):
@@ -420,4 +420,4 @@ def label_centroids(spark, sf):
     feats = enc.frame("p_partkey").join(part.select("p_partkey", F.col("p_type").alias("cluster")), "p_partkey")
     cent = feats.groupBy("cluster").agg(F.avg("p_brand").alias("value")).withColumn("feature", F.lit("p_brand"))
     out = prep.decode_labels(cent, enc.label_maps)
-    return out.select("cluster", F.col("value").alias("mean_code"), "category")
+    return rounded(out.select("cluster", F.col("value").alias("mean_code"), "category"))
