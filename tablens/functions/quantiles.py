@@ -33,11 +33,14 @@ def _interp(vals_at, n: int, p: float):
     return a + (pos - lo_r) * (b - a)
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], small_n: int = SMALL_N) -> dict:
-    """{(col, p): value} over the non-null values of each column (None for an empty column)."""
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], small_n: int = SMALL_N,
+              counts: dict | None = None) -> dict:
+    """{(col, p): value} over the non-null values of each column (None for an empty column).
+    ``counts`` (non-null count per column) saves the counting pass when the caller has them."""
     if not cols:
         return {}
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    if counts is None:
+        counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
     out = {}
     small = [c for c in cols if counts[c] <= small_n]
     if small:
