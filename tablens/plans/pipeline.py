@@ -15,6 +15,8 @@ from ..operators import iforest, models, prep, profile, profiles, stats
 from ..operators import density
 
 ALGORITHMS = ("kmeans", "dbscan", "hierarchical")
+# Accepted anomaly share.
+CONTAMINATION_MIN, CONTAMINATION_MAX = 0.01, 0.5
 # Rows up to which the final silhouette is exact over all points; above it, a fixed sample of this size.
 SILHOUETTE_EXACT_MAX = 20_000
 
@@ -76,8 +78,10 @@ def analyze(df: DataFrame, id_col: str | None = None, name: str = "dataset", alg
             contamination: float = 0.05) -> Analysis:
     if algorithm not in ALGORITHMS:
         raise ValueError(f"Unknown algorithm: {algorithm}")
+    if not CONTAMINATION_MIN <= contamination <= CONTAMINATION_MAX:
+        raise ValueError(f"contamination must be between {CONTAMINATION_MIN} and {CONTAMINATION_MAX}")
     if k is not None and k < 2:
-        k = None
+        k = None                  # fewer than two clusters asked for: choose k automatically
     missing = profile.missing_values(df)
     p = prep.prepare_features(df, id_col, numeric, categorical)
     m = models.matrix(p)

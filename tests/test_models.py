@@ -211,3 +211,9 @@ def test_kth_distances_all_blocks(spark, fitted):
     got = {r["qid"]: r["kdist"] for r in density.kth_distances_all(m, "id", 7, p.n_rows, block=20).collect()}
     want = brute_kdist(x, 7)
     assert len(got) == 150 and all(abs(got[i] - want[i]) < 1e-9 for i in x)
+
+
+def test_contamination_bounds(spark, blobs):
+    from tablens.plans.pipeline import analyze
+    with pytest.raises(ValueError, match="contamination"):
+        analyze(blobs.drop("truth"), "id", "blobs", "kmeans", 3, contamination=0.9)
