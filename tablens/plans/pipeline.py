@@ -44,6 +44,14 @@ class Analysis:
     prepared: prep.Prepared = field(repr=False, default=None)
     extra: dict = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Drop the cached matrix, labels and features once the results have been used
+        (the result frames are lazy views over them)."""
+        for df in self.extra.get("cached", []):
+            df.unpersist()
+        if self.prepared is not None:
+            self.prepared.unpersist()
+
     def centroids_decoded(self) -> DataFrame:
         """Centroids with label-encoded features turned back into their category."""
         maps = self.prepared.label_maps if self.prepared is not None else None
@@ -101,7 +109,7 @@ def analyze(df: DataFrame, id_col: str | None = None, name: str = "dataset", alg
         sizes=profiles.cluster_sizes(labelled), centroids=profiles.cluster_centroids(labelled, p.names),
         top=profiles.top_features(labelled, p.names), column_stats=stats.column_stats(p.features, p.names),
         correlation=stats.correlation_long(p.features, p.names), prepared=p,
-        extra={"silhouette_sample": sample})
+        extra={"silhouette_sample": sample, "cached": [m, labelled]})
 
 
 def charts(a: Analysis) -> dict:

@@ -176,6 +176,8 @@ def test_analyze_save_and_reload(spark, blobs):
     assert len(got["charts"]) == 9
     res = json.loads(got["analysis_result"])
     assert spark.read.parquet(res["rows_path"]).count() == 150 and res["n_clusters"] == 3
+    a.release()
+    assert a.rows.count() == 150          # still computable after the caches are dropped
 
 
 @pytest.mark.parametrize("algorithm", ["dbscan", "hierarchical"])
