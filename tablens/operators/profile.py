@@ -36,16 +36,30 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
-def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> dict[str, int]:
+AUTO_EXACT_BELOW = 1000     # "auto": small estimates are recounted exactly (cheap)
+AUTO_MARGIN = 0.1           # "auto": estimates within 10% of a threshold are recounted exactly
+
+
+def distinct_counts(df: DataFrame, cols: list[str], approx: bool | str = False,
+                    thresholds: tuple = ()) -> dict[str, int]:
     """Distinct non-missing values per column.
 
     Exact form: long (column, value) rows, de-duplicated with a partial (map-side)
     aggregate before the shuffle, then counted per column. No Expand node, and a
-    hot value is collapsed before it is shuffled.
+    hot value is collapsed before it is shuffled. ``approx=True``: one HLL pass.
+    ``approx="auto"``: one HLL pass, then exact counts only for columns whose estimate
+    is small or near one of ``thresholds`` - decisions stay exact, large columns skip
+    the shuffle of their values.
     """
     if not cols:
         return {}
     types = field_types(df)
+    if approx == "auto":
+        est = distinct_counts(df, cols, True)
+        near = [c for c in cols if est[c] <= AUTO_EXACT_BELOW
+                or any(abs(est[c] - t) <= AUTO_MARGIN * t + 2 for t in thresholds)]
+        est.update(distinct_counts(df, near, False))
+        return est
     if approx:
         row = df.agg(*[F.approx_count_distinct(F.when(~is_missing(c, types[c]), F.col(c))).alias(c)
                        for c in cols]).first()
@@ -106,7 +120,8 @@ def column_facts(df: DataFrame, approx: bool = False, order_by: str | None = Non
     need_distinct = [c for c, dt in types.items()
                      if not is_numeric_type(dt) and not is_nested_type(dt) and not is_time_type(dt)
                      and not isinstance(dt, T.BooleanType)]
-    for c, k in distinct_counts(df, need_distinct, approx).items():
+    limits = (1, ONE_HOT_MAX, ID_LIKE_RATIO * n)
+    for c, k in distinct_counts(df, need_distinct, approx, limits).items():
         facts[c]["distinct"] = k
     if order_by is not None:
         texts = [c for c, dt in types.items() if isinstance(dt, T.StringType)]

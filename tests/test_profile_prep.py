@@ -112,3 +112,14 @@ def test_date_test_uses_first_fifty(spark):
     overall = {r["column"]: r for r in profile.classify_columns(df).collect()}
     assert by_order["t"]["suggested_encoding"] == "datetime"
     assert overall["t"]["suggested_encoding"] != "datetime"
+
+
+def test_auto_distinct_counts_keep_decisions(spark):
+    rows = [(f"u{i}", f"c{i % 7}", f"m{i % 1500}", "k") for i in range(3000)]
+    df = spark.createDataFrame(rows, "uid string, small string, mid string, const string")
+    exact = {r["column"]: r.asDict() for r in profile.classify_columns(df).collect()}
+    auto = {r["column"]: r.asDict() for r in profile.classify_columns(df, approx="auto").collect()}
+    for c in exact:
+        assert exact[c]["suggested_encoding"] == auto[c]["suggested_encoding"]
+        assert exact[c]["is_id_like"] == auto[c]["is_id_like"]
+    assert auto["small"]["cardinality"] == 7 and auto["const"]["cardinality"] == 1   # recounted exactly
