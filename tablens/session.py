@@ -41,13 +41,17 @@ def get_spark(master: str | None = None, partitions: int | None = None) -> Spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Where it is unset, a scratch folder is
+    set on ``local[...]`` sessions (tests, bench); elsewhere an error says what is missing, since
+    a folder of the driver's own machine would be out of the executors' reach."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tablens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
