@@ -59,9 +59,8 @@ def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.select(F.col("host").alias("__on"), F.struct(
         (-F.char_length(F.concat("host", "path"))).alias("order"), (F.col("verdict") != "allow").alias("late"),
         F.concat("host", "path").alias("rule"), "path", "verdict").alias("r"))
-    labels = F.sequence(F.lit(1), F.size(F.split("host", r"\.")))
-    hosts = df.select("host").where("host <> ''").distinct().withColumn(
-        "__on", F.explode(F.transform(labels, lambda i: F.substring_index("host", ".", -i))))
+    parents = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")
+    hosts = df.select("host").where("host <> ''").distinct().withColumn("__on", F.explode(parents))
     fits = (hosts.join(r, "__on").groupBy("host").agg(F.array_sort(F.collect_list("r")).alias("__rules")))
     first = F.get(F.filter("__rules", lambda x: F.startswith(F.col("path"), x["path"])), F.lit(0))
     return (df.join(fits, "host", "left")
