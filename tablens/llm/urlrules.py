@@ -101,7 +101,7 @@ def judge(urls: DataFrame, url_col: str, edges: DataFrame, rules: DataFrame, def
     ends = edges.select(vertex_of(F.col("src")).alias("a"), vertex_of(F.col("dst")).alias("b"),
                         F.struct(host_of(F.col("src")).alias("host"), path_of(F.col("src")).alias("path")).alias("pa"),
                         F.struct(host_of(F.col("dst")).alias("host"), path_of(F.col("dst")).alias("path")).alias("pb"))
-    ends = durable(ends.where("a <> b"))      # found by a pass over the pages; read by each later step
+    ends = durable(ends.where("a <> b"))
     comp = connected_components(ends, "a", "b", "__v", "__c")
     # verdicts of the rules of all urls in a component, those that are only linked to included
     nodes = (ends.select(F.col("a").alias("__v"), "pa.*").unionByName(ends.select(F.col("b").alias("__v"), "pb.*"))
@@ -118,7 +118,8 @@ def judge(urls: DataFrame, url_col: str, edges: DataFrame, rules: DataFrame, def
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     """Contract of query 9 over all of ``pages``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return judge(pages.select("page_id", "url"), "url", page_edges(pages, "url", "html"), rule_table(spark)).select(
+    edges = durable(page_edges(pages, "url", "html"))    # found by one pass over the pages
+    return judge(pages.select("page_id", "url"), "url", edges, rule_table(spark)).select(
         "page_id", "host", "path", "rule", "verdict")
 
 
