@@ -2,17 +2,23 @@
 from __future__ import annotations
 
 from .mixing import SQL_MIX, op7_source_mix
+from .neardup import SQL_MINHASH, op4_minhash_neardup
+from .neighbours import SQL_VECTORS, op3_embedding_neardup
 from .secrets import SQL_SECRETS, op1_secret_scan
 from .urlrules import SQL_URLS, op9_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_embedding_neardup": op3_embedding_neardup,
+    "op4_minhash_neardup": op4_minhash_neardup,
     "op7_source_mix": op7_source_mix,
     "op9_url_filter": op9_url_filter,
 }
 
 ORACLES = {
     "op1_secret_scan": SQL_SECRETS,
+    "op3_embedding_neardup": SQL_VECTORS,
+    "op4_minhash_neardup": SQL_MINHASH,
     "op7_source_mix": SQL_MIX,
     "op9_url_filter": SQL_URLS,
 }
