@@ -4,14 +4,18 @@ from __future__ import annotations
 from .mixing import SQL_MIX, op7_source_mix
 from .neardup import SQL_MINHASH, op4_minhash_neardup
 from .neighbours import SQL_VECTORS, op3_embedding_neardup
+from .quality import op5_quality
 from .secrets import SQL_SECRETS, op1_secret_scan
+from .toxicity import op8_toxicity
 from .urlrules import SQL_URLS, op9_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_minhash_neardup": op4_minhash_neardup,
+    "op5_quality": op5_quality,
     "op7_source_mix": op7_source_mix,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }
 
