@@ -4,6 +4,8 @@ from __future__ import annotations
 from .mixing import SQL_MIX, op7_source_mix
 from .neardup import SQL_MINHASH, op4_minhash_neardup
 from .neighbours import SQL_VECTORS, op3_embedding_neardup
+from .pagetext import op10_page_text
+from .pii import op2_personal_data
 from .quality import op5_quality
 from .secrets import SQL_SECRETS, op1_secret_scan
 from .toxicity import op8_toxicity
@@ -11,12 +13,14 @@ from .urlrules import SQL_URLS, op9_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_personal_data": op2_personal_data,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_minhash_neardup": op4_minhash_neardup,
     "op5_quality": op5_quality,
     "op7_source_mix": op7_source_mix,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
+    "op10_page_text": op10_page_text,
 }
 
 ORACLES = {
