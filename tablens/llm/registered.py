@@ -1,6 +1,7 @@
 """The registered queries of the corpus operators and their DuckDB twins."""
 from __future__ import annotations
 
+from .decontam import op6_decontamination
 from .mixing import SQL_MIX, op7_source_mix
 from .neardup import SQL_MINHASH, op4_minhash_neardup
 from .neighbours import SQL_VECTORS, op3_embedding_neardup
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_minhash_neardup": op4_minhash_neardup,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
     "op7_source_mix": op7_source_mix,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
