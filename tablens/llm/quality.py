@@ -17,7 +17,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labellers in order; each votes 0 (bad), 1 (good) or 2 (nothing).
@@ -169,9 +169,8 @@ def train(docs: DataFrame, text_col: str, fit_rows: int = FIT_ROWS) -> dict:
     return {"weights": fit_linear(x, fit["good"].to_numpy()), "prior": prior, "chances": chances}
 
 
-def score_documents(docs: DataFrame, text_col: str = "text", model: dict | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` with score (chance of good quality) and kept (score >= 0.5)."""
-    model = model or train(docs, text_col, fit_rows)
+def score_column(model: dict, text_col: str = "text") -> Column:
+    """The chance that a row's text is good."""
     weights, base = model["weights"], float(model["prior"][1])
 
     @F.pandas_udf("double")
@@ -182,7 +181,13 @@ def score_documents(docs: DataFrame, text_col: str = "text", model: dict | None
             yield pd.Series([base if x is None else 1 / (1 + np.exp(-np.clip(float(x @ weights), -30, 30))) for x in found],
                             dtype="float64")
 
-    out = docs.drop("score", "kept").withColumn("score", score(F.col(f"`{text_col}`")))
+    return score(F.col(f"`{text_col}`"))
+
+
+def score_documents(docs: DataFrame, text_col: str = "text", model: dict | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` with score (chance of good quality) and kept (score >= 0.5)."""
+    model = model or train(docs, text_col, fit_rows)
+    out = docs.drop("score", "kept").withColumn("score", score_column(model, text_col))
     return out.withColumn("kept", F.col("score") >= KEPT_FROM)
 
 

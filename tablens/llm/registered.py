@@ -1,6 +1,8 @@
 """The registered queries of the corpus operators and their DuckDB twins."""
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontam import op6_decontamination
 from .mixing import SQL_MIX, op7_source_mix
 from .neardup import SQL_MINHASH, op4_minhash_neardup
@@ -23,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_page_text": op10_page_text,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
