@@ -6,11 +6,13 @@ with keys of 2 r minhashes, for about the square root of the hashing. Two docume
 similarity s meet if some u_i and some v_j agree: (1 - (1 - s^r)^m)^2; with r = 3, m = 10 that is
 0.9985 at s = 0.8, 0.99999 at 0.9. Every candidate is confirmed on the full shingle sets.
 
-Documents with equal sets are one class before any table is filled. Classes that meet in a bucket
-are first compared with the bucket's smallest class; components of confirmed links follow. Only
-classes that share a bucket but are still in different components are then compared in
-pairs, all of them, so each candidate pair is either confirmed, refuted or already in one component.
-No pairs within a component are made, whatever the size of a group of copies.
+Documents with equal sets are one class before any table is filled. The classes that meet in a
+bucket are compared with two of its members, drawn by hash, and components of the confirmed links
+follow; a second turn does the same in buckets that still hold several components. Then all pairs
+that share a bucket but not a component are compared, each once (in the first table it shares). Of these only pairs go on whose 1024-bit set maps leave the similarity possible:
+two sets differ in at least as many shingles as their maps differ in bits, so this drops no link.
+Each candidate pair is thus confirmed, refuted, or already in one component; no pairs within a
+component are made, whatever the size of a group of copies.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. A row with a null
 id joins the component of its copies but is never its representative. Rows that share an id count
@@ -33,7 +35,7 @@ from .shingles import WordHash, overlap, shingle_set, word_hashes, words_of
 GROUPS, ROWS, SEED = 10, 3, 20
 #: Ids up to this many are broadcast (8 MB of longs) to pick their texts during the scan; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-_CHUNK = 8192
+_CHUNK, _BITS, _CENTRES, _TURNS = 8192, 1024, 2, 2
 
 
 def _partial_keys(x: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
@@ -51,7 +53,8 @@ def _partial_keys(x: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5, groups: int = GROUPS, rows: int = ROWS,
                seed: int = SEED) -> DataFrame:
-    """doc_id, set_key (of the shingle set; null if empty), n_shingles, sig (2 * groups partial keys)."""
+    """doc_id, set_key (of the shingle set; null if empty), n_shingles, sig (2 * groups partial keys),
+    bits (the set's map: bit h mod 1024 is set for every shingle hash h)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(seed)
         count = 2 * groups * rows
@@ -59,17 +62,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5, grou
         b = rng.integers(0, 2**63, count, dtype=np.uint64)
         known = WordHash()
         for pdf in batches:
-            keys, sizes, sigs = [], [], []
+            keys, sizes, sigs, maps = [], [], [], []
             for text in pdf["text"]:
                 s = shingle_set(word_hashes(words_of(text), known), width)
                 sizes.append(len(s))
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(_partial_keys(s, a, b, rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set_key": keys, "n_shingles": sizes, "sig": sigs})
+                on = np.zeros(_BITS, np.uint8)
+                on[s % np.uint64(_BITS)] = 1
+                maps.append(np.packbits(on).view(np.int64))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set_key": keys, "n_shingles": sizes, "sig": sigs, "bits": maps})
 
     ids = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, f"doc_id {ids}, set_key binary, n_shingles long, sig array<long>"))
+            .mapInPandas(run, f"doc_id {ids}, set_key binary, n_shingles long, sig array<long>, bits array<long>"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -87,8 +93,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
     return durable(rows.mapInPandas(run, f"doc_id {ids}, set binary").distinct())
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (x, y, nx, ny) whose full sets reach the similarity, as (x, y)."""
+def _possible(percent: int, n: str, n2: str, differ):
+    """False only for sets that cannot reach the similarity: the intersection is at most the smaller set,
+    the union at least the larger; sets differ in at least as many shingles as their maps in bits,
+    and a similarity of p % bounds that by (n + n2) (100 - p) / (100 + p)."""
+    return ((100 * F.least(n, n2) >= percent * F.greatest(n, n2))
+            & ((100 + percent) * differ <= (100 - percent) * (F.col(n) + F.col(n2))))
+
+
+def _differ(bits, bits2):
+    """In how many bits two set maps differ."""
+    return F.aggregate(F.zip_with(bits, bits2, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, d: acc + d)
+
+
+def confirm(pairs: DataFrame, facts: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Those of the distinct ``pairs`` (x, y) whose full sets reach the similarity. ``facts`` (rep, n, bits)
+    refute most of the others before any set is made."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             hit = []
@@ -98,8 +118,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
                 hit.append(100 * n >= percent * (len(a) + len(b) - n))
             yield pdf.loc[hit, ["x", "y"]]
 
-    # sizes alone refute many: the intersection is at most the smaller set, the union at least the larger
-    pairs = durable(pairs.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("x", "y"))
+    one = facts.select(F.col("rep").alias("x"), "n", "bits")
+    two = facts.select(F.col("rep").alias("y"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    pairs = durable(pairs.join(one, "x").join(two, "y").where(_possible(percent, "n", "n2", _differ("bits", "bits2"))).select("x", "y"))
     wanted = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
     sets = _sets(docs, durable(wanted), id_col, text_col, width)
     ids = docs.schema[id_col].dataType.simpleString()
@@ -108,43 +129,65 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     return durable(both.mapInPandas(run, f"x {ids}, y {ids}").distinct())
 
 
+def _meet(rows: DataFrame, turn: int) -> DataFrame:
+    """Rows (key, t, rep, comp, main) of buckets that hold several components, with two members of the bucket
+    drawn by hash (c0, c1; null where the row is in the member's component already). ``main`` tells whether
+    the row is in its bucket's most frequent component."""
+    # A key holds one row per class and table, so even a group with a third of all classes
+    # is one part in 3 m^2 of these rows; the window sorts and spills, it gathers nothing.
+    bucket = Window.partitionBy("key")
+    comp = F.col("comp") if turn else F.col("rep")      # at first every class is a component
+    drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(_CENTRES * turn + c)).alias("h"), "rep", comp.alias("comp"))).over(bucket).alias(f"d{c}")
+             for c in range(_CENTRES)]
+    out = rows.select("key", "t", "rep", comp.alias("comp"), F.min(comp).over(bucket).alias("lo"), F.max(comp).over(bucket).alias("hi"),
+                      F.count(F.lit(1)).over(bucket).alias("size"), *drawn, *([F.mode(comp).over(bucket).alias("most")] if turn else []))
+    # a bucket of two is settled by the first turn
+    out = out.where("lo <> hi" + (" and size > 2" if turn else ""))
+    return durable(out.select("key", "t", "rep", "comp", *([(F.col("comp") == F.col("most")).alias("main")] if turn else []), *[
+        F.when(F.col(f"d{c}.comp") != F.col("comp"), F.col(f"d{c}.rep")).alias(f"c{c}") for c in range(_CENTRES)]))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
                     groups: int = GROUPS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over
     links, itself included), kept (doc_id = component_id), set_key."""
     sig = durable(signatures(docs, id_col, text_col, width, groups, rows, seed))
     classes = (sig.where("set_key is not null and doc_id is not null").groupBy("set_key")
-               .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+               .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")))
     classes = durable(classes)
     m = groups
     keys = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.transform(
-        F.sequence(F.lit(m), F.lit(2 * m - 1)), lambda j: F.xxhash64(
-            F.get("sig", i), F.get("sig", j), i * m + j))))
-    tables = classes.select(F.col("rep"), F.col("n"), F.explode(keys).alias("key"))
-    # A key holds one row per class and table, so even a class group with a third of all classes
-    # is one part in 3 m^2 of these rows; the window sorts and spills, it gathers nothing.
-    bucket = Window.partitionBy("key")
-    met = tables.select("key", "rep", "n", F.min(F.struct("rep", "n")).over(bucket).alias("head"),
-                        F.max("rep").over(bucket).alias("last"))
-    met = durable(met.where(F.col("head.rep") != F.col("last")).drop("last"))
-    first = (met.where(F.col("rep") != F.col("head.rep"))
-             .select(F.col("rep").alias("x"), F.col("head.rep").alias("y"), F.col("n").alias("nx"), F.col("head.n").alias("ny"))
-             .dropDuplicates(["x", "y"]))
-    links = confirm(first, docs, id_col, text_col, width, percent)
-    comp = connected_components(links, "x", "y", "rep", "comp")
-
-    told = met.select("key", "rep", "n").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    # in each bucket one row per component and size stands for nothing: all members are needed, but
-    # only in buckets with several components
-    open_keys = told.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("c"))
-    open_keys = open_keys.where("a <> b and c > 2").select("key")    # a bucket of two is settled by its head
-    left = durable(told.join(open_keys, "key", "left_semi").select("key", "rep", "n", "comp"))
-    other = left.select("key", *[F.col(c).alias(c + "2") for c in ("rep", "n", "comp")])
-    rest = (left.join(other, "key").where("rep < rep2 and comp <> comp2 and 100 * least(n, n2) >= %d * greatest(n, n2)" % percent)
-            .select(F.col("rep2").alias("x"), F.col("rep").alias("y"), F.col("n2").alias("nx"), F.col("n").alias("ny"))
-            .dropDuplicates(["x", "y"]).join(first.select("x", "y"), ["x", "y"], "left_anti"))
-    more = confirm(rest, docs, id_col, text_col, width, percent)
-    comp = durable(connected_components(links.unionByName(more), "x", "y", "rep", "comp"))
+        F.sequence(F.lit(m), F.lit(2 * m - 1)), lambda j: F.xxhash64(F.get("sig", i), F.get("sig", j), i * m + j))))
+    facts = classes.select("rep", "n", "bits")
+    met = _meet(classes.select("rep", F.posexplode(keys).alias("t", "key")), 0)
+    links = tried = None
+    for turn in range(_TURNS):
+        pairs = None
+        for c in range(_CENTRES):
+            one = met.where(f"c{c} is not null").select(F.greatest("rep", f"c{c}").alias("x"), F.least("rep", f"c{c}").alias("y"))
+            pairs = one if pairs is None else pairs.unionByName(one)
+        pairs = durable(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["x", "y"], "left_anti"))
+        found = confirm(pairs, facts, docs, id_col, text_col, width, percent)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        comp = durable(connected_components(links, "x", "y", "rep", "comp"))
+        met = _meet(met.select("key", "t", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), turn + 1)
+
+    # all pairs that are left, each in the first table both are in
+    full = met.select("key", "t", "rep", "comp", "main").join(classes.select("rep", "n", "sig", "bits"), "rep")
+    # of two members in different components one at least is outside the bucket's most frequent one
+    other = full.select(*[F.col(c).alias(c + "_") for c in full.columns])
+    full = full.where(~F.col("main")).drop("main")
+    # table t pairs u_i with v_j; an earlier table holds both if an earlier u or v agrees as well
+    i, j = (F.col("t") / m).cast("int"), F.col("t") % m + m
+    agree = lambda k: F.get("sig", k) == F.get("sig_", k)
+    rest = (full.join(other, (F.col("key") == F.col("key_")) & (F.col("main_") | (F.col("rep") < F.col("rep_"))) & (F.col("comp") != F.col("comp_"))
+                      & _possible(percent, "n", "n_", _differ("bits", "bits_"))
+                      & ~F.exists(F.sequence(F.lit(0), i), lambda k: (k < i) & agree(k))
+                      & ~F.exists(F.sequence(F.lit(m), j), lambda k: (k < j) & agree(k)))
+            .select(F.greatest("rep", "rep_").alias("x"), F.least("rep", "rep_").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
+    links = links.unionByName(confirm(rest, facts, docs, id_col, text_col, width, percent))
+    comp = durable(connected_components(links, "x", "y", "rep", "comp"))
 
     by_class = (classes.select("set_key", "rep").join(comp, "rep", "left")
                 .select("set_key", F.coalesce("comp", "rep").alias("component_id")))
