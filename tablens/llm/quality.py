@@ -12,6 +12,7 @@ input and replaces ones named score or kept.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -25,31 +26,33 @@ LABELLERS = ("symbols", "loose_marks", "shouting", "capitals", "stutter", "twin_
 FIT_ROWS, DIM, KEPT_FROM = 8_000, 1024, 0.5
 
 
+_CLASS = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.S)
+_TAILS, _BOUND = frozenset(b"#$%&*~^=_|<>"), 500_000
+
+
 def shape(word: bytes) -> bytes:
     """Character classes of a word, runs collapsed: b"Wher,!!" -> b"Aa,!"."""
-    out = bytearray()
-    for c in word:
-        k = 65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return bytes(out)
+    return _RUN.sub(rb"\1", word.translate(_CLASS))
 
 
 class _Words(dict):
-    """Word -> number; ``facts`` has the word's bucket, capitals, letters and flags by number."""
+    """Word -> row of ``facts``: the word's bucket, capitals, letters, and whether it has a tail of
+    equal marks, is all marks, or is shouted."""
 
     def __init__(self):
         super().__init__()
-        self.facts: list[tuple[int, int, int, int, int, int]] = []
+        self.facts = np.zeros((4096, 6), np.int64)
 
     def __missing__(self, w: bytes) -> int:
-        upper = sum(65 <= c <= 90 for c in w)
-        lower = sum(97 <= c <= 122 or c >= 128 for c in w)
-        marks = len(w) - upper - lower - sum(48 <= c <= 57 for c in w)
-        tail = len(w) > 2 and w[-1] == w[-2] and w[-1] in b"#$%&*~^=_|<>"
-        n = self[w] = len(self.facts)
-        self.facts.append((crc32(shape(w)) % (DIM - 4), upper, upper + lower, int(tail), int(marks == len(w)),
-                           int(w.endswith(b"!") and len(w) > 1)))
+        n = self[w] = len(self)
+        if n == len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        kinds = w.translate(_CLASS)
+        upper, lower = kinds.count(b"A"), kinds.count(b"a")
+        tail = len(w) > 2 and w[-1] == w[-2] and w[-1] in _TAILS
+        self.facts[n] = (crc32(_RUN.sub(rb"\1", kinds)) % (DIM - 4), upper, upper + lower, tail,
+                         upper + lower + kinds.count(b"0") == 0, len(w) > 1 and w[-1] == 33)
         return n
 
 
@@ -60,18 +63,15 @@ def describe(text: str | None, known: _Words) -> tuple[list[int], np.ndarray | N
     n = len(words)
     if not n:
         return [2] * len(LABELLERS), None
-    if len(known) > 400_000:
+    if len(known) > _BOUND:
         known.clear()
-        known.facts.clear()
     ids = np.fromiter(map(known.__getitem__, words), np.int64, n)
-    # facts of this text's words only, so a text costs its own size
-    uniq, back, times = np.unique(ids, return_inverse=True, return_counts=True)
-    facts = np.array([known.facts[i] for i in uniq], np.int64)
-    share = (facts[:, 1:] * times[:, None]).sum(axis=0)
+    facts = known.facts[ids]
+    share = facts[:, 1:].sum(axis=0)
     stutter = float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0
-    lines = [x for x in (y.strip() for y in raw.split(b"\n")) if x]
+    lines = [x for x in map(bytes.strip, raw.split(b"\n")) if x]
     twins = 1 - len(set(lines)) / len(lines)
-    ends = sum(x[-1:] in b".?!:" and x[-2:] != b"!!" for x in lines) / len(lines)
+    ends = sum(x[-1] in b".?!:" and x[-2:] != b"!!" for x in lines) / len(lines)
     letters, caps = int(share[1]), share[0] / max(1, share[1])
     tails, loose, shouts = share[2] / n, share[3] / n, share[4] / n
     plain = 1 - tails - loose - shouts
@@ -83,7 +83,7 @@ def describe(text: str | None, known: _Words) -> tuple[list[int], np.ndarray | N
              0 if twins > .5 and len(lines) >= 4 else 2,
              (1 if ends > .6 else 2) if n >= 8 else 2,
              (1 if plain > .95 and caps < .3 and stutter < .08 else 0 if plain < .7 else 2)]
-    x = np.bincount(facts[:, 0], weights=times, minlength=DIM) / n
+    x = np.bincount(facts[:, 0], minlength=DIM) / n
     x[DIM - 4:] = (stutter, twins, caps, 1.0)
     return votes, np.sqrt(x).astype(np.float32)
 
