@@ -66,8 +66,9 @@ def parse_text_datetime(c: Column) -> Column:
 
 
 def text_to_double(c: Column) -> Column:
-    """Parse-or-null number (ANSI cast would raise)."""
-    return F.when(c.rlike(NUMBER_SHAPE), c.try_cast("double"))
+    """Parse-or-null number (ANSI cast would raise); text that says "not a number" is null."""
+    v = c.try_cast("double")
+    return F.when(c.rlike(NUMBER_SHAPE) & ~F.isnan(v), v)
 
 
 def round_half_up(c: Column, decimals: int = 4) -> Column:

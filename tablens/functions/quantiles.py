@@ -1,135 +1,50 @@
-"""Exact quantiles with bounded memory at any size.
+"""Exact quantiles with bounded memory, one way at every size.
 
-Spark's exact ``percentile`` merges a value -> count map of the whole column in one task,
-which cannot hold billions of distinct values. Here, above ``SMALL_N`` rows:
-
-1. one ``percentile_approx`` pass (rank error <= n / ACCURACY) gives, per target, a
-   bracket [lo, hi] that must hold the target ranks;
-2. counting passes (one aggregate each, all targets together) histogram the bracket into
-   BUCKETS and keep only the buckets holding the target ranks, until at most ``FETCH_MAX``
-   values remain in each bracket;
-3. those values are fetched and the result is interpolated exactly as ``percentile`` does
-   (position p * (n - 1), linear between the neighbouring ranks).
-Every pass is a distributed aggregate; only brackets and counts reach the driver.
-"""
+Values are counted per (group, column, value), which collapses hot values before the shuffle; the
+counts are range-sorted; every sorted partition knows how many values lie before it; the rows
+that hold the wanted ranks are picked and interpolated (position p * (n - 1), linear between the
+neighbouring ranks). No task holds a column, and only results reach the driver."""
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_N = 2_000_000
-ACCURACY = 10_000
-BUCKETS = 1024
-FETCH_MAX = 1_000_000
-MAX_PASSES = 30
-
-
-def _interp(vals_at, n: int, p: float):
-    pos = p * (n - 1)
-    lo_r, hi_r = math.floor(pos), math.ceil(pos)
-    a, b = vals_at(lo_r), vals_at(hi_r)
-    return a + (pos - lo_r) * (b - a)
-
-
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], small_n: int = SMALL_N,
-              counts: dict | None = None) -> dict:
-    """{(col, p): value} over the non-null values of each column (None for an empty column).
-    ``counts`` (non-null count per column) saves the counting pass when the caller has them."""
-    if not cols:
-        return {}
-    if counts is None:
-        counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
-    out = {}
-    small = [c for c in cols if counts[c] <= small_n]
-    if small:
-        arr = F.array(*[F.lit(p) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(c) for c in small]).first()
-        for c in small:
-            for p, v in zip(probs, row[c] or [None] * len(probs)):
-                out[(c, p)] = v
-    big = [c for c in cols if counts[c] > small_n]
-    if not big:
-        return out
-    # targets: the two neighbouring ranks of every (column, p)
-    need = {}
-    for c in big:
-        n = counts[c]
-        for p in probs:
-            pos = p * (n - 1)
-            for r in {math.floor(pos), math.ceil(pos)}:
-                need[(c, r)] = None
-    delta = 2.0 / ACCURACY
-    grid = sorted({min(1.0, max(0.0, r / (counts[c] - 1) + s)) for (c, r) in need for s in (-delta, delta)})
-    approx = df.agg(*[F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(g) for g in grid]), ACCURACY)
-                      .alias(c) for c in big]).first()
-    brackets = {}
-    for (c, r) in need:
-        n = counts[c]
-        qs = dict(zip(grid, approx[c]))
-        lo = qs[min(1.0, max(0.0, r / (n - 1) - delta))]
-        hi = qs[min(1.0, max(0.0, r / (n - 1) + delta))]
-        brackets[(c, r)] = [float(lo), float(hi)]
-    values = {}
-    for _ in range(MAX_PASSES):
-        if not brackets:
-            break
-        aggs, keys = [], list(brackets)
-        for i, (c, r) in enumerate(keys):
-            lo, hi = brackets[(c, r)]
-            x = F.col(c).cast("double")
-            inside = (x >= lo) & (x <= hi)
-            aggs += [F.count(F.when(x < lo, 1)).alias(f"b{i}"), F.count(F.when(inside, 1)).alias(f"w{i}"),
-                     F.min(F.when(inside, x)).alias(f"mn{i}"), F.max(F.when(inside, x)).alias(f"mx{i}")]
-        row = df.agg(*aggs).first()
-        wide, fetch = {}, []
-        for i, key in enumerate(keys):
-            below, inside, mn, mx = row[f"b{i}"], row[f"w{i}"], row[f"mn{i}"], row[f"mx{i}"]
-            if not (below <= key[1] < below + inside):        # sketch bound missed: widen to everything
-                brackets[key] = [-math.inf, math.inf]
-                continue
-            brackets[key] = [mn, mx]                          # tighten to the values actually inside
-            if mn == mx:                                      # one repeated value (e.g. a hot value)
-                values[key] = mn
-                del brackets[key]
-            elif inside <= FETCH_MAX:
-                fetch.append((key, below))
-            else:
-                wide[key] = below
-        for key, below in fetch:
-            lo, hi = brackets.pop(key)
-            x = F.col(key[0]).cast("double")
-            got = sorted(v[0] for v in df.where((x >= lo) & (x <= hi)).select(x).collect())   # <= FETCH_MAX
-            values[key] = got[key[1] - below]
-        if not wide:
-            continue
-        # narrow each wide bracket to the bucket holding its rank (one histogram pass for all)
-        wkeys = list(wide)
-        hist = []
-        for i, key in enumerate(wkeys):
-            lo, hi = brackets[key]
-            x = F.col(key[0]).cast("double")
-            b = F.least(F.floor((x - lo) / F.lit((hi - lo) / BUCKETS)), F.lit(BUCKETS - 1))
-            hist.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("t"), b.cast("int").alias("b"))))
-        h = df.select(F.explode(F.filter(F.array(*hist), lambda v: v.isNotNull())).alias("s")) \
-            .groupBy("s.t", "s.b").count().collect()           # <= targets x BUCKETS rows
-        per = {}
-        for rr in h:
-            per.setdefault(rr["t"], []).append((rr["b"], rr["count"]))
-        for i, key in enumerate(wkeys):
-            lo, hi = brackets[key]
-            width = (hi - lo) / BUCKETS
-            acc = wide[key]
-            for b, cnt in sorted(per.get(i, [])):
-                if acc + cnt > key[1]:
-                    # one bucket of margin on each side absorbs rounding at the edges
-                    brackets[key] = [max(lo, lo + (b - 1) * width), min(hi, lo + (b + 2) * width)]
-                    break
-                acc += cnt
-    if brackets:
-        raise RuntimeError("exact quantile did not converge")
-    for c in big:
-        for p in probs:
-            out[(c, p)] = _interp(lambda rank, c=c: values[(c, rank)], counts[c], p)
+from ..session import durable
+
+
+def grouped_quantiles(df: DataFrame, by: str | None, cols: list[str], probs: list[float]) -> DataFrame:
+    """(by, position, q array<double>) over the non-null, non-NaN values of each column; ``position`` is the
+    column's place in ``cols``. Columns without values give no row."""
+    key = F.lit(0) if by is None else F.col(by)
+    value = F.array(*[F.struct(F.lit(i).alias("position"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    counted = (df.select(key.alias("by"), F.inline(value)).where(F.col("v").isNotNull() & ~F.isnan("v"))
+               .groupBy("by", "position", "v").agg(F.count(F.lit(1)).alias("n")))
+    at = durable(counted.orderBy("by", "position", "v").withColumn("pid", F.spark_partition_id()))
+    group = ["by", "position"]
+    parts = at.groupBy("pid", *group).agg(F.sum("n").alias("m"))
+    before = Window.partitionBy(*group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("pid", *group, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"),
+                         F.sum("m").over(Window.partitionBy(*group)).alias("total"))
+    same = (F.col("a.pid") == F.col("b.pid")) & F.col("a.by").eqNullSafe(F.col("b.by")) & (F.col("a.position") == F.col("b.position"))
+    rows = at.alias("a").join(parts.alias("b"), same).select("a.*", "offset", "total")
+    running = F.sum("n").over(Window.partitionBy("pid", *group).orderBy("v"))
+    rows = rows.withColumn("hi", F.col("offset") + running).withColumn("lo", F.col("hi") - F.col("n"))
+    place = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
+    within = lambda rank: (rank >= F.col("lo")) & (rank < F.col("hi"))
+    wanted = F.lit(False)
+    for p in place:
+        wanted = wanted | within(F.floor(p)) | within(F.ceil(p))
+    low = [F.max(F.when(within(F.floor(p)), F.col("v"))) for p in place]
+    high = [F.max(F.when(within(F.ceil(p)), F.col("v"))) for p in place]
+    share = [F.max(p - F.floor(p)) for p in place]
+    q = F.array(*[a + s * (b - a) for a, b, s in zip(low, high, share)])
+    return rows.where(wanted).groupBy(*group).agg(q.alias("q"))
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
+    """{(col, p): value} over the non-null values of each column (None for an empty column)."""
+    out = {(c, p): None for c in cols for p in probs}
+    if cols:
+        for r in grouped_quantiles(df, None, cols, probs).collect():      # one row per column
+            out.update({(cols[r["position"]], p): v for p, v in zip(probs, r["q"])})
     return out

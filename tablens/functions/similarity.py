@@ -86,18 +86,25 @@ def partial_ratio(a: str, b: str) -> float:
         best = max(best, lcs_len(short, long[i:i + m]))
         if best == m:
             break
-    return 100.0 * best / m
+    top = 100.0 * best / m
+    # windows that the ends of the longer text cut off
+    for w in range(m - 1, 0, -1):
+        if 200.0 * w / (m + w) <= top:
+            break
+        for part in (long[:w], long[-w:]):
+            top = max(top, 200.0 * lcs_len(short, part) / (m + w))
+    return top
 
 
 @F.pandas_udf(T.DoubleType())
 def relevance_udf(q: pd.Series, name: pd.Series, desc: pd.Series, tags: pd.Series) -> pd.Series:
-    """0.60 token-set(query, name) + 0.25 partial(query, description[:200]) +
+    """0.60 token-set(query, name) + 0.25 partial(query, description) +
     0.15 best token-set(query, tag); everything lower-cased."""
     out = []
     for qq, nn, dd, tt in zip(q, name, desc, tags):
         qq = (qq or "").lower()
         score = token_set_ratio(qq, (nn or "").lower()) * 0.60
-        score += partial_ratio(qq, (dd or "")[:200].lower()) * 0.25
+        score += partial_ratio(qq, (dd or "").lower()) * 0.25
         tl = [] if tt is None else list(tt)
         score += max((token_set_ratio(qq, (t or "").lower()) for t in tl), default=0.0) * 0.15
         out.append(score)

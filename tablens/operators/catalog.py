@@ -19,8 +19,6 @@ from ..sources.content import direct_link
 ENTRY = ("source string, dataset_id string, name string, description string, url string, size string, "
          "format string, tags array<string>, pos long")
 # Fixed values of the catalogue rules.
-DESCRIPTION_CUT = 300
-TAG_CUT = 5
 PER_SOURCE = 5
 DEDUP_THRESHOLD = 85
 QUERY_MIN, QUERY_MAX = 2, 200
@@ -35,8 +33,13 @@ def _entry(source, dataset_id, name, description, url, size, fmt, tags, pos) ->
             tags.alias("tags"), pos.alias("pos")]
 
 
-def _cut(c: Column, n: int = DESCRIPTION_CUT) -> Column:
-    return F.substring(F.coalesce(c, F.lit("")), 1, n)
+def _text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def _pos(df: DataFrame) -> Column:
+    """The caller's place of each entry in its file (``pos``), where there is one."""
+    return F.col("pos").cast("long") if "pos" in df.columns else F.lit(None).cast("long")
 
 
 def normalize_ckan(packages: DataFrame, prefer: str = "first") -> DataFrame:
@@ -49,29 +52,29 @@ def normalize_ckan(packages: DataFrame, prefer: str = "first") -> DataFrame:
         F.coalesce(F.try_element_at(csv, F.lit(1)), F.try_element_at(links, F.lit(1)))
     fmt = F.upper(F.coalesce(pick["format"], F.lit("")))
     return packages.where(F.size(links) > 0).select(*_entry(
-        F.lit("data.gov"), F.col("id"), F.coalesce(F.col("title"), F.lit("Untitled")), _cut(F.col("notes")),
+        F.lit("data.gov"), F.col("id"), F.coalesce(F.col("title"), F.lit("Untitled")), _text(F.col("notes")),
         pick["url"], F.lit(""), F.when(fmt == "", "CSV").otherwise(fmt),
-        F.transform(F.slice(F.coalesce(F.col("tags"), F.array()), 1, TAG_CUT), lambda t: t["name"]),
-        F.monotonically_increasing_id()))
+        F.transform(F.coalesce(F.col("tags"), F.array()), lambda t: t["name"]),
+        _pos(packages)))
 
 
 def normalize_hub(ds: DataFrame) -> DataFrame:
     """S3: name after the last '/', size = card ``dataset_size`` else '<n> downloads'."""
-    size = F.when(F.col("cardData.dataset_size").isNotNull(), F.col("cardData.dataset_size").cast("string")) \
+    size = F.when(~F.coalesce(F.col("cardData.dataset_size").cast("string"), F.lit("")).isin("", "0"), F.col("cardData.dataset_size").cast("string")) \
         .when(F.coalesce(F.col("downloads"), F.lit(0)) != 0, F.concat(F.col("downloads").cast("string"), F.lit(" downloads"))) \
         .otherwise("")
     return ds.select(*_entry(F.lit("huggingface"), F.col("id"), F.element_at(F.split("id", "/"), -1),
-                             _cut(F.col("description")), F.concat(F.lit("https://huggingface.co/datasets/"), F.col("id")),
-                             size, F.lit("parquet"), F.slice(F.coalesce("tags", F.array()), 1, TAG_CUT),
-                             F.monotonically_increasing_id()))
+                             _text(F.col("description")), F.concat(F.lit("https://huggingface.co/datasets/"), F.col("id")),
+                             size, F.lit("parquet"), F.coalesce("tags", F.array()),
+                             _pos(ds)))
 
 
 def normalize_kaggle(ds: DataFrame) -> DataFrame:
     """Listing rows (ref, title, subtitle, size)."""
-    return ds.select(*_entry(F.lit("kaggle"), F.col("ref"), F.coalesce("title", "ref"), _cut(F.col("subtitle")),
+    return ds.select(*_entry(F.lit("kaggle"), F.col("ref"), F.coalesce("title", "ref"), _text(F.col("subtitle")),
                              F.concat(F.lit("https://www.kaggle.com/datasets/"), F.col("ref")),
                              F.coalesce(F.col("size").cast("string"), F.lit("")), F.lit("CSV"),
-                             F.array().cast("array<string>"), F.monotonically_increasing_id()))
+                             F.array().cast("array<string>"), _pos(ds)))
 
 
 def normalize_openml(ds: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def normalize_openml(ds: DataFrame) -> DataFrame:
     did = F.col("did").cast("string")
     return ds.select(*_entry(F.lit("openml"), did, F.coalesce("name", F.lit("Untitled")),
                              F.concat(F.lit("OpenML dataset #"), did), F.concat(F.lit("https://www.openml.org/d/"), did),
-                             size, F.lit("parquet"), F.array().cast("array<string>"), F.monotonically_increasing_id()))
+                             size, F.lit("parquet"), F.array().cast("array<string>"), _pos(ds)))
 
 
 def normalize_socrata(items: DataFrame) -> DataFrame:
@@ -93,11 +96,11 @@ def normalize_socrata(items: DataFrame) -> DataFrame:
     url = F.when(F.coalesce(dom, F.lit("")) != "", F.concat(F.lit("https://"), dom, F.lit("/resource/"), rid,
                                                            F.lit(".csv?$limit=50000"))).otherwise("")
     cats = F.coalesce(F.col("classification.categories"), F.array())
-    tags = F.when(F.size(cats) > 0, F.slice(cats, 1, TAG_CUT)).otherwise(
-        F.slice(F.coalesce(F.col("resource.columns_field_name"), F.array()), 1, TAG_CUT))
+    tags = F.when(F.size(cats) > 0, cats).otherwise(
+        F.coalesce(F.col("resource.columns_field_name"), F.array()))
     return items.select(*_entry(F.lit("socrata"), rid, F.coalesce(F.col("resource.name"), F.lit("Untitled")),
-                                _cut(F.col("resource.description")), url, F.lit(""), F.lit("CSV"), tags,
-                                F.monotonically_increasing_id()))
+                                _text(F.col("resource.description")), url, F.lit(""), F.lit("CSV"), tags,
+                                _pos(items)))
 
 
 def normalize_zenodo(hits: DataFrame) -> DataFrame:
@@ -112,10 +115,10 @@ def normalize_zenodo(hits: DataFrame) -> DataFrame:
     data = F.array_sort(F.array_intersect(exts, F.array(*[F.lit(x) for x in ZENODO_FORMATS])))
     rid = F.col("id").cast("string")
     out = hits.select(*_entry(F.lit("zenodo"), rid, F.coalesce(F.col("metadata.title"), F.lit("Untitled")),
-                              _cut(F.regexp_replace(F.coalesce(F.col("metadata.description"), F.lit("")), "<[^>]+>", "")),
+                              _text(F.regexp_replace(F.coalesce(F.col("metadata.description"), F.lit("")), "<[^>]+>", "")),
                               F.concat(F.lit("https://zenodo.org/records/"), rid), size,
-                              F.array_join(data, ", "), F.slice(F.coalesce(F.col("metadata.keywords"), F.array()), 1, TAG_CUT),
-                              F.monotonically_increasing_id()))
+                              F.array_join(data, ", "), F.coalesce(F.col("metadata.keywords"), F.array()),
+                              _pos(hits)))
     return out.where(F.col("format") != "")
 
 
@@ -123,10 +126,10 @@ def normalize_registry(ds: DataFrame) -> DataFrame:
     """S6 (rows): open-data registry NDJSON (Name, Description, Tags, Slug); slug defaults to
     the name with spaces as '-' in lower case."""
     slug = F.coalesce(F.col("Slug"), F.lower(F.regexp_replace(F.coalesce("Name", F.lit("")), " ", "-")))
-    return ds.select(*_entry(F.lit("aws"), slug, F.coalesce("Name", F.lit("")), _cut(F.col("Description")),
+    return ds.select(*_entry(F.lit("aws"), slug, F.coalesce("Name", F.lit("")), _text(F.col("Description")),
                              F.concat(F.lit("https://registry.opendata.aws/roda/"), slug, F.lit("/")), F.lit(""),
-                             F.lit("varies"), F.slice(F.coalesce("Tags", F.array()), 1, TAG_CUT),
-                             F.monotonically_increasing_id()))
+                             F.lit("varies"), F.coalesce("Tags", F.array()),
+                             _pos(ds)))
 
 
 # ------------------------------------------------------------------ search
@@ -143,7 +146,7 @@ def _searchable(e: DataFrame) -> Column:
 
 def search(queries: DataFrame, entries: DataFrame, per_source: int = PER_SOURCE) -> DataFrame:
     """(qid, query, entry columns...): entries whose name + description + tags contain the
-    query (case-blind), the first ``per_source`` per (query, source) in file order."""
+    query (case-blind), the first ``per_source`` per (query, source) by ``pos``, then id."""
     q = queries.where(valid_query(F.col("query"))).select("qid", "query", F.lower("query").alias("__q"))
     toks = F.filter(F.split(F.col("__q"), WORD_SPLIT), lambda t: t != "")
     n = F.size(toks)
@@ -155,19 +158,21 @@ def search(queries: DataFrame, entries: DataFrame, per_source: int = PER_SOURCE)
     longest = F.try_element_at(F.array_sort(F.transform(complete, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))),
                                F.lit(1))
     q = q.withColumn("__word", longest["t"]).withColumn("__pair", F.substring("__q", 1, 2))
+    key = ["source", "dataset_id", "pos"]
     e = entries.withColumn("__s", _searchable(entries))
-    by_word = e.select("*", F.explode(F.array_distinct(F.filter(F.split("__s", WORD_SPLIT), lambda t: t != ""))).alias("__k"))
-    hits = q.where(F.col("__word").isNotNull()).join(by_word, F.col("__word") == F.col("__k"))
-    if q.where(F.col("__word").isNull()).limit(1).count() > 0:
-        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__s") - 1, F.lit(1))),
-                                             lambda i: F.substring("__s", i, 2)))
-        by_pair = e.select("*", F.explode(pairs).alias("__k"))
-        hits = hits.unionByName(q.where(F.col("__word").isNull()).join(by_pair, F.col("__pair") == F.col("__k")))
-    hits = hits.where(F.instr("__s", F.col("__q")) > 0)
-    w = Window.partitionBy("qid", "source").orderBy("pos")
-    cols = [c for c in entries.columns]
+    # only keys and words are exploded and joined; texts are read again for the few hits
+    words = F.array_distinct(F.filter(F.split("__s", WORD_SPLIT), lambda t: t != ""))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__s") - 1, F.lit(1))), lambda i: F.substring("__s", i, 2)))
+    by_word = e.select(*key, F.explode(words).alias("__k")).join(q.where("__word is not null"), F.col("__word") == F.col("__k"))
+    by_pair = e.select(*key, F.explode(pairs).alias("__k")).join(q.where("__word is null"), F.col("__pair") == F.col("__k"))
+    hits = by_word.unionByName(by_pair).select("qid", "query", "__q", *[F.col(c).alias(f"__{c}") for c in key]).distinct()
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    hits = e.join(hits, same).where(F.instr("__s", F.col("__q")) > 0)
+    w = Window.partitionBy("qid", "source").orderBy(F.col("pos").asc_nulls_last(), "dataset_id")
     return hits.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_source) \
-        .select("qid", "query", *cols)
+        .select("qid", "query", *entries.columns)
 
 
 def provider_activity(results: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+from .order import with_position
+
 # Fixed values of the chat rules.
 MAX_HISTORY = 20
 SESSION_TTL_SECONDS = 3600
@@ -12,27 +15,37 @@ FEEDBACK_WORD = "feedback"
 SESSION_ID_MAX = 500
 
 
+def with_previous(df: DataFrame, session: str, order: str, *cols: str) -> DataFrame:
+    """``df`` with ``prev_<col>``: the columns of the row before it in its session (null for the first).
+
+    Rows get their place in one distributed sort by (session, order); the row before is then a
+    join on place - 1, so a session that holds a third of all rows is spread over tasks.
+    Gaps in ``order`` do not matter; it must be unique within a session."""
+    at = durable(with_position(df, session, order, name="__at"))
+    prev = at.select((F.col("__at") + 1).alias("__at"), F.col(session).alias("__s"), *[F.col(c).alias(f"prev_{c}") for c in cols])
+    same = F.col(session).eqNullSafe(F.col("__s"))
+    return at.join(prev, "__at", "left").select(
+        *[at[c] for c in df.columns], *[F.when(same, F.col(f"prev_{c}")).alias(f"prev_{c}") for c in cols])
+
+
+def with_next(df: DataFrame, session: str, order: str, *cols: str) -> DataFrame:
+    """``df`` with ``next_<col>``: the columns of the row after it in its session, as ``with_previous``."""
+    at = durable(with_position(df, session, order, name="__at"))
+    follow = at.select((F.col("__at") - 1).alias("__at"), F.col(session).alias("__s"), *[F.col(c).alias(f"next_{c}") for c in cols])
+    same = F.col(session).eqNullSafe(F.col("__s"))
+    return at.join(follow, "__at", "left").select(
+        *[at[c] for c in df.columns], *[F.when(same, F.col(f"next_{c}")).alias(f"next_{c}") for c in cols])
+
+
 def flag_feedback(df: DataFrame, session: str = "session_id", order: str = "created_at", role: str = "role",
-                  text: str = "content", keyword: str = FEEDBACK_WORD, dense_order: bool = False) -> DataFrame:
+                  text: str = "content", keyword: str = FEEDBACK_WORD) -> DataFrame:
     """H1: a user message holding ``keyword`` (any case) is feedback, and the reply that
-    follows it in the same session carries the same flag.
-
-    ``dense_order=True`` (the order is 0, 1, 2, ... within a session): the previous message is
-    found by a join on (session, order - 1). The composite key spreads even a session holding a
-    third of all rows evenly, where a window would put that session in one task."""
-    user_hit = (F.col(role) == "user") & (F.instr(F.lower(F.col(text)), keyword.lower()) > 0)
-    if dense_order:
-        prev = df.select(F.col(session).alias("__s"), (F.col(order) + 1).alias("__o"),
-                         F.col(role).alias("__prev_role"), user_hit.alias("__prev_hit"))
-        j = df.join(prev, (df[session] == prev["__s"]) & (df[order] == prev["__o"]), "left")
-        prev_role, prev_hit = F.col("__prev_role"), F.col("__prev_hit")
-    else:
-        w = Window.partitionBy(session).orderBy(order)
-        j, prev_role, prev_hit = df, F.lag(role).over(w), F.lag(user_hit).over(w)
-    flag = F.when(F.col(role) == "user", user_hit) \
-        .when((F.col(role) == "assistant") & (prev_role == "user"), F.coalesce(prev_hit, F.lit(False))) \
-        .otherwise(F.lit(False))
-    return j.select(*[df[c] for c in df.columns], flag.alias("is_feedback"))
+    follows it in the same session carries the same flag."""
+    hit = df.withColumn("__hit", F.coalesce((F.col(role) == "user") & (F.instr(F.lower(F.col(text)), keyword.lower()) > 0), F.lit(False)))
+    j = with_previous(hit, session, order, role, "__hit")
+    flag = F.when(F.col(role) == "user", F.col("__hit")).when(
+        (F.col(role) == "assistant") & (F.col(f"prev_{role}") == "user"), F.coalesce("prev___hit", F.lit(False))).otherwise(F.lit(False))
+    return j.select(*[F.col(c) for c in df.columns], flag.alias("is_feedback"))
 
 
 def feedback_transcripts(flagged: DataFrame, session: str = "session_id") -> DataFrame:
@@ -42,16 +55,9 @@ def feedback_transcripts(flagged: DataFrame, session: str = "session_id") -> Dat
     return flagged.join(hot, session, "left_semi")
 
 
-def last_messages(df: DataFrame, session: str = "session_id", order: str = "created_at",
-                  n: int = MAX_HISTORY, dense_order: bool = False) -> DataFrame:
-    """H3: the last n messages per session, with their position from the end.
-    ``row_number() <= n`` lets Spark cut each group before the shuffle. With
-    ``dense_order=True`` the cut is ``order > max(order) - n`` from a per-session max
-    (partially aggregated) joined back, so a hot session is split by AQE, not sorted in one task."""
-    if dense_order:
-        top = df.groupBy(F.col(session).alias("__s")).agg(F.max(order).alias("__max"))
-        j = df.join(top, df[session] == top["__s"]).where(F.col(order) > F.col("__max") - n)
-        return j.select(*[df[c] for c in df.columns], (F.col("__max") - F.col(order) + 1).cast("int").alias("from_end"))
+def last_messages(df: DataFrame, session: str = "session_id", order: str = "created_at", n: int = MAX_HISTORY) -> DataFrame:
+    """H3: the last n messages per session, with their position from the end. ``row_number() <= n``
+    lets Spark cut each group in every task before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(session).orderBy(F.col(order).desc())
     return df.withColumn("from_end", F.row_number().over(w)).where(F.col("from_end") <= n)
 

@@ -38,9 +38,13 @@ def parse_replies(df: DataFrame, raw: str = "raw") -> DataFrame:
 def merge_labels(profiles: DataFrame, labels: DataFrame, order: str | None = None) -> DataFrame:
     """One row per profile; missing or empty label -> 'Cluster <id>', missing or empty
     description -> fallback text; labels for unknown ids are ignored; for repeated ids the
-    last (by ``order``) wins."""
+    last (by ``order``) wins, and without an ``order`` a repeated id fails the job."""
     lab = labels
-    if order is not None:
+    if order is None:
+        w = Window.partitionBy("id")
+        once = F.when(F.count(F.lit(1)).over(w) > 1, F.raise_error(F.lit("a label id is repeated and no order is given")))
+        lab = lab.withColumn("__r", once).where(F.col("__r").isNull()).drop("__r")
+    else:
         w = Window.partitionBy("id").orderBy(F.col(order).desc())
         lab = lab.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
     lab = lab.select(F.col("id").alias("__id"), F.col("label").alias("__label"),

@@ -1,16 +1,12 @@
-"""Modelling on the scaled feature matrix (M1-M3, M6, M7, M9).
+"""Modelling on the scaled feature matrix (M1-M3, M7, M9).
 
-- The matrix is built once: raw feature columns plus a vector ``__z`` of the
+- The matrix is built once: raw feature columns plus an array ``__z`` of the
   standardised values, persisted; every model reads it.
-- k-means is Spark ML with several seeded restarts (Spark has no ``n_init``).
-- PCA: one pass of per-task Gram partials gives the d x d covariance, which is
-  eigen-decomposed on the driver (d is bounded by the feature cap); the projection is
-  plain column arithmetic, so it stays inside whole-stage codegen.
-- Silhouette is exact Euclidean, computed over *block pairs*: points are split
-  into blocks of bounded size; each (block, block) task sums distances per
-  cluster with NumPy and emits one row per (point, cluster). No pair rows.
-- Ward works on at most ``WARD_EXACT_MAX`` weighted points on the driver: the
-  points themselves when there are that few, else k-means micro-clusters.
+- k-means is Spark ML (k-means|| over all rows), with several seeded fits for the chosen k.
+- Silhouette is the linear form over all rows: squared Euclidean distances, from each cluster's
+  row count, sum and sum of squares; no pairs of rows.
+- PCA: one pass of Gram partials, summed on the cluster, gives the d x d covariance, which is
+  eigen-decomposed on the driver; the projection is plain column arithmetic.
 """
 from __future__ import annotations
 
@@ -19,20 +15,22 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import stable_hash
 from .prep import Prepared
 
 Z = "__z"
 SEED = 42
 KMEANS_RESTARTS = 5
-CHOOSE_K_RESTARTS = 3
-SILHOUETTE_SAMPLE = 1000
+MAX_ITER = 300
+TOL = 1e-4
 BLOCK = 2048
-WARD_EXACT_MAX = 1000
+#: Most numbers of cluster summaries (clusters x features) that one task receives.
+SUMMARY_MAX = 10_000_000
 
 
 def z_exprs(p: Prepared):
@@ -40,112 +38,26 @@ def z_exprs(p: Prepared):
 
 
 def matrix(p: Prepared) -> DataFrame:
-    """id, raw features, and the standardised vector ``__z``; persisted."""
+    """id, raw features, and the standardised values ``__z``; persisted."""
     m = p.features.select("*", F.array(*z_exprs(p)).alias(Z))
     return m.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # ------------------------------------------------------------------ k-means (M3)
-INIT_SAMPLE = 10_000
-MAX_ITER = 300
-TOL = 1e-4   # on the summed squared centre shift; the data are standardised (unit variance)
-# Partial sums collected straight from the map side up to this many numbers; above it, a shuffle aggregate.
-DIRECT_SUM_MAX = 2_000_000
-
-
-def _sample_rows(m: DataFrame, id_col: str, size: int, x_col: str = Z) -> tuple[list, np.ndarray]:
-    """A fixed, partitioning-independent sample: the rows with the smallest id hash (top-k, bounded)."""
-    rows = m.orderBy(stable_hash(F.col(id_col))).limit(size).select(id_col, F.col(x_col)).collect()
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)
-
-
-def kmeans_pp(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ seeding on a bounded sample."""
-    rng = np.random.default_rng(seed)
-    centers = [x[rng.integers(len(x))]]
-    d2 = ((x - centers[0]) ** 2).sum(1)
-    for _ in range(1, k):
-        total = d2.sum()
-        i = int(rng.choice(len(x), p=d2 / total)) if total > 0 else int(rng.integers(len(x)))
-        centers.append(x[i])
-        d2 = np.minimum(d2, ((x - x[i]) ** 2).sum(1))
-    return np.array(centers)
-
-
-def assign(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d2 = (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (x @ c.T)
-    lab = d2.argmin(1)
-    return lab, np.maximum(d2[np.arange(len(x)), lab], 0.0)
-
-
-def lloyd(m: DataFrame, id_col: str, specs: list[tuple[int, int]], max_iter: int = MAX_ITER, tol: float = TOL,
-          init_sample: int = INIT_SAMPLE) -> list[tuple[np.ndarray, float, int]]:
-    """Batched Lloyd iterations: every (k, seed) model advances in the same pass over the
-    rows. One ``mapInPandas`` job per iteration emits only per-(model, cluster) partial
-    sums (models x k x d numbers), so the number of scans is the number of iterations,
-    not fits x iterations. Returns (centres, inertia, iterations) per spec."""
-    spark = m.sparkSession
-    _, samp = _sample_rows(m, id_col, init_sample)
-    centers = {i: kmeans_pp(samp, min(k, len(samp)), seed) for i, (k, seed) in enumerate(specs)}
-    inertia = {i: math.inf for i in centers}
-    iters = {i: 0 for i in centers}
-    active = set(centers)
-    x_only = m.select(F.col(Z).alias("x"))
-    parts = x_only.rdd.getNumPartitions()
-    schema = "model int, v array<double>"
-    for _ in range(max_iter + 1):
-        if not active:
-            break
-        bc = spark.sparkContext.broadcast({i: centers[i] for i in active})
-
-        def step(batches, bc=bc):
-            cs = bc.value
-            acc = {}
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x = np.stack(pdf["x"].to_numpy())
-                for i, c in cs.items():
-                    lab, d2 = assign(x, c)
-                    onehot = np.zeros((len(x), len(c)))
-                    onehot[np.arange(len(x)), lab] = 1.0
-                    sums, cnt, sse = onehot.T @ x, onehot.sum(0), d2.sum()
-                    if i in acc:
-                        a = acc[i]
-                        acc[i] = (a[0] + sums, a[1] + cnt, a[2] + sse)
-                    else:
-                        acc[i] = (sums, cnt, sse)
-            # one row per model: [sums (k x d, row-major), counts (k), sse]
-            yield pd.DataFrame({"model": list(acc), "v": [np.concatenate([a[0].ravel(), a[1], [a[2]]])
-                                                          for a in acc.values()]})
-
-        part = x_only.mapInPandas(step, schema)
-        width = sum(centers[i].shape[0] * (centers[i].shape[1] + 1) + 1 for i in active)
-        if parts * width <= DIRECT_SUM_MAX:
-            # size checked: partitions x models x (k x (d+1) + 1) numbers, fetched over Arrow, summed here
-            pdf = part.toPandas()
-            totals = {int(mdl): np.sum(np.stack(list(g["v"])), axis=0) for mdl, g in pdf.groupby("model")}
-        else:
-            # large: element-wise sums on the cluster (posexplode -> groupBy(model, pos))
-            summed = part.select("model", F.posexplode("v").alias("pos", "x")).groupBy("model", "pos") \
-                .agg(F.sum("x").alias("x")).toPandas()
-            totals = {int(mdl): g.sort_values("pos")["x"].to_numpy() for mdl, g in summed.groupby("model")}
-        for i in list(active):
-            c = centers[i]
-            kk, d = c.shape
-            vec = totals.get(i)
-            new = c.copy()
-            if vec is not None:
-                sums, cnt = vec[:kk * d].reshape(kk, d), vec[kk * d:kk * d + kk]
-                nz = cnt > 0
-                new[nz] = sums[nz] / cnt[nz, None]
-                inertia[i] = float(vec[-1])
-            shift = ((new - c) ** 2).sum()
-            centers[i] = new
-            iters[i] += 1
-            if shift <= tol or iters[i] >= max_iter:
-                active.discard(i)
-    return [(centers[i], inertia[i], iters[i]) for i in range(len(specs))]
+def fit_kmeans(m: DataFrame, k: int, seeds: list[int], max_iter: int = MAX_ITER) -> tuple[np.ndarray, float, bool]:
+    """(centres, inertia, converged) of the best of several seeded Spark ML fits over all rows."""
+    v = m.select(array_to_vector(F.col(Z)).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    best = None
+    for seed in seeds:
+        model = KMeans(featuresCol="v", k=k, seed=seed, maxIter=max_iter, tol=TOL).fit(v)
+        fit = (np.array(model.clusterCenters()), float(model.summary.trainingCost), model.summary.numIter < max_iter)
+        best = fit if best is None or fit[1] < best[1] else best
+    v.unpersist()
+    return best
+
+
+def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (x @ c.T)).argmin(1)
 
 
 def label_rows(m: DataFrame, centers: np.ndarray, col: str = "cluster", numbering: list[int] | None = None) -> DataFrame:
@@ -155,17 +67,17 @@ def label_rows(m: DataFrame, centers: np.ndarray, col: str = "cluster", numberin
     schema = T.StructType(m.schema.fields + [T.StructField(col, T.IntegerType())])
     zi = m.columns.index(Z)
 
-    def lab(batches):
+    def run(batches):
         c, num = bc.value
         for pdf in batches:
             if pdf.empty:
                 continue
             x = np.stack(pdf.iloc[:, zi].to_numpy())
-            l, _ = assign(x, c)
-            pdf[col] = (np.asarray(num)[l] if num is not None else l).astype("int32")
+            lab = assign(x, c)
+            pdf[col] = (np.asarray(num)[lab] if num is not None else lab).astype("int32")
             yield pdf
 
-    return m.mapInPandas(lab, schema)
+    return m.mapInPandas(run, schema)
 
 
 def numbering_by_size(m: DataFrame, centers: np.ndarray) -> list[int]:
@@ -179,35 +91,73 @@ def numbering_by_size(m: DataFrame, centers: np.ndarray) -> list[int]:
     return new
 
 
+def lloyd_step(m: DataFrame, centers: np.ndarray) -> DataFrame:
+    """One k-means step from given centres: (cluster, position, centre, rows), the means of the rows that
+    are nearest to each centre."""
+    near = label_rows(m.select(Z), centers, "cluster")
+    return (near.select("cluster", F.posexplode(Z).alias("position", "x")).groupBy("cluster", "position")
+            .agg(F.avg("x").alias("centre"), F.count(F.lit(1)).alias("rows")))
+
+
 def kmeans(m: DataFrame, id_col: str, k: int, restarts: int = KMEANS_RESTARTS, seed: int = SEED):
     """M3: (labelled matrix with ``cluster``, inertia); lowest inertia of ``restarts`` seeds."""
-    fits = lloyd(m, id_col, [(k, seed + r) for r in range(restarts)])
-    centers, cost, _ = min(fits, key=lambda f: f[1])
+    centers, cost, _ = fit_kmeans(m, k, [seed + r for r in range(restarts)])
     return label_rows(m, centers, numbering=numbering_by_size(m, centers)), cost
 
 
 # ------------------------------------------------------------------ silhouette (M7)
-def _points(labelled: DataFrame, id_col: str, cluster_col: str) -> DataFrame:
-    return labelled.select(F.col(id_col).alias("id"), F.col(cluster_col).cast("int").alias("cluster"),
-                           F.col(Z).alias("x"))
-
-
-def _silhouette_task(pdf: pd.DataFrame) -> pd.DataFrame:
-    q = pdf[pdf.role == 0]
-    r = pdf[pdf.role == 1]
-    if q.empty or r.empty:
-        return pd.DataFrame({"id": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int32"),
-                             "s": pd.Series([], dtype="float64"), "c": pd.Series([], dtype="int64")})
-    xq = np.stack(q.x.to_numpy())
-    xr = np.stack(r.x.to_numpy())
-    d = pairwise_dist(xq, xr)
-    labels = r.cluster.to_numpy()
-    out = []
-    for c in np.unique(labels):
-        mask = labels == c
-        out.append(pd.DataFrame({"id": q.id.to_numpy(), "other": np.int32(c),
-                                 "s": d[:, mask].sum(1), "c": np.int64(mask.sum())}))
-    return pd.concat(out, ignore_index=True)
+def cluster_summaries(labelled: DataFrame, cluster_col: str = "cluster") -> pd.DataFrame:
+    """cluster, n, mean (array), square (mean of squared norms) of every cluster; clusters x features
+    numbers, checked."""
+    pts = labelled.select(F.col(cluster_col).cast("int").alias("cluster"), F.col(Z).alias("x"))
+    square = F.aggregate(F.transform("x", lambda v: v * v), F.lit(0.0), lambda acc, v: acc + v)
+    sizes = pts.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(square).alias("square"))
+    means = (pts.select("cluster", F.posexplode("x").alias("p", "v")).groupBy("cluster", "p").agg(F.avg("v").alias("v"))
+             .groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("mean")))
+    found = sizes.join(means, "cluster")
+    if found.agg(F.coalesce(F.sum(F.size("mean")), F.lit(0))).first()[0] > SUMMARY_MAX:
+        raise ValueError(f"the clusters' summaries hold more than {SUMMARY_MAX} numbers")
+    return found.orderBy("cluster").toPandas()
+
+
+def linear_scores(x: np.ndarray, own: np.ndarray, n: np.ndarray, square: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Silhouettes of rows from the clusters' sizes, mean squared norms and means."""
+    line = np.arange(len(x))
+    far = np.maximum((x * x).sum(1)[:, None] + square[None, :] - 2.0 * (x @ mean.T), 0.0)
+    far[:, n == 0] = np.inf
+    size = n[own]
+    a = far[line, own] * size / np.maximum(size - 1, 1)     # its own distance, 0, does not count
+    far[line, own] = np.inf
+    b = far.min(1)
+    top = np.maximum(a, b)
+    return np.where((size > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+
+
+def silhouette(labelled: DataFrame, id_col: str, cluster_col: str = "cluster", per_point: bool = False):
+    """M7, linear form: with squared Euclidean distances a point's mean distance to a cluster follows from
+    the cluster's n, mean and mean square, so all rows are scored in one pass. Noise (-1) is left
+    out; None unless >= 2 clusters and more points than clusters. Singletons score 0."""
+    pts = labelled.where(F.col(cluster_col) != -1)
+    s = cluster_summaries(pts, cluster_col)
+    if len(s) < 2 or s["n"].sum() <= len(s):
+        return None
+    labels, n = s["cluster"].to_numpy(), s["n"].to_numpy(float)
+    mean, square = np.stack(s["mean"].to_numpy()), s["square"].to_numpy()
+    bc = labelled.sparkSession.sparkContext.broadcast((labels, n, mean, square))
+
+    def score(batches):
+        labels, n, mean, square = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            own = np.searchsorted(labels, pdf["cluster"].to_numpy())
+            pdf["silhouette"] = linear_scores(np.stack(pdf["x"].to_numpy()), own, n, square, mean)
+            yield pdf[["id", "cluster", "silhouette"]]
+
+    kind = labelled.schema[id_col].dataType.simpleString()
+    scored = pts.select(F.col(id_col).alias("id"), F.col(cluster_col).cast("int").alias("cluster"), F.col(Z).alias("x")) \
+        .mapInPandas(score, f"id {kind}, cluster int, silhouette double")
+    return scored if per_point else float(scored.agg(F.avg("silhouette")).first()[0])
 
 
 def pairwise_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -216,101 +166,72 @@ def pairwise_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def block_pairs(points: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
-    """Each point as query (role 0) in tasks (its block, j) and as reference (role 1) in
-    tasks (i, its block), for all blocks i, j. Work per task is bounded by block^2."""
-    nb = max(1, math.ceil(n / block))
-    b = F.pmod(stable_hash(F.col("id"), seed=7), F.lit(nb)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(nb - 1))
-    pts = points.withColumn("__b", b)
-    q = pts.select("*", F.explode(others).alias("__o")).select(
-        F.col("__b").alias("ta"), F.col("__o").alias("tb"), F.lit(0).alias("role"), *points.columns)
-    r = pts.select("*", F.explode(others).alias("__o")).select(
-        F.col("__o").alias("ta"), F.col("__b").alias("tb"), F.lit(1).alias("role"), *points.columns)
-    return q.unionByName(r)
-
-
-def silhouette(labelled: DataFrame, id_col: str, cluster_col: str = "cluster", sample: int | None = None,
-               per_point: bool = False):
-    """M7: mean silhouette (Euclidean), noise (-1) excluded; None unless >= 2 clusters and
-    more points than clusters. ``sample`` evaluates a fixed hash-chosen subset (the
-    points and their references are both the subset, as a sampled silhouette is)."""
-    pts = _points(labelled, id_col, cluster_col).where(F.col("cluster") != -1)
-    if sample is not None:
-        pts = pts.orderBy(stable_hash(F.col("id"))).limit(sample)
-    sizes = {r["cluster"]: r["count"] for r in pts.groupBy("cluster").count().collect()}
-    n = sum(sizes.values())
-    if len(sizes) < 2 or n <= len(sizes):
-        return None
-    tasks = block_pairs(pts, n)
-    sums = tasks.groupBy("ta", "tb").applyInPandas(_silhouette_task, "id long, other int, s double, c long")
-    per = sums.groupBy("id", "other").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    own = pts.select("id", "cluster")
-    j = per.join(own, "id")
-    a = F.max(F.when(F.col("other") == F.col("cluster"),
-                     F.when(F.col("c") > 1, F.col("s") / (F.col("c") - 1)).otherwise(F.lit(0.0))))
-    b = F.min(F.when(F.col("other") != F.col("cluster"), F.col("s") / F.col("c")))
-    single = F.max(F.when(F.col("other") == F.col("cluster"), F.col("c"))) <= 1
-    pp = j.groupBy("id", "cluster").agg(a.alias("a"), b.alias("b"), single.alias("single"))
-    pp = pp.withColumn("silhouette", F.when(F.col("single"), F.lit(0.0)).otherwise(
-        F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.lit(0.0))))
-    if per_point:
-        return pp.select("id", "cluster", "silhouette")
-    return float(pp.agg(F.avg("silhouette")).first()[0])
+# ------------------------------------------------------------------ choose k (M2)
+def sweep_silhouettes(m: DataFrame, centers: list[np.ndarray]) -> list[float | None]:
+    """The mean linear silhouette of every model (its centres) over all rows: one pass for all clusters'
+    summaries, one for the scores; models x clusters x features numbers reach the driver."""
+    x_only = m.select(F.col(Z).alias("x"))
+    d = centers[0].shape[1]
+    bc = m.sparkSession.sparkContext.broadcast(centers)
 
+    def summaries(batches):
+        acc = [np.zeros((len(c), d + 2)) for c in bc.value]
+        for pdf in batches:
+            if not pdf.empty:
+                x = np.stack(pdf["x"].to_numpy())
+                wide = np.column_stack([np.ones(len(x)), (x * x).sum(1), x])
+                for a, c in zip(acc, bc.value):
+                    np.add.at(a, assign(x, c), wide)
+        flat = np.concatenate([a.ravel() for a in acc])
+        yield pd.DataFrame({"pos": np.arange(len(flat)), "v": flat})
+
+    flat = x_only.mapInPandas(summaries, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
+    flat = flat.sort_values("pos")["v"].to_numpy()
+    tables, at = [], 0
+    for c in centers:
+        t = flat[at:at + len(c) * (d + 2)].reshape(len(c), d + 2)
+        at += len(c) * (d + 2)
+        tables.append((t[:, 0], t[:, 1] / np.maximum(t[:, 0], 1), t[:, 2:] / np.maximum(t[:, :1], 1)))
+    bt = m.sparkSession.sparkContext.broadcast(tables)
+
+    def scores(batches):
+        total = np.zeros(len(bc.value))
+        for pdf in batches:
+            if not pdf.empty:
+                x = np.stack(pdf["x"].to_numpy())
+                for i, (c, (n, square, mean)) in enumerate(zip(bc.value, bt.value)):
+                    total[i] += linear_scores(x, assign(x, c), n, square, mean).sum()
+        yield pd.DataFrame({"pos": np.arange(len(total)), "v": total})
 
-# ------------------------------------------------------------------ choose k (M2)
-def silhouette_local(x: np.ndarray, labels: np.ndarray) -> float | None:
-    """Exact silhouette of a bounded point set (the <= 1,000-row sample of M2)."""
-    ks = np.unique(labels)
-    if len(ks) < 2 or len(x) <= len(ks):
-        return None
-    d = pairwise_dist(x, x)
-    s = np.zeros(len(x))
-    sums = np.stack([d[:, labels == c].sum(1) for c in ks], 1)
-    cnt = np.array([(labels == c).sum() for c in ks])
-    own = np.searchsorted(ks, labels)
-    a = np.where(cnt[own] > 1, sums[np.arange(len(x)), own] / np.maximum(cnt[own] - 1, 1), 0.0)
-    other = sums / cnt[None, :]
-    other[np.arange(len(x)), own] = np.inf
-    b = other.min(1)
-    s = np.where(cnt[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-    return float(s.mean())
-
-
-def choose_k(m: DataFrame, id_col: str, n: int | None = None, sample: int = SILHOUETTE_SAMPLE,
-             final_restarts: int = KMEANS_RESTARTS, seed: int = SEED):
-    """M2: k = 2..max(3, min(10, floor(sqrt(n)))), 3 restarts each, silhouette on a fixed
-    sample of <= 1,000 rows; the best strictly greater score wins (lowest k on ties).
-
-    The sweep fits and the final ``final_restarts`` fits of every candidate k run in one
-    batched Lloyd pass series. Returns (k, trace, best centres for k)."""
+    sums = x_only.mapInPandas(scores, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).toPandas().set_index("pos")["v"]
+    out = []
+    for i, (n, _, _) in enumerate(tables):
+        rows, live = n.sum(), int((n > 0).sum())
+        out.append(float(sums[i] / rows) if live >= 2 and rows > live else None)
+    return out
+
+
+def choose_k(m: DataFrame, id_col: str, n: int | None = None, final_restarts: int = KMEANS_RESTARTS, seed: int = SEED):
+    """M2: k = 2..max(3, min(10, floor(sqrt(n)))), one fit each, the linear silhouette over all rows;
+    the best strictly greater score wins (lowest k on ties); then ``final_restarts`` fits of that k.
+    Returns (k, trace, best centres for k)."""
     n = m.count() if n is None else n
     top = max(3, min(10, int(math.sqrt(n))))
     ks = [k for k in range(2, top + 1) if k <= n]
-    specs = [(k, seed + r) for k in ks for r in range(CHOOSE_K_RESTARTS)]
-    specs += [(k, seed + r) for k in ks for r in range(final_restarts)]
-    fits = lloyd(m, id_col, specs)
-    _, xs = _sample_rows(m, id_col, min(n, sample))
-    best_k, best, trace = 2, -1.0, []
-    for k in ks:
-        sweep = [f for (kk, _), f in zip(specs[:len(ks) * CHOOSE_K_RESTARTS], fits) if kk == k]
-        c, _, _ = min(sweep, key=lambda f: f[1])
-        lab, _ = assign(xs, c)
-        score = silhouette_local(xs, lab)
-        trace.append((k, score))
+    fits = [fit_kmeans(m, k, [seed])[0] for k in ks]
+    trace = list(zip(ks, sweep_silhouettes(m, fits))) if ks else []
+    best_k, best = 2, -1.0
+    for k, score in trace:
         if score is not None and score > best:
             best_k, best = k, score
-    finals = [f for (kk, _), f in zip(specs[len(ks) * CHOOSE_K_RESTARTS:], fits[len(ks) * CHOOSE_K_RESTARTS:])
-              if kk == best_k]
-    return best_k, trace, (min(finals, key=lambda f: f[1])[0] if finals else None)
+    centers = fit_kmeans(m, best_k, [seed + r for r in range(final_restarts)])[0] if final_restarts and best_k <= n else None
+    return best_k, trace, centers
 
 
 # ------------------------------------------------------------------ PCA (M1)
 def gram(m: DataFrame, col: str = Z) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, column sums, X^T X) of an array column in one pass: each task emits one partial
-    (d^2 + d + 1 numbers); the partials are summed here when small (size checked), else
-    element-wise on the cluster."""
+    (d^2 + d + 1 numbers), summed element-wise on the cluster."""
     d = len(m.select(col).first()[0])
 
     def part(batches):
@@ -320,15 +241,10 @@ def gram(m: DataFrame, col: str = Z) -> tuple[int, np.ndarray, np.ndarray]:
                 continue
             x = np.stack(pdf[col].to_numpy())
             n, s1, s2 = n + len(x), s1 + x.sum(0), s2 + x.T @ x
-        yield pd.DataFrame({"v": [np.concatenate([[n], s1, s2.ravel()])]})
-
-    parts = m.select(col).mapInPandas(part, "v array<double>")
-    if m.rdd.getNumPartitions() * (d * d + d + 1) <= DIRECT_SUM_MAX:
-        tot = np.sum(np.stack(list(parts.toPandas()["v"])), axis=0)
-    else:
-        rows = parts.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")) \
-            .toPandas().sort_values("pos")
-        tot = rows["x"].to_numpy()
+        yield pd.DataFrame({"pos": np.arange(1 + d + d * d), "x": np.concatenate([[n], s1, s2.ravel()])})
+
+    rows = m.select(col).mapInPandas(part, "pos int, x double").groupBy("pos").agg(F.sum("x").alias("x")).toPandas()
+    tot = rows.sort_values("pos")["x"].to_numpy()
     return int(tot[0]), tot[1:1 + d], tot[1 + d:].reshape(d, d)
 
 
@@ -374,79 +290,3 @@ def pca_points(p: Prepared, m: DataFrame | None = None, k: int = 3) -> tuple[Dat
     m = matrix(p) if m is None else m
     v, explained = pca_fit(p, m, k)
     return m.select(p.id_col, *pc_columns(p, v)), v, explained
-
-
-# ------------------------------------------------------------------ Ward (M6)
-def ward_merge(x: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
-    """Ward agglomeration of weighted points down to k groups. Returns the group of each point.
-
-    Merge cost of groups A, B: |A||B| / (|A| + |B|) * ||cA - cB||^2 (the Ward increase of
-    the within-group sum of squares); ties go to the lowest index pair."""
-    m = len(x)
-    cent = x.astype(float).copy()
-    size = w.astype(float).copy()
-    alive = np.ones(m, bool)
-    owner = np.arange(m)
-    sq = ((cent[:, None, :] - cent[None, :, :]) ** 2).sum(-1)
-    cost = (size[:, None] * size[None, :]) / (size[:, None] + size[None, :]) * sq
-    np.fill_diagonal(cost, np.inf)
-    groups = m
-    while groups > k:
-        flat = int(np.argmin(cost))
-        a, b = divmod(flat, m)
-        a, b = min(a, b), max(a, b)
-        na, nb = size[a], size[b]
-        cent[a] = (na * cent[a] + nb * cent[b]) / (na + nb)
-        size[a] = na + nb
-        alive[b] = False
-        owner[owner == b] = a
-        cost[b, :] = np.inf
-        cost[:, b] = np.inf
-        d2 = ((cent - cent[a]) ** 2).sum(-1)
-        row = (size * size[a]) / (size + size[a]) * d2
-        row[~alive] = np.inf
-        row[a] = np.inf
-        cost[a, :] = row
-        cost[:, a] = row
-        groups -= 1
-    return owner
-
-
-def ward(m: DataFrame, id_col: str, k: int, n: int | None = None, exact_max: int = WARD_EXACT_MAX):
-    """M6: agglomerative Ward clustering -> labelled matrix with ``cluster``.
-
-    Up to ``exact_max`` rows the points themselves are merged (exact). Above it, Spark
-    k-means first reduces the rows to ``exact_max`` weighted micro-clusters; only those
-    summaries reach the driver, and the label map goes back as a broadcast."""
-    n = m.count() if n is None else n
-    if n <= exact_max:
-        rows = m.select(id_col, F.col(Z).alias("x")).orderBy(id_col).collect()   # bounded
-        ids = [r[0] for r in rows]
-        x = np.array([r[1] for r in rows], dtype=float)
-        owner = ward_merge(x, np.ones(len(x)), k)
-        groups = _number_groups(owner)
-        lab = m.sparkSession.createDataFrame(list(zip(ids, [int(groups[o]) for o in owner])),
-                                             f"{id_col} {_sql_type(m, id_col)}, cluster int")
-        return m.join(F.broadcast(lab), id_col)
-    (x, _, _), = lloyd(m, id_col, [(exact_max, SEED)], max_iter=20)
-    micro = label_rows(m, x, "__micro")
-    w_rows = {r["__micro"]: r["count"] for r in micro.groupBy("__micro").count().collect()}   # <= exact_max
-    w = np.array([w_rows.get(i, 0) for i in range(len(x))], dtype=float)
-    live = np.where(w > 0)[0]
-    sub = ward_merge(x[live], w[live], k)
-    groups = _number_groups(sub)
-    label_of = np.full(len(x), -1)
-    label_of[live] = [groups[int(o)] for o in sub]
-    mapping = F.array(*[F.lit(int(v)) for v in label_of])
-    return micro.withColumn("cluster", F.element_at(mapping, F.col("__micro") + 1)).drop("__micro")
-
-
-def _number_groups(owner: np.ndarray) -> dict:
-    """Number groups by size descending, then by first member."""
-    uniq, first, counts = np.unique(owner, return_index=True, return_counts=True)
-    order = sorted(range(len(uniq)), key=lambda i: (-counts[i], first[i]))
-    return {int(uniq[i]): rank for rank, i in enumerate(order)}
-
-
-def _sql_type(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()

@@ -36,30 +36,16 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
-AUTO_EXACT_BELOW = 1000     # "auto": small estimates are recounted exactly (cheap)
-AUTO_MARGIN = 0.1           # "auto": estimates within 10% of a threshold are recounted exactly
-
-
-def distinct_counts(df: DataFrame, cols: list[str], approx: bool | str = False,
-                    thresholds: tuple = ()) -> dict[str, int]:
+def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> dict[str, int]:
     """Distinct non-missing values per column.
 
     Exact form: long (column, value) rows, de-duplicated with a partial (map-side)
     aggregate before the shuffle, then counted per column. No Expand node, and a
     hot value is collapsed before it is shuffled. ``approx=True``: one HLL pass.
-    ``approx="auto"``: one HLL pass, then exact counts only for columns whose estimate
-    is small or near one of ``thresholds`` - decisions stay exact, large columns skip
-    the shuffle of their values.
     """
     if not cols:
         return {}
     types = field_types(df)
-    if approx == "auto":
-        est = distinct_counts(df, cols, True)
-        near = [c for c in cols if est[c] <= AUTO_EXACT_BELOW
-                or any(abs(est[c] - t) <= AUTO_MARGIN * t + 2 for t in thresholds)]
-        est.update(distinct_counts(df, near, False))
-        return est
     if approx:
         row = df.agg(*[F.approx_count_distinct(F.when(~is_missing(c, types[c]), F.col(c))).alias(c)
                        for c in cols]).first()
@@ -80,27 +66,8 @@ def distinct_counts(df: DataFrame, cols: list[str], approx: bool | str = False,
     return out
 
 
-DATE_SAMPLE = 50   # the date test looks at the first 50 non-null values (by ``order_by`` when given)
-
-
-def first_date_counts(df: DataFrame, cols: list[str], order_by: str) -> dict[str, tuple[int, int]]:
-    """{column: (values looked at, values that parse as dates)} over the first 50 non-null
-    values of each text column by ``order_by``; ``row_number() <= 50`` is cut per column
-    before the shuffle."""
-    if not cols:
-        return {}
-    long = df.select(order_by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols]))).where(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy(order_by)
-    first = long.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= DATE_SAMPLE)
-    got = first.groupBy("column").agg(F.count(F.lit(1)).alias("n"),
-                                      F.count(parse_text_datetime(F.col("value"))).alias("d")).collect()
-    return {r["column"]: (r["n"], r["d"]) for r in got}
-
-
-def column_facts(df: DataFrame, approx: bool = False, order_by: str | None = None) -> tuple[int, dict[str, dict]]:
-    """One pass: row count, non-null counts, numeric-text and date-text counts, hour sums.
-    With ``order_by`` the date test uses the first 50 non-null values of each text column."""
+def column_facts(df: DataFrame, approx: bool = False) -> tuple[int, dict[str, dict]]:
+    """One pass: row count, non-null counts, numeric-text and date-text counts over all values."""
     types = field_types(df)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c, dt in types.items():
@@ -120,13 +87,8 @@ def column_facts(df: DataFrame, approx: bool = False, order_by: str | None = Non
     need_distinct = [c for c, dt in types.items()
                      if not is_numeric_type(dt) and not is_nested_type(dt) and not is_time_type(dt)
                      and not isinstance(dt, T.BooleanType)]
-    limits = (1, ONE_HOT_MAX, ID_LIKE_RATIO * n)
-    for c, k in distinct_counts(df, need_distinct, approx, limits).items():
+    for c, k in distinct_counts(df, need_distinct, approx).items():
         facts[c]["distinct"] = k
-    if order_by is not None:
-        texts = [c for c, dt in types.items() if isinstance(dt, T.StringType)]
-        for c, (looked, dates) in first_date_counts(df, texts, order_by).items():
-            facts[c]["date_base"], facts[c]["dates"] = looked, dates
     return n, facts
 
 
@@ -138,8 +100,7 @@ def classify(n_rows: int, f: dict) -> tuple[int | None, str | None, bool]:
         return None, None, False
     if is_time_type(dt):
         return None, "datetime", False
-    base = f.get("date_base", nn)
-    if isinstance(dt, T.StringType) and base > 0 and f["dates"] / base > DATE_TEXT_RATIO:
+    if isinstance(dt, T.StringType) and nn > 0 and f["dates"] / nn > DATE_TEXT_RATIO:
         return None, "datetime", False
     if is_nested_type(dt):
         return None, None, False
@@ -169,11 +130,10 @@ class Preview:
     categorical_columns: list[str]
 
 
-def preview_columns(df: DataFrame, approx: bool = False, order_by: str | None = None) -> Preview:
-    """Per-column counts, dtype, cardinality, classification, numeric and categorical lists.
-    ``order_by`` gives the row order for the date test (first 50 non-null values); without it,
-    every non-null value is looked at."""
-    n, facts = column_facts(df, approx, order_by)
+def preview_columns(df: DataFrame, approx: bool = False) -> Preview:
+    """Per-column counts, dtype, cardinality, classification, numeric and categorical lists,
+    from all values (as the encoder sees them)."""
+    n, facts = column_facts(df, approx)
     rows, numeric, categorical = [], [], []
     for pos, (c, f) in enumerate(facts.items()):
         card, enc, idl = classify(n, f)
@@ -186,8 +146,8 @@ def preview_columns(df: DataFrame, approx: bool = False, order_by: str | None =
     return Preview(spark.createDataFrame(rows, PROFILE_SCHEMA), n, len(facts), numeric, categorical)
 
 
-def classify_columns(df: DataFrame, approx: bool = False, order_by: str | None = None) -> DataFrame:
-    return preview_columns(df, approx, order_by).columns
+def classify_columns(df: DataFrame, approx: bool = False) -> DataFrame:
+    return preview_columns(df, approx).columns
 
 
 def usable_columns(preview: Preview) -> bool:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,32 +18,36 @@ RUN = ("id string, title string, dataset_source string, dataset_id string, datas
 CHART = "analysis_id string, chart_type string, title string, plotly_json string, display_order int"
 
 
+def _read(make):
+    """The table, or None when its path does not exist yet; any other failure is raised."""
+    try:
+        return make()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 class RunStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     # -- versions
     def _version(self) -> int:
-        try:
-            v = self.spark.read.parquet(f"{self.root}/versions").agg(F.max("version")).first()[0]
-            return int(v) if v is not None else 0
-        except Exception:  # noqa: BLE001 - no table yet
-            return 0
+        df = _read(lambda: self.spark.read.schema("version int").parquet(f"{self.root}/versions"))
+        v = None if df is None else df.agg(F.max("version")).first()[0]
+        return 0 if v is None else int(v)
 
     def _path(self, table: str, version: int | None = None) -> str:
         return f"{self.root}/v{self._version() if version is None else version}/{table}"
 
     def runs(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(RUN).parquet(self._path("runs"))
-        except Exception:  # noqa: BLE001
-            return self.spark.createDataFrame([], RUN)
+        df = _read(lambda: self.spark.read.schema(RUN).parquet(self._path("runs")))
+        return self.spark.createDataFrame([], RUN) if df is None else df
 
     def charts(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(CHART).parquet(self._path("charts"))
-        except Exception:  # noqa: BLE001
-            return self.spark.createDataFrame([], CHART)
+        df = _read(lambda: self.spark.read.schema(CHART).parquet(self._path("charts")))
+        return self.spark.createDataFrame([], CHART) if df is None else df
 
     # -- W2
     def save(self, run: dict, charts: list[dict]) -> str:

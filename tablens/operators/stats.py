@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.exprs import round_half_up
 from ..functions.quantiles import quantiles
 
-# Fixed value: correlation is computed on the first 30 features.
-MAX_CORR_FEATURES = 30
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -26,7 +24,7 @@ def column_stats(df: DataFrame, features: list[str], decimals: int | None = 4, e
     """A1: (position, feature, mean, std, min, max, median, q25, q75); std is the sample std,
     quartiles interpolate linearly. ``exact=False`` swaps in bounded-memory sketches."""
     r = (lambda c: round_half_up(c, decimals)) if decimals is not None else (lambda c: c)
-    # exact quartiles: bounded memory at any size (one percentile pass while the data are small)
+    # exact quartiles with bounded memory
     known = quantiles(df, features, list(QUARTILES)) if exact else None
     items = []
     for i, c in enumerate(features):
@@ -43,9 +41,9 @@ def column_stats(df: DataFrame, features: list[str], decimals: int | None = 4, e
         r(F.col("q")[1]).alias("median"), r(F.col("q")[0]).alias("q25"), r(F.col("q")[2]).alias("q75"))
 
 
-def correlation_long(df: DataFrame, features: list[str], cap: int = MAX_CORR_FEATURES,
+def correlation_long(df: DataFrame, features: list[str], cap: int | None = None,
                      decimals: int | None = 4) -> DataFrame:
-    """A2: Pearson correlation of the first ``cap`` features, full symmetric long form
+    """A2: Pearson correlation of the first ``cap`` features (else all), full symmetric long form
     (f1, f2, r) with a unit diagonal; all pairs in one aggregate pass."""
     cols = features[:cap]
     r = (lambda c: round_half_up(c, decimals)) if decimals is not None else (lambda c: c)

@@ -57,8 +57,9 @@ def priority_rank(c: Column) -> Column:
 
 def validate(df: DataFrame) -> DataFrame:
     """Enum and length checks (the table's CHECK constraints): a bad row fails the job."""
-    bad = (~F.col("status").isin(*STATUSES) | ~F.col("priority").isin(*PRIORITIES)
-           | (F.length("title") < 1) | (F.length("title") > TITLE_MAX))
+    good = (F.col("status").isin(*STATUSES) & F.col("priority").isin(*PRIORITIES)
+            & F.length("title").between(1, TITLE_MAX))
+    bad = ~F.coalesce(good, F.lit(False))      # a null is no valid status, priority or title
     # a filter predicate is always evaluated (a dropped check column would be pruned away)
     return df.where(F.when(bad, F.raise_error(F.concat(F.lit("invalid ticket "), F.col("id").cast("string"))))
                     .otherwise(F.lit(True)))
@@ -91,6 +92,11 @@ def list_tickets(df: DataFrame, status: str | None = None, priority: str | None
     return df
 
 
+def get(df: DataFrame, ticket_id: int) -> DataFrame:
+    """One ticket by id (no row when absent)."""
+    return df.where(F.col("id") == ticket_id)
+
+
 def ordered(df: DataFrame) -> DataFrame:
     """Critical > high > medium > low, then newest first (id breaks ties); with ``position``."""
     return with_position(df, priority_rank(F.col("priority")), F.col("created_at").desc(), F.col("id"))
@@ -105,12 +111,18 @@ def stats(df: DataFrame) -> DataFrame:
     return g.select(dim.alias("dimension"), val.alias("value"), "count")
 
 
-def apply_changes(df: DataFrame, changes: DataFrame, as_of) -> DataFrame:
-    """K5: one change row per id; non-null fields overwrite; closing sets ``solved_at``,
-    reopening clears it; ``updated_at`` moves only when something was given; unknown ids
-    are ignored. ``as_of`` is the batch's clock."""
-    ch = changes.select(F.col("id").alias("__cid"), *[F.col(f).alias(f"__n_{f}") for f in FIELDS
-                                                        if f in changes.columns])
+def apply_changes(df: DataFrame, changes: DataFrame, as_of, order: str | None = None) -> DataFrame:
+    """K5: non-null fields overwrite; closing sets ``solved_at``, reopening clears it;
+    ``updated_at`` moves only when something was given; unknown ids are ignored. Several changes
+    of one id fold into one: each field takes its last non-null value by ``order``; without an
+    ``order`` a repeated id fails the job. The result is validated. ``as_of`` is the batch's clock."""
+    fields = [f for f in FIELDS if f in changes.columns]
+    if order is None:
+        folded = [F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a ticket id is changed twice and no order is given")))
+                  .otherwise(F.any_value(f)).alias(f"__n_{f}") for f in fields]
+    else:
+        folded = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f"__n_{f}") for f in fields]
+    ch = changes.groupBy(F.col("id").alias("__cid")).agg(F.count(F.lit(1)).alias("__changes"), *folded)
     given = [f for f in FIELDS if f in changes.columns]
     j = df.join(ch, df.id == ch.__cid, "left")
     any_given = F.lit(False)
@@ -131,7 +143,7 @@ def apply_changes(df: DataFrame, changes: DataFrame, as_of) -> DataFrame:
             cols.append(solved.alias(c))
         else:
             cols.append(F.col(c))
-    return j.select(*cols)
+    return validate(j.select(*cols))
 
 
 def delete(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -24,13 +24,11 @@ def _profile_sql(tbl: str, cols: list[tuple[str, str]], key: str) -> str:
     fmts = "[" + ", ".join(f"'{f}'" for f in SQL_DATE_FORMATS) + "]"
     parts = []
     for pos, (c, dtype) in enumerate(cols):
-        first50 = (f"(SELECT count(*) AS n, count(try_strptime({c}, {fmts})) AS d FROM "
-                   f"(SELECT {c} FROM {tbl} WHERE {c} IS NOT NULL ORDER BY {key} LIMIT 50))")
         head = f"SELECT {pos} AS position, '{c}' AS \"column\", '{dtype}' AS dtype, " \
                f"count({c}) AS non_null_count, count(*) - count({c}) AS null_count"
         if dtype == "string":
             nn, k = f"count({c})", f"count(DISTINCT {c})"
-            date_like = f"((SELECT n FROM {first50}) > 0 AND (SELECT d FROM {first50}) / (SELECT n FROM {first50}) > 0.5)"
+            date_like = f"(count({c}) > 0 AND count(try_strptime({c}, {fmts})) / count({c}) > 0.5)"
             card = f"CASE WHEN {date_like} THEN NULL ELSE {k} END AS cardinality"
             enc = (f"CASE WHEN {date_like} THEN 'datetime' WHEN {nn} = 0 OR {k} <= 1 THEN NULL "
                    f"WHEN {k} / count(*) > 0.9 THEN NULL "
@@ -55,17 +53,17 @@ ORDERS_COLS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatu
 
 @query("column_profile_part", _profile_sql("part", PART_COLS, "p_partkey"))
 def column_profile_part(spark, sf):
-    return profile.classify_columns(table(spark, sf, "part"), order_by="p_partkey")
+    return profile.classify_columns(table(spark, sf, "part"))
 
 
 @query("column_profile_customer", _profile_sql("customer", CUSTOMER_COLS, "c_custkey"))
 def column_profile_customer(spark, sf):
-    return profile.classify_columns(table(spark, sf, "customer"), order_by="c_custkey")
+    return profile.classify_columns(table(spark, sf, "customer"))
 
 
 @query("column_profile_orders", _profile_sql("orders", ORDERS_COLS, "o_orderkey"))
 def column_profile_orders(spark, sf):
-    return profile.classify_columns(table(spark, sf, "orders"), order_by="o_orderkey")
+    return profile.classify_columns(table(spark, sf, "orders"))
 
 
 # ---------------------------------------------------------------- lineitem with blanked values
@@ -421,3 +419,26 @@ def label_centroids(spark, sf):
     cent = feats.groupBy("cluster").agg(F.avg("p_brand").alias("value")).withColumn("feature", F.lit("p_brand"))
     out = prep.decode_labels(cent, enc.label_maps)
     return rounded(out.select("cluster", F.col("value").alias("mean_code"), "category"))
+
+
+@query("coerce_text_numbers", f"""
+WITH v AS (SELECT l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_quantity END AS q, l_tax FROM lineitem),
+m AS (SELECT quantile_cont(q, 0.5) AS mq FROM v)
+SELECT id, {r4('l_tax')} AS l_tax, {r4('coalesce(q, mq)')} AS quantity_text FROM v, m""")
+def coerce_text_numbers(spark, sf):
+    """Numbers held as text; the text ``nan`` is missing and takes the median."""
+    li = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_tax",
+        F.when(F.col("l_orderkey") % 10 == 0, "nan").otherwise(F.col("l_quantity").cast("string")).alias("quantity_text"))
+    return rounded(prep.prepare_features(li, "id", numeric=["l_tax"], categorical=["quantity_text"]).features)
+
+
+@query("feature_limit", """
+SELECT o_orderkey AS id, o_totalprice, dense_rank() OVER (ORDER BY o_orderpriority)::DOUBLE - 1 AS o_orderpriority,
+  CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END::DOUBLE AS "o_orderstatus_O",
+  CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END::DOUBLE AS "o_orderstatus_P" FROM orders""")
+def feature_limit(spark, sf):
+    """With room for three encoded columns the wider one-hot group falls back to codes."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderpriority", "o_orderstatus")
+    p = prep.prepare_features(o, "id", numeric=["o_totalprice"], categorical=["o_orderpriority", "o_orderstatus"], max_features=3)
+    return p.features

@@ -1,12 +1,13 @@
 """Registered queries for the models (M1-M8) and the whole analysis.
 
-Seeded models (k-means, Ward, DBSCAN with auto eps, isolation forest, PCA signs)
-cannot match another engine's random streams, so they have no SQL twin; the
-driver checks their row counts. Parts that SQL can state exactly have twins:
-per-point silhouette for given labels, k-th neighbour distances, core flags.
+Seeded models (k-means, isolation forest) cannot match another engine's random streams, so they
+have no SQL twin. Parts that SQL can state exactly have twins: the linear silhouette for given
+labels, assignment to given centres, one k-means step, k-th neighbour distances, core flags and
+DBSCAN labels for a given eps.
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import density, iforest, models, prep
@@ -45,20 +46,13 @@ def pca_customer(spark, sf):
     return rounded(pts)
 
 
-@query("ward_customer")
-def ward_customer(spark, sf):
-    """M6: Ward clustering with k = 4 (exact up to 1,000 rows, micro-clusters beyond)."""
-    p, m = _customer(spark, sf)
-    return models.ward(m, "c_custkey", 4, p.n_rows).select("c_custkey", "cluster")
-
-
 @query("dbscan_customer")
 def dbscan_customer(spark, sf):
     """M4 + M5: auto eps, min_samples = max(5, n // 100); noise is -1."""
     p, m = _customer(spark, sf)
     ms = max(5, p.n_rows // 100)
     eps = density.auto_eps(m, "c_custkey", ms, p.n_rows)
-    out, _ = density.dbscan(m, "c_custkey", eps, ms, p.n_rows)
+    out, _ = density.dbscan(m, "c_custkey", eps, ms)
     return out.select("c_custkey", "cluster")
 
 
@@ -83,22 +77,72 @@ def analysis_rows_customer(spark, sf):
 EMB_SQL = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
 
 
-@query("silhouette_given_labels", f"""
+#: Linear silhouette (squared Euclidean) of every embedding for its given label; used by two queries.
+SILHOUETTE_SQL = f"""
 WITH e AS ({EMB_SQL}),
-d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS c
-      FROM e a JOIN e b ON true GROUP BY a.vec_id, a.label, b.label),
-p AS (SELECT vec_id, own,
-        max(CASE WHEN other = own THEN CASE WHEN c > 1 THEN s / (c - 1) ELSE 0 END END) AS a,
-        min(CASE WHEN other <> own THEN s / c END) AS b,
-        max(CASE WHEN other = own THEN c END) AS n_own FROM d GROUP BY vec_id, own)
-SELECT vec_id AS id, own::INT AS cluster,
-  {r4("CASE WHEN n_own <= 1 THEN 0.0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END")} AS silhouette
-FROM p""")
+u AS (SELECT vec_id, label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e),
+m AS (SELECT label, i, avg(x) AS mean FROM u GROUP BY label, i),
+z AS (SELECT label, count(*) AS n, avg(list_inner_product(v, v)) AS square FROM e GROUP BY label),
+c AS (SELECT vec_id, m.label AS other, sum(x * mean) AS dot FROM u JOIN m USING (i) GROUP BY vec_id, m.label),
+d AS (SELECT e.vec_id, e.label AS own, other, n, greatest(list_inner_product(v, v) + square - 2 * dot, 0) AS far
+      FROM e JOIN c USING (vec_id) JOIN z ON z.label = other),
+p AS (SELECT vec_id, own, max(CASE WHEN other = own THEN far * n / greatest(n - 1, 1) END) AS a,
+        min(CASE WHEN other <> own THEN far END) AS b, max(CASE WHEN other = own THEN n END) AS n FROM d GROUP BY vec_id, own),
+s AS (SELECT vec_id AS id, own::INT AS cluster, CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS s FROM p)"""
+
+
+@query("silhouette_given_labels", f"{SILHOUETTE_SQL} SELECT id, cluster, {r4('s')} AS silhouette FROM s")
 def silhouette_given_labels(spark, sf):
-    """M7 per point, exact Euclidean, on the raw embeddings with their given labels."""
+    """M7 per point, linear form (squared Euclidean), on the raw embeddings with their given labels."""
     return rounded(models.silhouette(_embeddings_matrix(spark, sf), "vec_id", per_point=True))
 
 
+def _label_centres(spark, sf):
+    return np.stack(models.cluster_summaries(_embeddings_matrix(spark, sf))["mean"].to_numpy())
+
+
+CENTRES_SQL = f"""
+WITH e AS ({EMB_SQL}),
+u AS (SELECT vec_id, label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e),
+m AS (SELECT label, i, avg(x) AS mean FROM u GROUP BY label, i),
+d AS (SELECT vec_id, m.label AS c, sum((x - mean) * (x - mean)) AS far FROM u JOIN m USING (i) GROUP BY vec_id, m.label),
+n AS (SELECT vec_id, (dense_rank() OVER (ORDER BY c) - 1)::INT AS c, far FROM d),
+g AS (SELECT vec_id, arg_min(c, far) AS cluster FROM n GROUP BY vec_id)"""
+
+
+@query("kmeans_assign", f"{CENTRES_SQL} SELECT vec_id, cluster FROM g")
+def kmeans_assign(spark, sf):
+    """M3, assignment: every embedding to the nearest of the labels' mean vectors."""
+    m = _embeddings_matrix(spark, sf).drop("cluster")
+    return models.label_rows(m, _label_centres(spark, sf)).select("vec_id", "cluster")
+
+
+@query("kmeans_step", f"""{CENTRES_SQL}
+SELECT cluster, (i - 1)::INT AS position, {r4('avg(x)')} AS centre, count(*) AS rows
+FROM u JOIN g USING (vec_id) GROUP BY cluster, i""")
+def kmeans_step(spark, sf):
+    """M3, one step: the mean of the embeddings nearest to each of the labels' mean vectors."""
+    return rounded(models.lloyd_step(_embeddings_matrix(spark, sf), _label_centres(spark, sf)))
+
+
+@query("dbscan_labels", f"""
+WITH RECURSIVE e AS ({EMB_SQL}),
+ms AS (SELECT greatest(5, count(*) // 100) AS ms FROM e),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON list_distance(a.v, b.v) <= 1.25),
+k AS (SELECT x FROM p GROUP BY x HAVING count(*) >= (SELECT ms FROM ms)),
+l AS (SELECT p.x, p.y FROM p JOIN k a ON a.x = p.x JOIN k b ON b.x = p.y),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY x),
+n AS (SELECT x, (dense_rank() OVER (ORDER BY low) - 1)::INT AS cluster FROM c),
+b AS (SELECT p.x, min(n.cluster) AS cluster FROM p JOIN n ON n.x = p.y GROUP BY p.x)
+SELECT vec_id, coalesce(n.cluster, b.cluster, -1) AS cluster FROM e LEFT JOIN n ON n.x = vec_id LEFT JOIN b ON b.x = vec_id""")
+def dbscan_labels(spark, sf):
+    """M5 on the raw embeddings with eps = 1.25, min_samples = max(5, n // 100)."""
+    m = _embeddings_matrix(spark, sf).drop("cluster")
+    out, _ = density.dbscan(m, "vec_id", 1.25, max(5, m.count() // 100))
+    return out.select("vec_id", "cluster")
+
+
 @query("knn_distance", f"""
 WITH e AS ({EMB_SQL}),
 n AS (SELECT least(greatest(5, count(*) // 100), count(*) - 1) AS k FROM e),
@@ -122,13 +166,13 @@ def dbscan_core_flags(spark, sf):
     """M5 first pass: neighbour counts within eps = 1.25 (self included) and core flags."""
     m = _embeddings_matrix(spark, sf)
     n = m.count()
-    counts = density.neighbour_counts(m, "vec_id", 1.25, n)
+    counts = density.neighbour_counts(m, "vec_id", 1.25)
     return counts.select("id", "neighbours", (F.col("neighbours") >= max(5, n // 100)).alias("core"))
 
 
 @query("choose_k_customer")
 def choose_k_customer(spark, sf):
-    """M2: the silhouette sweep (k, silhouette on the fixed 1,000-row sample) and the chosen k."""
+    """M2: the sweep (k, linear silhouette over all rows) and the chosen k."""
     p, m = _customer(spark, sf)
     k, trace, _ = models.choose_k(m, "c_custkey", p.n_rows)
     return spark.createDataFrame([(kk, s, kk == k) for kk, s in trace], "k int, silhouette double, chosen boolean")

@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 from ..operators import iforest, models, prep, profile, profiles, stats
 from ..operators import density
 
-ALGORITHMS = ("kmeans", "dbscan", "hierarchical")
+ALGORITHMS = ("kmeans", "dbscan")
 # Accepted anomaly share.
 CONTAMINATION_MIN, CONTAMINATION_MAX = 0.01, 0.5
-# Rows up to which the final silhouette is exact over all points; above it, a fixed sample of this size.
-SILHOUETTE_EXACT_MAX = 20_000
 
 
 @dataclass
@@ -60,7 +58,7 @@ class Analysis:
         return prep.decode_labels(self.centroids, maps)
 
 
-def cluster(m: DataFrame, id_col: str, n: int, algorithm: str = "kmeans", k: int | None = None):
+def cluster(m: DataFrame, id_col: str, n: int, algorithm: str = "kmeans", k: int | None = None, eps: float | None = None):
     """Dispatch: (labelled matrix, n_clusters, params)."""
     if algorithm == "kmeans":
         if k is None:
@@ -71,19 +69,15 @@ def cluster(m: DataFrame, id_col: str, n: int, algorithm: str = "kmeans", k: int
         return labelled, k, {"n_clusters": k, "n_init": models.KMEANS_RESTARTS}
     if algorithm == "dbscan":
         min_samples = max(5, n // 100)
-        eps = density.auto_eps(m, id_col, min_samples, n)
-        labelled, n_clusters = density.dbscan(m, id_col, eps, min_samples, n)
+        eps = density.auto_eps(m, id_col, min_samples, n) if eps is None else eps
+        labelled, n_clusters = density.dbscan(m, id_col, eps, min_samples)
         return labelled, n_clusters, {"eps": round(eps, 4), "min_samples": min_samples}
-    if algorithm == "hierarchical":
-        if k is None:
-            k, _, _ = models.choose_k(m, id_col, n, final_restarts=0)
-        return models.ward(m, id_col, k, n), k, {"n_clusters": k, "linkage": "ward"}
     raise ValueError(f"Unknown algorithm: {algorithm}")
 
 
 def analyze(df: DataFrame, id_col: str | None = None, name: str = "dataset", algorithm: str = "kmeans",
             k: int | None = None, numeric: list[str] | None = None, categorical: list[str] | None = None,
-            contamination: float = 0.05) -> Analysis:
+            contamination: float = 0.05, eps: float | None = None) -> Analysis:
     if algorithm not in ALGORITHMS:
         raise ValueError(f"Unknown algorithm: {algorithm}")
     if not CONTAMINATION_MIN <= contamination <= CONTAMINATION_MAX:
@@ -95,10 +89,9 @@ def analyze(df: DataFrame, id_col: str | None = None, name: str = "dataset", alg
     m = models.matrix(p)
     n = p.n_rows
     loadings, _ = models.pca_fit(p, m)
-    labelled, n_clusters, params = cluster(m, p.id_col, n, algorithm, k)
+    labelled, n_clusters, params = cluster(m, p.id_col, n, algorithm, k, eps)
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
-    sample = None if n <= SILHOUETTE_EXACT_MAX else SILHOUETTE_EXACT_MAX
-    sil = models.silhouette(labelled, p.id_col, sample=sample)
+    sil = models.silhouette(labelled, p.id_col)
     with_pcs = labelled.select("*", *models.pc_columns(p, loadings))
     pcs = [f"pc{j + 1}" for j in range(loadings.shape[1])]
     rows = iforest.detect_anomalies(with_pcs, p.id_col, n, contamination, keep=["cluster", *pcs])
@@ -109,7 +102,7 @@ def analyze(df: DataFrame, id_col: str | None = None, name: str = "dataset", alg
         sizes=profiles.cluster_sizes(labelled), centroids=profiles.cluster_centroids(labelled, p.names),
         top=profiles.top_features(labelled, p.names), column_stats=stats.column_stats(p.features, p.names),
         correlation=stats.correlation_long(p.features, p.names), prepared=p,
-        extra={"silhouette_sample": sample, "cached": [m, labelled]})
+        extra={"cached": [m, labelled]})
 
 
 def charts(a: Analysis) -> dict:

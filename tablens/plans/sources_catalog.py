@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, series, stats
+from ..operators import catalog, profiles, series, stats
 from ..session import scratch_path, table
 from ..sources import content, readers, sinks
 from ..streaming.sessions import closed_sessions
@@ -42,12 +42,11 @@ def direct_link(spark, sf):
     return table(spark, sf, "pages").select("page_id", content.direct_link(F.col("url")).alias("direct"))
 
 
-@query("csv_roundtrip", """
-SELECT c_custkey::INTEGER AS c_custkey, c_name, c_nationkey::INTEGER AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+@query("csv_roundtrip", "SELECT doc_id::INTEGER AS doc_id, text, lang, source, n_chars::INTEGER AS n_chars FROM documents")
 def csv_roundtrip(spark, sf):
-    """W1 then R1: the table written as CSV with a header to the shared folder and read back."""
-    path = scratch_path(spark, "customer-csv")
-    sinks.write_csv(table(spark, sf, "customer"), path)
+    """W1 then R1: texts with quotes, separators and line breaks written as CSV to the shared folder and read back."""
+    path = scratch_path(spark, "documents-csv")
+    sinks.write_csv(table(spark, sf, "documents"), path)
     return readers.load_table(spark, path, fmt="csv")
 
 
@@ -155,8 +154,35 @@ SELECT label::INT AS cluster_id, (i - 1)::INTEGER AS position, 'e' || (i - 1) AS
   {r4('quantile_cont(embedding[i]::DOUBLE, 0.0)')} AS min, {r4('quantile_cont(embedding[i]::DOUBLE, 0.25)')} AS q1,
   {r4('quantile_cont(embedding[i]::DOUBLE, 0.5)')} AS median, {r4('quantile_cont(embedding[i]::DOUBLE, 0.75)')} AS q3,
   {r4('quantile_cont(embedding[i]::DOUBLE, 1.0)')} AS max, {r4('avg(embedding[i]::DOUBLE)')} AS mean
-FROM embeddings, range(1, 7) t(i) GROUP BY label, i""")
+FROM embeddings, range(1, 65) t(i) GROUP BY label, i""")
 def series_boxes(spark, sf):
-    """C4: per given label, five-number summaries and means of the first six features."""
+    """C4: per given label, five-number summaries and means of all features."""
     w = embeddings_wide(spark, sf)
     return rounded(series.feature_boxes(w, [f"e{i}" for i in range(EMB_DIM)]))
+
+
+@query("anomaly_overlay", """
+SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity AS pc1, l_extendedprice AS pc2,
+  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS anomaly FROM lineitem""")
+def anomaly_overlay(spark, sf):
+    """C8 / T6 with more anomalies than points asked for: all anomalies and all normals."""
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("pc1"), F.col("l_extendedprice").alias("pc2"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("anomaly"))
+    return series.anomaly_overlay(rows, "id", 100)
+
+
+@query("cluster_bars", """
+SELECT 'Cluster ' || label AS series, count(*) AS size,
+  round(CAST(count(*) * 100.0 / sum(count(*)) OVER () AS DECIMAL(38,10)), 1)::DOUBLE || '%' AS text FROM embeddings GROUP BY label""")
+def cluster_bars(spark, sf):
+    """C3 for the given labels."""
+    return series.cluster_bars(profiles.cluster_sizes(table(spark, sf, "embeddings").select(F.col("label").alias("cluster"))))
+
+
+@query("series_heatmap", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS f1, '{b}' AS f2, {'1.0::DOUBLE' if a == b else 'coalesce(' + r4(f'corr({a}, {b})') + ', 0.0)'} AS r FROM lineitem"
+    + (" LIMIT 1" if a == b else "") for a in LI for b in LI).replace("FROM lineitem LIMIT 1", "FROM (SELECT 1)"))
+def series_heatmap(spark, sf):
+    """C5 from A2 on lineitem."""
+    return series.heatmap(stats.correlation_long(table(spark, sf, "lineitem"), LI))

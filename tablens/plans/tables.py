@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chat, labels, models, profiles, tickets
 from ..session import table
+from .modelling import SILHOUETTE_SQL
 from .registry import query, r4, rounded
 
 AS_OF = "2024-01-01 00:00:00"
@@ -91,6 +92,31 @@ def ticket_apply(spark, sf):
     return out.select("id", "status", "priority", "resolution", "updated_at", "solved_at")
 
 
+# order lines in a total order
+LINE = "row(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag)"
+
+
+@query("ticket_apply_ordered", f"""
+WITH t AS ({TICKETS_SQL}),
+c AS (SELECT l_orderkey AS id, arg_max(CASE WHEN l_returnflag = 'R' THEN 'wont_fix' WHEN l_returnflag = 'A' THEN 'open' END, {LINE})
+               FILTER (l_returnflag IN ('R', 'A')) AS n_status,
+             arg_max(CASE WHEN l_quantity >= 45 THEN 'critical' WHEN l_quantity >= 30 THEN 'high' END, {LINE})
+               FILTER (l_quantity >= 30) AS n_priority FROM lineitem GROUP BY l_orderkey)
+SELECT t.id, coalesce(n_status, status) AS status, coalesce(n_priority, priority) AS priority,
+  CASE WHEN n_status = 'wont_fix' THEN TIMESTAMP '{AS_OF}'
+       WHEN n_status IS NOT NULL AND status IN ('solved', 'wont_fix') THEN NULL ELSE solved_at END AS solved_at
+FROM t LEFT JOIN c ON t.id = c.id""")
+def ticket_apply_ordered(spark, sf):
+    """K5 with several changes per ticket (one for each order line): the last given value of each field wins."""
+    flag, qty = F.col("l_returnflag"), F.col("l_quantity")
+    changes = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag").alias("line"),
+        F.when(flag == "R", "wont_fix").when(flag == "A", "open").alias("status"),
+        F.when(qty >= 45, "critical").when(qty >= 30, "high").alias("priority"))
+    out = tickets.apply_changes(ticket_table(spark, sf), changes, AS_OF, order="line")
+    return out.select("id", "status", "priority", "solved_at")
+
+
 @query("ticket_delete", f"""
 WITH t AS ({TICKETS_SQL})
 SELECT id FROM t WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 5000)""")
@@ -133,11 +159,9 @@ def _sql_desc(d: str) -> str:
 
 def chat_requests(spark, sf):
     """User turns as ticket titles, the reply that follows as the description."""
-    c = table(spark, sf, "conversations")
-    from pyspark.sql import Window
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return c.select("conv_id", "turn", "role", F.col("text").alias("title"),
-                    F.lead("text").over(w).alias("description")).where(F.col("role") == "user")
+    c = chat.with_next(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn", "text")
+    return c.where(F.col("role") == "user").select(
+        "conv_id", "turn", "role", F.col("text").alias("title"), F.col("next_text").alias("description"))
 
 
 CHAT_REQ_SQL = """
@@ -152,6 +176,17 @@ def text_cleanup(spark, sf):
     return tickets.cleanup(chat_requests(spark, sf)).select("conv_id", "turn", "title", "description")
 
 
+@query("cleanup_preview", f"""
+WITH r AS ({CHAT_REQ_SQL}),
+c AS (SELECT conv_id * 100000 + turn AS id, title AS t0, description AS d0, {_sql_title('title', 'description')} AS t1, {_sql_desc('description')} AS d1 FROM r)
+SELECT id, 'title' AS field, t0 AS before, t1 AS after FROM c WHERE t0 IS DISTINCT FROM t1
+UNION ALL SELECT id, 'description', d0, d1 FROM c WHERE d0 IS DISTINCT FROM d1""")
+def cleanup_preview(spark, sf):
+    """K8: what the clean-up would change."""
+    r = chat_requests(spark, sf).withColumn("id", F.col("conv_id") * 100000 + F.col("turn"))
+    return tickets.cleanup_preview(r)
+
+
 # ------------------------------------------------------------------ chat
 FEEDBACK_KEYWORD = "eau"
 
@@ -164,9 +199,9 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
 
 
 def _flags(spark, sf):
-    # turns are 0, 1, 2, ... within a conversation: the skew-free join form applies
-    return chat.flag_feedback(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", FEEDBACK_KEYWORD,
-                              dense_order=True)
+    # the order has gaps: 0, 2, 6, 12, ...
+    c = table(spark, sf, "conversations").withColumn("pos", F.col("turn") * (F.col("turn") + 1))
+    return chat.flag_feedback(c, "conv_id", "pos", "role", "text", FEEDBACK_KEYWORD)
 
 
 @query("feedback_flags", FLAGS_SQL)
@@ -186,7 +221,7 @@ SELECT conv_id, turn, role, from_end::INTEGER AS from_end FROM (
   SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_end
   FROM conversations) WHERE from_end <= 20""")
 def last_messages(spark, sf):
-    return chat.last_messages(table(spark, sf, "conversations"), "conv_id", "turn", dense_order=True).select(
+    return chat.last_messages(table(spark, sf, "conversations"), "conv_id", "turn").select(
         "conv_id", "turn", "role", "from_end")
 
 
@@ -197,43 +232,36 @@ def _emb_profiles(spark, sf):
 
 
 def _nation_labels(spark, sf):
-    n = table(spark, sf, "nation")
-    r = table(spark, sf, "region")
-    j = n.join(r, n.n_regionkey == r.r_regionkey).where(F.col("n_regionkey") != 2)
-    return j.select(F.col("n_nationkey").cast("int").alias("id"),
-                    F.when(F.col("n_nationkey") == 3, F.lit("")).otherwise(F.col("n_name")).alias("label"),
-                    F.concat(F.lit("Nations of "), F.col("r_name")).alias("description"))
+    """Every nation twice: an early label, and a later one that is blank for some (``at`` tells the order)."""
+    j = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    blank = (F.col("n_nationkey") == 3) | (F.col("n_regionkey") == 2)
+    return j.select(F.col("n_nationkey").cast("int").alias("id"), F.inline(F.array(
+        F.struct(F.lit(2).alias("at"), F.when(blank, F.lit("")).otherwise(F.col("n_name")).alias("label"),
+                 F.when(F.col("n_regionkey") == 2, F.lit(None)).otherwise(F.concat(F.lit("Nations of "), F.col("r_name"))).alias("description")),
+        F.struct(F.lit(1).alias("at"), F.lit("early").alias("label"), F.lit("early").alias("description")))))
 
 
 @query("label_merge", """
 WITH p AS (SELECT label::INT AS cluster_id, count(*) AS size,
              round(CAST(count(*) * 100.0 / sum(count(*)) OVER () AS DECIMAL(38,10)), 1)::DOUBLE AS percentage
            FROM embeddings GROUP BY label),
-l AS (SELECT n_nationkey::INT AS id, CASE WHEN n_nationkey = 3 THEN '' ELSE n_name END AS label,
-             'Nations of ' || r_name AS description FROM nation JOIN region ON n_regionkey = r_regionkey
-      WHERE n_regionkey <> 2)
+l AS (SELECT n_nationkey::INT AS id, CASE WHEN n_nationkey = 3 OR n_regionkey = 2 THEN '' ELSE n_name END AS label,
+             CASE WHEN n_regionkey <> 2 THEN 'Nations of ' || r_name END AS description FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT p.cluster_id AS id, coalesce(nullif(l.label, ''), 'Cluster ' || CAST(p.cluster_id AS VARCHAR)) AS label,
   coalesce(nullif(l.description, ''), 'No description available.') AS description, size, percentage
 FROM p LEFT JOIN l ON p.cluster_id = l.id""")
 def label_merge(spark, sf):
-    return labels.merge_labels(_emb_profiles(spark, sf), _nation_labels(spark, sf))
-
-
-@query("quality_band", f"""
-WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS c
-      FROM e a JOIN e b ON true GROUP BY a.vec_id, a.label, b.label),
-p AS (SELECT vec_id, own,
-        max(CASE WHEN other = own THEN CASE WHEN c > 1 THEN s / (c - 1) ELSE 0 END END) AS a,
-        min(CASE WHEN other <> own THEN s / c END) AS b, max(CASE WHEN other = own THEN c END) AS n_own
-      FROM d GROUP BY vec_id, own),
-s AS (SELECT own::INT AS cluster_id, avg(CASE WHEN n_own <= 1 THEN 0.0 WHEN greatest(a, b) > 0
-        THEN (b - a) / greatest(a, b) ELSE 0.0 END) AS sil FROM p GROUP BY own)
+    """Of repeated label ids the last by order wins; blank labels and missing texts fall back."""
+    return labels.merge_labels(_emb_profiles(spark, sf), _nation_labels(spark, sf), order="at")
+
+
+@query("quality_band", f"""{SILHOUETTE_SQL},
+q AS (SELECT cluster AS cluster_id, avg(s) AS sil FROM s GROUP BY cluster)
 SELECT cluster_id, {r4('sil')} AS silhouette,
   CASE WHEN sil < 0.25 THEN 'poor' WHEN sil < 0.5 THEN 'fair' WHEN sil < 0.75 THEN 'good' ELSE 'excellent' END AS band
-FROM s""")
+FROM q""")
 def quality_band(spark, sf):
-    """L5 on the mean silhouette of each given label of the embeddings."""
+    """L5 on the mean linear silhouette of each given label of the embeddings."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("cluster"),
                                               F.col("embedding").cast("array<double>").alias(models.Z))
     pp = models.silhouette(e, "vec_id", per_point=True)
@@ -260,11 +288,8 @@ FROM x, (SELECT 'user' AS role, 0 AS seq UNION ALL SELECT 'assistant', 1) r0,
 WHERE x.role = 'user' AND x.next_role = 'assistant'""")
 def chat_exchange_rows(spark, sf):
     """Each user turn and the reply that follows become two log rows sharing one flag."""
-    from pyspark.sql import Window
-    c = table(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    ex = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), "role",
-                  F.col("text").alias("user_text"), F.lead("text").over(w).alias("reply_text"),
-                  F.lead("role").over(w).alias("next_role")) \
-        .where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
+    c = chat.with_next(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn", "role", "text")
+    ex = c.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), F.col("text").alias("user_text"),
+        F.col("next_text").alias("reply_text"))
     return chat.exchange_rows(ex, keyword=FEEDBACK_KEYWORD)

@@ -10,7 +10,6 @@ UPLOAD_SUFFIXES = (".csv", ".tsv", ".json", ".parquet", ".xlsx", ".xls")
 LINK_SUFFIXES = (".csv", ".json", ".xlsx", ".xls", ".parquet", ".zip", ".tsv")
 FOLDER_TYPE_ORDER = (".csv", ".json", ".parquet", ".xlsx")
 HEAD_BYTES = 500
-MAX_FILE_BYTES = 50 * 1024 * 1024
 
 
 def content_kind(c: Column) -> Column:
@@ -39,7 +38,7 @@ def dataset_key(source: Column, dataset_id: Column) -> Column:
     return F.concat(source, F.lit("_"), F.regexp_replace(dataset_id, r"[^a-zA-Z0-9_\-]", "_"))
 
 
-def file_inventory(spark: SparkSession, path: str, suffixes=UPLOAD_SUFFIXES, max_bytes: int = MAX_FILE_BYTES,
+def file_inventory(spark: SparkSession, path: str, suffixes=UPLOAD_SUFFIXES, max_bytes: int | None = None,
                    recursive: bool = True) -> DataFrame:
     """(path, length, modificationTime, ok, reason) for every file; the content column
     is never read (binaryFile prunes it when it is not selected). Spark's file listing may
@@ -47,7 +46,9 @@ def file_inventory(spark: SparkSession, path: str, suffixes=UPLOAD_SUFFIXES, max
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path) \
         .select("path", "length", "modificationTime")
     reason = (F.when(~has_suffix(F.col("path"), suffixes), "unsupported type")
-              .when(F.col("length") <= 0, "empty file").when(F.col("length") > max_bytes, "too large"))
+              .when(F.col("length") <= 0, "empty file"))
+    if max_bytes is not None:
+        reason = reason.when(F.col("length") > max_bytes, "too large")
     return files.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
 

@@ -18,7 +18,7 @@ def brute_silhouette(x, lab):
     ids = sorted(x)
     X = np.array([x[i] for i in ids])
     L = np.array([lab[i] for i in ids])
-    d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    d = ((X[:, None] - X[None]) ** 2).sum(-1)      # squared: the linear form
     s = []
     for i in range(len(ids)):
         own = L == L[i]
@@ -71,20 +71,6 @@ def test_isolation_forest_share(spark, fitted):
     assert 10 <= r[0] <= 20 and r[1] == 150
 
 
-def test_ward_recovers_blobs(spark, fitted):
-    p, m, _, truth = fitted
-    got = {r["id"]: r["cluster"] for r in models.ward(m, "id", 3, p.n_rows).select("id", "cluster").collect()}
-    assert all(len({got[i] for i in got if truth[i] == t}) == 1 for t in range(3))
-    assert set(got.values()) == {0, 1, 2}
-
-
-def test_ward_merge_matches_naive():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(12, 2))
-    owner = models.ward_merge(x, np.ones(12), 4)
-    assert len(set(owner)) == 4
-
-
 def brute_kdist(x, k):
     X = np.array([x[i] for i in sorted(x)])
     d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
@@ -93,7 +79,7 @@ def brute_kdist(x, k):
 
 def test_kth_distance_and_eps(spark, fitted):
     p, m, x, _ = fitted
-    got = {r["qid"]: r["kdist"] for r in density.kth_distances(m, "id", 5, [(i, list(v)) for i, v in x.items()]).collect()}
+    got = {r["qid"]: r["kdist"] for r in density.kth_distances_all(m, "id", 5).collect()}
     want = brute_kdist(x, 5)
     assert all(abs(got[i] - want[i]) < 1e-9 for i in x)
     eps = density.auto_eps(m, "id", 5, p.n_rows)
@@ -127,16 +113,33 @@ def brute_dbscan(x, eps, ms):
 def test_dbscan_matches_brute_force(spark, fitted):
     p, m, x, _ = fitted
     for eps, ms in ((0.5, 5), (0.25, 4)):
-        out, n = density.dbscan(m, "id", eps, ms, p.n_rows, block=40)     # small blocks: many block pairs
+        out, n = density.dbscan(m, "id", eps, ms, block=40)     # small blocks: many block pairs
         got = {r["id"]: r["cluster"] for r in out.select("id", "cluster").collect()}
         want = brute_dbscan(x, eps, ms)
         assert got == want and n == len({v for v in want.values() if v >= 0})
 
 
-def test_connected_components(spark):
-    edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (10, 11), (7, 7)], "a long, b long")
-    got = {r["id"]: r["label"] for r in density.connected_components(edges).collect()}
-    assert got == {2: 2, 3: 2, 4: 2, 5: 2, 10: 10, 11: 10, 7: 7}
+def test_dbscan_follows_a_long_line(spark):
+    """One line of 600 points in single-point blocks is one cluster, however many cells it crosses."""
+    rows = [(i, [0.1 * i, 0.0]) for i in range(600)] + [(900, [500.0, 3.0])]
+    m = spark.createDataFrame(rows, f"id long, {models.Z} array<double>")
+    out, n = density.dbscan(m, "id", 0.25, 3, block=1)
+    got = {r["id"]: r["cluster"] for r in out.select("id", "cluster").collect()}
+    assert n == 1 and got.pop(900) == -1 and set(got.values()) == {0}
+
+
+def test_kmeans_step_and_sweep(spark, fitted):
+    p, m, x, truth = fitted
+    centers = np.array([[0.0] * 4, [1.0] * 4])
+    X = np.array([x[i] for i in sorted(x)])
+    near = ((X[:, None] - centers[None]) ** 2).sum(-1).argmin(1)
+    got = {(r["cluster"], r["position"]): (r["centre"], r["rows"]) for r in models.lloyd_step(m, centers).collect()}
+    for c in set(near):
+        for j in range(4):
+            assert abs(got[c, j][0] - X[near == c, j].mean()) < 1e-9 and got[c, j][1] == (near == c).sum()
+    score = models.sweep_silhouettes(m, [centers, centers[:1]])
+    lab = dict(zip(sorted(x), near))
+    assert abs(score[0] - brute_silhouette(x, lab)) < 1e-9 and score[1] is None
 
 
 def test_dbscan_hot_range_is_split_and_exact(spark):
@@ -147,7 +150,7 @@ def test_dbscan_hot_range_is_split_and_exact(spark):
     rows = [(i, [float(v) for v in p]) for i, p in enumerate(pts)]
     m = spark.createDataFrame(rows, f"id long, {models.Z} array<double>")
     x = {i: np.array(v) for i, v in rows}
-    out, n = density.dbscan(m, "id", 0.4, 6, len(rows), block=16)
+    out, n = density.dbscan(m, "id", 0.4, 6, block=16)
     got = {r["id"]: r["cluster"] for r in out.select("id", "cluster").collect()}
     assert got == brute_dbscan(x, 0.4, 6)
 
@@ -180,15 +183,12 @@ def test_analyze_save_and_reload(spark, blobs):
     assert a.rows.count() == 150          # still computable after the caches are dropped
 
 
-@pytest.mark.parametrize("algorithm", ["dbscan", "hierarchical"])
-def test_analyze_other_algorithms(spark, blobs, algorithm):
+def test_analyze_dbscan(spark, blobs):
     from tablens.plans.pipeline import analyze
-    a = analyze(blobs.drop("truth"), "id", "blobs", algorithm)
+    a = analyze(blobs.drop("truth"), "id", "blobs", "dbscan")
     assert a.rows.count() == 150 and a.n_clusters >= 1
-    if algorithm == "dbscan":
-        assert set(a.params) == {"eps", "min_samples"} and a.params["min_samples"] == 5
-    else:
-        assert a.params["linkage"] == "ward" and a.n_clusters == 3
+    assert set(a.params) == {"eps", "min_samples"} and a.params["min_samples"] == 5
+    assert analyze(blobs.drop("truth"), "id", "blobs", "dbscan", eps=0.7).params["eps"] == 0.7
 
 
 def test_unknown_algorithm(spark, blobs):

@@ -1,14 +1,12 @@
-import io
 import os
 import tempfile
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablens.functions import similarity as sim
 from tablens.operators import catalog, runs, series
-from tablens.sources import archives, content, readers, workbook
+from tablens.sources import content, readers, sinks
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +45,7 @@ def test_csv_overflow_and_short_rows(spark, scratch):
     empty = os.path.join(scratch, "e.csv")
     with open(empty, "w") as f:
         f.write("a,b,c\n")
-    with pytest.raises(ValueError, match="no readable data rows"):
+    with pytest.raises(ValueError, match="no rows"):
         readers.load_table(spark, empty)
     assert readers.load_table(spark, empty, max_rows=0).count() == 0
 
@@ -65,66 +63,30 @@ def test_json_documents(spark, scratch):
     assert d2.columns == ["a"] and d2.count() == 3
 
 
-def _zip(members: dict) -> bytes:
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for name, data in members.items():
-            z.writestr(name, data)
-    return buf.getvalue()
-
-
-def test_archives(spark, scratch):
-    d = os.path.join(scratch, "zips")
-    os.makedirs(d)
-    cases = {"two.zip": {"small.csv": "a\n1\n", "big.CSV": "a\n1\n2\n3\n"},
-             "evil.zip": {"../../etc/x.csv": "a\n1\n"},
-             "none.zip": {"readme.txt": "hi"},
-             "mac.zip": {"__MACOSX/x.csv": "a\n1\n", ".hidden.csv": "a\n1\n", "dir/ok.json": "[]"}}
-    for name, members in cases.items():
-        with open(os.path.join(d, name), "wb") as f:
-            f.write(_zip(members))
-    with open(os.path.join(d, "huge.zip"), "wb") as f:
-        f.write(_zip({"h.csv": "x" * 2000}))
-    got = archives.expand_archives(spark, d, max_bytes=1000)
-    best = {os.path.basename(r["archive"]): r["member"] for r in archives.largest_members(got).collect()}
-    assert best == {"two.zip": "big.CSV", "evil.zip": "x.csv", "mac.zip": "ok.json"}
-    errs = {os.path.basename(r["archive"]): r["error"] for r in got.where("error is not null").collect()}
-    assert set(errs) == {"none.zip", "huge.zip"}
-
-
-def _xlsx(path, sheets):
-    """A minimal workbook: sheets = {name: rows}, strings inline."""
-    def cell(r, c, v):
-        ref = f"{chr(65 + c)}{r}"
-        if isinstance(v, (int, float)):
-            return f'<c r="{ref}"><v>{v}</v></c>'
-        return f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
-    with zipfile.ZipFile(path, "w") as z:
-        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" ' \
-             'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets>' + "".join(
-            f'<sheet name="{n}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels",
-                   '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(
-                       f'<Relationship Id="rId{i + 1}" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets)))
-                   + "</Relationships>")
-        for i, rows in enumerate(sheets.values()):
-            body = "".join(f'<row r="{r + 1}">' + "".join(cell(r + 1, c, v) for c, v in enumerate(row)) + "</row>"
-                           for r, row in enumerate(rows))
-            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f'<worksheet {ns}><sheetData>{body}</sheetData></worksheet>')
-
-
-def test_workbook(spark, scratch):
-    d = os.path.join(scratch, "books")
-    os.makedirs(d)
-    _xlsx(os.path.join(d, "b.xlsx"), {"People": [["id", "name", " "], [1, "ann"], [2, "bob"], [3, "cy"]],
-                                       "Empty": []})
-    inv = {r["sheet"]: r for r in workbook.sheet_inventory(workbook.workbook_cells(spark, d)).collect()}
-    assert inv["People"]["num_rows"] == 3 and inv["People"]["columns"] == ["id", "name"]
-    assert inv["Empty"]["num_rows"] == 0 and inv["Empty"]["columns"] == []
-    t = workbook.read_workbook(spark, d, "People")
-    # the blank-header column is kept as a column of nulls (only the inventory skips blank names)
-    assert [tuple(r) for r in t.collect()] == [(1.0, "ann", None), (2.0, "bob", None), (3.0, "cy", None)]
+def test_json_layouts(spark, scratch):
+    def read(name, text):
+        p = os.path.join(scratch, name)
+        with open(p, "w") as f:
+            f.write(text)
+        return readers.read_json(spark, p)
+    cols = read("cols.json", '{"b": [3, 4], "a": [1, 2]}')
+    assert cols.columns == ["b", "a"] and sorted(map(tuple, cols.collect())) == [(3, 1), (4, 2)]
+    keyed = read("keyed.json", '{"b": {"0": 3, "1": 4}, "a": {"0": 1, "1": 2}}')
+    assert keyed.columns == ["b", "a"] and sorted(map(tuple, keyed.collect())) == [(3, 1), (4, 2)]
+    first = read("first.json", '{"results": [{"x": 1}, {"x": 2}], "facets": [{"y": 9}]}')
+    assert first.columns == ["x"] and first.count() == 2
+    assert read("one.json", '{"z": 1, "n": {"m": "t"}}').columns == ["z", "n.m"]
+
+
+def test_csv_quoting_round_trip(spark, scratch):
+    rows = [(1, 'say "hi", ok'), (2, "two\nlines, here"), (3, " blanks "), (4, None), (5, 'ends with "'), (6, "back\\slash")]
+    path = os.path.join(scratch, "quoted")
+    sinks.write_csv(spark.createDataFrame(rows, "id int, t string"), path)
+    assert sorted(map(tuple, readers.load_table(spark, path, fmt="csv").collect())) == rows
+    raw = os.path.join(scratch, "raw.csv")
+    with open(raw, "w") as f:
+        f.write('a,b\n1,"say ""hi"", ok"\n2,"x\ny"\n3,p,q\n')
+    assert sorted(map(tuple, readers.load_table(spark, raw).collect())) == [(1, 'say "hi", ok'), (2, "x\ny")]
 
 
 def test_similarity():
@@ -183,11 +145,13 @@ def test_runs_store(spark, scratch):
 def test_series_sample_is_stable(spark):
     rows = spark.createDataFrame([(i, float(i), float(-i), i % 3, int(i % 50 == 0)) for i in range(5000)],
                                  "id long, pc1 double, pc2 double, cluster int, anomaly int")
-    a = {r["id"] for r in series.scatter_2d(rows, "id").collect()}
-    b = {r["id"] for r in series.scatter_2d(rows.repartition(7), "id").collect()}
+    a = {r["id"] for r in series.scatter_2d(rows, "id", 2000).collect()}
+    b = {r["id"] for r in series.scatter_2d(rows.repartition(7), "id", 2000).collect()}
     assert a == b and len(a) == 2000
-    ov = series.anomaly_overlay(rows, "id")
+    assert series.scatter_2d(rows, "id").count() == 5000
+    ov = series.anomaly_overlay(rows, "id", 2000)
     assert ov.count() == 2000 and ov.where("anomaly = 1").count() == 100
+    assert series.anomaly_overlay(rows, "id", 100).count() == series.anomaly_overlay(rows, "id").count() == 5000
 
 
 def _json(scratch, name, text):

@@ -130,16 +130,44 @@ def test_joins(spark):
     assert shared[0]["shared_columns"] == ["id", "v"]
 
 
-def test_dense_order_forms_equal_window_forms(spark):
-    rows = [(s, t, ["user", "assistant"][t % 2], ("feedback " if (s + t) % 3 == 0 else "") + "x")
+def test_flags_with_gaps_in_the_order(spark):
+    rows = [(s, t * t + s, ["user", "assistant"][t % 2], ("feedback " if (s + t) % 3 == 0 else "") + "x")
             for s in range(4) for t in range(s * 7 + 3)]
     df = spark.createDataFrame(rows, "session_id int, created_at int, role string, content string")
-    a = sorted(tuple(r) for r in chat.flag_feedback(df).collect())
-    b = sorted(tuple(r) for r in chat.flag_feedback(df, dense_order=True).collect())
-    assert a == b
-    c = sorted(tuple(r) for r in chat.last_messages(df, n=5).collect())
-    d = sorted(tuple(r) for r in chat.last_messages(df, n=5, dense_order=True).collect())
-    assert c == d
+    want, prev = set(), None
+    for s, t, role, text in sorted(rows):
+        hit = role == "user" and "feedback" in text
+        flag = hit if role == "user" else prev is not None and prev[0] == s and prev[1] == "user" and prev[2]
+        want.add((s, t, flag))
+        prev = (s, role, hit)
+    assert {(r[0], r[1], r["is_feedback"]) for r in chat.flag_feedback(df).collect()} == want
+    last = chat.last_messages(df, n=5)
+    assert last.count() == sum(min(5, s * 7 + 3) for s in range(4))
+
+
+def test_bad_tickets_and_repeated_changes(spark, tix):
+    import pytest as pt
+    with pt.raises(Exception, match="invalid ticket"):
+        tickets.apply_changes(tix, spark.createDataFrame([(1, "bogus")], "id long, status string"), NOW).collect()
+    twice = spark.createDataFrame([(1, 1, "solved", None), (1, 2, None, "low"), (1, 3, "open", None)],
+                                  "id long, at int, status string, priority string")
+    with pt.raises(Exception, match="changed twice"):
+        tickets.apply_changes(tix, twice, NOW).collect()
+    got = tickets.apply_changes(tix, twice, NOW, order="at")
+    assert got.count() == tix.count() and tuple(got.where("id = 1").select("status", "priority").first()) == ("open", "low")
+    no_title = spark.createDataFrame([(None, "", "low", [])], "title string, description string, priority string, tags array<string>")
+    with pt.raises(Exception, match="invalid ticket"):
+        tickets.append(None, no_title, NOW).collect()
+    assert tickets.get(tix, 2).count() == 1 and tickets.get(tix, 99).count() == 0
+
+
+def test_repeated_labels_need_an_order(spark):
+    import pytest as pt
+    prof = spark.createDataFrame([(0, 4, 100.0)], "cluster_id int, size long, percentage double")
+    lab = spark.createDataFrame([(0, "A", "a", 1), (0, "B", "b", 2)], "id int, label string, description string, at int")
+    with pt.raises(Exception, match="repeated"):
+        labels.merge_labels(prof, lab).collect()
+    assert [r["label"] for r in labels.merge_labels(prof, lab, order="at").collect()] == ["B"]
 
 
 def test_idle_sessions_batch(spark):
