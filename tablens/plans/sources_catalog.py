@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, profiles, series, stats
+from ..operators import catalog, labels, profiles, series, stats
 from ..session import scratch_path, table
 from ..sources import content, readers, sinks
 from ..streaming.sessions import closed_sessions
@@ -186,3 +186,127 @@ def cluster_bars(spark, sf):
 def series_heatmap(spark, sf):
     """C5 from A2 on lineitem."""
     return series.heatmap(stats.correlation_long(table(spark, sf, "lineitem"), LI))
+
+
+# ------------------------------------------------------------------ portal rows (S1, S3-S8) from the given tables
+ENTRY_COLUMNS = ["source", "dataset_id", "name", "description", "url", "size", "format", "tags"]
+
+
+@query("entries_packages", """
+SELECT 'data.gov' AS source, CAST(o_orderkey AS VARCHAR) AS dataset_id, coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END, 'Untitled') AS name,
+  coalesce(CASE WHEN o_orderstatus <> 'P' THEN 'status ' || o_orderstatus END, '') AS description,
+  CASE WHEN o_custkey % 2 = 0 THEN 'https://x.org/' || o_orderkey || '.JSON' ELSE 'https://x.org/' || o_orderkey || '.csv?v=1' END AS url, '' AS size,
+  CASE WHEN o_custkey % 2 = 0 THEN 'JSON' ELSE 'CSV' END AS format, [o_orderstatus, o_orderpriority] AS tags
+FROM orders WHERE o_custkey % 2 = 0 OR o_orderstatus = 'F'""")
+def entries_packages(spark, sf):
+    """The first resource that is a direct link; packages without one are skipped."""
+    resource = lambda url, fmt: F.struct(url.alias("url"), fmt.alias("format"))
+    key, even = F.col("o_orderkey").cast("string"), F.col("o_custkey") % 2 == 0
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("title"),
+        F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("status "), "o_orderstatus")).alias("notes"),
+        F.array(resource(F.concat(F.lit("https://x.org/page/"), key), F.lit("HTML")),
+                resource(F.when(even, F.concat(F.lit("https://x.org/"), key, F.lit(".JSON"))), F.lit("json")),
+                resource(F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("https://x.org/"), key, F.lit(".csv?v=1"))),
+                         F.lit(None).cast("string"))).alias("resources"),
+        F.array(F.struct(F.col("o_orderstatus").alias("name")), F.struct(F.col("o_orderpriority").alias("name"))).alias("tags"))
+    return catalog.normalize_ckan(rows).select(*ENTRY_COLUMNS)
+
+
+@query("entries_hub", """
+SELECT 'huggingface' AS source, c_mktsegment || '/' || c_name AS dataset_id, c_name AS name, '' AS description,
+  'https://huggingface.co/datasets/' || c_mktsegment || '/' || c_name AS url,
+  CASE WHEN c_nationkey % 3 > 0 THEN CAST(c_nationkey % 3 * 1000 AS VARCHAR) WHEN c_custkey % 5 <> 0 THEN (c_custkey % 5) || ' downloads' ELSE '' END AS size,
+  'parquet' AS format, [c_mktsegment] AS tags FROM customer""")
+def entries_hub(spark, sf):
+    """S3: a size of 0 falls through to the downloads."""
+    rows = table(spark, sf, "customer").select(
+        F.concat_ws("/", "c_mktsegment", "c_name").alias("id"), F.lit(None).cast("string").alias("description"),
+        F.struct((F.col("c_nationkey") % 3 * 1000).cast("long").alias("dataset_size")).alias("cardData"),
+        (F.col("c_custkey") % 5).alias("downloads"), F.array("c_mktsegment").alias("tags"))
+    return catalog.normalize_hub(rows).select(*ENTRY_COLUMNS)
+
+
+@query("entries_listing", """
+SELECT 'kaggle' AS source, p_brand || '/' || p_partkey AS dataset_id, coalesce(CASE WHEN p_size % 4 > 0 THEN p_name END, p_brand || '/' || p_partkey) AS name,
+  p_type AS description, 'https://www.kaggle.com/datasets/' || p_brand || '/' || p_partkey AS url, CAST(p_size AS VARCHAR) AS size, 'CSV' AS format,
+  CAST([] AS VARCHAR[]) AS tags FROM part""")
+def entries_listing(spark, sf):
+    """S4."""
+    rows = table(spark, sf, "part").select(
+        F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("ref"), F.when(F.col("p_size") % 4 > 0, F.col("p_name")).alias("title"),
+        F.col("p_type").alias("subtitle"), F.col("p_size").alias("size"))
+    return catalog.normalize_kaggle(rows).select(*ENTRY_COLUMNS)
+
+
+@query("entries_openml", """
+SELECT 'openml' AS source, CAST(s_suppkey AS VARCHAR) AS dataset_id, s_name AS name, 'OpenML dataset #' || s_suppkey AS description,
+  'https://www.openml.org/d/' || s_suppkey AS url, CASE WHEN s_nationkey % 2 = 0 THEN s_suppkey || ' rows × ' || s_nationkey || ' cols' ELSE '' END AS size,
+  'parquet' AS format, CAST([] AS VARCHAR[]) AS tags FROM supplier""")
+def entries_openml(spark, sf):
+    """Rows and columns from the quality list, nothing when one is missing."""
+    fact = lambda name, v: F.struct(F.lit(name).alias("name"), v.alias("value"))
+    cols = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.col("s_nationkey").cast("string"), F.lit(".0")))
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("did"), F.col("s_name").alias("name"), F.array(
+        fact("NumberOfInstances", F.concat(F.col("s_suppkey").cast("string"), F.lit(".0"))), fact("NumberOfFeatures", cols)).alias("quality"))
+    return catalog.normalize_openml(rows).select(*ENTRY_COLUMNS)
+
+
+@query("entries_socrata", """
+SELECT 'socrata' AS source, CAST(event_id AS VARCHAR) AS dataset_id, event_type AS name, coalesce(props, '') AS description,
+  CASE WHEN user_id % 3 = 0 THEN '' ELSE 'https://d' || (user_id % 3) || '.org/resource/' || event_id || '.csv?$limit=50000' END AS url, '' AS size, 'CSV' AS format,
+  CASE WHEN user_id % 2 = 0 THEN [event_type] ELSE ['a', 'b'] END AS tags FROM events""")
+def entries_socrata(spark, sf):
+    """Export link from the domain; categories take the place of column names."""
+    rows = table(spark, sf, "events").select(
+        F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("name"), F.col("props").alias("description"),
+                 F.array(F.lit("a"), F.lit("b")).alias("columns_field_name")).alias("resource"),
+        F.struct(F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string"), F.lit(".org"))).alias("domain")).alias("metadata"),
+        F.struct(F.when(F.col("user_id") % 2 == 0, F.array("event_type")).otherwise(F.array().cast("array<string>")).alias("categories")).alias("classification"))
+    return catalog.normalize_socrata(rows).select(*ENTRY_COLUMNS)
+
+
+@query("entries_records", """
+SELECT 'zenodo' AS source, CAST(page_id AS VARCHAR) AS dataset_id, url AS name, regexp_replace(html, '<[^>]+>', '', 'g') AS description,
+  'https://zenodo.org/records/' || page_id AS url,
+  CASE WHEN length(html) * 700 > 1048576 THEN printf('%.1f MB', length(html) * 700 / 1024 / 1024)
+       WHEN length(html) * 700 > 1024 THEN printf('%.0f KB', length(html) * 700 / 1024) ELSE '' END AS size,
+  CASE WHEN url LIKE 'https%' THEN 'CSV, JSON' ELSE 'CSV' END AS format, CAST([] AS VARCHAR[]) AS tags FROM pages WHERE url NOT LIKE '%utm_source%'""")
+def entries_records(spark, sf):
+    """Markup stripped from the description, sizes summed, records without a data file skipped."""
+    f = lambda key, size: F.struct(key.alias("key"), size.alias("size"))
+    n = F.char_length("html").cast("long")
+    bare = F.col("url").contains("utm_source")
+    data = F.when(bare, F.lit("t.pdf")).otherwise(F.lit("t.csv"))
+    other = F.when(F.col("url").startswith("https") & ~bare, F.lit("u.json")).otherwise(F.lit("notes"))
+    rows = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.struct(
+        F.col("url").alias("title"), F.col("html").alias("description"), F.lit(None).cast("array<string>").alias("keywords")).alias("metadata"),
+        F.array(f(data, n * 300), f(other, n * 400)).alias("files"))
+    return catalog.normalize_zenodo(rows).select(*ENTRY_COLUMNS)
+
+
+@query("entries_registry", """
+SELECT 'aws' AS source, CASE WHEN p_size % 2 = 0 THEN 'slug-' || p_partkey ELSE replace(lower(p_name), ' ', '-') END AS dataset_id, p_name AS name, p_type AS description,
+  'https://registry.opendata.aws/roda/' || CASE WHEN p_size % 2 = 0 THEN 'slug-' || p_partkey ELSE replace(lower(p_name), ' ', '-') END || '/' AS url,
+  '' AS size, 'varies' AS format, [p_brand, p_type] AS tags FROM part""")
+def entries_registry(spark, sf):
+    """S6 (rows)."""
+    rows = table(spark, sf, "part").select(
+        F.col("p_name").alias("Name"), F.col("p_type").alias("Description"), F.array("p_brand", "p_type").alias("Tags"),
+        F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("slug-"), F.col("p_partkey").cast("string"))).alias("Slug"))
+    return catalog.normalize_registry(rows).select(*ENTRY_COLUMNS)
+
+
+@query("reply_parsing", r"""
+WITH r AS (SELECT conv_id, turn, text, role FROM conversations)
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN text END AS overview, CASE WHEN role = 'user' THEN 1 END AS clusters,
+  CASE WHEN role = 'user' THEN 'good' END AS quality FROM r""")
+def reply_parsing(spark, sf):
+    """L3: fenced JSON replies whose overview is the message; items without a label go, replies without a list are invalid."""
+    item = F.struct(F.lit(1).alias("id"), F.lit("l").alias("label"), F.lit("d").alias("description"))
+    bare = F.struct(F.lit(2).alias("id"), F.lit(None).cast("string").alias("label"), F.lit("d").alias("description"))
+    whole = F.to_json(F.struct(F.col("text").alias("overview"), F.array(item, bare).alias("clusters"), F.lit("good").alias("quality")))
+    broken = F.to_json(F.struct(F.col("text").alias("overview"), F.lit("good").alias("quality")))
+    raw = F.when(F.col("role") == "user", F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(broken)
+    got = labels.parse_replies(table(spark, sf, "conversations").select("conv_id", "turn", raw.alias("raw")))
+    return got.select("conv_id", "turn", "overview", F.size("clusters").alias("clusters"), "quality")
