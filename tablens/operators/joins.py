@@ -1,7 +1,6 @@
 """Table joins (J1, J2): a left-deep chain of single-key equi joins.
 
-Null keys match each other (``<=>``); Spark still plans a null-safe equi join as a
-hash or sort-merge join on the key. Strategy is left to Catalyst/AQE: broadcast
+Null keys match each other only on request. Strategy is left to Catalyst/AQE: broadcast
 when the size estimate is under ``spark.sql.autoBroadcastJoinThreshold``,
 otherwise sort-merge with AQE skew splitting of hot keys.
 """
@@ -22,28 +21,29 @@ def shared_columns(tables: list[tuple[str, DataFrame]]) -> list[dict]:
 
 
 def _key_error(key, name, left: DataFrame, right: DataFrame, why: str) -> ValueError:
-    return ValueError(
-        f"Cannot join on column '{key}' with table '{name}': {why}. "
-        f"Available columns in left table: {', '.join(left.columns[:20])}. "
-        f"Available columns in '{name}': {', '.join(right.columns[:20])}.")
+    some = lambda df: ", ".join(df.columns[:20])
+    return ValueError(f"no join with '{name}' on '{key}': {why} (left has {some(left)}; '{name}' has {some(right)})")
 
 
-def join_two(left: DataFrame, right: DataFrame, key: str, how: str = "inner", right_name: str = "right") -> DataFrame:
+def join_two(left: DataFrame, right: DataFrame, key: str, how: str = "inner", right_name: str = "right",
+             match_nulls: bool = False) -> DataFrame:
     """One step: left columns keep their names (key in its left position), clashing right
     columns get ``_<right_name>``, the key is the left key, or the first non-null key for
-    right/outer joins."""
+    right/outer joins. Null keys match nothing; with ``match_nulls`` they match each other (every
+    null row with every null row, so ask for it only where nulls are few)."""
     if how not in HOWS:
         raise ValueError(f"unknown join type '{how}'")
     if how == "cross":
-        raise _key_error(key, right_name, left, right, "a cross join takes no key")
+        raise _key_error(key, right_name, left, right, "a cross join has no key")
     if key not in left.columns:
-        raise _key_error(key, right_name, left, right, "missing in the left table")
+        raise _key_error(key, right_name, left, right, "the left table lacks it")
     if key not in right.columns:
-        raise _key_error(key, right_name, left, right, f"missing in '{right_name}'")
+        raise _key_error(key, right_name, left, right, "the right table lacks it")
     clash = (set(left.columns) & set(right.columns)) - {key}
-    l = left.select(*[F.col(c).alias(f"__l_{c}") for c in left.columns])
-    r = right.select(*[F.col(c).alias(f"__r_{c}") for c in right.columns])
-    j = l.join(r, F.col(f"__l_{key}").eqNullSafe(F.col(f"__r_{key}")), HOWS[how])
+    one = left.select(*[F.col(c).alias(f"__l_{c}") for c in left.columns])
+    two = right.select(*[F.col(c).alias(f"__r_{c}") for c in right.columns])
+    a, b = F.col(f"__l_{key}"), F.col(f"__r_{key}")
+    j = one.join(two, a.eqNullSafe(b) if match_nulls else a == b, HOWS[how])
     key_expr = F.col(f"__l_{key}") if HOWS[how] in ("inner", "left") else \
         F.coalesce(F.col(f"__l_{key}"), F.col(f"__r_{key}"))
     cols = [(key_expr if c == key else F.col(f"__l_{c}")).alias(c) for c in left.columns]

@@ -290,23 +290,21 @@ def join_chain_inner(spark, sf):
 
 
 @query("join_left_clash", """
-SELECT c.c_custkey, c.nationkey, c.acctbal, s.s_suppkey, s.s_name, s.acctbal AS acctbal_supplier
-FROM (SELECT c_custkey, c_nationkey AS nationkey, c_acctbal AS acctbal FROM customer) c
-LEFT JOIN (SELECT s_suppkey, s_name, s_nationkey AS nationkey, s_acctbal AS acctbal FROM supplier) s
-  ON c.nationkey IS NOT DISTINCT FROM s.nationkey""")
+SELECT c.id, c.c_name, c.acctbal, s.s_name, s.acctbal AS acctbal_supplier
+FROM (SELECT c_custkey AS id, c_name, c_acctbal AS acctbal FROM customer) c
+LEFT JOIN (SELECT s_suppkey AS id, s_name, s_acctbal AS acctbal FROM supplier) s ON c.id = s.id""")
 def join_left_clash(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nationkey"),
-                                            F.col("c_acctbal").alias("acctbal"))
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nationkey"),
-                                            F.col("s_acctbal").alias("acctbal"))
-    return joins.join_two(c, s, "nationkey", "left", "supplier")
+    """J1, left join with a clashing column name."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name", F.col("c_acctbal").alias("acctbal"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_name", F.col("s_acctbal").alias("acctbal"))
+    return joins.join_two(c, s, "id", "left", "supplier")
 
 
 @query("join_outer_nullkey", """
 SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, d.source, l.quality, l.toxic
 FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE doc_id END AS doc_id, lang, source FROM documents) d
 FULL OUTER JOIN (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id END AS doc_id, quality, toxic FROM labels) l
-  ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
+  ON d.doc_id = l.doc_id""")
 def join_outer_nullkey(spark, sf):
     d = table(spark, sf, "documents").select(
         F.when(F.col("doc_id") % 10 == 0, None).otherwise(F.col("doc_id")).alias("doc_id"), "lang", "source")

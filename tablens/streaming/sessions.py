@@ -37,6 +37,8 @@ def closed_sessions(spark: SparkSession, source_dir: str, schema, user: str = "u
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     src = reader.parquet(source_dir)
+    # events of one user are merged into sessions in every task before the shuffle
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     q = (session_stream(src, user, ts, gap).writeStream.outputMode("append").format("parquet")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink))
     q.awaitTermination()

@@ -16,7 +16,7 @@ def test_join_counts_match_null_matching_merge(spark, left, right, how):
     want = len(lp.merge(rp, on="k", how=how))          # pandas merge: null keys match each other
     ls = spark.createDataFrame([(None if pd.isna(k) else int(k), i) for i, k in enumerate(left)], "k int, a int")
     rs = spark.createDataFrame([(None if pd.isna(k) else int(k), i) for i, k in enumerate(right)], "k int, b int")
-    assert joins.join_two(ls, rs, "k", how, "r").count() == want
+    assert joins.join_two(ls, rs, "k", how, "r", match_nulls=True).count() == want
 
 
 def _expected(values, n_rows):

@@ -123,7 +123,8 @@ def test_joins(spark):
     a = spark.createDataFrame([(1, "x"), (None, "y")], "id int, v string")
     b = spark.createDataFrame([(1, "p"), (None, "q"), (3, "r")], "id int, v string")
     out = joins.join_two(a, b, "id", "outer", "B")
-    assert out.columns == ["id", "v", "v_B"] and out.count() == 3      # null keys match each other
+    assert out.columns == ["id", "v", "v_B"] and out.count() == 4      # null keys match nothing
+    assert joins.join_two(a, b, "id", "outer", "B", match_nulls=True).count() == 3
     with pytest.raises(ValueError, match="nonexistent"):
         joins.join_two(a, b, "nonexistent", "inner", "B")
     shared = joins.shared_columns([("A", a), ("B", b)])
