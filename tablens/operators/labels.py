@@ -67,24 +67,25 @@ def feature_map(spark, encoding: list[dict]) -> DataFrame:
     return spark.createDataFrame(list(rows.values()), "feature string, original_column string, encoding_type string")
 
 
-def _num(c: Column) -> Column:
-    return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+def _num(c: str, decimals: int | None = None) -> Column:
+    return F.col(c).cast("string") if decimals is None else F.format_string(f"%.{decimals}f", F.col(c))
 
 
-def summary_text(sizes: DataFrame, top: DataFrame, fmap: DataFrame | None = None) -> DataFrame:
+def summary_text(sizes: DataFrame, top: DataFrame, fmap: DataFrame | None = None, decimals: int | None = None) -> DataFrame:
     """L2: per cluster a header 'Cluster <id>: <size> samples (<pct>%)' and up to five lines
-    '  - <name>: cluster mean=<m>, overall mean=<o>, z=<z> (<above|below> average)'."""
+    '  - <name>: cluster mean=<m>, overall mean=<o>, z=<z> (<above|below> average)'. With ``decimals`` the
+    means and z have that many digits (and the percentage one), else their shortest form."""
     t = top
     if fmap is not None:
         t = t.join(F.broadcast(fmap.select("feature", "original_column")), "feature", "left") \
             .withColumn("feature", F.coalesce("original_column", "feature"))
-    line = F.concat(F.lit("  - "), F.col("feature"), F.lit(": cluster mean="), _num("cluster_mean"),
-                    F.lit(", overall mean="), _num("overall_mean"), F.lit(", z="), _num("z_deviation"),
+    line = F.concat(F.lit("  - "), F.col("feature"), F.lit(": cluster mean="), _num("cluster_mean", decimals),
+                    F.lit(", overall mean="), _num("overall_mean", decimals), F.lit(", z="), _num("z_deviation", decimals),
                     F.lit(" ("), F.when(F.col("z_deviation") > 0, "above").otherwise("below"), F.lit(" average)"))
     lines = t.where(F.col("rank") <= TOP_LINES).groupBy("cluster_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("ls"))   # <= 5 per cluster
     head = F.concat(F.lit("Cluster "), _num("cluster_id"), F.lit(": "), _num("size"), F.lit(" samples ("),
-                    _num("percentage"), F.lit("%)"))
+                    _num("percentage", None if decimals is None else 1), F.lit("%)"))
     j = sizes.join(lines, "cluster_id", "left")
     body = F.array_join(F.transform(F.coalesce(F.col("ls"), F.array()), lambda s: s["line"]), "\n")
     return j.select("cluster_id", F.when(F.size(F.coalesce(F.col("ls"), F.array())) > 0,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chat, labels, models, profiles, tickets
 from ..session import table
+from .core import EMB_DIM, EMB_LONG_SQL, embeddings_wide
 from .modelling import SILHOUETTE_SQL
 from .registry import query, r4, rounded
 
@@ -269,13 +270,24 @@ def quality_band(spark, sf):
     return rounded(s.select("cluster_id", F.col("sil").alias("silhouette"), labels.quality_band(F.col("sil")).alias("band")))
 
 
-@query("cluster_summary_text")
+@query("cluster_summary_text", f"""
+WITH l AS ({EMB_LONG_SQL}),
+o AS (SELECT feature, avg(x) AS om, stddev_pop(x) AS os FROM l GROUP BY feature),
+c AS (SELECT label::INT AS cluster_id, position, feature, avg(x) AS cm FROM l GROUP BY label, position, feature),
+d AS (SELECT c.*, om, abs(cm - om) / os AS dev, row_number() OVER (PARTITION BY cluster_id ORDER BY abs(cm - om) / os DESC, position) AS rank
+      FROM c JOIN o USING (feature)),
+t AS (SELECT cluster_id, string_agg('  - ' || feature || ': cluster mean=' || printf('%.4f', {r4('cm')}) || ', overall mean=' || printf('%.4f', {r4('om')})
+        || ', z=' || printf('%.4f', {r4('dev')}) || ' (' || CASE WHEN dev > 0 THEN 'above' ELSE 'below' END || ' average)', chr(10) ORDER BY rank) AS body
+      FROM d WHERE rank <= 5 GROUP BY cluster_id),
+s AS (SELECT label::INT AS cluster_id, count(*) AS size, round(CAST(count(*) * 100.0 / sum(count(*)) OVER () AS DECIMAL(38,10)), 1)::DOUBLE AS p
+      FROM embeddings GROUP BY label)
+SELECT cluster_id, 'Cluster ' || cluster_id || ': ' || size || ' samples (' || printf('%.1f', p) || '%)' || chr(10) || body AS summary
+FROM s JOIN t USING (cluster_id)""")
 def cluster_summary_text(spark, sf):
-    """L2: summary text per given label of the embeddings."""
-    from .core import EMB_DIM, embeddings_wide
+    """L2: summary text per given label of the embeddings, numbers with four digits."""
     w = embeddings_wide(spark, sf)
     feats = [f"e{i}" for i in range(EMB_DIM)]
-    return labels.summary_text(profiles.cluster_sizes(w), profiles.top_features(w, feats))
+    return labels.summary_text(profiles.cluster_sizes(w), profiles.top_features(w, feats), decimals=4)
 
 
 @query("chat_exchange_rows", f"""
