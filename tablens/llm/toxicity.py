@@ -23,23 +23,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 CATEGORIES = ("insult", "pile_on", "toxic")
 BUCKETS, TERMS, FIT_ROWS, FOLDS, FLAGGED_FROM = 1 << 20, 256, 20_000, 5, 0.5
 EXTRA = 6
+#: Labels up to this many (16 bytes each) are broadcast, so that the labelled texts need no shuffle.
+BROADCAST_LABELS = 1_000_000
 LIFT, LEAST_G2 = 2.0, 12.0      # a term's share over the base rate; its least log-likelihood ratio
 _WORD = re.compile(r"[^\W_]+")
 
 
-class _Buckets(dict):
-    """Word -> buckets of the word and of its beginnings (4 to 7 characters: inflected and
-    compounded forms of one stem share them)."""
-
-    def __missing__(self, w: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
-            self.clear()
-        forms = [w + "$", *(w[:n] for n in range(4, 8) if len(w) >= n)]
-        b = self[w] = tuple(crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in forms)
-        return b
+def word_buckets(w: str) -> tuple[int, ...]:
+    """Buckets of a word and of its beginnings (4 to 7 characters: inflected and compounded forms of
+    one stem share them)."""
+    forms = [w + "$", *(w[:n] for n in range(4, 8) if len(w) >= n)]
+    return tuple(crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in forms)
 
 
 class _Terms(dict):
@@ -48,12 +47,11 @@ class _Terms(dict):
     def __init__(self, terms: np.ndarray):
         super().__init__()
         self.place = {int(b): i for i, b in enumerate(terms)}
-        self.buckets = _Buckets()
 
     def __missing__(self, w: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
-        hit = self[w] = tuple(self.place[b] for b in self.buckets[w] if b in self.place)
+        hit = self[w] = tuple(self.place[b] for b in word_buckets(w) if b in self.place)
         return hit
 
 
@@ -65,16 +63,13 @@ def term_counts(labelled: DataFrame) -> DataFrame:
     """(bucket, toxic, clean, toxic0, clean0): in how many distinct labelled texts each bucket occurs,
     in all and in the first half of the texts (by hash)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Buckets()
+        counts = np.zeros(4 * BUCKETS, np.int32)        # one flat array a task, whatever the vocabulary
         for pdf in batches:
-            got = [np.fromiter({b for w in set(words_in(t)) for b in known[w]}, np.int64) for t in pdf["text"]]
-            size = np.array([len(g) for g in got], int)
-            if not size.sum():
-                continue
-            # counted in a flat array: one pass, whatever the vocabulary
-            kind = np.repeat((2 * pdf["half"] + pdf["toxic"]).to_numpy(), size)
-            code, n = np.unique(np.concatenate(got) * 4 + kind, return_counts=True)
-            yield pd.DataFrame({"bucket": code // 4, "kind": code % 4, "n": n})
+            for text, kind in zip(pdf["text"], 2 * pdf["half"] + pdf["toxic"]):
+                found = {b for w in set(words_in(text)) for b in word_buckets(w)}
+                counts[np.fromiter(found, np.int64, len(found)) * 4 + kind] += 1      # each bucket once a text
+        code = np.nonzero(counts)[0]
+        yield pd.DataFrame({"bucket": code // 4, "kind": code % 4, "n": counts[code].astype(np.int64)})
 
     n = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
     return (labelled.mapInPandas(run, "bucket long, kind long, n long").groupBy("bucket")
@@ -152,14 +147,16 @@ def run_chain(x: np.ndarray, chain: list[np.ndarray]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> dict | None:
     """The chain, or None without both kinds of labels."""
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .join(labels.where("toxic is not null").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")), "id")
-            .where("text is not null"))
-    # one row per distinct text and label: copies would count as independent evidence
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     key = F.xxhash64("text", F.lit(1))
-    labelled = (rows.groupBy(key.alias("key"), "toxic").agg(F.first("text").alias("text"))
-                .withColumn("half", F.pmod("key", F.lit(2)).cast("int")))
-    n, positive = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    told = labels.where("toxic is not null").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    small = told.count() <= BROADCAST_LABELS     # beyond that, the texts are joined by shuffle
+    side = F.broadcast if small else (lambda d: d)
+    # one row per distinct text and label: copies would count as independent evidence
+    reps = durable(rows.join(side(told), "id").groupBy(key.alias("key"), "toxic").agg(F.min("id").alias("id")))
+    labelled = (rows.join(side(reps), "id").where(key == F.col("key"))
+                .withColumn("half", F.pmod("key", F.lit(2)).cast("int")).drop("id"))
+    n, positive = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not positive or positive == n:
         return None
     terms = telling_terms(term_counts(labelled), positive, n)
