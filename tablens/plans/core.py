@@ -118,7 +118,7 @@ def median_impute(spark, sf):
 
 @query("feature_report", f"""
 WITH v AS ({LINEITEM_GAPS_SQL})
-SELECT 'l_tax' AS "column", 'Over 90% missing values' AS reason
+SELECT 'l_tax' AS "column", 'Over 90% missing values' AS reason FROM (SELECT count(l_tax) AS c, count(*) AS n FROM v) WHERE c < 0.1 * n
 UNION ALL SELECT 'l_linestatus', 'Single value' FROM (SELECT count(DISTINCT l_linestatus) k FROM v WHERE
   l_quantity IS NOT NULL OR l_extendedprice IS NOT NULL OR l_discount IS NOT NULL) WHERE k <= 1""")
 def feature_report(spark, sf):

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import chat, labels, models, profiles, tickets
+from ..operators import chat, labels, models, profiles, series, tickets
 from ..session import table
 from .core import EMB_DIM, EMB_LONG_SQL, embeddings_wide
 from .modelling import SILHOUETTE_SQL
@@ -270,6 +270,14 @@ def quality_band(spark, sf):
     return rounded(s.select("cluster_id", F.col("sil").alias("silhouette"), labels.quality_band(F.col("sil")).alias("band")))
 
 
+@query("clustering_quality", f"""{SILHOUETTE_SQL}
+SELECT 'Cluster ' || label AS series, count(*) AS size, printf('%.3f', (SELECT avg(s) FROM s)) AS silhouette FROM embeddings GROUP BY label""")
+def clustering_quality(spark, sf):
+    """Sizes of the given labels next to their overall silhouette."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("cluster"), F.col("embedding").cast("array<double>").alias(models.Z))
+    return series.quality(profiles.cluster_sizes(e), models.silhouette(e, "vec_id"))
+
+
 @query("cluster_summary_text", f"""
 WITH l AS ({EMB_LONG_SQL}),
 o AS (SELECT feature, avg(x) AS om, stddev_pop(x) AS os FROM l GROUP BY feature),
