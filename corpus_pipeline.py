@@ -19,6 +19,13 @@ def _key() -> Column:
                       F.concat(F.lit("t"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
 
 
+def _one_row(docs: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key: the one with the smallest hash of its values (maps cannot be hashed and stay out)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    told = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return docs.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*told)).alias("row")).select("row.*")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly trained classifier takes for good."""
     return docs.where(quality.score_column(quality.train(docs, "text")) >= quality.KEPT_FROM)
@@ -29,11 +36,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the smallest id. Repeated rows of an id leave one; rows without an id leave one for each text."""
     flags = neardup.near_duplicates(docs.select("doc_id", "text"))
     stay = flags.where("kept and doc_id is not null").select("doc_id").distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(one)
-    nameless = docs.where("doc_id is null").groupBy("text").agg(one)
-    return named.select("row.*").unionByName(nameless.select("row.*"))
+    named = _one_row(docs.where("doc_id is not null").join(stay, "doc_id", "left_semi"), "doc_id")
+    return named.unionByName(_one_row(docs.where("doc_id is null"), "text"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +69,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The mix: one row for each time a document is taken, with its columns and ``copy`` (1, 2, ...)."""
     plan = (mixing.mix(docs.select(_key().alias("key"), "text", "source"), id_col="key")
             .groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").alias("__copies")).where("__copies > 0"))
-    rows = docs.drop("copy").withColumn("__key", _key()).dropDuplicates(["__key"])
+    rows = _one_row(docs.drop("copy").withColumn("__key", _key()), "__key")
     return (rows.join(plan, "__key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
             .drop("__key", "__copies"))
 

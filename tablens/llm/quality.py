@@ -140,8 +140,9 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int
     return w
 
 
-def train(docs: DataFrame, text_col: str, fit_rows: int = FIT_ROWS) -> dict:
-    """EM over all documents, then the scorer on about ``fit_rows`` of them (2 * fit_rows at most)."""
+def train(docs: DataFrame, text_col: str, fit_rows: int = FIT_ROWS, id_col: str = "doc_id") -> dict:
+    """EM over all documents, then the scorer on about ``fit_rows`` of them (2 * fit_rows at most), picked by
+    a hash of text and id (where there is one)."""
     seen = vote_patterns(docs, text_col)
     total = int(seen["n"].sum()) if len(seen) else 0
     m = len(LABELLERS)
@@ -161,7 +162,7 @@ def train(docs: DataFrame, text_col: str, fit_rows: int = FIT_ROWS) -> dict:
 
     scale = 1 << 20
     cut = min(scale, -(-scale * fit_rows // total))
-    part = docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(scale)) < cut).limit(2 * fit_rows)
+    part = docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (text_col, id_col) if c in docs.columns]), F.lit(scale)) < cut).limit(2 * fit_rows)
     fit = part.select(F.col(text_col).alias("text")).mapInPandas(run, "good double, x binary").toPandas()
     if not len(fit):
         return {"weights": np.zeros(DIM), "prior": prior, "chances": chances}

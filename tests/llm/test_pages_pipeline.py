@@ -83,7 +83,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in b.collect()} == set(components(ids, pairs).values())
 
     a, b = kept["benchmark_decontamination"]
-    words = lambda t: decontam._WORD.findall((t or "").lower())
+    words = lambda t: [w.decode("utf-8", "replace") for w in decontam.words_in(t)]
     items = [" " + " ".join(words(r["text"])) + " " for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     left = {r["doc_id"]: r["text"] for r in b.collect()}
     for r in a.collect():
