@@ -16,7 +16,7 @@ component are made, whatever the size of a group of copies.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. A row with a null
 id joins the component of its copies but is never its representative. Rows that share an id count
-as one document. An empty table gives no rows. Other columns are not read.
+as one document: their texts' components are united. An empty table gives no rows. Other columns are not read.
 """
 from __future__ import annotations
 
@@ -187,11 +187,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       & ~F.exists(F.sequence(F.lit(m), j), lambda k: (k < j) & agree(k)))
             .select(F.greatest("rep", "rep_").alias("x"), F.least("rep", "rep_").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
     links = links.unionByName(confirm(rest, facts, docs, id_col, text_col, width, percent))
+    # an id that stands on several texts ties their classes
+    named = sig.where("set_key is not null and doc_id is not null").select("doc_id", "set_key")
+    several = named.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b")
+    ties = named.join(several, "doc_id", "left_semi").join(classes.select("set_key", "rep"), "set_key")
+    links = links.unionByName(ties.select(F.col("doc_id").alias("x"), F.col("rep").alias("y")).where("x <> y"))
     comp = durable(connected_components(links, "x", "y", "rep", "comp"))
 
     by_class = (classes.select("set_key", "rep").join(comp, "rep", "left")
                 .select("set_key", F.coalesce("comp", "rep").alias("component_id")))
-    # an id that stands on several rows takes the smallest component any of its rows is in
     out = sig.select("doc_id", "set_key", "n_shingles").join(by_class, "set_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id",

@@ -74,6 +74,10 @@ def test_neardup_null_and_repeated_ids(spark):
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, width=2).collect()), key=str)
     assert got == sorted([(5, 2, False), (5, 2, False), (None, 2, False), (None, None, True), (2, 2, True), (None, None, True)], key=str)
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
+    # one id on two texts unites the texts' groups
+    rows = [(9, "p q r s"), (9, "t u v w"), (4, "p q r s"), (3, "t u v w"), (8, "x y z")]
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert got == {(9, 3), (4, 3), (3, 3), (8, 8)}
 
 
 def brute_vectors(rows):
