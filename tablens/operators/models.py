@@ -44,15 +44,18 @@ def matrix(p: Prepared) -> DataFrame:
 
 
 # ------------------------------------------------------------------ k-means (M3)
-def fit_kmeans(m: DataFrame, k: int, seeds: list[int], max_iter: int = MAX_ITER) -> tuple[np.ndarray, float, bool]:
-    """(centres, inertia, converged) of the best of several seeded Spark ML fits over all rows."""
-    v = m.select(array_to_vector(F.col(Z)).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+def vectors(m: DataFrame) -> DataFrame:
+    """The rows as Spark ML vectors, persisted: every fit reads them."""
+    return m.select(array_to_vector(F.col(Z)).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_kmeans(v: DataFrame, k: int, seeds: list[int], max_iter: int = MAX_ITER) -> tuple[np.ndarray, float, bool]:
+    """(centres, inertia, converged) of the best of several seeded Spark ML fits over all ``vectors``."""
     best = None
     for seed in seeds:
         model = KMeans(featuresCol="v", k=k, seed=seed, maxIter=max_iter, tol=TOL).fit(v)
         fit = (np.array(model.clusterCenters()), float(model.summary.trainingCost), model.summary.numIter < max_iter)
         best = fit if best is None or fit[1] < best[1] else best
-    v.unpersist()
     return best
 
 
@@ -101,7 +104,9 @@ def lloyd_step(m: DataFrame, centers: np.ndarray) -> DataFrame:
 
 def kmeans(m: DataFrame, id_col: str, k: int, restarts: int = KMEANS_RESTARTS, seed: int = SEED):
     """M3: (labelled matrix with ``cluster``, inertia); lowest inertia of ``restarts`` seeds."""
-    centers, cost, _ = fit_kmeans(m, k, [seed + r for r in range(restarts)])
+    v = vectors(m)
+    centers, cost, _ = fit_kmeans(v, k, [seed + r for r in range(restarts)])
+    v.unpersist()
     return label_rows(m, centers, numbering=numbering_by_size(m, centers)), cost
 
 
@@ -218,13 +223,15 @@ def choose_k(m: DataFrame, id_col: str, n: int | None = None, final_restarts: in
     n = m.count() if n is None else n
     top = max(3, min(10, int(math.sqrt(n))))
     ks = [k for k in range(2, top + 1) if k <= n]
-    fits = [fit_kmeans(m, k, [seed])[0] for k in ks]
+    v = vectors(m)
+    fits = [fit_kmeans(v, k, [seed])[0] for k in ks]
     trace = list(zip(ks, sweep_silhouettes(m, fits))) if ks else []
     best_k, best = 2, -1.0
     for k, score in trace:
         if score is not None and score > best:
             best_k, best = k, score
-    centers = fit_kmeans(m, best_k, [seed + r for r in range(final_restarts)])[0] if final_restarts and best_k <= n else None
+    centers = fit_kmeans(v, best_k, [seed + r for r in range(final_restarts)])[0] if final_restarts and best_k <= n else None
+    v.unpersist()
     return best_k, trace, centers
 
 
