@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..operators.order import with_position
 from ..session import durable
 
+#: Up to this many sources (one short row each) their targets are broadcast.
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,8 +68,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at = with_position(sized.withColumn("__null", F.col("source").isNull()), "__null", "source", "size", "doc_id", name="__at")
     first = at.groupBy("source").agg(F.min("__at").alias("__first"))
     goal = goal.join(first.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
-    goal = goal.withColumnRenamed("source", "__s")
-    rows = at.join(goal, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    goal = durable(goal.withColumnRenamed("source", "__s"))
+    # few sources are broadcast, so that a source with a third of all rows is not dealt to one task;
+    # with more the join is by shuffle, where skewed partitions are split
+    few = goal.count() <= BROADCAST_SOURCES
+    rows = at.join(F.broadcast(goal) if few else goal, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank, u = F.col("__at") - F.col("__first") + 1, offset(F.col("source"), seed)
     copies = (F.floor(rank * rate + u) - F.floor((rank - 1) * rate + u)).cast("bigint")
