@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Labellers in order; each votes 0 (bad), 1 (good) or 2 (nothing).
 LABELLERS = ("symbols", "loose_marks", "shouting", "capitals", "stutter", "twin_lines", "sentences", "plain_words")
-FIT_ROWS, DIM, KEPT_FROM = 8_000, 1024, 0.5
+FIT_ROWS, DIM, KEPT_FROM = 4_000, 1024, 0.5
 
 
 _CLASS = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
@@ -129,15 +129,17 @@ def posterior(votes: np.ndarray, p: np.ndarray, prior: np.ndarray) -> np.ndarray
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
-    """Logistic regression on soft labels by accelerated full-batch gradient steps."""
-    w = v = np.zeros(x.shape[1], np.float64)
-    step = 4.0 / max(1e-9, float((x.astype(np.float64) ** 2).sum(axis=1).max()))
+    """Logistic regression on soft labels by accelerated full-batch gradient steps; ``x`` and ``y`` are
+    float32, and no copy of ``x`` is made."""
+    n = np.float32(len(y))
+    w = v = np.zeros(x.shape[1], np.float32)
+    step = np.float32(4.0 / max(1e-9, float(np.einsum("ij,ij->i", x, x).max())))
     for k in range(1, rounds + 1):
         z = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        new = v - step * (x.T @ (z - y) / len(y) + penalty * v)
-        v = new + (k - 1) / (k + 2) * (new - w)
+        new = v - step * ((z - y) @ x / n + np.float32(penalty) * v)
+        v = new + np.float32((k - 1) / (k + 2)) * (new - w)
         w = new
-    return w
+    return w.astype(np.float64)
 
 
 def train(docs: DataFrame, text_col: str, fit_rows: int = FIT_ROWS, id_col: str = "doc_id") -> dict:
@@ -158,16 +160,19 @@ def train(docs: DataFrame, text_col: str, fit_rows: int = FIT_ROWS, id_col: str
             rows = [(v, x) for v, x in rows if x is not None]
             if rows:
                 yield pd.DataFrame({"good": posterior(np.array([v for v, _ in rows]), chances, prior)[:, 1],
-                                    "x": [x.tobytes() for _, x in rows]})
+                                    "x": [x.astype(np.float16).tobytes() for _, x in rows]})
 
     scale = 1 << 20
     cut = min(scale, -(-scale * fit_rows // total))
     part = docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (text_col, id_col) if c in docs.columns]), F.lit(scale)) < cut).limit(2 * fit_rows)
-    fit = part.select(F.col(text_col).alias("text")).mapInPandas(run, "good double, x binary").toPandas()
-    if not len(fit):
+    good, rows = [], bytearray()        # filled row by row: one copy of the sample on the driver
+    for r in part.select(F.col(text_col).alias("text")).mapInPandas(run, "good double, x binary").toLocalIterator():
+        good.append(r["good"])
+        rows += r["x"]
+    if not good:
         return {"weights": np.zeros(DIM), "prior": prior, "chances": chances}
-    x = np.frombuffer(b"".join(fit["x"]), np.float32).reshape(len(fit), DIM)
-    return {"weights": fit_linear(x, fit["good"].to_numpy()), "prior": prior, "chances": chances}
+    x = np.frombuffer(rows, np.float16).reshape(len(good), DIM).astype(np.float32)
+    return {"weights": fit_linear(x, np.array(good, np.float32)), "prior": prior, "chances": chances}
 
 
 def score_column(model: dict, text_col: str = "text") -> Column:
