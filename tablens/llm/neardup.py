@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sequence(F.lit(m), F.lit(2 * m - 1)), lambda j: F.xxhash64(F.get("sig", i), F.get("sig", j), i * m + j))))
     facts = classes.select("rep", "n", "bits")
     met = _meet(classes.select("rep", F.posexplode(keys).alias("t", "key")), 0)
-    links = tried = None
+    tried = None
     for turn in range(_TURNS):
         pairs = None
         for c in range(_CENTRES):
@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = durable(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["x", "y"], "left_anti"))
         found = confirm(pairs, facts, docs, id_col, text_col, width, percent)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        # the components so far are stars already; new links join them
+        links = found if turn == 0 else found.unionByName(comp.select(F.col("rep").alias("x"), F.col("comp").alias("y")))
         comp = durable(connected_components(links, "x", "y", "rep", "comp"))
         met = _meet(met.select("key", "t", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), turn + 1)
 
@@ -186,7 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       & ~F.exists(F.sequence(F.lit(0), i), lambda k: (k < i) & agree(k))
                       & ~F.exists(F.sequence(F.lit(m), j), lambda k: (k < j) & agree(k)))
             .select(F.greatest("rep", "rep_").alias("x"), F.least("rep", "rep_").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
-    links = links.unionByName(confirm(rest, facts, docs, id_col, text_col, width, percent))
+    links = confirm(rest, facts, docs, id_col, text_col, width, percent).unionByName(
+        comp.select(F.col("rep").alias("x"), F.col("comp").alias("y")))
     # an id that stands on several texts ties their classes
     named = sig.where("set_key is not null and doc_id is not null").select("doc_id", "set_key")
     several = named.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b")
