@@ -10,7 +10,9 @@ what its repetitions are labelled.
 
 The potentials are trained piecewise on the patterns' labels: label pairs along edges are counted over
 all documents, the unary model is fitted on a bounded sample of tokens (``fit_tokens``).
-Repeated tokens are tied along one chain in text order, so a document's edges grow with its tokens.
+Repeated tokens are tied along one chain in text order, and for the labelling also to a labelled repeat, so a
+label is one edge from every repeat however many there are and a document's edges grow with its tokens. Each
+document's messages are passed until they settle.
 
 Null and empty texts give no spans. Repeated rows get equal results. An empty table gives no rows. Texts
 are read whole. ``find_personal_data`` keeps only the columns it is told to keep.
@@ -29,7 +31,7 @@ from ..session import durable
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1         # 0: nothing
-FIT_TOKENS, ADDED_FROM, ROUNDS, DAMPING = 50_000, 0.9, 12, 0.5
+FIT_TOKENS, ADDED_FROM, ROUNDS, DAMPING, SETTLED = 50_000, 0.9, 12, 0.5, 1e-4
 EDGE_KINDS = ("chain", "same", "suffix")
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -102,6 +104,13 @@ def node_features(tok: str) -> np.ndarray:
     return x
 
 
+def _ties(tok: str) -> tuple[tuple[str, str] | None, tuple[str, str] | None]:
+    """What a token shares with its repeats, and with tokens of the same last seven digits."""
+    d = _DIGITS.sub("", tok)
+    key = ("=", d) if len(d) >= 5 and "@" not in tok else ("@", tok.lower()) if "@" in tok else None
+    return key, ("..", d[-7:]) if len(d) >= 7 and "@" not in tok else None
+
+
 def edges_of(nodes) -> list[tuple[int, int, int]]:
     """(node, later node, edge kind). Neighbours within four characters chain; equal tokens and equal
     last seven digits tie each node to the latest one before it."""
@@ -109,9 +118,7 @@ def edges_of(nodes) -> list[tuple[int, int, int]]:
     for i, (start, _, tok, _) in enumerate(nodes):
         if i and start - nodes[i - 1][1] <= 4:
             out.append((i - 1, i, 0))
-        d = _DIGITS.sub("", tok)
-        key = ("=", d) if len(d) >= 5 and "@" not in tok else ("@", tok.lower()) if "@" in tok else None
-        tail = ("..", d[-7:]) if len(d) >= 7 and "@" not in tok else None
+        key, tail = _ties(tok)
         same = last.get(key) if key else None
         near = last.get(tail) if tail else None
         if same is not None:
@@ -124,28 +131,65 @@ def edges_of(nodes) -> list[tuple[int, int, int]]:
     return out
 
 
-def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.ndarray:
+def with_labelled(nodes, edges) -> list[tuple[int, int, int]]:
+    """``edges``, and one from each unlabelled node to the labelled repeat nearest before it, else the first
+    after it, so that a label is one edge from every repeat. Labelled nodes are observed: no loops arise."""
+    out, known = list(edges), {(a, b) for a, b, _ in edges}
+    ties = [_ties(tok) for _, _, tok, _ in nodes]
+    for which in (0, 1):
+        at: dict[tuple[str, str], int] = {}
+        for i in range(len(nodes) - 1, -1, -1):
+            if nodes[i][3] and ties[i][which]:
+                at[ties[i][which]] = i
+        for i, both in enumerate(ties):
+            j = at.get(both[which])
+            if j is None:
+                continue
+            if nodes[i][3]:
+                at[both[which]] = i
+            elif (min(i, j), max(i, j)) not in known and not (which and both[0] and both[0] == ties[j][0]):
+                out.append((min(i, j), max(i, j), which + 1))
+    return out
+
+
+def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
     """Marginals by loopy sum-product in logs. ``unary`` (nodes, labels); ``edges`` (a, b, kind);
-    ``pair`` (kinds, labels, labels) from an earlier node's label to a later one's."""
+    ``pair`` (kinds, labels, labels) from an earlier node's label to a later one's; ``owner`` the document
+    of each node. Every document goes on until its messages settle. A damped message moves on a hop in two
+    rounds, so four rounds for each edge reach all of a document; messages that still swing then are left."""
     n, e = len(unary), len(edges)
     norm = lambda z: z - np.logaddexp.reduce(z, axis=-1, keepdims=True)
     if not e:
         return np.exp(norm(unary))
-    a, b, kind = edges.T
-    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-    back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-    table = np.concatenate([pair[kind], pair[kind].transpose(0, 2, 1)])
-    msg = np.zeros((2 * e, unary.shape[1]))
-    for _ in range(ROUNDS):
-        total = unary.copy()
-        np.add.at(total, dst, msg)
-        out = norm(np.logaddexp.reduce((total[src] - msg[back])[:, :, None] + table, axis=1))
-        moved = np.abs(out - msg).max()
-        msg = DAMPING * msg + (1 - DAMPING) * out
-        if moved < 1e-4:
-            break
+    doc = np.zeros(e, np.int64) if owner is None else owner[edges[:, 0]]
+    bound = ROUNDS + 4 * np.bincount(doc)
+    msg = np.zeros((2, e, unary.shape[1]))      # to the later node, to the earlier one
+    live, rounds = np.arange(e), 0
+    while len(live):
+        m = len(live)
+        nodes, ends = np.unique(edges[live, :2], return_inverse=True)
+        a, b = ends.reshape(m, 2).T
+        src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+        table = pair[edges[live, 2]]
+        table = np.concatenate([table, table.transpose(0, 2, 1)])
+        own, now = unary[nodes], msg[:, live].reshape(2 * m, -1)
+        for _ in range(ROUNDS):
+            total = own.copy()
+            np.add.at(total, dst, now)
+            out = norm(np.logaddexp.reduce((total[src] - now[back])[:, :, None] + table, axis=1))
+            moved = np.abs(out - now).max(axis=1)
+            now = DAMPING * now + (1 - DAMPING) * out
+            if moved.max() < SETTLED:
+                break
+        rounds += ROUNDS
+        msg[:, live] = now.reshape(2, m, -1)
+        moving = np.zeros(len(bound), bool)
+        moving[doc[live[np.maximum(moved[:m], moved[m:]) >= SETTLED]]] = True
+        live = live[moving[doc[live]] & (rounds < bound[doc[live]])]
     total = unary.copy()
-    np.add.at(total, dst, msg)
+    np.add.at(total, edges[:, 1], msg[0])
+    np.add.at(total, edges[:, 0], msg[1])
     return np.exp(norm(total))
 
 
@@ -202,7 +246,7 @@ def added_spans(texts, bases, model: dict, added_from: float = ADDED_FROM) -> li
         if not any(label for *_, label in mine):
             continue        # nothing observed that repetitions could carry on
         off = len(nodes)
-        edges += [(a + off, b + off, k) for a, b, k in edges_of(mine)]
+        edges += [(a + off, b + off, k) for a, b, k in with_labelled(mine, edges_of(mine))]
         nodes += mine
         owner += [i] * len(mine)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -211,11 +255,11 @@ def added_spans(texts, bases, model: dict, added_from: float = ADDED_FROM) -> li
     x = np.array([node_features(tok) for _, _, tok, _ in nodes], np.float64)
     unary = x @ model["weights"]
     seen = np.array([label for *_, label in nodes])
-    fixed = np.full(LABELS, -50.0)
+    fixed = np.full(LABELS, -1e9)       # no number of repeats outvotes an observed label
     unary[seen > 0] = fixed
     unary[seen > 0, seen[seen > 0]] = 0.0       # observed
     edges = np.array(edges, np.int64).reshape(-1, 3)
-    belief = beliefs(unary, edges, model["table"])
+    belief = beliefs(unary, edges, model["table"], np.array(owner))
     tied = np.zeros(len(nodes), bool)
     skip = edges[:, 2] > 0
     tied[edges[skip, 0]] = tied[edges[skip, 1]] = True

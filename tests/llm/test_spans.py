@@ -134,3 +134,27 @@ def test_beliefs_equal_enumeration_on_a_tree():
             total[i, y[i]] += p
     want = total / total.sum(axis=1, keepdims=True)
     assert np.allclose(pii.beliefs(unary, edges, pair), want, atol=1e-3)
+
+
+def test_a_label_reaches_every_repeat_of_a_long_document():
+    import numpy as np
+    table = np.zeros((3, pii.LABELS, pii.LABELS))
+    table[1] = table[2] = np.where(np.eye(pii.LABELS, dtype=bool), 3.0, -5.0)
+    model = {"weights": np.zeros((24, pii.LABELS)), "table": table}
+    for text in ("ask for 9745553436 again. " * 100 + "+9745553436", "+9745553436 and " + "ask for 9745553436 again. " * 100):
+        more = pii.added_spans([text, PII[7]], [pii.base_spans(text), pii.base_spans(PII[7])], model)
+        assert more[0] == [(m.start(), 3, m.end()) for m in re.finditer(r"(?<!\+)9745553436", text)] and len(more[0]) == 100
+        assert len(more[1]) == 1
+
+
+def test_messages_pass_until_they_settle():
+    import numpy as np
+    n = 60
+    unary = np.zeros((n, 2))
+    unary[-1] = -50, 0
+    pair = np.log(np.array([[[.999, .001], [.001, .999]]]))
+    edges = np.array([(i, i + 1, 0) for i in range(n - 1)])
+    two = np.concatenate([edges[:3], edges[:3] + [n, n, 0], edges[3:]])     # a short document beside it
+    got = pii.beliefs(np.concatenate([unary, np.zeros((4, 2))]), two, pair, np.repeat([0, 1], [n, 4]))
+    want = [.5 + .5 * .998 ** (n - 1 - i) for i in range(n)]
+    assert np.allclose(got[:n, 1], want, atol=5e-3) and np.allclose(got[n:], .5)
