@@ -119,3 +119,32 @@ def test_paraphrases_and_odd_rows(spark):
     assert got == {(100, 0), (101, 1), (None, 2), (105, 3)}
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_altered_items_against_brute_force_verdicts(spark):
+    rng = random.Random(8)
+    read = lambda name: [decontam.words_in(r["text"]) for r in spark.read.parquet(f"{SF}/{name}.parquet").select("text").collect()]
+    texts = sorted(t for t in read("documents") if len(t) > 400)
+    pool = [w for t in texts for w in t]
+    items = read("benchmark") + [t[:n] for t, n in zip(texts[::7], (260, 300, 350, 400, 280, 320))]
+    replaced = lambda x, p: [rng.choice(pool) if rng.random() < p else w for w in x]
+    dropped = lambda x, p: [w for w in x if rng.random() >= p]
+    inserted = lambda x, p: [y for w in x for y in ([w, rng.choice(pool)] if rng.random() < p else [w])]
+    ways = [lambda x: replaced(x, .2), lambda x: dropped(x, .2), lambda x: inserted(x, .6), lambda x: inserted(replaced(x, .15), 1)]
+    rows, true = [], [set() for _ in ways]
+    for k, way in enumerate(ways):
+        for i, x in enumerate(items):
+            a, b = rng.randrange(len(pool) - 400), rng.randrange(len(pool) - 400)
+            t = pool[a:a + 150] + way(x) + pool[b:b + 150]
+            known = decontam._Ids()
+            item = decontam.Item(np.array([known[w] for w in x], np.uint32))
+            if decontam.is_leak(item, *decontam.verdict(item, [known[w] for w in t])):
+                true[k].add((k * len(items) + i, i))
+            rows.append((k * len(items) + i, b" ".join(t).decode("utf-8", "replace")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(
+        spark.read.parquet(f"{SF}/documents.parquet").select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
+    bench = spark.createDataFrame([(i, b" ".join(x).decode("utf-8", "replace")) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
+    for t in true:
+        assert len(t) >= .9 * len(items) and len(t & got) >= .9 * len(t)
+    assert {(d, i) for t in true for d, i in t if len(items[i]) > 256} <= got
