@@ -121,3 +121,23 @@ def test_stages_on_rows_without_ids_and_empty_tables(spark):
     for f in stage.values():
         assert f(spark, docs.limit(0), sf).count() == 0
     assert secrets.RULES and neardup.ROWS
+
+
+def test_only_chrome_goes_from_an_article():
+    page = ('<nav>Home</nav><div id="social">S</div><article><h1>T</h1><section id="social-effects"><h2 id="related-work">R</h2><p>One</section>'
+            '<div class="widget-content">Two</div><p id="subscription-model">Three</p><p class="notice-period text">Four</p>'
+            '<div class="ad">x</div><div class="big share-buttons">x</div><div class="related-posts">x</div><ul role="menu">x</ul></article>')
+    assert pagetext.main_text(page, []) == "T\n\nR\n\nOne\n\nTwo\n\nThree\n\nFour"
+
+
+def test_a_form_around_the_page_is_not_chrome():
+    for form, end in (("<form action='/x.aspx' id=aspnetForm>", "</form>"), ("<form>", "")):
+        assert pagetext.main_text(f"{form}<nav>Home</nav><div>Story</div><p>Goes on<label>Mail</label><button>Go</button>{end}", []) == "Story\n\nGoes on"
+        assert pagetext.main_text(f"<p>Skip to the text</p>{form}<main><p>Story</p></main><footer>x</footer>{end}", []) == "Story"
+        assert pagetext.main_text(form + "<div>Top</div>" + ARTICLE + end, []) == "Title & more\n\nFirst part.\n\nSecond line <x>"
+    assert pagetext.main_text("<p>A story</p><form><p>Search</p></form><p>Goes on</p>", []) == "A story\n\nGoes on"
+
+
+def test_main_keeps_its_lines_beside_articles():
+    page = "<div>Top</div><main><h1>Story</h1><p>One</p><article>Teaser</article><p>Two</p><aside>x</aside></main><div>End</div>"
+    assert pagetext.main_text(page, []) == "Story\n\nOne\n\nTeaser\n\nTwo"
