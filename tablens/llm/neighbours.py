@@ -29,6 +29,7 @@ from ..session import durable
 from . import hnsw
 
 SHARD_ROWS, BEAM, AUDIT, RECALL = 16_384, 48, 256, 0.99
+LEAST_LINKS = 300       # the audit reads on until it has seen so many links, or every query
 _MARGIN = 1e-5      # float32 scores this near the threshold are decided in double precision
 
 
@@ -63,8 +64,23 @@ def _find(q: np.ndarray, index: dict, threshold: float, same: bool, rng) -> tupl
     nq, n = len(q), len(x)
     whole = np.zeros(nq, bool)
     beam, qs, hits = BEAM, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sample = np.sort(rng.permutation(nq)[:AUDIT])
-    truth = q[sample] @ x.T >= threshold + _MARGIN      # bounded: AUDIT rows by one shard
+    if beam * 4 < n:
+        order, truth, near, links = rng.permutation(nq), [], [], 0
+        for a in range(0, nq, AUDIT):
+            part = order[a:a + AUDIT]
+            sims = q[part] @ x.T                # bounded: AUDIT rows by one shard
+            if same:
+                sims[np.arange(len(part)), part] = -np.inf      # finding itself is no link
+            r, c = np.nonzero(sims >= threshold - _MARGIN)
+            near.append(part[r] * n + c)
+            truth.append(near[-1][sims[r, c] >= threshold + _MARGIN])
+            links += len(truth[-1])
+            if links >= LEAST_LINKS:
+                break
+        else:
+            near = np.concatenate([np.zeros(0, np.int64), *near])
+            return near // n, near % n, whole   # every query has been compared with the whole shard
+        truth = np.concatenate(truth)
     while beam * 4 < n:
         ids, sims = hnsw.search(x, levels, q, beam)
         ok = (ids >= 0) & (sims >= threshold - _MARGIN)
@@ -82,12 +98,8 @@ def _find(q: np.ndarray, index: dict, threshold: float, same: bool, rng) -> tupl
             again, wide = again[more], wide * 4
         whole[:] = False
         whole[again] = True
-        got = whole[sample][:, None] & truth
-        place = np.full(nq, -1)
-        place[sample] = np.arange(len(sample))
-        seen = place[qs] >= 0
-        got[place[qs[seen]], hits[seen]] |= truth[place[qs[seen]], hits[seen]]
-        if got.sum() >= RECALL * truth.sum():
+        got = whole[truth // n] | np.isin(truth, qs * n + hits)
+        if got.sum() >= RECALL * len(truth):
             return qs, hits, whole
         beam *= 2
     whole[:] = True     # as wide as the shard

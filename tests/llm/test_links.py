@@ -187,3 +187,25 @@ def test_mix_meets_targets(spark):
         assert abs(taken[s] - want[s]) <= 5000
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, got))
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_audit_of_sparse_links_does_not_count_self_matches(monkeypatch):
+    """A search that finds nothing but the query itself must not pass the audit."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(2000, 32)))
+    x[1000:1020] = unit(x[:20] + .01 * rng.normal(size=(20, 32)))
+    other = unit(rng.normal(size=(1500, 32)))
+    other[:5] = unit(x[500:505] + .01 * rng.normal(size=(5, 32)))
+    dense = unit(x[np.repeat(np.arange(400), 5)] + .01 * rng.normal(size=(2000, 32)))
+    def itself(x, levels, q, beam):
+        ids = np.full((len(q), beam), -1)
+        ids[:, 0] = np.arange(len(q)) % len(x)
+        return ids, np.where(ids >= 0, (q[:, None] * x[ids]).sum(axis=2), -1.0)
+    monkeypatch.setattr(neighbours.hnsw, "search", itself)
+    for q, y, same in ((x, x, True), (x, other, False), (dense, dense, True)):
+        q, y = q.astype(np.float32), y.astype(np.float32)
+        qs, hits, whole = neighbours._find(q, {"x": y, "levels": None}, .98, same, np.random.default_rng(0))
+        r, c = np.nonzero(q @ y.T >= .98 + 1e-5)
+        want = {(a, b) for a, b in zip(r.tolist(), c.tolist()) if not (same and a == b)}
+        assert want and all(whole[a] or (a, b) in got for got in [set(zip(qs.tolist(), hits.tolist()))] for a, b in want)
