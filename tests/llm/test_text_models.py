@@ -148,3 +148,9 @@ def test_altered_items_against_brute_force_verdicts(spark):
     for t in true:
         assert len(t) >= .9 * len(items) and len(t & got) >= .9 * len(t)
     assert {(d, i) for t in true for d, i in t if len(items[i]) > 256} <= got
+
+
+def test_quality_fit_reads_the_full_sample():
+    import inspect
+    for f in (quality.train, quality.score_documents):
+        assert inspect.signature(f).parameters["fit_rows"].default >= 8_000
