@@ -141,3 +141,16 @@ def test_a_form_around_the_page_is_not_chrome():
 def test_main_keeps_its_lines_beside_articles():
     page = "<div>Top</div><main><h1>Story</h1><p>One</p><article>Teaser</article><p>Two</p><aside>x</aside></main><div>End</div>"
     assert pagetext.main_text(page, []) == "Story\n\nOne\n\nTeaser\n\nTwo"
+
+
+def test_differencing_of_the_given_pages_without_their_marks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    bare = pages.withColumn("html", F.regexp_replace("html", r"(?i)</?(article|main)\b[^>]*>", ""))
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    assert all(any(z for _, z in pagetext.page_lines(h)) for h in html.values())      # none is decided by differencing
+    kept = total = found = 0
+    for r in pagetext.extract(bare, ["page_id"]).collect():
+        want, got = set(pagetext.main_text(html[r["page_id"]], []).split("\n\n")), set(r["text"].split("\n\n")) - {""}
+        kept, total, found = kept + len(want & got), total + len(want), found + len(got)
+    print(f"differencing: {kept} of {total} lines of the articles kept, {kept} of {found} lines returned are the articles'")
+    assert kept >= .9 * total and kept >= .9 * found
