@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .blockjoin import SQL_NEAREST, op11_nearest_neighbours
 from .decontam import op6_decontamination
 from .mixing import SQL_MIX, op7_source_mix
 from .neardup import SQL_MINHASH, op4_minhash_neardup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_page_text": op10_page_text,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -34,4 +36,5 @@ ORACLES = {
     "op4_minhash_neardup": SQL_MINHASH,
     "op7_source_mix": SQL_MIX,
     "op9_url_filter": SQL_URLS,
+    "op11_nearest_neighbours": SQL_NEAREST,
 }
