@@ -4,6 +4,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .blockjoin import SQL_NEAREST, op11_nearest_neighbours
+from .convtrie import SQL_TRIE, op13_conversation_trie
 from .decontam import op6_decontamination
 from .mixing import SQL_MIX, op7_source_mix
 from .neardup import SQL_MINHASH, op4_minhash_neardup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_page_text": op10_page_text,
     "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op13_conversation_trie": op13_conversation_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -37,4 +39,5 @@ ORACLES = {
     "op7_source_mix": SQL_MIX,
     "op9_url_filter": SQL_URLS,
     "op11_nearest_neighbours": SQL_NEAREST,
+    "op13_conversation_trie": SQL_TRIE,
 }
