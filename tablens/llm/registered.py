@@ -13,6 +13,7 @@ from .pagetext import op10_page_text
 from .pii import op2_personal_data
 from .quality import op5_quality
 from .secrets import SQL_SECRETS, op1_secret_scan
+from .spelling import SQL_SPELLING, op12_spelling_variants
 from .toxicity import op8_toxicity
 from .urlrules import SQL_URLS, op9_url_filter
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_page_text": op10_page_text,
     "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_trie": op13_conversation_trie,
     "pipeline": corpus_pipeline.run,
 }
@@ -39,5 +41,6 @@ ORACLES = {
     "op7_source_mix": SQL_MIX,
     "op9_url_filter": SQL_URLS,
     "op11_nearest_neighbours": SQL_NEAREST,
+    "op12_spelling_variants": SQL_SPELLING,
     "op13_conversation_trie": SQL_TRIE,
 }
