@@ -2,35 +2,40 @@
 
 - The matrix is built once: raw feature columns plus an array ``__z`` of the
   standardised values, persisted; every model reads it.
-- k-means is Spark ML (k-means|| over all rows), with several seeded fits for the chosen k.
+- k-means: three seeded fits for every k and five for the chosen one. All fits take their steps together: one pass over the rows
+  moves the centres of every fit that has not converged, so the matrix is read as often as the slowest fit needs and not once for each
+  step of each fit. Starts are k-means++ on a bounded sample. A fit that stops at ``MAX_ITER`` is reported.
 - Silhouette is the linear form over all rows: squared Euclidean distances, from each cluster's
   row count, sum and sum of squares; no pairs of rows.
-- PCA: one pass of Gram partials, summed on the cluster, gives the d x d covariance, which is
-  eigen-decomposed on the driver; the projection is plain column arithmetic.
+- PCA: block Lanczos on the row matrix. Each pass multiplies the covariance with a few vectors (d x l numbers a task); the driver
+  holds the Krylov basis (d x at most ``BASIS`` numbers) and never a d x d matrix; the projection is plain column arithmetic.
 """
 from __future__ import annotations
 
 import math
+import warnings
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .boxes import sample_rows
 from .prep import Prepared
 
 Z = "__z"
 SEED = 42
-KMEANS_RESTARTS = 5
+KMEANS_RESTARTS, SWEEP_RESTARTS = 5, 3
 MAX_ITER = 300
+#: A fit has converged when its centres' squared moves sum to this at most (standardised features have variance 1).
 TOL = 1e-4
-BLOCK = 2048
-#: Most numbers of cluster summaries (clusters x features) that one task receives.
-SUMMARY_MAX = 10_000_000
+#: A matrix of more rows than this is dealt to several tasks even if its table was read by one.
+ROWS_A_TASK = 50_000
+#: Columns of a Krylov basis at most (beyond the number of components asked for), and a component's residual to stop at.
+BASIS, RESIDUAL, BLOCK_EXTRA = 160, 1e-9, 8
 
 
 def z_exprs(p: Prepared):
@@ -38,24 +43,94 @@ def z_exprs(p: Prepared):
 
 
 def matrix(p: Prepared) -> DataFrame:
-    """id, raw features, and the standardised values ``__z``; persisted."""
+    """id, raw features, and the standardised values ``__z``; persisted. A table that was read by fewer tasks than its
+    rows are worth (one file, one row group) is dealt by id once: every model reads the matrix many times."""
     m = p.features.select("*", F.array(*z_exprs(p)).alias(Z))
+    tasks = min(m.sparkSession.sparkContext.defaultParallelism, math.ceil(p.n_rows / ROWS_A_TASK))
+    if m.rdd.getNumPartitions() < tasks:
+        m = m.repartition(tasks, p.id_col)
     return m.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # ------------------------------------------------------------------ k-means (M3)
-def vectors(m: DataFrame) -> DataFrame:
-    """The rows as Spark ML vectors, persisted: every fit reads them."""
-    return m.select(array_to_vector(F.col(Z)).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def fit_kmeans(v: DataFrame, k: int, seeds: list[int], max_iter: int = MAX_ITER) -> tuple[np.ndarray, float, bool]:
-    """(centres, inertia, converged) of the best of several seeded Spark ML fits over all ``vectors``."""
-    best = None
-    for seed in seeds:
-        model = KMeans(featuresCol="v", k=k, seed=seed, maxIter=max_iter, tol=TOL).fit(v)
-        fit = (np.array(model.clusterCenters()), float(model.summary.trainingCost), model.summary.numIter < max_iter)
-        best = fit if best is None or fit[1] < best[1] else best
+class Fit(NamedTuple):
+    centres: np.ndarray
+    cost: float
+    converged: bool
+
+
+def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k starting centres among the rows of ``x``: each drawn with a chance in proportion to its squared distance from those before it."""
+    rng = np.random.default_rng([seed, k])
+    at = [int(rng.integers(len(x)))]
+    near = ((x - x[at[0]]) ** 2).sum(1)
+    while len(at) < k:
+        total = near.sum()
+        at.append(int(rng.choice(len(x), p=near / total)) if total > 0 else int(rng.integers(len(x))))
+        near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(1))
+    return x[at]
+
+
+def cluster_sums(m: DataFrame, centres: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set of centres, one row a centre: rows nearest to it, their summed squared distances, their summed values. One
+    pass for all; a task emits (all centres) x (features + 2) numbers, summed on the cluster."""
+    d = centres[0].shape[1]
+    flat = np.concatenate(centres)
+    edges = np.cumsum([0] + [len(c) for c in centres])
+    bc = m.sparkSession.sparkContext.broadcast((flat, edges))
+
+    def part(batches):
+        c, edges = bc.value
+        own = (c * c).sum(1)
+        sums = np.zeros((len(c), d + 2))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy())
+            far = np.maximum((x * x).sum(1)[:, None] + own - 2.0 * (x @ c.T), 0.0)
+            near = np.zeros(far.shape)
+            line = np.arange(len(x))
+            for a, b in zip(edges, edges[1:]):
+                near[line, a + far[:, a:b].argmin(1)] = 1.0
+            sums[:, 0] += near.sum(0)
+            sums[:, 1] += (near * far).sum(0)
+            sums[:, 2:] += near.T @ x
+        yield pd.DataFrame({"pos": np.arange(sums.size), "v": sums.ravel()})
+
+    rows = m.select(F.col(Z).alias("x")).mapInPandas(part, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
+    bc.unpersist()
+    table = np.zeros(len(flat) * (d + 2))
+    table[rows["pos"].to_numpy()] = rows["v"].to_numpy()
+    return np.split(table.reshape(len(flat), d + 2), edges[1:-1])
+
+
+def fit_together(m: DataFrame, starts: list[np.ndarray], max_iter: int = MAX_ITER) -> list[Fit]:
+    """Lloyd's steps from each set of starting centres until it converges; every pass serves all fits that are not done. A
+    centre without rows stays where it is."""
+    centres, moving, done = [s.copy() for s in starts], list(range(len(starts))), [False] * len(starts)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        for i, sums in zip(list(moving), cluster_sums(m, [centres[i] for i in moving])):
+            new = np.where(sums[:, :1] > 0, sums[:, 2:] / np.maximum(sums[:, :1], 1), centres[i])
+            done[i] = bool(((new - centres[i]) ** 2).sum() <= TOL)
+            centres[i] = new
+            if done[i]:
+                moving.remove(i)
+    return [Fit(c, float(t[:, 1].sum()), ok) for c, t, ok in zip(centres, cluster_sums(m, centres), done)]
+
+
+def starting_rows(m: DataFrame, id_col: str, n: int) -> np.ndarray:
+    """The bounded sample that starting centres are drawn from."""
+    rows = sample_rows(m.select(F.col(id_col).alias("id"), F.col(Z).alias("x")), n)
+    return np.stack((rows if len(rows) else m.select(F.col(Z).alias("x")).limit(1).toPandas())["x"].to_numpy())
+
+
+def best_fit(fits: list[Fit]) -> Fit:
+    """The fit of lowest cost (the first of equal ones). A warning tells if it had not converged."""
+    best = min(fits, key=lambda f: f.cost)
+    if not best.converged:
+        warnings.warn(f"k-means with k = {len(best.centres)} stopped before it converged", stacklevel=2)
     return best
 
 
@@ -102,27 +177,22 @@ def lloyd_step(m: DataFrame, centers: np.ndarray) -> DataFrame:
             .agg(F.avg("x").alias("centre"), F.count(F.lit(1)).alias("rows")))
 
 
-def kmeans(m: DataFrame, id_col: str, k: int, restarts: int = KMEANS_RESTARTS, seed: int = SEED):
-    """M3: (labelled matrix with ``cluster``, inertia); lowest inertia of ``restarts`` seeds."""
-    v = vectors(m)
-    centers, cost, _ = fit_kmeans(v, k, [seed + r for r in range(restarts)])
-    v.unpersist()
-    return label_rows(m, centers, numbering=numbering_by_size(m, centers)), cost
+def kmeans(m: DataFrame, id_col: str, k: int, restarts: int = KMEANS_RESTARTS, seed: int = SEED, max_iter: int = MAX_ITER):
+    """M3: (labelled matrix with ``cluster``, the fit of lowest inertia of ``restarts`` seeds)."""
+    rows = starting_rows(m, id_col, m.count())
+    best = best_fit(fit_together(m, [plus_plus(rows, k, seed + r) for r in range(restarts)], max_iter))
+    return label_rows(m, best.centres, numbering=numbering_by_size(m, best.centres)), best
 
 
 # ------------------------------------------------------------------ silhouette (M7)
 def cluster_summaries(labelled: DataFrame, cluster_col: str = "cluster") -> pd.DataFrame:
-    """cluster, n, mean (array), square (mean of squared norms) of every cluster; clusters x features
-    numbers, checked."""
+    """cluster, n, mean (array), square (mean of squared norms) of every cluster: clusters x features numbers."""
     pts = labelled.select(F.col(cluster_col).cast("int").alias("cluster"), F.col(Z).alias("x"))
     square = F.aggregate(F.transform("x", lambda v: v * v), F.lit(0.0), lambda acc, v: acc + v)
     sizes = pts.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(square).alias("square"))
     means = (pts.select("cluster", F.posexplode("x").alias("p", "v")).groupBy("cluster", "p").agg(F.avg("v").alias("v"))
              .groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("mean")))
-    found = sizes.join(means, "cluster")
-    if found.agg(F.coalesce(F.sum(F.size("mean")), F.lit(0))).first()[0] > SUMMARY_MAX:
-        raise ValueError(f"the clusters' summaries hold more than {SUMMARY_MAX} numbers")
-    return found.orderBy("cluster").toPandas()
+    return sizes.join(means, "cluster").orderBy("cluster").toPandas()
 
 
 def linear_scores(x: np.ndarray, own: np.ndarray, n: np.ndarray, square: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -216,65 +286,107 @@ def sweep_silhouettes(m: DataFrame, centers: list[np.ndarray]) -> list[float | N
     return out
 
 
-def choose_k(m: DataFrame, id_col: str, n: int | None = None, final_restarts: int = KMEANS_RESTARTS, seed: int = SEED):
-    """M2: k = 2..max(3, min(10, floor(sqrt(n)))), one fit each, the linear silhouette over all rows;
-    the best strictly greater score wins (lowest k on ties); then ``final_restarts`` fits of that k.
-    Returns (k, trace, best centres for k)."""
+class Choice(NamedTuple):
+    k: int
+    trace: list          # (k, silhouette, converged) of every k tried
+    fit: Fit | None      # the best fit of the chosen k
+
+
+def choose_k(m: DataFrame, id_col: str, n: int | None = None, restarts: int = SWEEP_RESTARTS, final_restarts: int = KMEANS_RESTARTS,
+             seed: int = SEED, max_iter: int = MAX_ITER) -> Choice:
+    """M2: k = 2..max(3, min(10, floor(sqrt(n)))), ``restarts`` fits each and the one of lowest inertia scored by the linear silhouette
+    over all rows; the best strictly greater score wins (lowest k on ties, 2 where none is defined). The chosen k is fitted with further
+    seeds up to ``final_restarts``."""
     n = m.count() if n is None else n
     top = max(3, min(10, int(math.sqrt(n))))
     ks = [k for k in range(2, top + 1) if k <= n]
-    v = vectors(m)
-    fits = [fit_kmeans(v, k, [seed])[0] for k in ks]
-    trace = list(zip(ks, sweep_silhouettes(m, fits))) if ks else []
+    if not ks:
+        return Choice(2, [], None)
+    rows = starting_rows(m, id_col, n)
+    tried = fit_together(m, [plus_plus(rows, k, seed + r) for k in ks for r in range(restarts)], max_iter)
+    fits = {k: tried[i * restarts:(i + 1) * restarts] for i, k in enumerate(ks)}
+    best_of = {k: best_fit(fits[k]) for k in ks}
+    scores = sweep_silhouettes(m, [best_of[k].centres for k in ks])
     best_k, best = 2, -1.0
-    for k, score in trace:
+    for k, score in zip(ks, scores):
         if score is not None and score > best:
             best_k, best = k, score
-    centers = fit_kmeans(v, best_k, [seed + r for r in range(final_restarts)])[0] if final_restarts and best_k <= n else None
-    v.unpersist()
-    return best_k, trace, centers
+    more = [plus_plus(rows, best_k, seed + r) for r in range(restarts, final_restarts)]
+    more = fit_together(m, more, max_iter) if more else []
+    return Choice(best_k, [(k, s, best_of[k].converged) for k, s in zip(ks, scores)], best_fit(fits[best_k] + more))
 
 
 # ------------------------------------------------------------------ PCA (M1)
-def gram(m: DataFrame, col: str = Z) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, column sums, X^T X) of an array column in one pass: each task emits one partial
-    (d^2 + d + 1 numbers), summed element-wise on the cluster."""
-    d = len(m.select(col).first()[0])
+def covariance_times(m: DataFrame, v: np.ndarray, col: str = Z) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(n, column sums, column sums of squares, X^T X v) in one pass: each task emits d x (l + 2) numbers, summed on the cluster."""
+    d, width = v.shape
+    bc = m.sparkSession.sparkContext.broadcast(v)
 
     def part(batches):
-        n, s1, s2 = 0, np.zeros(d), np.zeros((d, d))
+        n, sums = 0, np.zeros((d, width + 2))
         for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf[col].to_numpy())
-            n, s1, s2 = n + len(x), s1 + x.sum(0), s2 + x.T @ x
-        yield pd.DataFrame({"pos": np.arange(1 + d + d * d), "x": np.concatenate([[n], s1, s2.ravel()])})
-
-    rows = m.select(col).mapInPandas(part, "pos int, x double").groupBy("pos").agg(F.sum("x").alias("x")).toPandas()
-    tot = rows.sort_values("pos")["x"].to_numpy()
-    return int(tot[0]), tot[1:1 + d], tot[1 + d:].reshape(d, d)
-
-
-def principal_axes(m: DataFrame, k: int, col: str = Z) -> tuple[np.ndarray, np.ndarray]:
-    """Top-k eigenvectors (d x k) of the sample covariance and their explained-variance shares.
-    Each component's sign is fixed so that its largest-magnitude loading is positive."""
-    n, s1, s2 = gram(m, col)
-    mean = s1 / n
-    cov = (s2 - n * np.outer(mean, mean)) / max(n - 1, 1)
-    vals, vecs = np.linalg.eigh(cov)
-    order = np.argsort(vals)[::-1][:k]
-    v = vecs[:, order].copy()
-    for j in range(v.shape[1]):
+            if len(pdf):
+                x = np.stack(pdf[col].to_numpy())
+                n += len(x)
+                sums += np.column_stack([x.sum(0), (x * x).sum(0), x.T @ (x @ bc.value)])
+        yield pd.DataFrame({"pos": np.arange(-1, sums.size), "x": np.concatenate([[n], sums.ravel()])})
+
+    rows = m.select(col).mapInPandas(part, "pos long, x double").groupBy("pos").agg(F.sum("x").alias("x")).toPandas()
+    rows = rows.sort_values("pos")["x"].to_numpy()
+    bc.unpersist()
+    sums = rows[1:].reshape(d, width + 2)
+    return int(rows[0]), sums[:, 0], sums[:, 1], sums[:, 2:]
+
+
+def _orthonormal(w: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of what ``w`` adds to the orthonormal columns ``q`` (none where it adds nothing)."""
+    size = np.sqrt((w * w).sum(0)).max(initial=0.0)
+    for _ in range(2):
+        w = w - q @ (q.T @ w)
+    left, s, _ = np.linalg.svd(w, full_matrices=False)
+    left = left[:, s > 1e-11 * max(size, 1e-300)]
+    left = left - q @ (q.T @ left)
+    return np.linalg.qr(left)[0] if left.shape[1] else left
+
+
+def principal_axes(m: DataFrame, k: int, col: str = Z, seed: int = SEED, basis: int = BASIS) -> tuple[np.ndarray, np.ndarray]:
+    """Top-k eigenvectors (d x k) of the sample covariance and their shares of the variance, by block Lanczos with full
+    re-orthogonalisation: a pass for each block, until each component's residual |C u - value u| is at most ``RESIDUAL`` of the largest value
+    or the basis spans every direction. A basis of ``basis`` columns starts again from its best vectors. Each component's sign is fixed so that
+    its largest-magnitude loading is positive."""
+    d = len(m.select(col).first()[0])
+    k = min(k, d)
+    width = min(d, k + BLOCK_EXTRA)
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    q, cq, total = np.zeros((d, 0)), np.zeros((d, 0)), 0.0
+    while True:
+        n, sums, squares, product = covariance_times(m, block, col)
+        mean = sums / n
+        c_block = (product - n * np.outer(mean, mean @ block)) / max(n - 1, 1)
+        total = float(((squares - n * mean * mean) / max(n - 1, 1)).sum())
+        q, cq = np.column_stack([q, block]), np.column_stack([cq, c_block])
+        small = q.T @ cq
+        vals, s = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(vals)[::-1]
+        vals, u, cu = vals[order], q @ s[:, order], cq @ s[:, order]
+        left = np.sqrt(((cu[:, :k] - u[:, :k] * vals[:k]) ** 2).sum(0))
+        if q.shape[1] >= d or (left <= RESIDUAL * max(abs(vals[0]), 1e-300)).all():
+            break
+        if q.shape[1] + width > max(basis, 4 * width):
+            q, cq = u[:, :2 * width], cu[:, :2 * width]      # thick restart; C times these is known
+        block = _orthonormal(cu[:, :width] - u[:, :width] * vals[:width], q)
+        if not block.shape[1]:
+            break       # the basis is closed under C: its vectors are exact
+    v = u[:, :k].copy()
+    for j in range(k):
         i = int(np.argmax(np.abs(v[:, j])))
         if v[i, j] < 0:
             v[:, j] = -v[:, j]
-    total = vals.sum()
-    return v, (vals[order] / total if total > 0 else vals[order])
+    return v, (vals[:k] / total if total > 0 else vals[:k])
 
 
 def pca_fit(p: Prepared, m: DataFrame, k: int = 3) -> tuple[np.ndarray, list]:
-    """M1 fit: loadings (d x K, K = min(k, d)) from one distributed pass (the covariance is
-    d x d, computed from per-task Gram partials, then eigen-decomposed here)."""
+    """M1 fit: loadings (d x K, K = min(k, d)) and their shares of the variance."""
     v, explained = principal_axes(m, min(k, len(p.names)))
     return v, list(explained)
 

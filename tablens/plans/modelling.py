@@ -32,10 +32,10 @@ def _embeddings_matrix(spark, sf):
 
 @query("kmeans_customer")
 def kmeans_customer(spark, sf):
-    """M2 + M3: k chosen by silhouette sweep, 5 restarts; one label per customer."""
+    """M2 + M3: k chosen by silhouette sweep with 3 restarts for each k, 5 for the chosen one; one label per customer."""
     p, m = _customer(spark, sf)
-    k, _, centers = models.choose_k(m, "c_custkey", p.n_rows)
-    return models.label_rows(m, centers, numbering=models.numbering_by_size(m, centers)).select("c_custkey", "cluster")
+    centres = models.choose_k(m, "c_custkey", p.n_rows).fit.centres
+    return models.label_rows(m, centres, numbering=models.numbering_by_size(m, centres)).select("c_custkey", "cluster")
 
 
 @query("pca_customer")
@@ -157,6 +157,17 @@ def knn_distance(spark, sf):
     return rounded(density.kth_distances_all(m, "vec_id", k, n))
 
 
+@query("knn_distance_customer", f"""
+WITH e AS (SELECT c_custkey, [c_acctbal / 1000, c_nationkey]::DOUBLE[] AS v FROM customer),
+d AS (SELECT a.c_custkey, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON true)
+SELECT c_custkey AS qid, {r4('list_sort(list(dist))[10]')} AS kdist FROM d GROUP BY c_custkey""")
+def knn_distance_customer(spark, sf):
+    """M4 core on two columns, where the metric index leaves out most blocks: distance to the 10th neighbour (self first)."""
+    c = table(spark, sf, "customer")
+    m = c.select("c_custkey", F.array((F.col("c_acctbal") / 1000).cast("double"), F.col("c_nationkey").cast("double")).alias(models.Z))
+    return rounded(density.kth_distances_all(m, "c_custkey", 10))
+
+
 @query("dbscan_core_flags", f"""
 WITH e AS ({EMB_SQL}),
 n AS (SELECT greatest(5, count(*) // 100) AS ms FROM e)
@@ -172,7 +183,7 @@ def dbscan_core_flags(spark, sf):
 
 @query("choose_k_customer")
 def choose_k_customer(spark, sf):
-    """M2: the sweep (k, linear silhouette over all rows) and the chosen k."""
+    """M2: the sweep (k, linear silhouette over all rows, whether its best fit converged) and the chosen k."""
     p, m = _customer(spark, sf)
     k, trace, _ = models.choose_k(m, "c_custkey", p.n_rows)
-    return spark.createDataFrame([(kk, s, kk == k) for kk, s in trace], "k int, silhouette double, chosen boolean")
+    return spark.createDataFrame([(kk, s, done, kk == k) for kk, s, done in trace], "k int, silhouette double, converged boolean, chosen boolean")

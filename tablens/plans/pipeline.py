@@ -62,11 +62,11 @@ def cluster(m: DataFrame, id_col: str, n: int, algorithm: str = "kmeans", k: int
     """Dispatch: (labelled matrix, n_clusters, params)."""
     if algorithm == "kmeans":
         if k is None:
-            k, _, centers = models.choose_k(m, id_col, n)
-            labelled = models.label_rows(m, centers, numbering=models.numbering_by_size(m, centers))
+            k, _, fit = models.choose_k(m, id_col, n)
+            labelled = models.label_rows(m, fit.centres, numbering=models.numbering_by_size(m, fit.centres))
         else:
-            labelled, _ = models.kmeans(m, id_col, k)
-        return labelled, k, {"n_clusters": k, "n_init": models.KMEANS_RESTARTS}
+            labelled, fit = models.kmeans(m, id_col, k)
+        return labelled, k, {"n_clusters": k, "n_init": models.KMEANS_RESTARTS, "converged": fit.converged}
     if algorithm == "dbscan":
         min_samples = max(5, n // 100)
         eps = density.auto_eps(m, id_col, min_samples, n) if eps is None else eps

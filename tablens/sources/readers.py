@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .records import parse, records
+
 OVERFLOW = "_overflow"
 SUFFIXES = (".csv", ".tsv", ".json", ".parquet")
 
@@ -20,13 +22,17 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", sampling: flo
     """Header row, inferred types, quoted fields that may hold separators, doubled quotes
     and line breaks; rows with too many fields are skipped, short rows are padded with
     nulls. The schema gets one extra ``_overflow`` column: a row that fills it had too many
-    fields. (Spark's DROPMALFORMED would drop short rows too.) Since a quoted field may span
-    lines, a file is one task; a table spreads over its files."""
-    reader = _quoted(spark.read, sep).option("multiLine", True)
-    inferred = reader.option("inferSchema", True).option("samplingRatio", sampling).csv(path).schema
+    fields. (Spark's DROPMALFORMED would drop short rows too.) A large file spreads over tasks (``records``); every
+    file has its own header, the first file's names count. Files without a record give a table without columns."""
+    rows = records(spark, path, sep)
+    head = rows.where("head").orderBy("file").select("value").first()
+    if head is None:
+        return spark.createDataFrame([], T.StructType([]))
+    head = spark.createDataFrame([(head["value"].removeprefix("\ufeff"),)], "value string")
+    body = rows.where("not head").select("value")
+    inferred = parse(_quoted(spark.read, sep).option("inferSchema", True).option("samplingRatio", sampling), head.union(body)).schema
     schema = T.StructType(list(inferred.fields) + [T.StructField(OVERFLOW, T.StringType())])
-    df = _quoted(spark.read, sep).option("multiLine", True).option("mode", "PERMISSIVE") \
-        .option("enforceSchema", True).schema(schema).csv(path)
+    df = parse(_quoted(spark.read, sep).option("header", False).option("mode", "PERMISSIVE").schema(schema), body)
     return df.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
 
 

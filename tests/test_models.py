@@ -33,9 +33,9 @@ def brute_silhouette(x, lab):
 
 def test_choose_k_and_kmeans(spark, fitted):
     p, m, x, truth = fitted
-    k, trace, centers = models.choose_k(m, "id", p.n_rows)
-    assert k == 3
-    lab = models.label_rows(m, centers, numbering=models.numbering_by_size(m, centers))
+    k, trace, fit = models.choose_k(m, "id", p.n_rows)
+    assert k == 3 and [t[0] for t in trace] == list(range(2, 11)) and all(t[2] for t in trace)
+    lab = models.label_rows(m, fit.centres, numbering=models.numbering_by_size(m, fit.centres))
     got = {r["id"]: r["cluster"] for r in lab.select("id", "cluster").collect()}
     # each true blob maps to exactly one cluster
     assert all(len({got[i] for i in got if truth[i] == t}) == 1 for t in range(3))
@@ -44,6 +44,50 @@ def test_choose_k_and_kmeans(spark, fitted):
     assert abs(sil - brute_silhouette(x, got)) < 1e-9
 
 
+def test_kmeans_restarts_and_convergence(spark, fitted):
+    p, m, x, _ = fitted
+    rows = models.starting_rows(m, "id", p.n_rows)
+    single = [models.fit_together(m, [models.plus_plus(rows, 4, models.SEED + r)])[0] for r in range(5)]
+    together = models.fit_together(m, [models.plus_plus(rows, 4, models.SEED + r) for r in range(5)])
+    assert all(np.allclose(a.centres, b.centres) and abs(a.cost - b.cost) < 1e-9 for a, b in zip(single, together))
+    lab, best = models.kmeans(m, "id", 4)
+    assert abs(best.cost - min(f.cost for f in single)) < 1e-9 and best.converged
+    X = np.array([x[i] for i in sorted(x)])
+    near = ((X[:, None] - best.centres) ** 2).sum(-1)
+    assert abs(best.cost - near.min(1).sum()) < 1e-6        # and a fixpoint: every centre is the mean of its rows
+    assert all(np.allclose(best.centres[c], X[near.argmin(1) == c].mean(0), atol=0.02) for c in range(4))
+    with pytest.warns(UserWarning, match="before it converged"):
+        _, cut = models.kmeans(m, "id", 9, restarts=2, max_iter=1)
+    assert not cut.converged
+    few = models.choose_k(m.where("id < 1"), "id", 1)
+    assert few.k == 2 and few.fit is None
+
+
+@pytest.mark.parametrize("d, basis", [(3, 160), (40, 160), (40, 44)])
+def test_principal_axes_equal_the_covariance_eigenvectors(spark, d, basis):
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(500, d)) @ np.diag(1.5 ** -np.arange(d)) @ np.linalg.qr(rng.normal(size=(d, d)))[0] + 100
+    m = spark.createDataFrame([([float(v) for v in row],) for row in x], f"{models.Z} array<double>")
+    v, share = models.principal_axes(m, 3, basis=basis)
+    vals, vecs = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(share, vals[::-1][:3] / vals.sum(), atol=1e-8)
+    for j in range(3):
+        assert abs(abs(v[:, j] @ vecs[:, -1 - j]) - 1) < 1e-6
+
+
+def test_principal_axes_of_a_wide_table(spark):
+    """6,000 features: no matrix of features x features is made (it would hold 36 million numbers)."""
+    from pyspark.sql.types import ArrayType, DoubleType
+    d = 6000
+    m = spark.range(60).select("id", F.transform(F.sequence(F.lit(1), F.lit(d)), lambda j: (F.xxhash64("id", j) % 1000) / 1000.0
+                                                 + F.when(j <= 300, F.col("id") * 0.1).otherwise(0.0)).cast(ArrayType(DoubleType())).alias(models.Z))
+    v, share = models.principal_axes(m, 2)
+    x = np.stack([r[0] for r in m.select(models.Z).collect()])
+    c = x - x.mean(0)
+    _, s, vt = np.linalg.svd(c, full_matrices=False)
+    assert v.shape == (d, 2) and abs(share[0] - s[0] ** 2 / (s ** 2).sum()) < 1e-9 and abs(abs(v[:, 0] @ vt[0]) - 1) < 1e-7
+
+
 def test_silhouette_with_singleton_and_noise(spark, fitted):
     p, m, x, truth = fitted
     lab = {i: (truth[i] if i != 0 else 9) for i in x}
@@ -120,8 +164,8 @@ def test_dbscan_matches_brute_force(spark, fitted):
 
 
 def test_dbscan_follows_a_long_line(spark):
-    """One line of 600 points in single-point blocks is one cluster, however many cells it crosses."""
-    rows = [(i, [0.1 * i, 0.0]) for i in range(600)] + [(900, [500.0, 3.0])]
+    """One line of 300 points in single-point blocks is one cluster, however many cells it crosses."""
+    rows = [(i, [0.1 * i, 0.0]) for i in range(300)] + [(900, [500.0, 3.0])]
     m = spark.createDataFrame(rows, f"id long, {models.Z} array<double>")
     out, n = density.dbscan(m, "id", 0.25, 3, block=1)
     got = {r["id"]: r["cluster"] for r in out.select("id", "cluster").collect()}
@@ -142,17 +186,50 @@ def test_kmeans_step_and_sweep(spark, fitted):
     assert abs(score[0] - brute_silhouette(x, lab)) < 1e-9 and score[1] is None
 
 
-def test_dbscan_hot_range_is_split_and_exact(spark):
-    """A third of the rows sit on one point: their range is split by hash into sub-blocks,
-    and the labels still equal the brute force."""
+def test_dbscan_crowded_spot_is_exact(spark):
+    """A third of the rows sit on one point, another third near it in one box: labels still equal the brute force."""
     rng = np.random.default_rng(5)
-    pts = [np.zeros(2)] * 70 + [rng.normal(0, 1.5, 2) for _ in range(140)]
+    pts = [np.zeros(2)] * 70 + [rng.normal(0, 0.05, 2) for _ in range(70)] + [rng.normal(0, 1.5, 2) for _ in range(140)]
     rows = [(i, [float(v) for v in p]) for i, p in enumerate(pts)]
     m = spark.createDataFrame(rows, f"id long, {models.Z} array<double>")
     x = {i: np.array(v) for i, v in rows}
-    out, n = density.dbscan(m, "id", 0.4, 6, block=16)
-    got = {r["id"]: r["cluster"] for r in out.select("id", "cluster").collect()}
-    assert got == brute_dbscan(x, 0.4, 6)
+    for eps, ms in ((0.4, 6), (0.15, 3)):
+        out, n = density.dbscan(m, "id", eps, ms, block=8)
+        got = {r["id"]: r["cluster"] for r in out.select("id", "cluster").collect()}
+        assert got == brute_dbscan(x, eps, ms)
+    empty, n = density.dbscan(m.limit(0), "id", 0.4, 3)
+    assert n == 0 and empty.count() == 0
+
+
+def test_crowded_spot_makes_few_pairs_of_boxes(spark):
+    """200,000 points in one eps ball (and 2,000 around): the pairs of boxes grow with the rows, not their square."""
+    def pairs(n):
+        x = F.when(F.col("id") < n, F.array(F.rand(3) * 0.01, F.rand(4) * 0.01)).otherwise(F.array(F.rand(5) * 100, F.rand(6) * 100))
+        m = density.durable(spark.range(n + n // 100).select("id", x.alias(models.Z)))
+        index = density._Index(m, "id", 0.05, 256)
+        counts = index.counts()
+        assert counts.where(f"id < {n}").agg(F.min("neighbours")).first()[0] >= n
+        return index.open.count() + index.within.count(), index.leaves.count()
+
+    few, _ = pairs(20_000)
+    many, leaves = pairs(200_000)
+    assert many <= 12 * few and many < leaves * 40 < leaves * leaves / 10
+
+
+def test_k_distances_compare_few_pairs(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(40, 6)) * 20
+    x = centre[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 6))
+    x[:40] = x[0]      # equal points
+    m = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], f"id long, {models.Z} array<double>")
+    near, told = density.near_distances(m, "id", 9, block=32)
+    got = {r["qid"]: r["kdist"] for r in near.collect()}
+    want = brute_kdist(dict(enumerate(x)), 9)
+    assert len(got) == 3000 and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert told.agg(F.sum("compared")).first()[0] < 3000 ** 2 / 10
+    assert density.kth_distances_all(m.limit(0), "id", 3).count() == 0
+    few = {r["kdist"] for r in density.kth_distances_all(m.where("id < 3"), "id", 5).collect()}
+    assert few == {float("inf")}
 
 
 def test_generated_row_id_is_durable(spark, blobs):

@@ -50,6 +50,44 @@ def test_csv_overflow_and_short_rows(spark, scratch):
     assert readers.load_table(spark, empty, max_rows=0).count() == 0
 
 
+def test_one_csv_file_is_read_by_many_tasks(spark, scratch):
+    import csv
+    import random
+
+    from tablens.sources.records import records
+    rng = random.Random(2)
+    bits = ["a", "b c", ",", '"', "\n", "\r\n", "x" * 50, "", "é"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 12))) or "-", rng.random()) for i in range(900)]
+    rows[300] = (300, "line\n" * 3000 + 'say "hi"', 0.5)        # crosses several ranges
+    rows[301] = (301, "\n" * 4000 + "end", 0.25)
+    p = os.path.join(scratch, "many.csv")
+    with open(p, "w", newline="") as f:
+        w = csv.writer(f, quoting=csv.QUOTE_MINIMAL, lineterminator="\r\n")
+        w.writerow(["id", "two\nlines", "share"])
+        w.writerows(rows)
+    with open(p, newline="") as f:
+        want = sorted((int(a), b, float(c)) for a, b, c in list(csv.reader(f))[1:])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert records(spark, p).select(F.spark_partition_id().alias("p")).distinct().count() > 5
+        df = readers.load_table(spark, p)
+        assert df.columns == ["id", "two\nlines", "share"] and [t for _, t in df.dtypes] == ["int", "string", "double"]
+        assert sorted(map(tuple, df.collect())) == want == sorted(rows)
+        # several files, a stray quote in an unquoted field, text behind a closing quote, an open quote at the end
+        d = os.path.join(scratch, "several")
+        os.makedirs(d)
+        for i in range(3):
+            with open(os.path.join(d, f"{i}.csv"), "w", newline="") as f:
+                f.write(f'k,v\n{i}0,5" pipe\n{i}1,"two\nlines" more\n{i}2,plain\n' + (f'{i}3,"open\nto the end' if i == 2 else ""))
+        got = sorted(map(tuple, readers.load_table(spark, d, fmt="csv").collect()))
+        assert [k for k, _ in got] == [0, 1, 2, 10, 11, 12, 20, 21, 22, 23]
+        assert got[0][1] == '5" pipe' and got[2][1] == "plain" and got[-1][1] == "open\nto the end"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_json_documents(spark, scratch):
     p1 = os.path.join(scratch, "list.json")
     with open(p1, "w") as f:
