@@ -25,6 +25,12 @@ def grouped_quantiles(df: DataFrame, by: str | None, cols: list[str], probs: lis
     before = Window.partitionBy(*group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("pid", *group, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"),
                          F.sum("m").over(Window.partitionBy(*group)).alias("total"))
+    # only parts that span a wanted rank are read on; the others' counts have done their work
+    spans = F.lit(False)
+    for p in probs:
+        rank = F.lit(float(p)) * (F.col("total") - 1)
+        spans = spans | ((F.ceil(rank) >= F.col("offset")) & (F.floor(rank) < F.col("offset") + F.col("m")))
+    parts = parts.where(spans)
     same = (F.col("a.pid") == F.col("b.pid")) & F.col("a.by").eqNullSafe(F.col("b.by")) & (F.col("a.position") == F.col("b.position"))
     rows = at.alias("a").join(parts.alias("b"), same).select("a.*", "offset", "total")
     running = F.sum("n").over(Window.partitionBy("pid", *group).orderBy("v"))

@@ -294,26 +294,24 @@ class Choice(NamedTuple):
 
 def choose_k(m: DataFrame, id_col: str, n: int | None = None, restarts: int = SWEEP_RESTARTS, final_restarts: int = KMEANS_RESTARTS,
              seed: int = SEED, max_iter: int = MAX_ITER) -> Choice:
-    """M2: k = 2..max(3, min(10, floor(sqrt(n)))), ``restarts`` fits each and the one of lowest inertia scored by the linear silhouette
-    over all rows; the best strictly greater score wins (lowest k on ties, 2 where none is defined). The chosen k is fitted with further
-    seeds up to ``final_restarts``."""
+    """M2: k = 2..max(3, min(10, floor(sqrt(n)))), the best of ``restarts`` fits of each scored by the linear silhouette over all rows; the
+    best strictly greater score wins (lowest k on ties, 2 where none is defined). Its fit is the best of ``final_restarts`` seeds: those
+    of every k are fitted in the same passes, so they cost none of their own."""
     n = m.count() if n is None else n
     top = max(3, min(10, int(math.sqrt(n))))
     ks = [k for k in range(2, top + 1) if k <= n]
     if not ks:
         return Choice(2, [], None)
-    rows = starting_rows(m, id_col, n)
-    tried = fit_together(m, [plus_plus(rows, k, seed + r) for k in ks for r in range(restarts)], max_iter)
-    fits = {k: tried[i * restarts:(i + 1) * restarts] for i, k in enumerate(ks)}
-    best_of = {k: best_fit(fits[k]) for k in ks}
+    rows, each = starting_rows(m, id_col, n), max(restarts, final_restarts)
+    tried = fit_together(m, [plus_plus(rows, k, seed + r) for k in ks for r in range(each)], max_iter)
+    fits = {k: tried[i * each:(i + 1) * each] for i, k in enumerate(ks)}
+    best_of = {k: best_fit(fits[k][:restarts]) for k in ks}
     scores = sweep_silhouettes(m, [best_of[k].centres for k in ks])
     best_k, best = 2, -1.0
     for k, score in zip(ks, scores):
         if score is not None and score > best:
             best_k, best = k, score
-    more = [plus_plus(rows, best_k, seed + r) for r in range(restarts, final_restarts)]
-    more = fit_together(m, more, max_iter) if more else []
-    return Choice(best_k, [(k, s, best_of[k].converged) for k, s in zip(ks, scores)], best_fit(fits[best_k] + more))
+    return Choice(best_k, [(k, s, best_of[k].converged) for k, s in zip(ks, scores)], best_fit(fits[best_k][:final_restarts]))
 
 
 # ------------------------------------------------------------------ PCA (M1)

@@ -8,6 +8,7 @@ DBSCAN labels for a given eps.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import density, iforest, models, prep
@@ -66,6 +67,64 @@ def iforest_lineitem(spark, sf):
     return rounded(iforest.detect_anomalies(m, "id", p.n_rows, 0.05))
 
 
+#: A fixed forest over (l_quantity, l_extendedprice, l_discount, l_tax): tree, node, feature, threshold, left, right, size, depth.
+FOREST = [
+    (0, 0, 0, 25.5, 1, 2, 256, 0), (0, 1, 1, 9000.0, 3, 4, 120, 1), (0, 2, 2, 0.045, 5, 6, 136, 1),
+    (0, 3, -1, 0.0, -1, -1, 20, 2), (0, 4, 3, 0.025, 7, 8, 100, 2), (0, 5, -1, 0.0, -1, -1, 60, 2), (0, 6, -1, 0.0, -1, -1, 76, 2),
+    (0, 7, -1, 0.0, -1, -1, 1, 3), (0, 8, -1, 0.0, -1, -1, 99, 3),
+    (1, 0, 1, 50000.0, 1, 2, 256, 0), (1, 1, 0, 3.5, 3, 4, 200, 1), (1, 2, -1, 0.0, -1, -1, 56, 1),
+    (1, 3, -1, 0.0, -1, -1, 2, 2), (1, 4, -1, 0.0, -1, -1, 198, 2),
+    (2, 0, 3, 0.065, 1, 2, 256, 0), (2, 1, -1, 0.0, -1, -1, 190, 1), (2, 2, 2, 0.085, 3, 4, 66, 1),
+    (2, 3, -1, 0.0, -1, -1, 50, 2), (2, 4, -1, 0.0, -1, -1, 16, 2),
+]
+
+
+@query("iforest_fixed_lineitem", f"""
+WITH RECURSIVE f(tree, node, feature, threshold, l, r, size, depth) AS (VALUES {", ".join(map(str, FOREST))}),
+x AS (SELECT l_orderkey * 8 + l_linenumber AS id, row_number() OVER () AS place, [l_quantity, l_extendedprice, l_discount, l_tax]::DOUBLE[] AS v FROM lineitem),
+w AS (SELECT id, place, v, tree, node, feature, threshold, l, r, size, depth FROM x, f WHERE node = 0
+  UNION ALL SELECT w.id, w.place, w.v, f.tree, f.node, f.feature, f.threshold, f.l, f.r, f.size, f.depth
+  FROM w JOIN f ON f.tree = w.tree AND f.node = CASE WHEN w.v[w.feature + 1] < w.threshold THEN w.l ELSE w.r END WHERE w.feature >= 0),
+p AS (SELECT id, avg(depth + CASE WHEN size > 2 THEN 2 * (ln(size - 1) + 0.5772156649015329) - 2.0 * (size - 1) / size WHEN size = 2 THEN 1.0 ELSE 0.0 END) AS p
+  FROM w WHERE feature < 0 GROUP BY id, place),
+s AS (SELECT id, -pow(2, -p / (2 * (ln(255) + 0.5772156649015329) - 2.0 * 255 / 256)) AS raw FROM p)
+SELECT id, {r4('raw', 6)} AS raw FROM s""")
+def iforest_fixed_lineitem(spark, sf):
+    """M8, scoring: every lineitem row under a given table of nodes."""
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array(
+        *[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]).alias(models.Z))
+    nodes = pd.DataFrame(FOREST, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+    return rounded(iforest.scores(li, nodes, 256, ["id"]), 6)
+
+
+PCA_COLUMNS = ["n_chars", "words", "lines", "digits"]
+
+
+@query("pca_axis_documents", f"""
+WITH RECURSIVE d AS (SELECT n_chars, length(text) - length(replace(text, ' ', '')) AS words, length(text) - length(replace(text, chr(10), '')) AS lines,
+  length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digits FROM documents),
+x AS (SELECT {", ".join(f"(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ())::DOUBLE AS x{i}" for i, c in enumerate(PCA_COLUMNS))} FROM d),
+c AS (SELECT [{", ".join("[" + ", ".join(f"covar_samp(x{i}, x{j})" for j in range(4)) + "]" for i in range(4))}] AS c FROM x),
+s AS (SELECT 0 AS step, [0.9, 0.7, 0.5, 0.3]::DOUBLE[] AS v FROM c
+  UNION ALL SELECT step + 1, list_transform(w, lambda a: a / sqrt(list_inner_product(w, w))) FROM (
+    SELECT step, list_transform(c, lambda line: list_inner_product(line, v)) AS w FROM s, c WHERE step < 200)),
+l AS (SELECT v, list_inner_product(v, list_transform(c, lambda line: list_inner_product(line, v))) / (c[1][1] + c[2][2] + c[3][3] + c[4][4]) AS share,
+  list_transform(v, lambda a: abs(a)) AS size FROM s, c WHERE step = 200),
+u AS (SELECT unnest(range(4))::INT AS position, unnest(v) * sign(v[list_position(size, list_max(size))]) AS loading, share FROM l)
+SELECT position, {r4('loading')} AS loading, {r4('share')} AS share FROM u""")
+def pca_axis_documents(spark, sf):
+    """M1: the first principal axis of four standardised counts of each text, and its share of the variance."""
+    size = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", size(" ").alias("words"), size("\n").alias("lines"), size("[0-9]").alias("digits"))
+    p = prep.prepare_features(d, "doc_id")
+    m = models.matrix(p)
+    v, share = models.principal_axes(m, 1)
+    m.unpersist()
+    p.unpersist()
+    return rounded(spark.createDataFrame([(i, float(a), float(share[0])) for i, a in enumerate(v[:, 0])],
+                                         "position int, loading double, share double"))
+
+
 @query("analysis_rows_customer")
 def analysis_rows_customer(spark, sf):
     """The row-level result of the whole analysis (cluster, pc1-3, score, flag)."""

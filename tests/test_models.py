@@ -115,6 +115,30 @@ def test_isolation_forest_share(spark, fitted):
     assert 10 <= r[0] <= 20 and r[1] == 150
 
 
+def test_forest_is_a_table_of_nodes_and_scores_walk_it(spark, fitted):
+    p, m, x, _ = fitted
+    nodes, psi = iforest.fit_forest(m, "id", p.n_rows, trees=12, psi=64)
+    assert psi == 64 and set(nodes.groupby("tree").size() <= 127) == {True} and nodes["tree"].nunique() == 12
+    inner = nodes[nodes["feature"] >= 0]
+    for t, group in nodes.groupby("tree"):      # sizes of both children add up, depths go down by one
+        g = group.set_index("node")
+        for r in inner[inner["tree"] == t].itertuples():
+            assert g.loc[r.left, "size"] + g.loc[r.right, "size"] == r.size and g.loc[r.left, "depth"] == r.depth + 1
+
+    def walk(v):
+        total = 0.0
+        for _, group in nodes.groupby("tree"):
+            rows = group.set_index("node").to_dict("index")
+            k = 0
+            while rows[k]["feature"] >= 0:
+                k = rows[k]["left"] if v[rows[k]["feature"]] < rows[k]["threshold"] else rows[k]["right"]
+            total += rows[k]["depth"] + float(iforest.c_factor(rows[k]["size"]))
+        return -2.0 ** (-(total / 12) / float(iforest.c_factor(psi)))
+
+    for r in iforest.scores(m, nodes, psi, ["id"]).where("id < 40").collect():
+        assert abs(r["raw"] - walk(x[r["id"]])) < 1e-12
+
+
 def brute_kdist(x, k):
     X = np.array([x[i] for i in sorted(x)])
     d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
