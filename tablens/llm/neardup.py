@@ -6,10 +6,11 @@ with keys of 2 r minhashes, for about the square root of the hashing. Two docume
 similarity s meet if some u_i and some v_j agree: (1 - (1 - s^r)^m)^2; with r = 3, m = 10 that is
 0.9985 at s = 0.8, 0.99999 at 0.9. Every candidate is confirmed on the full shingle sets.
 
-Documents with equal sets are one class before any table is filled. The classes that meet in a
-bucket are compared with two of its members, drawn by hash, and components of the confirmed links
-follow; a second turn does the same in buckets that still hold several components. Then all pairs
-that share a bucket but not a component are compared, each once (in the first table it shares). Of these only pairs go on whose 1024-bit set maps leave the similarity possible:
+Documents with equal sets are one class before any table is filled. Of the tables only buckets of several classes are kept, as pairs
+of a key and a class. In every bucket a few members are drawn by hash; each class is compared with the one drawn
+member of smallest hash it meets anywhere outside its component, for each of ``_DRAWS`` hashes, and components of the confirmed links
+follow; ``_TURNS`` turns with other hashes leave a large group of copies in few components for a few comparisons a class. Then all pairs that share a bucket but not a component are compared,
+each once. Of these only pairs go on whose set maps (4096 bits, made for the classes that meet another) leave the similarity possible:
 two sets differ in at least as many shingles as their maps differ in bits, so this drops no link.
 Each candidate pair is thus confirmed, refuted, or already in one component; no pairs within a
 component are made, whatever the size of a group of copies.
@@ -35,7 +36,9 @@ from .shingles import WordHash, overlap, shingle_set, word_hashes, words_of
 GROUPS, ROWS, SEED = 10, 3, 20
 #: Ids up to this many are broadcast (8 MB of longs) to pick their texts during the scan; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-_CHUNK, _BITS, _CENTRES, _TURNS = 8192, 1024, 2, 2
+_CHUNK, _DRAWS, _TURNS = 8192, 4, 3
+#: Bits of a set's map, and of its coarse map.
+_BITS, _COARSE = 4096, 1024
 
 
 def _partial_keys(x: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
@@ -53,8 +56,7 @@ def _partial_keys(x: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5, groups: int = GROUPS, rows: int = ROWS,
                seed: int = SEED) -> DataFrame:
-    """doc_id, set_key (of the shingle set; null if empty), n_shingles, sig (2 * groups partial keys),
-    bits (the set's map: bit h mod 1024 is set for every shingle hash h)."""
+    """doc_id, set_key (of the shingle set; null if empty), n_shingles, sig (2 * groups partial keys)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(seed)
         count = 2 * groups * rows
@@ -62,20 +64,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5, grou
         b = rng.integers(0, 2**63, count, dtype=np.uint64)
         known = WordHash()
         for pdf in batches:
-            keys, sizes, sigs, maps = [], [], [], []
+            keys, sizes, sigs = [], [], []
             for text in pdf["text"]:
                 s = shingle_set(word_hashes(words_of(text), known), width)
                 sizes.append(len(s))
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(_partial_keys(s, a, b, rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                on = np.zeros(_BITS, np.uint8)
-                on[s % np.uint64(_BITS)] = 1
-                maps.append(np.packbits(on).view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set_key": keys, "n_shingles": sizes, "sig": sigs, "bits": maps})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set_key": keys, "n_shingles": sizes, "sig": sigs})
 
     ids = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, f"doc_id {ids}, set_key binary, n_shingles long, sig array<long>, bits array<long>"))
+            .mapInPandas(run, f"doc_id {ids}, set_key binary, n_shingles long, sig array<long>"))
+
+
+def _wanted_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of the documents in ``wanted``."""
+    n = wanted.count()
+    few = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted.hint("shuffle_hash")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(few, "doc_id", "left_semi")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -86,19 +92,37 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "set": [
                 shingle_set(word_hashes(words_of(t), known), width).tobytes() for t in pdf["text"]]})
 
-    n = wanted.count()
-    few = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted.hint("shuffle_hash")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(few, "doc_id", "left_semi")
     ids = docs.schema[id_col].dataType.simpleString()
-    return durable(rows.mapInPandas(run, f"doc_id {ids}, set binary").distinct())
+    return durable(_wanted_texts(docs, wanted, id_col, text_col).mapInPandas(run, f"doc_id {ids}, set binary").distinct())
 
 
-def _possible(percent: int, n: str, n2: str, differ):
+def set_maps(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(rep, n, bits, coarse) of the documents in ``wanted``: the sizes of their sets, and their maps: bit h mod ``_BITS``
+    (and h mod ``_COARSE``) is set for every shingle hash h. An id on several texts gives a row for each."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHash()
+        for pdf in batches:
+            sizes, maps = [], ([], [])
+            for text in pdf["text"]:
+                s = shingle_set(word_hashes(words_of(text), known), width)
+                sizes.append(len(s))
+                for out, bits in zip(maps, (_BITS, _COARSE)):
+                    on = np.zeros(bits, np.uint8)
+                    on[s % np.uint64(bits)] = 1
+                    out.append(np.packbits(on).view(np.int64))
+            yield pd.DataFrame({"rep": pdf["doc_id"], "n": sizes, "bits": maps[0], "coarse": maps[1]})
+
+    ids = docs.schema[id_col].dataType.simpleString()
+    return _wanted_texts(docs, wanted, id_col, text_col).mapInPandas(run, f"rep {ids}, n long, bits array<long>, coarse array<long>").distinct()
+
+
+def _possible(percent: int, one: str, two: str):
     """False only for sets that cannot reach the similarity: the intersection is at most the smaller set,
     the union at least the larger; sets differ in at least as many shingles as their maps in bits,
-    and a similarity of p % bounds that by (n + n2) (100 - p) / (100 + p)."""
-    return ((100 * F.least(n, n2) >= percent * F.greatest(n, n2))
-            & ((100 + percent) * differ <= (100 - percent) * (F.col(n) + F.col(n2))))
+    and a similarity of p % bounds that by (n + n2) (100 - p) / (100 + p). Columns n, coarse and bits with either suffix."""
+    n, n2 = F.col("n" + one), F.col("n" + two)
+    fits = lambda k: (100 + percent) * _differ(k + one, k + two) <= (100 - percent) * (n + n2)
+    return (100 * F.least(n, n2) >= percent * F.greatest(n, n2)) & fits("coarse") & fits("bits")
 
 
 def _differ(bits, bits2):
@@ -107,7 +131,7 @@ def _differ(bits, bits2):
 
 
 def confirm(pairs: DataFrame, facts: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (x, y) whose full sets reach the similarity. ``facts`` (rep, n, bits)
+    """Those of the distinct ``pairs`` (x, y) whose full sets reach the similarity. ``facts`` (rep, n, bits, coarse)
     refute most of the others before any set is made."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -118,9 +142,8 @@ def confirm(pairs: DataFrame, facts: DataFrame, docs: DataFrame, id_col: str, te
                 hit.append(100 * n >= percent * (len(a) + len(b) - n))
             yield pdf.loc[hit, ["x", "y"]]
 
-    one = facts.select(F.col("rep").alias("x"), "n", "bits")
-    two = facts.select(F.col("rep").alias("y"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    pairs = durable(pairs.join(one, "x").join(two, "y").where(_possible(percent, "n", "n2", _differ("bits", "bits2"))).select("x", "y"))
+    one, two = (facts.select(F.col("rep").alias(c), *[F.col(k).alias(k + c) for k in ("n", "bits", "coarse")]) for c in ("x", "y"))
+    pairs = durable(pairs.join(one, "x").join(two, "y").where(_possible(percent, "x", "y")).select("x", "y").distinct())
     wanted = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
     sets = _sets(docs, durable(wanted), id_col, text_col, width)
     ids = docs.schema[id_col].dataType.simpleString()
@@ -129,22 +152,46 @@ def confirm(pairs: DataFrame, facts: DataFrame, docs: DataFrame, id_col: str, te
     return durable(both.mapInPandas(run, f"x {ids}, y {ids}").distinct())
 
 
-def _meet(rows: DataFrame, turn: int) -> DataFrame:
-    """Rows (key, t, rep, comp, main) of buckets that hold several components, with two members of the bucket
-    drawn by hash (c0, c1; null where the row is in the member's component already). ``main`` tells whether
-    the row is in its bucket's most frequent component."""
-    # A key holds one row per class and table, so even a group with a third of all classes
-    # is one part in 3 m^2 of these rows; the window sorts and spills, it gathers nothing.
+def _keys(sig, m: int):
+    """The keys of the m * m tables."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.transform(
+        F.sequence(F.lit(m), F.lit(2 * m - 1)), lambda j: F.xxhash64(F.get(sig, i), F.get(sig, j), i * m + j))))
+
+
+def _drawn_pairs(met: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (x, y): each class of the buckets (key, rep, comp) with the drawn member of smallest hash it meets outside its
+    component, for each hash of this turn."""
     bucket = Window.partitionBy("key")
-    comp = F.col("comp") if turn else F.col("rep")      # at first every class is a component
-    drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(_CENTRES * turn + c)).alias("h"), "rep", comp.alias("comp"))).over(bucket).alias(f"d{c}")
-             for c in range(_CENTRES)]
-    out = rows.select("key", "t", "rep", comp.alias("comp"), F.min(comp).over(bucket).alias("lo"), F.max(comp).over(bucket).alias("hi"),
-                      F.count(F.lit(1)).over(bucket).alias("size"), *drawn, *([F.mode(comp).over(bucket).alias("most")] if turn else []))
-    # a bucket of two is settled by the first turn
-    out = out.where("lo <> hi" + (" and size > 2" if turn else ""))
-    return durable(out.select("key", "t", "rep", "comp", *([(F.col("comp") == F.col("most")).alias("main")] if turn else []), *[
-        F.when(F.col(f"d{c}.comp") != F.col("comp"), F.col(f"d{c}.rep")).alias(f"c{c}") for c in range(_CENTRES)]))
+    drawn = lambda c: F.struct(F.xxhash64("rep", F.lit(_DRAWS * turn + c)).alias("h"), F.col("rep").alias("c"), "comp")
+    draws = [F.min(drawn(c)).over(bucket).alias(f"d{c}") for c in range(_DRAWS)]
+    least = [F.min(F.when(F.col(f"d{c}.comp") != F.col("comp"), F.struct(f"d{c}.h", f"d{c}.c"))).alias(f"d{c}") for c in range(_DRAWS)]
+    best = met.select("key", "rep", "comp", *draws).groupBy("rep").agg(*least)
+    pairs = best.select("rep", F.explode(F.array(*[F.col(f"d{c}.c") for c in range(_DRAWS)])).alias("c")).where("c is not null")
+    return pairs.select(F.greatest("rep", "c").alias("x"), F.least("rep", "c").alias("y")).distinct()
+
+
+def _mixed(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (key, rep, comp, main) of the buckets that hold several components; ``main``: the row is in its bucket's most frequent one."""
+    bucket = Window.partitionBy("key")
+    rows = met.select("key", "rep").join(comp, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    rows = rows.select("*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi"), F.mode("comp").over(bucket).alias("most"))
+    return durable(rows.where("lo <> hi").select("key", "rep", "comp", (F.col("comp") == F.col("most")).alias("main")))
+
+
+def _rest(mixed: DataFrame, classes: DataFrame, facts: DataFrame, m: int, percent: int) -> DataFrame:
+    """Pairs (x, y) that share a bucket but no component and may reach the similarity, each in the first table that holds both."""
+    full = mixed.join(classes.select("rep", "sig"), "rep").join(facts, "rep")
+    # of two members in different components one at least is outside the bucket's most frequent one
+    other = full.select(*[F.col(c).alias(c + "_") for c in full.columns])
+    full = full.where(~F.col("main")).drop("main")
+    # table t pairs u_i with v_j; an earlier table holds both if an earlier u or v agrees as well
+    t = F.array_position(_keys(F.col("sig"), m), F.col("key")) - 1
+    full = full.withColumn("i", F.floor(t / m).cast("int")).withColumn("j", (t % m + m).cast("int"))
+    earlier = lambda first, last: F.exists(
+        F.zip_with(F.slice("sig", first, last), F.slice("sig_", first, last), lambda a, b: a == b), lambda same: same)
+    return (full.join(other, (F.col("key") == F.col("key_")) & (F.col("main_") | (F.col("rep") < F.col("rep_"))) & (F.col("comp") != F.col("comp_"))
+                      & ~earlier(F.lit(1), F.col("i")) & ~earlier(F.lit(m + 1), F.col("j") - m) & _possible(percent, "", "_"))
+            .select(F.greatest("rep", "rep_").alias("x"), F.least("rep", "rep_").alias("y")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
@@ -153,40 +200,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, itself included), kept (doc_id = component_id), set_key."""
     sig = durable(signatures(docs, id_col, text_col, width, groups, rows, seed))
     classes = (sig.where("set_key is not null and doc_id is not null").groupBy("set_key")
-               .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")))
+               .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     classes = durable(classes)
-    m = groups
-    keys = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.transform(
-        F.sequence(F.lit(m), F.lit(2 * m - 1)), lambda j: F.xxhash64(F.get("sig", i), F.get("sig", j), i * m + j))))
-    facts = classes.select("rep", "n", "bits")
-    met = _meet(classes.select("rep", F.posexplode(keys).alias("t", "key")), 0)
-    tried = None
+    met = classes.select(F.explode(_keys(F.col("sig"), groups)).alias("key"), "rep")
+    # A key holds one row per class and table, so even a group with a third of all classes
+    # is one part in 3 m^2 of these rows; the window sorts and spills, it gathers nothing.
+    met = durable(met.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1").select("key", "rep"))
+    facts = durable(set_maps(docs, durable(met.select(F.col("rep").alias("doc_id")).distinct()), id_col, text_col, width))
+    met, tried, comp = met.withColumn("comp", F.col("rep")), None, None      # at first every class is a component
     for turn in range(_TURNS):
-        pairs = None
-        for c in range(_CENTRES):
-            one = met.where(f"c{c} is not null").select(F.greatest("rep", f"c{c}").alias("x"), F.least("rep", f"c{c}").alias("y"))
-            pairs = one if pairs is None else pairs.unionByName(one)
-        pairs = durable(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["x", "y"], "left_anti"))
-        found = confirm(pairs, facts, docs, id_col, text_col, width, percent)
+        pairs = _drawn_pairs(met, turn)
+        pairs = durable(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        # the components so far are stars already; new links join them
-        links = found if turn == 0 else found.unionByName(comp.select(F.col("rep").alias("x"), F.col("comp").alias("y")))
-        comp = durable(connected_components(links, "x", "y", "rep", "comp"))
-        met = _meet(met.select("key", "t", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), turn + 1)
-
-    # all pairs that are left, each in the first table both are in
-    full = met.select("key", "t", "rep", "comp", "main").join(classes.select("rep", "n", "sig", "bits"), "rep")
-    # of two members in different components one at least is outside the bucket's most frequent one
-    other = full.select(*[F.col(c).alias(c + "_") for c in full.columns])
-    full = full.where(~F.col("main")).drop("main")
-    # table t pairs u_i with v_j; an earlier table holds both if an earlier u or v agrees as well
-    i, j = (F.col("t") / m).cast("int"), F.col("t") % m + m
-    agree = lambda k: F.get("sig", k) == F.get("sig_", k)
-    rest = (full.join(other, (F.col("key") == F.col("key_")) & (F.col("main_") | (F.col("rep") < F.col("rep_"))) & (F.col("comp") != F.col("comp_"))
-                      & _possible(percent, "n", "n_", _differ("bits", "bits_"))
-                      & ~F.exists(F.sequence(F.lit(0), i), lambda k: (k < i) & agree(k))
-                      & ~F.exists(F.sequence(F.lit(m), j), lambda k: (k < j) & agree(k)))
-            .select(F.greatest("rep", "rep_").alias("x"), F.least("rep", "rep_").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
+        found = confirm(pairs, facts, docs, id_col, text_col, width, percent)
+        found = found if comp is None else found.unionByName(comp.select(F.col("rep").alias("x"), F.col("comp").alias("y")))
+        comp = durable(connected_components(found, "x", "y", "rep", "comp"))
+        met = _mixed(met, comp)
+    rest = _rest(met, classes, facts, groups, percent).join(tried, ["x", "y"], "left_anti")
+    # the components so far are stars already; new links join them
     links = confirm(rest, facts, docs, id_col, text_col, width, percent).unionByName(
         comp.select(F.col("rep").alias("x"), F.col("comp").alias("y")))
     # an id that stands on several texts ties their classes
