@@ -1,53 +1,33 @@
-"""Saved analysis runs (W2, G1-G3) as two Parquet tables, ``runs`` and ``charts``.
+"""Saved analysis runs (W2, G1-G3) as two tables under a commit log, ``runs`` and ``charts``.
 
-Tables are versioned folders; a delete writes the next version through two anti joins
-(the cascade) and records it in an append-only ``versions`` table, so readers never see
-a half-written table and a failed job leaves the previous version intact."""
+A run and its charts become visible together; two writers cannot lose a run; a delete is one log entry that readers
+merge (the cascade names the key of both tables)."""
 from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import CommitLog
+
 RUN = ("id string, title string, dataset_source string, dataset_id string, dataset_name string, dataset_url string, "
        "num_rows long, num_columns long, column_names array<string>, analysis_config string, analysis_result string, "
        "created_at timestamp, updated_at timestamp")
 CHART = "analysis_id string, chart_type string, title string, plotly_json string, display_order int"
 
 
-def _read(make):
-    """The table, or None when its path does not exist yet; any other failure is raised."""
-    try:
-        return make()
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 class RunStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    # -- versions
-    def _version(self) -> int:
-        df = _read(lambda: self.spark.read.schema("version int").parquet(f"{self.root}/versions"))
-        v = None if df is None else df.agg(F.max("version")).first()[0]
-        return 0 if v is None else int(v)
-
-    def _path(self, table: str, version: int | None = None) -> str:
-        return f"{self.root}/v{self._version() if version is None else version}/{table}"
+        self.log = CommitLog(spark, self.root, {"runs": RUN, "charts": CHART}, {"runs": "id", "charts": "analysis_id"})
 
     def runs(self) -> DataFrame:
-        df = _read(lambda: self.spark.read.schema(RUN).parquet(self._path("runs")))
-        return self.spark.createDataFrame([], RUN) if df is None else df
+        return self.log.read("runs").drop("_version")
 
     def charts(self) -> DataFrame:
-        df = _read(lambda: self.spark.read.schema(CHART).parquet(self._path("charts")))
-        return self.spark.createDataFrame([], CHART) if df is None else df
+        return self.log.read("charts").drop("_version")
 
     # -- W2
     def save(self, run: dict, charts: list[dict]) -> str:
@@ -59,13 +39,11 @@ class RunStore:
         for k in ("analysis_config", "analysis_result"):
             if not isinstance(row[k], str) and row[k] is not None:
                 row[k] = json.dumps(row[k])
-        r = self.spark.createDataFrame([row], RUN)
-        r.write.mode("append").parquet(self._path("runs"))
         packed = self.spark.createDataFrame([(run["id"], [(c["chart_type"], c["title"], c["plotly_json"]) for c in charts])],
                                             "analysis_id string, c array<struct<chart_type:string,title:string,plotly_json:string>>")
-        packed.select("analysis_id", F.posexplode("c").alias("display_order", "x")) \
-            .select("analysis_id", "x.chart_type", "x.title", "x.plotly_json", F.col("display_order").cast("int")) \
-            .write.mode("append").parquet(self._path("charts"))
+        rows = packed.select("analysis_id", F.posexplode("c").alias("display_order", "x")).select(
+            "analysis_id", "x.chart_type", "x.title", "x.plotly_json", F.col("display_order").cast("int"))
+        self.log.append({"runs": self.spark.createDataFrame([row], RUN), "charts": rows})
         return run["id"]
 
     # -- G1 / J3
@@ -82,13 +60,7 @@ class RunStore:
 
     # -- G3
     def delete(self, run_id: str) -> bool:
-        ids = self.spark.createDataFrame([(run_id,)], "id string")
-        existed = self.runs().join(ids, "id", "left_semi").limit(1).count() > 0
-        if not existed:
+        """Whether the run was there; its charts go with it."""
+        if self.runs().where(F.col("id") == run_id).isEmpty():
             return False
-        v = self._version() + 1
-        self.runs().join(ids, "id", "left_anti").write.mode("overwrite").parquet(self._path("runs", v))
-        self.charts().join(ids.withColumnRenamed("id", "analysis_id"), "analysis_id", "left_anti") \
-            .write.mode("overwrite").parquet(self._path("charts", v))
-        self.spark.createDataFrame([(v,)], "version int").write.mode("append").parquet(f"{self.root}/versions")
-        return True
+        return self.log.delete({"runs": [run_id], "charts": [run_id]})

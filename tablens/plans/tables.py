@@ -3,11 +3,13 @@ chat logs (``conversations``), cluster labels (``embeddings`` + ``nation``)."""
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import chat, labels, models, profiles, series, tickets
-from ..session import table
+from ..operators import chat, labels, models, profiles, series, tickets, wording
+from ..operators.runs import RunStore
+from ..session import scratch_path, table
 from .core import EMB_DIM, EMB_LONG_SQL, embeddings_wide
 from .modelling import SILHOUETTE_SQL
 from .registry import query, r4, rounded
@@ -75,7 +77,7 @@ def ticket_changes(spark, sf):
         .where(F.col("status").isNotNull() | F.col("priority").isNotNull())
 
 
-@query("ticket_apply", f"""
+APPLIED_SQL = f"""
 WITH t AS ({TICKETS_SQL}),
 g AS (SELECT l_orderkey AS id, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned,
              max(l_quantity) AS qmax FROM lineitem GROUP BY l_orderkey),
@@ -87,12 +89,51 @@ SELECT t.id, coalesce(n_status, status) AS status, coalesce(n_priority, priority
        THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at,
   CASE WHEN n_status IN ('solved', 'wont_fix') THEN TIMESTAMP '{AS_OF}'
        WHEN n_status IS NOT NULL AND status IN ('solved', 'wont_fix') THEN NULL ELSE solved_at END AS solved_at
-FROM t LEFT JOIN c ON t.id = c.id""")
+FROM t LEFT JOIN c ON t.id = c.id"""
+
+
+@query("ticket_apply", APPLIED_SQL)
 def ticket_apply(spark, sf):
     out = tickets.apply_changes(ticket_table(spark, sf), ticket_changes(spark, sf), AS_OF)
     return out.select("id", "status", "priority", "resolution", "updated_at", "solved_at")
 
 
+@query("ticket_store_replayed", APPLIED_SQL)
+def ticket_store_replayed(spark, sf):
+    """K4-K6 through the commit log: all tickets loaded, one batch of changes delivered twice with different clocks, applied once."""
+    store = tickets.TicketStore(spark, scratch_path(spark, "tickets"))
+    store.load(ticket_table(spark, sf), ("orders", 0))
+    for clock in (AS_OF, "2031-01-01 00:00:00"):
+        store.apply(ticket_changes(spark, sf), clock, batch=("lines", 0))
+    return store.read().select("id", "status", "priority", "resolution", "updated_at", "solved_at")
+
+
+@query("run_store", """
+WITH n AS (SELECT n_nationkey, n_name, count(c_custkey) AS customers, coalesce(round(sum(c_acctbal)), 0)::BIGINT AS balance
+  FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey
+  WHERE r_name IN ('AFRICA', 'ASIA') GROUP BY n_nationkey, n_name)
+SELECT r.r_name AS id, 'Customers of ' || r.r_name AS title, sum(customers)::BIGINT AS num_rows, count(*) AS charts,
+  string_agg(n.n_name, ',' ORDER BY n.n_nationkey) AS chart_titles
+FROM n JOIN nation m USING (n_nationkey) JOIN region r ON m.n_regionkey = r.r_regionkey WHERE r.r_name <> 'AFRICA' GROUP BY r.r_name""")
+def run_store(spark, sf):
+    """A run for each of two regions (customers counted, a chart for each nation) saved, one deleted, the rest read back with
+    their charts in order."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    counts = (nation.join(region.where(F.col("r_name").isin("AFRICA", "ASIA")), F.col("n_regionkey") == F.col("r_regionkey"))
+              .join(table(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+              .groupBy("r_name", "n_nationkey", "n_name").agg(F.count("c_custkey").alias("customers")).orderBy("n_nationkey").collect())   # one row a nation
+    store = RunStore(spark, scratch_path(spark, "runs"))
+    for name in ("AFRICA", "ASIA"):
+        rows = [r for r in counts if r["r_name"] == name]
+        store.save({"id": name, "title": f"Customers of {name}", "num_rows": sum(r["customers"] for r in rows)},
+                   [{"chart_type": "bar", "title": r["n_name"], "plotly_json": "{}"} for r in rows])
+    store.delete("AFRICA")
+    out = store.list().select("id").collect()
+    found = reduce(lambda a, b: a.unionByName(b), [store.get(r["id"]) for r in out])
+    return found.select("id", "title", "num_rows", F.size("charts").cast("bigint").alias("charts"),
+                        F.array_join(F.transform("charts", lambda c: c["title"]), ",").alias("chart_titles"))
+
+
 # order lines in a total order
 LINE = "row(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag)"
 
@@ -140,10 +181,10 @@ def _sql_cap(x: str) -> str:
 
 def _sql_title(t: str, d: str) -> str:
     ct = _sql_clean_ws(t)
-    verbs = "|".join(re.escape(v.lower()) for v in tickets.ACTION_VERBS)
+    verbs = "|".join(re.escape(v.lower()) for v in wording.ACTION_VERBS)
     combined = f"lower({ct} || ' ' || coalesce({d}, ''))"
     suggest = "CASE " + " ".join(f"WHEN strpos({combined}, '{kw}') > 0 THEN '{v}'" for kw, v in
-                                 tickets.VERB_SUGGESTIONS) + f" ELSE '{tickets.DEFAULT_VERB}' END"
+                                 wording.VERB_SUGGESTIONS) + f" ELSE '{wording.DEFAULT_VERB}' END"
     stripped = _sql_cap(f"regexp_replace({ct}, '^(the|a|an|we need to|we should|should|need to|must)\\s+', '', 'i')")
     with_verb = (f"CASE WHEN length({stripped}) > 0 THEN {suggest} || ' ' || lower(substr({stripped}, 1, 1)) || "
                  f"substr({stripped}, 2) ELSE {suggest} END")
@@ -174,7 +215,7 @@ FROM conversations QUALIFY role = 'user'"""
 WITH r AS ({CHAT_REQ_SQL})
 SELECT conv_id, turn, {_sql_title('title', 'description')} AS title, {_sql_desc('description')} AS description FROM r""")
 def text_cleanup(spark, sf):
-    return tickets.cleanup(chat_requests(spark, sf)).select("conv_id", "turn", "title", "description")
+    return wording.tidy(chat_requests(spark, sf)).select("conv_id", "turn", "title", "description")
 
 
 @query("cleanup_preview", f"""
@@ -185,7 +226,7 @@ UNION ALL SELECT id, 'description', d0, d1 FROM c WHERE d0 IS DISTINCT FROM d1""
 def cleanup_preview(spark, sf):
     """K8: what the clean-up would change."""
     r = chat_requests(spark, sf).withColumn("id", F.col("conv_id") * 100000 + F.col("turn"))
-    return tickets.cleanup_preview(r)
+    return wording.changes(r)
 
 
 # ------------------------------------------------------------------ chat

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tablens.operators import chat, joins, labels, tickets
+from tablens.operators import chat, joins, labels, tickets, wording
 
 NOW = "2024-05-01 12:00:00"
 
@@ -59,9 +59,9 @@ def test_invalid_ticket_fails(spark):
 ])
 def test_cleanup(spark, title, desc, want_t, want_d):
     df = spark.createDataFrame([(1, title, desc)], "id long, title string, description string")
-    r = tickets.cleanup(df).first()
+    r = wording.tidy(df).first()
     assert (r["title"], r["description"]) == (want_t, want_d)
-    prev = {x["field"] for x in tickets.cleanup_preview(df).collect()}
+    prev = {x["field"] for x in wording.changes(df).collect()}
     assert prev == {f for f, a, b in (("title", title, want_t), ("description", desc, want_d)) if a != b}
 
 
