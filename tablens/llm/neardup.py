@@ -179,18 +179,21 @@ def _mixed(met: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _rest(mixed: DataFrame, classes: DataFrame, facts: DataFrame, m: int, percent: int) -> DataFrame:
-    """Pairs (x, y) that share a bucket but no component and may reach the similarity, each in the first table that holds both."""
-    full = mixed.join(classes.select("rep", "sig"), "rep").join(facts, "rep")
+    """Pairs (x, y) that share a table's bucket but no component and may reach the similarity. A table is a pair (u_i, v_j), so two classes
+    share one if some u_i and some v_j agree: they meet under the first u_i they share (m rows a class, not m * m)."""
+    live = mixed.select("rep", "comp").distinct().join(classes.select("rep", "sig"), "rep")
+    bucket = Window.partitionBy("i", "u")
+    met = live.select("rep", "comp", F.posexplode(F.slice("sig", 1, m)).alias("i", "u")).select(
+        "*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi"), F.mode("comp").over(bucket).alias("most"))
+    met = durable(met.where("lo <> hi").select("i", "u", "rep", "comp", (F.col("comp") == F.col("most")).alias("main")))
+    full = met.join(classes.select("rep", "sig"), "rep").join(facts, "rep")
     # of two members in different components one at least is outside the bucket's most frequent one
     other = full.select(*[F.col(c).alias(c + "_") for c in full.columns])
     full = full.where(~F.col("main")).drop("main")
-    # table t pairs u_i with v_j; an earlier table holds both if an earlier u or v agrees as well
-    t = F.array_position(_keys(F.col("sig"), m), F.col("key")) - 1
-    full = full.withColumn("i", F.floor(t / m).cast("int")).withColumn("j", (t % m + m).cast("int"))
-    earlier = lambda first, last: F.exists(
-        F.zip_with(F.slice("sig", first, last), F.slice("sig_", first, last), lambda a, b: a == b), lambda same: same)
-    return (full.join(other, (F.col("key") == F.col("key_")) & (F.col("main_") | (F.col("rep") < F.col("rep_"))) & (F.col("comp") != F.col("comp_"))
-                      & ~earlier(F.lit(1), F.col("i")) & ~earlier(F.lit(m + 1), F.col("j") - m) & _possible(percent, "", "_"))
+    agree = lambda first, count: F.exists(
+        F.zip_with(F.slice("sig", first, count), F.slice("sig_", first, count), lambda a, b: a == b), lambda same: same)
+    return (full.join(other, (F.col("i") == F.col("i_")) & (F.col("u") == F.col("u_")) & (F.col("main_") | (F.col("rep") < F.col("rep_")))
+                      & (F.col("comp") != F.col("comp_")) & ~agree(F.lit(1), F.col("i")) & agree(F.lit(m + 1), F.lit(m)) & _possible(percent, "", "_"))
             .select(F.greatest("rep", "rep_").alias("x"), F.least("rep", "rep_").alias("y")).distinct())
 
 
