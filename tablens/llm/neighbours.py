@@ -1,10 +1,11 @@
 """Operator 3, embedding near-duplicates over navigable small-world graphs per shard.
 
 Vectors of one label (and one length) are dealt by hash to shards of bounded size; each shard gets
-a hierarchical navigable small-world graph. Every shard is queried with all vectors of its own and
-of every other shard of the label. A query whose beam comes back full of links is widened, in the
-end to the whole shard, so dense groups lose nothing; a brute-force audit on a sample of
-queries in every task widens the beam of all its queries until it finds its share of the links.
+a hierarchical navigable small-world graph. Every shard is queried through its graph with all vectors of its own and
+of every other shard of the label. An audit in every task sets the width of the beams: it knows the links of a sample of the queries by
+brute force, and makes probes, drawn at exactly the threshold's cosine from sampled points of the shard, whose point must be found, so that it can
+fail where links are rare as well. The beam widens until both shares are found, in the end to the whole shard. A query whose beam comes
+back full of links is widened by itself, so dense groups lose nothing.
 Links are verified by cosine in double precision; components are united over all tasks.
 
 Exact copies are one class before indexing and count with their number. A task gives one row per
@@ -29,7 +30,6 @@ from ..session import durable
 from . import hnsw
 
 SHARD_ROWS, BEAM, AUDIT, RECALL = 16_384, 48, 256, 0.99
-LEAST_LINKS = 300       # the audit reads on until it has seen so many links, or every query
 _MARGIN = 1e-5      # float32 scores this near the threshold are decided in double precision
 
 
@@ -58,52 +58,62 @@ class _Links:
             self.root[np.isin(self.root, roots[1:])] = roots[0]
 
 
+def _probes(x: np.ndarray, threshold: float, rng) -> tuple[np.ndarray, np.ndarray]:
+    """(points, vectors): sampled points of a shard, and for each a unit vector at the threshold's cosine from it."""
+    at = rng.choice(len(x), min(AUDIT, len(x)), replace=False)
+    side = rng.normal(size=(len(at), x.shape[1]))
+    side -= (side * x[at]).sum(1, keepdims=True) * x[at]
+    length = np.sqrt((side * side).sum(1, keepdims=True))
+    side = np.divide(side, length, out=np.zeros_like(side), where=length > 1e-6)      # one dimension has no other direction
+    return at, (threshold * x[at] + np.sqrt(max(0.0, 1 - threshold * threshold)) * side).astype(np.float32)
+
+
+def audited_beam(q: np.ndarray, index: dict, threshold: float, same: bool, rng) -> int | None:
+    """The narrowest beam (doubling from ``BEAM``) whose searches find ``RECALL`` of the links of sampled queries, known by brute force, and of
+    the points that probes were drawn from, up to the size of the shard; None where even that does not."""
+    x, levels = index["x"], index["levels"]
+    part = rng.choice(len(q), min(AUDIT, len(q)), replace=False)
+    sims = q[part] @ x.T                    # bounded: AUDIT rows by one shard
+    if same:
+        sims[np.arange(len(part)), part] = -np.inf      # finding itself is no link
+    r, c = np.nonzero(sims >= threshold + _MARGIN)
+    at, probe = _probes(x, threshold, rng)
+    beam = min(BEAM, len(x))
+    while True:
+        ids, found = hnsw.search(x, levels, q[part], beam)
+        hits = np.zeros(sims.shape, bool)
+        line, col = np.nonzero(ids >= 0)
+        hits[line, ids[line, col]] = True
+        full = (found >= threshold - _MARGIN).all(axis=1)       # these will be widened by themselves
+        links = (hits[r, c] | full[r]).sum() >= RECALL * len(r)
+        probed = (hnsw.search(x, levels, probe, beam)[0] == at[:, None]).any(axis=1).sum() >= RECALL * len(at)
+        if links and probed:
+            return beam
+        if beam == len(x):
+            return None
+        beam = min(beam * 2, len(x))
+
+
 def _find(q: np.ndarray, index: dict, threshold: float, same: bool, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, found) pairs of beams and a mask of the queries that need the whole shard."""
     x, levels = index["x"], index["levels"]
-    nq, n = len(q), len(x)
-    whole = np.zeros(nq, bool)
-    beam, qs, hits = BEAM, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if beam * 4 < n:
-        order, truth, near, links = rng.permutation(nq), [], [], 0
-        for a in range(0, nq, AUDIT):
-            part = order[a:a + AUDIT]
-            sims = q[part] @ x.T                # bounded: AUDIT rows by one shard
-            if same:
-                sims[np.arange(len(part)), part] = -np.inf      # finding itself is no link
-            r, c = np.nonzero(sims >= threshold - _MARGIN)
-            near.append(part[r] * n + c)
-            truth.append(near[-1][sims[r, c] >= threshold + _MARGIN])
-            links += len(truth[-1])
-            if links >= LEAST_LINKS:
-                break
-        else:
-            near = np.concatenate([np.zeros(0, np.int64), *near])
-            return near // n, near % n, whole   # every query has been compared with the whole shard
-        truth = np.concatenate(truth)
-    while beam * 4 < n:
-        ids, sims = hnsw.search(x, levels, q, beam)
+    whole = np.zeros(len(q), bool)
+    beam, again = audited_beam(q, index, threshold, same, rng), np.arange(len(q))
+    if beam is None:        # the graph is in parts: every query is compared with the whole shard
+        whole[:], again = True, again[:0]
+    qs, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(again):
+        ids, sims = hnsw.search(x, levels, q[again], beam)
         ok = (ids >= 0) & (sims >= threshold - _MARGIN)
         full = ok.all(axis=1)                   # a beam full of links may hide more
         r, c = np.nonzero(ok & ~full[:, None])
-        qs, hits = r, ids[r, c]
-        wide = beam * 4
-        again = np.nonzero(full)[0]
-        while len(again) and wide * 4 < n:
-            ids, sims = hnsw.search(x, levels, q[again], wide)
-            ok = (ids >= 0) & (sims >= threshold - _MARGIN)
-            more = ok.all(axis=1)
-            r, c = np.nonzero(ok & ~more[:, None])
-            qs, hits = np.concatenate([qs, again[r]]), np.concatenate([hits, ids[r, c]])
-            again, wide = again[more], wide * 4
-        whole[:] = False
-        whole[again] = True
-        got = whole[truth // n] | np.isin(truth, qs * n + hits)
-        if got.sum() >= RECALL * len(truth):
-            return qs, hits, whole
-        beam *= 2
-    whole[:] = True     # as wide as the shard
-    return np.zeros(0, np.int64), np.zeros(0, np.int64), whole
+        qs.append(again[r])
+        hits.append(ids[r, c])
+        again, beam = again[full], beam * 4
+        if beam >= len(x):
+            whole[again] = True
+            break
+    return np.concatenate(qs), np.concatenate(hits), whole
 
 
 def _join(a: dict, b: dict | None, threshold: float, seed: int) -> pd.DataFrame:

@@ -209,3 +209,27 @@ def test_audit_of_sparse_links_does_not_count_self_matches(monkeypatch):
         r, c = np.nonzero(q @ y.T >= .98 + 1e-5)
         want = {(a, b) for a, b in zip(r.tolist(), c.tolist()) if not (same and a == b)}
         assert want and all(whole[a] or (a, b) in got for got in [set(zip(qs.tolist(), hits.tolist()))] for a, b in want)
+
+
+def test_graph_is_asked_and_finds_sparse_links(monkeypatch):
+    """A shard of 8,192 vectors with 60 near pairs, and another with 25 more: searches go through the graph, no query is compared
+    with a whole shard, and at least 0.9 of the links are found."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(8192, 48)))
+    x[4000:4060] = unit(x[:60] + .02 * rng.normal(size=(60, 48)))
+    y = unit(rng.normal(size=(3000, 48)))
+    y[:25] = unit(x[100:125] + .02 * rng.normal(size=(25, 48)))
+    asked = []
+    search = hnsw.search
+    monkeypatch.setattr(neighbours.hnsw, "search", lambda x, levels, q, beam: asked.append((len(q), beam)) or search(x, levels, q, beam))
+    index = {"x": x.astype(np.float32), "levels": hnsw.build(x.astype(np.float32))}
+    for q, same in ((x, True), (y, False)):
+        asked.clear()
+        qs, hits, whole = neighbours._find(q.astype(np.float32), index, .98, same, np.random.default_rng(0))
+        assert sum(n for n, _ in asked) >= len(q) and not whole.any()
+        r, c = np.nonzero(q @ x.T >= .98)
+        want = {(a, b) for a, b in zip(r.tolist(), c.tolist()) if not (same and a == b)}
+        recall = len(want & set(zip(qs.tolist(), hits.tolist()))) / len(want)
+        print("recall", recall, "of", len(want))
+        assert len(want) >= 25 and recall >= 0.9
