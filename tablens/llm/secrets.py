@@ -53,6 +53,15 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+#: Matches whose spans are gathered in one go.
+_GROUP = 64
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule in code points. The pieces between matches and the matches themselves
     alternate, so a match starts at the lengths of all that comes before it."""
@@ -60,7 +69,7 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     pieces = F.split(text, rule.pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    start = F.struct(F.lit(0).cast("bigint").alias("pos"), none.alias("found"))
+    size = lambda x: (F.char_length(x["piece"]) + F.char_length(x["hit"])).cast("bigint")
 
     def step(acc, x):
         at = acc["pos"] + F.char_length(x["piece"])
@@ -72,7 +81,15 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
 
     zipped = F.arrays_zip(pieces.alias("piece"), hits.alias("hit"), kept.alias("kept"))
     zipped = F.filter(zipped, lambda x: x["hit"].isNotNull())
-    return F.when(text.rlike(rule.pattern), F.aggregate(zipped, start, step, lambda acc: acc["found"])).otherwise(none)
+    # a growing array is copied with every match: matches are taken in groups, each from the end of those before it
+    total = lambda xs, of: F.aggregate(xs, F.lit(0).cast("bigint"), lambda n, x: n + of(x))
+    parted = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / _GROUP).cast("int")),
+                                   lambda g: F.slice(z, g * _GROUP + 1, F.lit(_GROUP)))
+    spans_of = lambda groups, sizes: F.flatten(F.transform(groups, lambda g, i: F.aggregate(
+        g, F.struct(total(F.slice(sizes, F.lit(1), i), lambda n: n).alias("pos"), none.alias("found")), step, lambda acc: acc["found"])))
+    found = _let(_let(zipped, parted), lambda groups: _let(
+        F.transform(groups, lambda g: total(g, size)), lambda sizes: spans_of(groups, sizes)))
+    return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
 def scan_blobs(blobs: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> DataFrame:
