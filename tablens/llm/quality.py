@@ -164,9 +164,10 @@ def train(docs: DataFrame, text_col: str, fit_rows: int = FIT_ROWS, id_col: str
 
     scale = 1 << 20
     cut = min(scale, -(-scale * fit_rows // total))
-    part = docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (text_col, id_col) if c in docs.columns]), F.lit(scale)) < cut).limit(2 * fit_rows)
+    part = docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (text_col, id_col) if c in docs.columns]), F.lit(scale)) < cut)
     good, rows = [], bytearray()        # filled row by row: one copy of the sample on the driver
-    for r in part.select(F.col(text_col).alias("text")).mapInPandas(run, "good double, x binary").toLocalIterator():
+    # the features of the sample are made where its texts are; only they are brought together
+    for r in part.select(F.col(text_col).alias("text")).mapInPandas(run, "good double, x binary").limit(2 * fit_rows).toLocalIterator():
         good.append(r["good"])
         rows += r["x"]
     if not good:

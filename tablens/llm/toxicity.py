@@ -42,16 +42,19 @@ def word_buckets(w: str) -> tuple[int, ...]:
 
 
 class _Terms(dict):
-    """Word -> places of its telling terms; () for nearly all words."""
+    """Word -> columns of its telling terms, None for the nearly all words that have none. All telling terms make a word count; the
+    ``TERMS`` strongest have a column of their own."""
 
     def __init__(self, terms: np.ndarray):
         super().__init__()
         self.place = {int(b): i for i, b in enumerate(terms)}
+        self.width = min(len(terms), TERMS)
 
-    def __missing__(self, w: str) -> tuple[int, ...]:
+    def __missing__(self, w: str) -> tuple[int, ...] | None:
         if len(self) > 200_000:
             self.clear()
-        hit = self[w] = tuple(self.place[b] for b in word_buckets(w) if b in self.place)
+        found = [self.place[b] for b in word_buckets(w) if b in self.place]
+        hit = self[w] = tuple(i for i in found if i < self.width) if found else None
         return hit
 
 
@@ -76,8 +79,8 @@ def term_counts(labelled: DataFrame) -> DataFrame:
             .agg(n(1, 3).alias("toxic"), n(0, 2).alias("clean"), n(1).alias("toxic0"), n(0).alias("clean0")))
 
 
-def telling_terms(counts: DataFrame, positive: int, total: int, terms: int = TERMS) -> np.ndarray:
-    """The buckets most tied to the label (log-likelihood ratio), with a raised share in both halves."""
+def telling_terms(counts: DataFrame, positive: int, total: int) -> np.ndarray:
+    """All buckets tied to the label (log-likelihood ratio) with a raised share in both halves, the strongest first; at most ``BUCKETS``."""
     base = positive / total
     t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
@@ -88,18 +91,18 @@ def telling_terms(counts: DataFrame, positive: int, total: int, terms: int = TER
     ok = (t >= LIFT * base * n) & (g2 >= LEAST_G2)
     for th, ch in halves:
         ok = ok & (th >= 2) & (th >= LIFT * base * (th + ch))
-    rows = counts.where(ok).orderBy(F.desc(g2), "bucket").limit(terms).select("bucket").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64))
+    rows = counts.where(ok).select("bucket", g2.alias("g2")).toPandas()
+    return rows.sort_values(["g2", "bucket"], ascending=[False, True])["bucket"].to_numpy(np.int64)
 
 
 def features(text: str | None, known: _Terms) -> np.ndarray:
-    """How often each telling term occurs (log), the rate and number of words with any, a constant."""
-    x = np.zeros(len(known.place) + EXTRA, np.float32)
+    """How often each of the strongest telling terms occurs (log), the rate and number of words with any, a constant."""
+    x = np.zeros(known.width + EXTRA, np.float32)
     words = words_in(text)
-    hits = [h for w in words if (h := known[w])]
+    hits = [h for w in words if (h := known[w]) is not None]
     for h in hits:
         x[list(h)] += 1
-    n, m = len(hits), len(known.place)
+    n, m = len(hits), known.width
     x[:m] = np.log1p(x[:m])
     x[m:] = (np.log1p(200 * n / max(1, len(words))), np.log1p(n), n >= 1, n >= 2, n >= 3, 1.0)
     return x
@@ -168,11 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     scale = 1 << 20
     cut = min(scale, -(-scale * fit_rows // n))
-    fit = (labelled.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(scale)) < cut).limit(2 * fit_rows)
-           .mapInPandas(run, "key long, toxic int, x binary").toPandas())
+    # the features of the sample are made where its texts are; only they are brought together
+    fit = (labelled.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(scale)) < cut)
+           .mapInPandas(run, "key long, toxic int, x binary").limit(2 * fit_rows).toPandas())
     if not len(fit) or fit["toxic"].nunique() < 2:
         return None
-    x = np.frombuffer(b"".join(fit["x"]), np.float32).reshape(len(fit), len(terms) + EXTRA)
+    x = np.frombuffer(b"".join(fit["x"]), np.float32).reshape(len(fit), min(len(terms), TERMS) + EXTRA)
     y = fit["toxic"].to_numpy()
     once, thrice = x[:, -4], x[:, -2]
     targets = np.column_stack([y * once, y * thrice, y]).astype(float)
@@ -187,7 +191,7 @@ def score_toxicity(docs: DataFrame, model: dict | None, text_col: str = "text")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = _Terms(model["terms"])
         for texts in batches:
-            x = np.array([features(t, known) for t in texts], np.float32).reshape(len(texts), len(model["terms"]) + EXTRA)
+            x = np.array([features(t, known) for t in texts], np.float32).reshape(len(texts), known.width + EXTRA)
             yield pd.Series(list(run_chain(x, model["chain"])))
 
     out = docs.drop(*names, "toxic")

@@ -115,7 +115,8 @@ def test_stages_on_rows_without_ids_and_empty_tables(spark):
                                   (4, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     sf = "/root/testdata/sf0.001"
     stage = dict(corpus_pipeline.STAGES)
-    assert sorted(str(r["doc_id"]) for r in stage["minhash_near_dedup"](spark, docs, sf).collect()) == ["3", "4", "None"]
+    # the copies without an id are near copies of document 3
+    assert sorted(str(r["doc_id"]) for r in stage["minhash_near_dedup"](spark, docs, sf).collect()) == ["3", "4"]
     assert stage["benchmark_decontamination"](spark, docs, sf).count() == 5
     assert all("abcdefgh12345" not in (r["text"] or "") for r in stage["secret_scans"](spark, docs, sf).collect())
     for f in stage.values():
@@ -123,6 +124,18 @@ def test_stages_on_rows_without_ids_and_empty_tables(spark):
     assert secrets.RULES and neardup.ROWS
 
 
+def test_near_dedup_goes_by_texts_not_ids(spark):
+    rng = __import__("random").Random(4)
+    words = [f"w{i}" for i in range(400)]
+    a, b, c = (" ".join(rng.choice(words) for _ in range(150)) for _ in range(3))
+    near = a.replace(a.split()[70], "other", 1)
+    rows = [(1, a), (None, near), (None, a), (5, b), (5, c), (None, "alone here"), (None, "alone here"), (8, ""), (9, ""), (8, ""), (None, None), (7, b.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()), key=str)
+    # two unrelated texts under id 5 both stay; the near and exact copies of document 1 go, as does 7 (b in other letters)
+    assert got == sorted([("1", a), ("5", b), ("5", c), ("None", "alone here"), ("8", ""), ("9", ""), ("None", None)], key=str)
+
+
 def test_only_chrome_goes_from_an_article():
     page = ('<nav>Home</nav><div id="social">S</div><article><h1>T</h1><section id="social-effects"><h2 id="related-work">R</h2><p>One</section>'
             '<div class="widget-content">Two</div><p id="subscription-model">Three</p><p class="notice-period text">Four</p>'
