@@ -2,7 +2,7 @@
 read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the
-columns of ``docs``. Rows without an id are told apart by their text. Extra columns pass through.
+columns of ``docs``. A row is known by its id and its text. Extra columns pass through.
 """
 from __future__ import annotations
 
@@ -14,9 +14,8 @@ from tablens.session import durable, scratch_path
 
 
 def _key() -> Column:
-    """A row's identity: its id, or its text where it has none."""
-    return F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")),
-                      F.concat(F.lit("t"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    """A row's identity: its id (nothing where it has none) and its text."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
 def _one_row(docs: DataFrame, *keys: str) -> DataFrame:
@@ -32,12 +31,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates (five-word shingles, similarity 0.8): the one with
-    the smallest id. Repeated rows of an id leave one; rows without an id leave one for each text."""
-    flags = neardup.near_duplicates(docs.select("doc_id", "text"))
-    stay = flags.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = _one_row(docs.where("doc_id is not null").join(stay, "doc_id", "left_semi"), "doc_id")
-    return named.unionByName(_one_row(docs.where("doc_id is null"), "text"))
+    """One document of every group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id,
+    one without an id only where the group has no other. Groups are groups of texts, whatever ids they stand under: a row goes
+    only for a text that is equal, has an equal shingle set, or is linked to its own, so two unrelated texts under one id both stay, and copies
+    without an id go. Texts without words are in no group; repeated rows of an id and text leave one."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.xxhash64(text)
+    flags = neardup.near_duplicates(docs.select(key.alias("__text"), text.alias("text")), id_col="__text").select(
+        F.col("doc_id").alias("__text"), F.when(F.col("set_key").isNotNull(), F.col("component_id")).alias("group")).distinct()
+    ids = docs.select("doc_id", key.alias("__text")).distinct().join(flags, "__text")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text")
+    # a text without words is its own group under each id
+    stay = durable(ids.where("group is not null").groupBy("group").agg(F.min(first).alias("row")).select("row.doc_id", "row.__text").unionByName(
+        ids.where("group is null").select("doc_id", "__text")))
+    rows = docs.withColumn("__text", key)
+    wanted = stay.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__stays"))
+    rows = rows.join(wanted, (F.col("__text") == F.col("__stays")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return _one_row(rows, "doc_id", "__text").drop("__text")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
