@@ -50,6 +50,16 @@ def csv_roundtrip(spark, sf):
     return readers.load_table(spark, path, fmt="csv")
 
 
+@query("tsv_roundtrip", """
+SELECT conv_id::INTEGER AS conv_id, turn::INTEGER AS turn, role, role || chr(9) || '"' || text || '"' || chr(10) || 'end' AS told FROM conversations""")
+def tsv_roundtrip(spark, sf):
+    """W1 then R2: tab-separated texts with tabs, quotes and line breaks."""
+    path = scratch_path(spark, "conversations-tsv")
+    told = F.concat("role", F.lit('\t"'), "text", F.lit('"\nend'))
+    sinks.write_csv(table(spark, sf, "conversations").select("conv_id", "turn", "role", told.alias("told")), path, sep="\t")
+    return readers.load_table(spark, path, fmt="tsv")
+
+
 @query("json_roundtrip", """
 SELECT o_orderkey, o_custkey AS "detail.o_custkey", o_totalprice AS "detail.o_totalprice",
   o_orderpriority AS "detail.flags.priority" FROM orders""")

@@ -354,3 +354,49 @@ def chat_exchange_rows(spark, sf):
         F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), F.col("text").alias("user_text"),
         F.col("next_text").alias("reply_text"))
     return chat.exchange_rows(ex, keyword=FEEDBACK_KEYWORD)
+
+
+# ------------------------------------------------------------------ session ids and chart series
+@query("session_id_check", """
+WITH m AS (SELECT doc_id, md5(text) AS h FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN h WHEN 1 THEN substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13)
+  WHEN 2 THEN '{' || upper(h) || '}' WHEN 3 THEN 'urn:uuid:' || h WHEN 4 THEN substring(h, 2) ELSE h || 'g' END AS session_id FROM m)
+SELECT doc_id, session_id, doc_id % 6 < 4 AS valid FROM s""")
+def session_id_check(spark, sf):
+    """H5 on ids made from each text's digest, in several spellings."""
+    h, k = F.md5("text"), F.col("doc_id") % 6
+    spelled = (F.when(k == 0, h).when(k == 1, F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 20)))
+               .when(k == 2, F.concat(F.lit("{"), F.upper(h), F.lit("}"))).when(k == 3, F.concat(F.lit("urn:uuid:"), h))
+               .when(k == 4, F.substring(h, 2, 31)).otherwise(F.concat(h, F.lit("g"))))
+    ids = table(spark, sf, "documents").where("text is not null").select("doc_id", spelled.alias("session_id"))
+    return ids.withColumn("valid", chat.valid_session_id(F.col("session_id")))
+
+
+def _chart_rows(spark, sf):
+    e = F.col("embedding")
+    return table(spark, sf, "embeddings").select(
+        "vec_id", e[0].cast("double").alias("pc1"), e[1].cast("double").alias("pc2"), F.when(F.col("vec_id") % 2 == 0, e[2].cast("double")).alias("pc3"),
+        F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("cluster"), (F.col("vec_id") % 10 == 0).cast("int").alias("anomaly"))
+
+
+@query("scatter_series", f"""
+SELECT vec_id, {r4('embedding[1]')} AS pc1, {r4('embedding[2]')} AS pc2, {r4('CASE WHEN vec_id % 2 = 0 THEN embedding[3] ELSE 0 END')} AS pc3,
+  CASE WHEN label = 9 THEN -1 ELSE label END AS cluster, CASE WHEN label = 9 THEN 'Noise' ELSE 'Cluster ' || label END AS series FROM embeddings""")
+def scatter_series(spark, sf):
+    """The points of both scatter charts, noise named, a missing third component as 0."""
+    rows = _chart_rows(spark, sf)
+    both = series.scatter_2d(rows, "vec_id").join(series.scatter_3d(rows, "vec_id").select("vec_id", "pc3"), "vec_id")
+    return rounded(both.select("vec_id", "pc1", "pc2", "pc3", "cluster", "series"))
+
+
+@query("anomaly_overlay_filled", """
+SELECT a.anomaly, count(*) AS drawn FROM (SELECT (vec_id % 10 = 0)::INT AS anomaly,
+  row_number() OVER (PARTITION BY vec_id % 10 = 0 ORDER BY vec_id) AS place FROM embeddings) a
+WHERE a.anomaly = 1 OR a.place <= 200 - (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) GROUP BY a.anomaly
+HAVING (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) < 200
+UNION ALL SELECT (vec_id % 10 = 0)::INT, count(*) FROM embeddings WHERE (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) >= 200 GROUP BY ALL""")
+def anomaly_overlay_filled(spark, sf):
+    """All anomalies and a sample of the normals, 200 points in all; the numbers of both kinds (which normals are drawn goes by hash).
+    Where the anomalies alone are 200, nothing is sampled."""
+    drawn = series.anomaly_overlay(_chart_rows(spark, sf), "vec_id", 200)
+    return drawn.dropDuplicates(["vec_id"]).groupBy("anomaly").agg(F.count(F.lit(1)).alias("drawn"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> None:
     """Header row, no index column; quotes are doubled, blanks and line breaks kept."""
-    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+    (df.write.mode(mode).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
