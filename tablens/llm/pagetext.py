@@ -5,11 +5,12 @@ distributed sort; each page is paired with the neighbour in that order that shar
 beginning of its path. The two pages' lines are aligned by longest common subsequence and shared
 lines go, as menus and notices repeat from page to page while articles do not.
 
-Differencing alone is not right on pages that mark their article: chrome drawn anew for each page
-would stay, and an article copied to a neighbouring page would go. So marked parts are
+Every page is paired and differenced. Differencing alone is not right on pages that mark their article: chrome drawn
+anew for each page would stay, and an article copied to a neighbouring page would go. So marked parts are
 believed first: lines in elements that are chrome by tag, role or class (nav, footer, aside, form,
-adverts, notices, comments, ...) go, lines of ``<article>`` and ``<main>`` are the main text, and the
-differencing decides over all lines of pages that mark neither. Inside an article or main only roles and
+adverts, notices, comments, ...) go, and lines of ``<article>`` and ``<main>`` are the main text where a page marks them, but for
+those its pair shows outside its own marks. A page with marks lends its pair the lines outside them, another page all its lines,
+and there the differencing decides over all lines. Inside an article or main only roles and
 whole classes are believed, not ids and parts of names. A form around the page or most of it is not chrome.
 
 Null html gives an empty text, a null url an empty host and path. Repeated rows get equal texts. Unclosed
@@ -184,13 +185,19 @@ def _hash(line: str) -> int:
     return int.from_bytes(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def main_text(html: str | None, mate: list[int]) -> str:
-    """The main text of a page, given the line hashes of the page it is paired with."""
+def lent_lines(html: str | None) -> tuple[list[int], bool]:
+    """Line hashes that a page lends to its pair: all, or those outside its article and main where it marks one; and whether it does."""
     lines = page_lines(html)
-    if any(z for _, z in lines):
-        return "\n\n".join(t for t, z in lines if z)
-    shared = set(common_lines([_hash(t) for t, _ in lines], mate))
-    return "\n\n".join(t for i, (t, _) in enumerate(lines) if i not in shared)
+    marked = any(z for _, z in lines)
+    return [_hash(t) for t, z in lines if not (marked and z)], marked
+
+
+def main_text(html: str | None, mate: list[int], mate_marked: bool = False) -> str:
+    """The main text of a page, given the line hashes that the page it is paired with lends."""
+    lines = page_lines(html)
+    marked = any(z for _, z in lines)
+    shared = set() if marked and not mate_marked else set(common_lines([_hash(t) for t, _ in lines], mate))
+    return "\n\n".join(t for i, (t, z) in enumerate(lines) if i not in shared and (z or not marked))
 
 
 def _shared_path(a, b):
@@ -214,30 +221,28 @@ def extract(pages: DataFrame, keep: list[str], url_col: str = "url", html_col: s
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for h in pdf.pop("html"):
-                lines = page_lines(h)
-                out.append([] if any(z for _, z in lines) else [_hash(t) for t, _ in lines])
-            yield pdf.assign(lines=out)
+            lent = [lent_lines(h) for h in pdf.pop("html")]
+            yield pdf.assign(lines=[x for x, _ in lent], marked=[m for _, m in lent])
 
-    # one row per distinct page; a page with a marked article needs and lends no lines
+    # one row per distinct page
     seen = (pages.select(key.alias("key"), host_of(url).alias("host"), path_of(url).alias("path"), html.alias("html"))
-            .mapInPandas(hashes, "key string, host string, path string, lines array<long>").dropDuplicates(["key"]))
+            .mapInPandas(hashes, "key string, host string, path string, lines array<long>, marked boolean").dropDuplicates(["key"]))
     at = durable(with_position(seen.where("host <> ''"), "host", "path", "key", name="at"))
     side = lambda d: at.select((F.col("at") + d).alias("at"), F.col("host").alias("host2"),
-                               F.col("path").alias("path2"), F.col("lines").alias("mate"))
+                               F.col("path").alias("path2"), F.struct("lines", "marked").alias("mate"))
     near = [at.join(side(d), "at").where("host = host2").select(
         "key", "mate", _shared_path(F.col("path"), F.col("path2")).alias("n"), F.lit(d).alias("d")) for d in (1, -1)]
     mates = (near[0].unionByName(near[1]).groupBy("key").agg(F.max_by("mate", F.struct("n", "d")).alias("mate"))
-             .where(F.size("mate") > 0))
+             .where(F.size("mate.lines") > 0))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [main_text(h, [] if m is None else list(map(int, m))) for h, m in zip(pdf.pop("__html"), pdf.pop("__mate"))]
+            mates = zip(pdf.pop("__html"), pdf.pop("__mate"), pdf.pop("__marked"))
+            texts = [main_text(h, [] if m is None else list(map(int, m)), m is not None and bool(marked)) for h, m, marked in mates]
             yield pdf.assign(text=texts)
 
     rows = (pages.select(*keep, html.alias("__html"), key.alias("key")).join(mates, "key", "left")
-            .select(*keep, "__html", F.col("mate").alias("__mate")))
+            .select(*keep, "__html", F.col("mate.lines").alias("__mate"), F.col("mate.marked").alias("__marked")))
     kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInPandas(read, f"{kept}, text string")
 

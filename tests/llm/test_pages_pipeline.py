@@ -167,3 +167,13 @@ def test_differencing_of_the_given_pages_without_their_marks(spark):
         kept, total, found = kept + len(want & got), total + len(want), found + len(got)
     print(f"differencing: {kept} of {total} lines of the articles kept, {kept} of {found} lines returned are the articles'")
     assert kept >= .9 * total and kept >= .9 * found
+
+
+def test_every_page_takes_part_in_the_differencing(spark):
+    side, art = "<p>Menu <b>line</b></p><p>Notice line</p>", "<article><p>Own text {}</p></article>"
+    rows = [(1, "http://a.com/x/1", side + art.format(1)), (2, "http://a.com/x/1b", side + "<p>Body of two</p>"),
+            (3, "http://b.com/y/1", "<p>Menu line</p>" + art.format(3)), (4, "http://b.com/y/2", "<article><p>Menu line</p><p>Own text 3</p></article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pagetext.extract(pages, ["page_id", "url"]).collect()}
+    # 2 marks nothing: its pair's unmarked lines go; in 4 a line goes that 3 shows outside its article, and the copied article stays
+    assert got == {1: "Own text 1", 2: "Body of two", 3: "Own text 3", 4: "Own text 3"}
