@@ -2,7 +2,7 @@
 
 Words are hashed to term buckets; document frequencies come from all documents. A randomised SVD of
 TF-IDF passages (Halko, Martinsson and Tropp: random range, one power step, Rayleigh-Ritz) runs
-in tasks over a bounded sample of passages (``fit_passages``) and gives a latent basis. The first
+in tasks over all distinct passages and gives a latent basis. The first
 directions tell languages apart rather than passages and are left out; the rest are whitened.
 
 Every document is then read in overlapping windows of three lengths (a quarter of a window
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 TERMS, SKIP, DIMS, EXTRA = 1 << 14, 8, 40, 8
-PASSAGE, FIT_PASSAGES, FIT_TASKS = 48, 120_000, 8
+PASSAGE, FIT_TASKS = 48, 16
 WINDOWS = (16, 32, 64)
 LEAST_COSINE, COVER, COVER_WITH_ANSWER, ANSWER_SHARE, ANSWER_COVER = 0.35, 0.75, 0.6, 0.2, 0.6
 #: Words of a block whose item words are counted together, and items that share a table of word places.
@@ -93,20 +93,15 @@ def term_weights(words: DataFrame) -> np.ndarray:
     return np.log((total + 1) / (df + 1)).astype(np.float32)
 
 
-def latent_basis(words: DataFrame, idf: np.ndarray, items: list[np.ndarray], fit_passages: int = FIT_PASSAGES, seed: int = 3) -> np.ndarray:
+def latent_basis(words: DataFrame, idf: np.ndarray, items: list[np.ndarray], seed: int = 3) -> np.ndarray:
     """(terms, DIMS) weights; a passage's latent vector is the sum of its words' rows."""
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [x[i:i + PASSAGE].tobytes() for x in _arrays(pdf["ids"]) for i in range(0, len(x), PASSAGE)]
             yield pd.DataFrame({"p": out})
 
-    count = F.ceil(F.octet_length("ids") / (4 * PASSAGE))
-    total = words.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    scale = 1 << 30
-    cut = min(scale, -(-scale * fit_passages // max(1, total)))
-    # distinct passages, so that copies do not bend the basis; about fit_passages, twice that at most
-    fit = words.select("ids").mapInPandas(passages, "p binary").where(F.pmod(F.xxhash64("p"), F.lit(scale)) < cut).distinct()
-    fit = durable(fit.limit(2 * fit_passages).repartition(FIT_TASKS))
+    # distinct passages, so that copies do not bend the basis
+    fit = durable(words.select("ids").mapInPandas(passages, "p binary").distinct())
 
     def product(q: np.ndarray) -> np.ndarray:
         """(A'A) q, one partial sum per task."""
@@ -134,7 +129,7 @@ def latent_basis(words: DataFrame, idf: np.ndarray, items: list[np.ndarray], fit
         def total(pdf: pd.DataFrame) -> pd.DataFrame:       # FIT_TASKS rows
             return pd.DataFrame({"z": [sum(np.frombuffer(b, np.float32).astype(np.float64) for b in pdf["z"]).astype(np.float32).tobytes()]})
 
-        summed = fit.mapInPandas(run, "z binary").groupBy().applyInPandas(total, "z binary").first()
+        summed = fit.coalesce(FIT_TASKS).mapInPandas(run, "z binary").groupBy().applyInPandas(total, "z binary").first()
         z = np.zeros(q.shape) if summed is None else np.frombuffer(summed["z"], np.float32).reshape(q.shape).astype(np.float64)
         own = [x for x in items if len(x)]
         if own:
@@ -354,7 +349,7 @@ def search(words: DataFrame, table: np.ndarray, items: list[tuple[object, np.nda
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-               item_text_col: str = "text", fit_passages: int = FIT_PASSAGES) -> DataFrame:
+               item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, found, answer, item_words) for every document that holds a benchmark item."""
     words = durable(hashed_words(docs, id_col, text_col))
     idf = term_weights(words)
@@ -372,11 +367,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             continue
         block.append((r["i"], ids))
         if len(block) == ITEM_BLOCK:
-            table = latent_basis(words, idf, [x for _, x in block], fit_passages) if table is None else table
+            table = latent_basis(words, idf, [x for _, x in block]) if table is None else table
             found = passed(block)
             out, block = found if out is None else out.unionByName(found), []
     if block:
-        table = latent_basis(words, idf, [x for _, x in block], fit_passages) if table is None else table
+        table = latent_basis(words, idf, [x for _, x in block]) if table is None else table
         found = passed(block)
         out = found if out is None else out.unionByName(found)
     if out is None:

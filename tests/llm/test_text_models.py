@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tablens.llm import decontam, quality, toxicity
@@ -154,3 +155,22 @@ def test_quality_fit_reads_the_full_sample():
     import inspect
     for f in (quality.train, quality.score_documents):
         assert inspect.signature(f).parameters["fit_rows"].default >= 8_000
+
+
+def test_latent_basis_is_fitted_on_all_passages(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(df):
+        raise Seen(df.count())
+
+    def make(batches):
+        for pdf in batches:
+            ids = [np.random.default_rng(i).integers(0, 2**32, 48 * 1000, dtype=np.uint32).tobytes() for i in pdf["id"]]
+            yield pdf.assign(ids=ids)[["ids"]]
+
+    words = spark.range(0, 260, 1, 8).mapInPandas(make, "ids binary")
+    monkeypatch.setattr(decontam, "durable", seen)
+    with pytest.raises(Seen) as told:
+        decontam.latent_basis(words, np.ones(decontam.TERMS, np.float32), [])
+    assert told.value.args == (260_000,)
