@@ -37,13 +37,17 @@ LEAST_COSINE, COVER, COVER_WITH_ANSWER, ANSWER_SHARE, ANSWER_COVER = 0.35, 0.75,
 #: Words of a block whose item words are counted together, and items that share a table of word places.
 COUNTED, ITEM_GROUP = 8, 128
 ITEM_BLOCK, CHUNK_WORDS = 4096, 1 << 15
+#: Lengths of an item up to which overlapping parts of a text are read as one.
+STRETCH = 4
+#: Lists whose rows are added side by side.
+STEP = 1024
 _PARTING = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
 class _Ids(dict):
+    """Ids of single words."""
+
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
         h = self[w] = crc32(w)
         return h
 
@@ -53,18 +57,17 @@ def words_in(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_PARTING).split() if text else []
 
 
-def word_ids(text: str | None, known: dict) -> np.ndarray:
-    """32-bit ids of a text's words."""
+def word_ids(text: str | None) -> np.ndarray:
+    """32-bit ids of a text's words (a table of known words takes longer than the hash)."""
     words = words_in(text)
-    return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+    return np.fromiter(map(crc32, words), np.uint32, len(words))
 
 
 def hashed_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, ids) with the word ids of every whole text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Ids()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [word_ids(t, known).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [word_ids(t).tobytes() for t in pdf["text"]]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -75,14 +78,31 @@ def _arrays(col) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint32) for b in col]
 
 
+def _groups(texts: list[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
+    """Texts in turn, as many as have ``most`` words together, one at least."""
+    a = 0
+    while a < len(texts):
+        b, n = a, 0
+        while b < len(texts) and (b == a or n + len(texts[b]) <= most):
+            n += len(texts[b])
+            b += 1
+        yield texts[a:b]
+        a = b
+
+
 def term_weights(words: DataFrame) -> np.ndarray:
     """Inverse document frequency of every term bucket, from all documents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, df = 0, np.zeros(TERMS, np.int64)
         for pdf in batches:
-            for x in _arrays(pdf["ids"]):
-                n += 1
-                df[np.unique(x & np.uint32(TERMS - 1))] += 1
+            n += len(pdf)
+            for texts in _groups(_arrays(pdf["ids"]), 1 << 18):
+                at = (np.concatenate(texts) & np.uint32(TERMS - 1)).astype(np.uint16)
+                order = np.argsort(at, kind="stable")
+                term, line = at[order], np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in texts])[order]
+                new = np.ones(len(term), bool)      # the first of a text's equal terms
+                new[1:] = (term[1:] != term[:-1]) | (line[1:] != line[:-1])
+                df += np.bincount(term[new], minlength=TERMS)
         yield pd.DataFrame({"term": np.append(np.nonzero(df)[0], -1), "n": np.append(df[df > 0], n)})
 
     rows = words.select("ids").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
@@ -93,56 +113,103 @@ def term_weights(words: DataFrame) -> np.ndarray:
     return np.log((total + 1) / (df + 1)).astype(np.float32)
 
 
+def _added(table: np.ndarray, at: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each of the lists at[first:first + size] the sum of its rows of ``table``, one place of all lists after another."""
+    order = np.argsort(-size, kind="stable")
+    out = np.zeros((len(size), table.shape[1]), np.float32)
+    room = np.empty((min(STEP, len(order)), table.shape[1]), np.float32)
+    for a in range(0, len(order), STEP):
+        some = order[a:a + STEP]
+        begin, long = first[some], size[some]
+        acc = np.zeros((len(some), table.shape[1]), np.float32)
+        for c, m in enumerate(np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right").tolist()):    # lists of more than c rows
+            row = table.take(at[begin[:m] + c], axis=0, out=room[:m], mode="clip")
+            acc[:m] += row
+        out[some] = acc
+    return out
+
+
+class Gram:
+    """(A'A) q over passages given in parts, as lists of term buckets. A row of A is a passage's TF-IDF weights, scaled to length 1:
+    idf goes into q and the sum, the lengths into the passages' vectors, so nothing is as long as the words and as wide as q."""
+
+    def __init__(self, q: np.ndarray, idf: np.ndarray):
+        self.idf, self.table = idf, (q * idf[:, None]).astype(np.float32)
+        self.sum = np.zeros(q.shape, np.float32)
+        self.small = np.zeros((q.shape[1], q.shape[1]))
+
+    def _vectors(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All terms of the passages, how many each has, its length as weights, and A q."""
+        at = np.concatenate(rows).astype(np.uint16)         # TERMS fit; 16 bits are sorted by radix
+        size = np.array([len(r) for r in rows])
+        first = np.cumsum(size) - size
+        norm = np.sqrt(np.add.reduceat(self.idf[at] ** 2, first))[:, None] + np.float32(1e-9)
+        return at, size, norm, _added(self.table, at, first, size) / norm
+
+    def add_small(self, rows: list[np.ndarray]) -> None:
+        """q' (A'A) q, which takes no more than A q."""
+        y = self._vectors(rows)[-1]
+        self.small += y.T @ y
+
+    def add(self, rows: list[np.ndarray]) -> None:
+        at, size, norm, y = self._vectors(rows)
+        y /= norm
+        # the passages of each term, in lists of at most 16
+        order = np.argsort(at, kind="stable")
+        line = np.repeat(np.arange(len(rows), dtype=np.int32), size)[order]
+        begin = np.searchsorted(at[order], np.arange(TERMS + 1, dtype=np.int32))
+        held = np.diff(begin)
+        lists = -(-held // 16)
+        term = np.repeat(np.arange(TERMS), lists)
+        nth = np.arange(len(term)) - np.repeat(np.cumsum(lists) - lists, lists)
+        some = _added(y, line, begin[term] + 16 * nth, np.minimum(16, held[term] - 16 * nth))
+        term, begin = np.unique(term, return_index=True)
+        self.sum[term] += np.add.reduceat(some, begin, axis=0)
+
+    def total(self) -> np.ndarray:
+        return self.sum * self.idf[:, None]
+
+
 def latent_basis(words: DataFrame, idf: np.ndarray, items: list[np.ndarray], seed: int = 3) -> np.ndarray:
     """(terms, DIMS) weights; a passage's latent vector is the sum of its words' rows."""
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [x[i:i + PASSAGE].tobytes() for x in _arrays(pdf["ids"]) for i in range(0, len(x), PASSAGE)]
-            yield pd.DataFrame({"p": out})
-
-    # distinct passages, so that copies do not bend the basis
-    fit = durable(words.select("ids").mapInPandas(passages, "p binary").distinct())
-
-    def product(q: np.ndarray) -> np.ndarray:
-        """(A'A) q, one partial sum per task."""
-        def add(rows: list[np.ndarray], out: np.ndarray) -> None:
-            at = np.concatenate(rows) & np.uint32(TERMS - 1)
-            size = np.array([len(r) for r in rows])
-            first = np.concatenate([[0], np.cumsum(size)[:-1]])
-            w = idf[at]
-            norm = np.sqrt(np.add.reduceat(w * w, first)) + 1e-9
-            w = w / np.repeat(norm, size)
-            y = np.add.reduceat(q[at] * w[:, None], first, axis=0)
-            order = np.argsort(at, kind="stable")
-            term, begin = np.unique(at[order], return_index=True)
-            line = np.repeat(np.arange(len(rows)), size)[order]
-            out[term] += np.add.reduceat(y[line] * w[order][:, None], begin, axis=0)
+            out, told = [], []
+            for x in _arrays(pdf["ids"]):
+                terms = (x & np.uint32(TERMS - 1)).astype(np.uint16)
+                for i in range(0, len(x), PASSAGE):
+                    out.append(terms[i:i + PASSAGE].tobytes())
+                    told.append(crc32(x[i:i + PASSAGE]))
+            yield pd.DataFrame({"p": out, "words": told})
+
+    # distinct passages, so that copies do not bend the basis: their term buckets, two bytes each, told apart by their words
+    fit = durable(words.select("ids").mapInPandas(passages, "p binary, words long").distinct())
+
+    def product(q: np.ndarray, small: bool = False) -> np.ndarray:
+        """(A'A) q, or q' (A'A) q, one partial sum per task."""
+        def added(batches: Iterator[list[np.ndarray]]) -> np.ndarray:
+            gram = Gram(q, idf)
+            for rows in batches:
+                if rows:
+                    (gram.add_small if small else gram.add)(rows)
+            return gram.small if small else gram.total()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros(q.shape, np.float32)
-            for pdf in batches:
-                rows = _arrays(pdf["p"])
-                for i in range(0, len(rows), 2000):
-                    add(rows[i:i + 2000], out)
-            yield pd.DataFrame({"z": [out.tobytes()]})
+            z = added([np.frombuffer(b, np.uint16) for b in pdf["p"]] for pdf in batches)
+            yield pd.DataFrame({"z": [z.astype(np.float32).tobytes()]})
 
         def total(pdf: pd.DataFrame) -> pd.DataFrame:       # FIT_TASKS rows
             return pd.DataFrame({"z": [sum(np.frombuffer(b, np.float32).astype(np.float64) for b in pdf["z"]).astype(np.float32).tobytes()]})
 
-        summed = fit.coalesce(FIT_TASKS).mapInPandas(run, "z binary").groupBy().applyInPandas(total, "z binary").first()
-        z = np.zeros(q.shape) if summed is None else np.frombuffer(summed["z"], np.float32).reshape(q.shape).astype(np.float64)
-        own = [x for x in items if len(x)]
-        if own:
-            out = np.zeros(q.shape, np.float32)
-            add(own, out)
-            z += out
-        return z
+        summed = fit.select("p").coalesce(FIT_TASKS).mapInPandas(run, "z binary").groupBy().applyInPandas(total, "z binary").first()
+        own = added([[x & np.uint32(TERMS - 1) for x in items if len(x)]])
+        return own + (0 if summed is None else np.frombuffer(summed["z"], np.float32).reshape(own.shape).astype(np.float64))
 
     width = SKIP + DIMS + EXTRA
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((TERMS, width)))[0].astype(np.float32)
     q = np.linalg.qr(product(q))[0].astype(np.float32)
     q = np.linalg.qr(product(q))[0].astype(np.float32)
-    small = q.T.astype(np.float64) @ product(q)
+    small = product(q, small=True)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     pick = np.argsort(-values)[SKIP:SKIP + DIMS]
     sigma = np.sqrt(np.maximum(values[pick], 1e-12))
@@ -253,6 +320,26 @@ class Searcher:
                 n[some] = self.size[item[some]] - np.bitwise_count(v & full)
         return n
 
+    def may_hold(self, word: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """False only for text parts that lie in a longer one without enough of the item's words in order. Most of an item's parts
+        overlap, so these are read once, in stretches of up to STRETCH parts' length."""
+        order = np.lexsort((lo, item))
+        i, a, b = item[order], lo[order], hi[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (a[1:] >= b[:-1])
+        # a run of overlapping parts is cut at multiples of the stretch, counted from the run's first part
+        run = np.cumsum(new) - 1
+        cut = (a - a[new][run]) // (STRETCH * self.size[i])
+        new[1:] |= cut[1:] != cut[:-1]
+        stretch = np.cumsum(new) - 1
+        whole = np.flatnonzero(new)
+        begin, end, mine = a[whole], np.maximum.reduceat(b, whole), i[whole]
+        ok = self.size[mine] > 64
+        ok[~ok] = self.in_order(word, mine[~ok], begin[~ok], end[~ok]) >= self.need[mine[~ok]]
+        out = np.empty(len(i), bool)
+        out[order] = ok[stretch]
+        return out
+
     def leaks_of_long(self, text: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """``leaks`` of one long text, in parts. Parts begin at whole windows and overlap by all that a window may read, so
         every window of the text lies with its surroundings in one of them."""
@@ -311,6 +398,8 @@ class Searcher:
         if not found:
             return
         d, item, lo, hi = (np.concatenate(x) for x in zip(*found))
+        keep = np.flatnonzero(self.may_hold(word, item, lo, hi))
+        d, item, lo, hi = d[keep], item[keep], lo[keep], hi[keep]
         small = self.size[item] <= 64
         keep = ~small
         keep[small] = self.in_order(word, item[small], lo[small], hi[small]) >= self.need[item[small]]
@@ -353,7 +442,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, found, answer, item_words) for every document that holds a benchmark item."""
     words = durable(hashed_words(docs, id_col, text_col))
     idf = term_weights(words)
-    known = _Ids()
     item_type = benchmark.schema[item_col].dataType.simpleString()
     doc_type = docs.schema[id_col].dataType.simpleString()
     table, out, block = None, None, []
@@ -362,7 +450,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         return durable(search(words, table, block, item_type))
 
     for r in benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).toLocalIterator():
-        ids = word_ids(r["t"], known)
+        ids = word_ids(r["t"])
         if not len(ids):
             continue
         block.append((r["i"], ids))

@@ -174,3 +174,57 @@ def test_latent_basis_is_fitted_on_all_passages(spark, monkeypatch):
     with pytest.raises(Seen) as told:
         decontam.latent_basis(words, np.ones(decontam.TERMS, np.float32), [])
     assert told.value.args == (260_000,)
+
+
+def test_gram_products_against_dense():
+    rng = np.random.default_rng(5)
+    idf = rng.random(decontam.TERMS).astype(np.float32) * 5
+    rows = [rng.integers(0, 60, n).astype(np.uint16) for n in (1, 48, 7, 48, 300, 48, 2)] + [np.full(40, decontam.TERMS - 1, np.uint16)]
+    q = rng.standard_normal((decontam.TERMS, 5)).astype(np.float32)
+    a = np.zeros((len(rows), decontam.TERMS))
+    for i, r in enumerate(rows):
+        np.add.at(a[i], r, idf[r])
+        a[i] /= np.sqrt((idf[r].astype(float) ** 2).sum())
+    gram = decontam.Gram(q, idf)
+    for part in (rows[:3], rows[3:]):
+        gram.add(part)
+        gram.add_small(part)
+    assert np.allclose(gram.total(), a.T @ (a @ q), atol=1e-3) and np.allclose(gram.small, q.T @ (a.T @ (a @ q)), rtol=1e-4, atol=1e-3)
+
+
+def test_fit_keeps_two_bytes_a_word_and_parts_words_of_one_bucket(spark, monkeypatch):
+    kept, durable = [], decontam.durable
+    monkeypatch.setattr(decontam, "durable", lambda df: kept.append(durable(df)) or kept[-1])
+    a = np.arange(48, dtype=np.uint32)
+    b = a + np.uint32(decontam.TERMS)       # other words in the same buckets
+    words = spark.createDataFrame([(bytearray(x.tobytes()),) for x in (a, b, a, a[:5])], "ids binary")
+    basis = decontam.latent_basis(words, np.ones(decontam.TERMS, np.float32), [])
+    assert np.isfinite(basis).all()
+    assert sorted(len(r["p"]) for r in kept[0].collect()) == [10, 96, 96]
+
+
+def test_overlapping_parts_are_read_once(monkeypatch):
+    """Parts of one item overlap many times; they are told out by what holds them all, and the results are the same."""
+    rng = np.random.default_rng(2)
+    table = rng.standard_normal((decontam.TERMS, decontam.DIMS)).astype(np.float32)
+    item = rng.integers(0, 2**32, 40, dtype=np.uint32)
+    near = np.tile(rng.permutation(item), 20)           # all of its words, out of order
+    texts = [near, np.concatenate([near[:200], item, near[:300]]), item[::-1].copy()]
+    searcher, read = decontam.Searcher(table, [item], least_cosine=-1), []
+    plain = searcher.in_order
+    monkeypatch.setattr(searcher, "in_order", lambda word, item, lo, hi: read.append(int((hi - lo).sum())) or plain(word, item, lo, hi))
+    monkeypatch.setattr(searcher, "need", np.array([36]))
+    got = {x[:2] for x in searcher.leaks(texts)}
+    assert (1, 0) in got and (2, 0) not in got
+    once = sum(read)
+    read.clear()
+    monkeypatch.setattr(searcher, "may_hold", lambda word, item, lo, hi: np.ones(len(item), bool))
+    assert {x[:2] for x in searcher.leaks(texts)} == got
+    assert 2 * once < sum(read)
+
+
+def test_document_frequencies_of_terms(spark):
+    texts = [[1, 2, 2, 5], [2], [], [5, 1 + decontam.TERMS, 1]] * 3
+    words = spark.createDataFrame([(i, bytearray(np.array(t, np.uint32).tobytes())) for i, t in enumerate(texts)], "doc_id long, ids binary")
+    idf = decontam.term_weights(words)
+    assert np.allclose(idf[[1, 2, 5, 9]], np.log(13 / np.array([7, 7, 7, 1])))
