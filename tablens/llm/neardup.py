@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.graph import connected_components
-from ..session import durable
+from ..session import durable, few_tasks
 from .shingles import WordHash, overlap, shingle_set, word_hashes, words_of
 
 GROUPS, ROWS, SEED = 10, 3, 20
@@ -143,8 +143,12 @@ def confirm(pairs: DataFrame, facts: DataFrame, docs: DataFrame, id_col: str, te
             yield pdf.loc[hit, ["x", "y"]]
 
     one, two = (facts.select(F.col("rep").alias(c), *[F.col(k).alias(k + c) for k in ("n", "bits", "coarse")]) for c in ("x", "y"))
-    pairs = durable(pairs.join(one, "x").join(two, "y").where(_possible(percent, "x", "y")).select("x", "y").distinct())
-    wanted = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
+    n = pairs.count()
+    fit = few_tasks(few_tasks(pairs, n).join(one, "x"), n).join(two, "y").where(_possible(percent, "x", "y")).select("x", "y")
+    pairs = durable(few_tasks(fit, n).distinct())
+    n = pairs.count()
+    pairs = few_tasks(pairs, n)
+    wanted = few_tasks(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct(), 2 * n)
     sets = _sets(docs, durable(wanted), id_col, text_col, width)
     ids = docs.schema[id_col].dataType.simpleString()
     both = (pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("set").alias("sx")), "x")
@@ -158,34 +162,36 @@ def _keys(sig, m: int):
         F.sequence(F.lit(m), F.lit(2 * m - 1)), lambda j: F.xxhash64(F.get(sig, i), F.get(sig, j), i * m + j))))
 
 
-def _drawn_pairs(met: DataFrame, turn: int) -> DataFrame:
+def _drawn_pairs(met: DataFrame, turn: int, rows: int) -> DataFrame:
     """Distinct pairs (x, y): each class of the buckets (key, rep, comp) with the drawn member of smallest hash it meets outside its
-    component, for each hash of this turn."""
+    component, for each hash of this turn. ``rows``: the rows of ``met``."""
     bucket = Window.partitionBy("key")
     drawn = lambda c: F.struct(F.xxhash64("rep", F.lit(_DRAWS * turn + c)).alias("h"), F.col("rep").alias("c"), "comp")
     draws = [F.min(drawn(c)).over(bucket).alias(f"d{c}") for c in range(_DRAWS)]
     least = [F.min(F.when(F.col(f"d{c}.comp") != F.col("comp"), F.struct(f"d{c}.h", f"d{c}.c"))).alias(f"d{c}") for c in range(_DRAWS)]
-    best = met.select("key", "rep", "comp", *draws).groupBy("rep").agg(*least)
-    pairs = best.select("rep", F.explode(F.array(*[F.col(f"d{c}.c") for c in range(_DRAWS)])).alias("c")).where("c is not null")
-    return pairs.select(F.greatest("rep", "c").alias("x"), F.least("rep", "c").alias("y")).distinct()
+    best = few_tasks(met.select("key", "rep", "comp", *draws), rows).groupBy("rep").agg(*least)
+    pairs = few_tasks(best, rows).select("rep", F.explode(F.array(*[F.col(f"d{c}.c") for c in range(_DRAWS)])).alias("c")).where("c is not null")
+    return few_tasks(pairs.select(F.greatest("rep", "c").alias("x"), F.least("rep", "c").alias("y")).distinct(), rows)
 
 
-def _mixed(met: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows (key, rep, comp, main) of the buckets that hold several components; ``main``: the row is in its bucket's most frequent one."""
+def _mixed(met: DataFrame, comp: DataFrame, rows: int) -> DataFrame:
+    """Rows (key, rep, comp, main) of the buckets that hold several components; ``main``: the row is in its bucket's most frequent one.
+    ``rows``: the rows of ``met``."""
     bucket = Window.partitionBy("key")
-    rows = met.select("key", "rep").join(comp, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    rows = rows.select("*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi"), F.mode("comp").over(bucket).alias("most"))
-    return durable(rows.where("lo <> hi").select("key", "rep", "comp", (F.col("comp") == F.col("most")).alias("main")))
+    met = few_tasks(met.select("key", "rep").join(comp, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp")), rows)
+    met = met.select("*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi"), F.mode("comp").over(bucket).alias("most"))
+    return durable(few_tasks(met.where("lo <> hi").select("key", "rep", "comp", (F.col("comp") == F.col("most")).alias("main")), rows))
 
 
-def _rest(mixed: DataFrame, classes: DataFrame, facts: DataFrame, m: int, percent: int) -> DataFrame:
+def _rest(mixed: DataFrame, classes: DataFrame, facts: DataFrame, m: int, percent: int, rows: int) -> DataFrame:
     """Pairs (x, y) that share a table's bucket but no component and may reach the similarity. A table is a pair (u_i, v_j), so two classes
-    share one if some u_i and some v_j agree: they meet under the first u_i they share (m rows a class, not m * m)."""
-    live = mixed.select("rep", "comp").distinct().join(classes.select("rep", "sig"), "rep")
+    share one if some u_i and some v_j agree: they meet under the first u_i they share (m rows a class, not m * m). ``rows``: the rows of ``mixed``."""
+    live = few_tasks(mixed.select("rep", "comp").distinct(), rows).join(classes.select("rep", "sig"), "rep")
     bucket = Window.partitionBy("i", "u")
     met = live.select("rep", "comp", F.posexplode(F.slice("sig", 1, m)).alias("i", "u")).select(
         "*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi"), F.mode("comp").over(bucket).alias("most"))
     met = durable(met.where("lo <> hi").select("i", "u", "rep", "comp", (F.col("comp") == F.col("most")).alias("main")))
+    met = few_tasks(met, met.count())
     full = met.join(classes.select("rep", "sig"), "rep").join(facts, "rep")
     # of two members in different components one at least is outside the bucket's most frequent one
     other = full.select(*[F.col(c).alias(c + "_") for c in full.columns])
@@ -209,17 +215,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A key holds one row per class and table, so even a group with a third of all classes
     # is one part in 3 m^2 of these rows; the window sorts and spills, it gathers nothing.
     met = durable(met.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1").select("key", "rep"))
-    facts = durable(set_maps(docs, durable(met.select(F.col("rep").alias("doc_id")).distinct()), id_col, text_col, width))
+    rows = met.count()
+    met = few_tasks(met, rows)
+    meets = durable(few_tasks(met.select(F.col("rep").alias("doc_id")).distinct(), rows))
+    facts = durable(set_maps(docs, meets, id_col, text_col, width))
+    n = meets.count()
+    facts = few_tasks(facts, 10 * n)        # a row is about ten times as long as others
     met, tried, comp = met.withColumn("comp", F.col("rep")), None, None      # at first every class is a component
     for turn in range(_TURNS):
-        pairs = _drawn_pairs(met, turn)
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pairs = _drawn_pairs(met, turn, rows)
+        pairs = durable(pairs if tried is None else few_tasks(pairs.join(tried, ["x", "y"], "left_anti"), _DRAWS * n))
+        tried = pairs if tried is None else few_tasks(tried.unionByName(pairs), (turn + 1) * _DRAWS * n)
         found = confirm(pairs, facts, docs, id_col, text_col, width, percent)
         found = found if comp is None else found.unionByName(comp.select(F.col("rep").alias("x"), F.col("comp").alias("y")))
-        comp = durable(connected_components(found, "x", "y", "rep", "comp"))
-        met = _mixed(met, comp)
-    rest = _rest(met, classes, facts, groups, percent).join(tried, ["x", "y"], "left_anti")
+        comp = durable(few_tasks(connected_components(found, "x", "y", "rep", "comp"), n))
+        met = _mixed(met, comp, rows)
+        rows = met.count()
+        met = few_tasks(met, rows)
+    rest = durable(_rest(met, classes, facts, groups, percent, rows).join(tried, ["x", "y"], "left_anti"))
     # the components so far are stars already; new links join them
     links = confirm(rest, facts, docs, id_col, text_col, width, percent).unionByName(
         comp.select(F.col("rep").alias("x"), F.col("comp").alias("y")))
@@ -228,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = named.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b")
     ties = named.join(several, "doc_id", "left_semi").join(classes.select("set_key", "rep"), "set_key")
     links = links.unionByName(ties.select(F.col("doc_id").alias("x"), F.col("rep").alias("y")).where("x <> y"))
-    comp = durable(connected_components(links, "x", "y", "rep", "comp"))
+    comp = durable(few_tasks(connected_components(links, "x", "y", "rep", "comp"), n))
 
     by_class = (classes.select("set_key", "rep").join(comp, "rep", "left")
                 .select("set_key", F.coalesce("comp", "rep").alias("component_id")))

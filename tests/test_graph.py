@@ -35,3 +35,27 @@ def test_components_of_text_nodes_and_no_edges(spark):
     got = {r[0]: r[1] for r in connected_components(df, "a", "b").collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
     assert connected_components(df.limit(0), "a", "b").count() == 0
+
+
+def test_small_tables_take_few_tasks(spark, monkeypatch):
+    """Every task leaves files in every shuffle and checkpoint: a few edges must not be spread over all shuffle partitions."""
+    from tablens.functions import graph
+    parts, durable = [], graph.durable
+
+    def seen(df):
+        out = durable(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(graph, "durable", seen)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (200, 200)], "a long, b long")
+        got = {r[0]: r[1] for r in connected_components(df, "a", "b").collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 200}
+    assert len(parts) > 2 and sum(p > 12 for p in parts) <= len(parts) // 2
