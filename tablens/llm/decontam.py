@@ -10,7 +10,7 @@ apart); each window's latent vector is compared with the benchmark items it fits
 All candidates (cosine >= ``least_cosine``) are checked on the words themselves: the longest common
 subsequence of the item and the words around the window must cover most of the item, or half of
 it together with the item's answer (its last words). Only candidates whose words around the window hold
-fewer of the item's words than that are passed over.
+fewer of the item's words than that are passed over; words that many items share count at most as often as the item has them.
 
 Nothing of the corpus reaches the driver but term counts (one per bucket) and the sums of the fit. The
 items are sent to the tasks in blocks of bounded size, one pass over the windows for each block.
@@ -36,6 +36,8 @@ WINDOWS = (16, 32, 64)
 LEAST_COSINE, COVER, COVER_WITH_ANSWER, ANSWER_SHARE, ANSWER_COVER = 0.35, 0.75, 0.6, 0.2, 0.6
 #: Words of a block whose item words are counted together, and items that share a table of word places.
 COUNTED, ITEM_GROUP = 8, 128
+#: Share of a block's items from which a term counts as common.
+COMMON = 0.08
 ITEM_BLOCK, CHUNK_WORDS = 4096, 1 << 15
 #: Lengths of an item up to which overlapping parts of a text are read as one.
 STRETCH = 4
@@ -276,13 +278,20 @@ class Searcher:
                 latent[i] = v / norm
                 for k in _scales(len(x)):
                     by_scale[k].append(i)
-        self.has, self.size = has, np.array([f.size for f in self.facts])
+        self.size = np.array([f.size for f in self.facts])
+        # 1 for a term of the item, and 16 for one that few items have, so that a block's sum holds both counts
+        common = has.sum(axis=1, dtype=np.int64) >= max(2, COMMON * len(items))
+        self.has = has * np.where(common, 1, 17).astype(np.uint8)[:, None]
+        self.common = np.array([common[x & np.uint32(TERMS - 1)].sum() for x in items], np.int64)
         self.need = np.ceil(COVER_WITH_ANSWER * self.size - 1e-9).astype(np.int64)
         self.mine = [np.array(x, np.int64) for x in by_scale]
         self.latent = [np.ascontiguousarray(latent[x].T) for x in by_scale]
         # the words that are checked reach an item's length around a window, and half its scale's longest item
         longest = [max([w] + [self.facts[i].size for i in x]) for w, x in zip(WINDOWS, by_scale)]
         self.reach = [np.maximum(n // 2, self.size) for n in longest]
+        # both counts of a part share a number
+        room = max(w + 2 * int(r.max(initial=0)) for w, r in zip(WINDOWS, self.reach)) + 2 * COUNTED
+        self.count, self.half = (np.uint32, 16) if room < 1 << 16 else (np.uint64, 32)
         self.grid = np.vstack([table, np.zeros((1, table.shape[1]), np.float32)])
         # places of each word in the items of up to 64 words: a row a word, a column an item; row 0 for other words
         self.words = np.unique(np.concatenate([np.zeros(0, np.uint32), *items]))
@@ -320,6 +329,13 @@ class Searcher:
                 n[some] = self.size[item[some]] - np.bitwise_count(v & full)
         return n
 
+    def may_suffice(self, held: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """False only for text parts with fewer of the item's words than a leak needs: no subsequence is longer than the item's words in
+        the part, nor than those that few items have and the item's own common ones."""
+        need = self.need[item]
+        few = (held >> self.half).astype(np.int64)
+        return (few + self.common[item] >= need) & ((held & ((1 << self.half) - 1)).astype(np.int64) >= need)
+
     def may_hold(self, word: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """False only for text parts that lie in a longer one without enough of the item's words in order. Most of an item's parts
         overlap, so these are read once, in stretches of up to STRETCH parts' length."""
@@ -368,13 +384,14 @@ class Searcher:
         blocks = self.grid[fours[:, 0]]
         for c in (1, 2, 3):
             blocks += self.grid[fours[:, c]]
-        # words of each item before each block
+        # words of each item before each block, and in the upper half those that few items have
         parts = flat.reshape(-1, COUNTED)
         held = self.has[parts[:, 0]]
         for c in range(1, COUNTED):
             held += self.has[parts[:, c]]
-        before = np.zeros((len(held) + 1, len(self.facts)), np.int32)
-        np.cumsum(held, axis=0, out=before[1:])
+        held = held.astype(self.count)
+        before = np.zeros((len(held) + 1, len(self.facts)), self.count)
+        np.cumsum((held & 15) | (held >> 4 << self.half), axis=0, dtype=self.count, out=before[1:])
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for s, w in enumerate(WINDOWS):
             if s:
@@ -385,15 +402,15 @@ class Searcher:
             v = v[:-2] + v[2:]
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             v /= np.maximum(norm, 1e-6)[:, None]
-            win, col = np.divmod(np.flatnonzero(v @ self.latent[s] >= self.least), len(self.mine[s]))
-            item, start = self.mine[s][col], win * (w // 4)
-            d = np.searchsorted(first, start, side="right") - 1
+            hit = np.flatnonzero(v @ self.latent[s] >= self.least)
+            win = hit // len(self.mine[s])
+            item, start = self.mine[s][hit - win * len(self.mine[s])], win * (w // 4)
+            d = (np.searchsorted(first, np.arange(len(v)) * (w // 4), side="right") - 1)[win]
             inside = d < len(docs)
             item, start, d = item[inside], start[inside], d[inside]
             lo = np.maximum(first[d], start - self.reach[s][item])
             hi = np.maximum(lo, np.minimum(first[d] + length[d], start + w + self.reach[s][item]))
-            # no subsequence is longer than the item's words in the part that is read
-            keep = before[-(-hi // COUNTED), item] - before[lo // COUNTED, item] >= self.need[item]
+            keep = self.may_suffice(before[-(-hi // COUNTED), item] - before[lo // COUNTED, item], item)
             found.append((d[keep], item[keep], lo[keep], hi[keep]))
         if not found:
             return

@@ -223,6 +223,28 @@ def test_overlapping_parts_are_read_once(monkeypatch):
     assert 2 * once < sum(read)
 
 
+@pytest.mark.parametrize("long", [0, 30_000])
+def test_common_words_alone_are_not_read(monkeypatch, long):
+    """Words that many items share make up no leak, however often a text repeats them; with items of any length."""
+    rng = np.random.default_rng(4)
+    table = rng.standard_normal((decontam.TERMS, decontam.DIMS)).astype(np.float32)
+    ids = rng.permutation(decontam.TERMS).astype(np.uint32)
+    common = ids[:12]
+    items = [rng.permutation(np.concatenate([common, ids[20 + 18 * i:38 + 18 * i]])) for i in range(40)]
+    items += [rng.integers(0, 2**32, long, dtype=np.uint32)] if long else []
+    searcher, read = decontam.Searcher(table, items, least_cosine=-1), []
+    plain = searcher.in_order
+    monkeypatch.setattr(searcher, "in_order", lambda word, item, lo, hi: read.append(len(item)) or plain(word, item, lo, hi))
+    assert not list(searcher.leaks([rng.choice(common, 3000)])) and not sum(read)
+    near = items[7].copy()
+    near[::7] = ids[-5:]                                    # five of 30 words replaced
+    texts = [np.concatenate([rng.choice(common, 200), x, rng.choice(common, 90)]) for x in (near, items[3])] + [items[9][::-1]]
+    got = sorted(searcher.leaks(texts))
+    assert {x[:2] for x in got} == {(0, 7), (1, 3)}
+    monkeypatch.setattr(searcher, "may_suffice", lambda held, item: np.ones(len(item), bool))
+    assert sorted(searcher.leaks(texts)) == got
+
+
 def test_document_frequencies_of_terms(spark):
     texts = [[1, 2, 2, 5], [2], [], [5, 1 + decontam.TERMS, 1]] * 3
     words = spark.createDataFrame([(i, bytearray(np.array(t, np.uint32).tobytes())) for i, t in enumerate(texts)], "doc_id long, ids binary")
