@@ -39,6 +39,8 @@ COUNTED, ITEM_GROUP = 8, 128
 #: Share of a block's items from which a term counts as common.
 COMMON = 0.08
 ITEM_BLOCK, CHUNK_WORDS = 4096, 1 << 15
+#: Words whose windows are compared at a time: for larger tables the system clears new memory each time.
+TABLE_WORDS = 1 << 13
 #: Lengths of an item up to which overlapping parts of a text are read as one.
 STRETCH = 4
 #: Lists whose rows are added side by side.
@@ -369,8 +371,9 @@ class Searcher:
         for i, (n, answer) in best.items():
             yield 0, i, n, answer
 
-    def leaks(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
-        """(document, item, found, answer) of every leak."""
+    def candidates(self, docs: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """The words of all texts in a row, lists of (document, item, from, to) of the parts of it that may hold an item, and where each
+        text begins."""
         length = np.array([len(x) for x in docs])
         size = -(-length // 16) * 16 + 48       # whole blocks, and a gap to the next text
         first = np.concatenate([[0], np.cumsum(size)])
@@ -412,8 +415,20 @@ class Searcher:
             hi = np.maximum(lo, np.minimum(first[d] + length[d], start + w + self.reach[s][item]))
             keep = self.may_suffice(before[-(-hi // COUNTED), item] - before[lo // COUNTED, item], item)
             found.append((d[keep], item[keep], lo[keep], hi[keep]))
+        return word, found, first[:-1]
+
+    def leaks(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, found, answer) of every leak."""
+        words, found, begins, n, size = [], [], [], 0, 0
+        for some in _groups(docs, TABLE_WORDS):
+            word, parts, first = self.candidates(some)
+            found += [(d + n, item, lo + size, hi + size) for d, item, lo, hi in parts]
+            words.append(word)
+            begins.append(first + size)
+            n, size = n + len(some), size + len(word)
         if not found:
             return
+        word, first = np.concatenate(words), np.concatenate(begins)
         d, item, lo, hi = (np.concatenate(x) for x in zip(*found))
         keep = np.flatnonzero(self.may_hold(word, item, lo, hi))
         d, item, lo, hi = d[keep], item[keep], lo[keep], hi[keep]
