@@ -69,8 +69,9 @@ def cluster(m: DataFrame, id_col: str, n: int, algorithm: str = "kmeans", k: int
         return labelled, k, {"n_clusters": k, "n_init": models.KMEANS_RESTARTS, "converged": fit.converged}
     if algorithm == "dbscan":
         min_samples = max(5, n // 100)
-        eps = density.auto_eps(m, id_col, min_samples, n) if eps is None else eps
-        labelled, n_clusters = density.dbscan(m, id_col, eps, min_samples)
+        index = density.cells_of(m, id_col)
+        eps = density.auto_eps(m, id_col, min_samples, n, index) if eps is None else eps
+        labelled, n_clusters = density.dbscan(m, id_col, eps, min_samples, index=index)
         return labelled, n_clusters, {"eps": round(eps, 4), "min_samples": min_samples}
     raise ValueError(f"Unknown algorithm: {algorithm}")
 
